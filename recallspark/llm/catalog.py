@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_counts", "byte_bpe", "packing"]
+MODULES = ["token_counts", "byte_bpe", "packing", "simhash", "topk"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:

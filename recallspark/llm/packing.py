@@ -20,7 +20,7 @@ from recallspark.llm.common import materialize, table, texts_of, vocabulary
 
 CAPACITY, END_ID = 4096, 1
 #: Rounds of the multiplicative weights, their learning rate, entries of a worker's memo of words.
-ROUNDS, RATE, MEMO = 60, 0.5, 700_000
+ROUNDS, RATE, MEMO = 40, 0.5, 700_000
 #: Marks that part from the letters before them in every case.
 MARKS = ".,;:!?|%*#$&)\"-+="
 
@@ -103,7 +103,7 @@ def priced(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
     for c in range(int(lengths[0]), capacity + 1):
         n = int(np.searchsorted(lengths, c, "right"))
         total = values[:n] + best[c - lengths[:n]]
-        k = int(total.argmax())
+        k = n - 1 - int(total[::-1].argmax())
         best[c], take[c] = total[k], lengths[k]
     return best, take
 
@@ -119,13 +119,14 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         lengths = np.flatnonzero(left)
         if left.sum() < 8:
             break
-        best, take = priced(lengths * weight[lengths], lengths, capacity)
+        # less a little for each piece: fillings of few long pieces use short ones up more slowly
+        best, take = priced(lengths * weight[lengths] - 0.05, lengths, capacity)
         share, slack = (0.5 if t < ROUNDS // 2 else 1.0), (0 if t < ROUNDS // 3 else capacity * t // (ROUNDS * 16))
         for n in lengths[::-1].tolist():
             if not left[n]:
                 continue
             filling, room = [n], capacity - n
-            while room > 0 and take[room]:
+            while room > 0 and take[room] and left[take[room]] and (filling[-1] != take[room] or filling.count(filling[-1]) < left[take[room]]):
                 filling.append(int(take[room]))
                 room -= filling[-1]
             if capacity - sum(filling) > slack:
