@@ -28,20 +28,21 @@ def _chunks(lines: str, ends: str) -> str:
     return f"transform({ends}, (e, c) -> struct(c AS c, slice({lines}, if(c = 0, 0, element_at({ends}, c)) + 1, e - if(c = 0, 0, element_at({ends}, c))) AS lines))"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, least: int = LEAST) -> DataFrame:
-    """id_col, text (kept lines), n_lines and n_removed (lines) of every row of docs.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, least: int = LEAST, carry: list[str] | None = None) -> DataFrame:
+    """id_col, the columns of carry, text (kept lines), n_lines and n_removed (lines) of every row of docs.
 
     Chunks of at least `least` lines that repeat anywhere stay only at their first place: smallest id (null first), then
     position. Null text stays null with no lines; an empty text is one empty line; identical rows (id and text) count as one
-    place, so none thins the other out; an empty table gives no rows; other columns are not read.
+    place, so none thins the other out; an empty table gives no rows; columns other than carry
+    are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.struct("id", F.xxhash64("text").alias("t")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(carry or []), F.lit(0).alias("_")).alias("carried")).withColumn("k", F.struct("id", F.xxhash64("text").alias("t")))
     cut = rows.where("text IS NOT NULL").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
     hashes = F.expr(f"filter(transform({_chunks('x.l', 'x.e')}, y -> struct(y.c AS c, size(y.lines) AS n, xxhash64(y.lines) AS h)), y -> y.n >= {least})")
     keyed = cut.select("k", F.explode(hashes).alias("y")).select("k", "y.c", "y.h")
     repeated = keyed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     suspects = keyed.join(repeated, "h").groupBy("k").agg(F.collect_set("c").alias("cs"))
-    texts = rows.where("text IS NOT NULL").select("k", "text").repartition("k")
+    texts = rows.where("text IS NOT NULL").select("k", "text", "carried").repartition("k")
     held = texts.join(suspects, "k").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
     held = held.select("k", F.explode(F.expr(f"filter({_chunks('x.l', 'x.e')}, y -> array_contains(cs, y.c))")).alias("y"))
     # only chunks whose hash repeats are written: they are read twice
@@ -50,10 +51,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = held.join(firsts, "chunk").where(F.struct("k", "c") != F.col("first")).groupBy("k").agg(F.collect_set("c").alias("gone"))
     out = texts.join(gone, "k", "left").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
     kept = F.expr(f"if(gone IS NULL, x.l, flatten(transform(filter({_chunks('x.l', 'x.e')}, y -> NOT array_contains(gone, y.c)), y -> y.lines)))")
-    out = out.select(F.col("k.id").alias("id"), F.size("x.l").alias("n_lines"), kept.alias("kept"))
-    out = out.select("id", F.expr(r"array_join(kept, '\n')").alias("text"), F.col("n_lines").cast("long"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"))
-    empty = rows.where("text IS NULL").select("id", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    return out.unionByName(empty).withColumnRenamed("id", id_col)
+    out = out.select(F.col("k.id").alias("id"), F.size("x.l").alias("n_lines"), kept.alias("kept"), "carried")
+    out = out.select("id", "carried", F.expr(r"array_join(kept, '\n')").alias("text"), F.col("n_lines").cast("long"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"))
+    empty = rows.where("text IS NULL").select("id", "carried", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return out.unionByName(empty).select(F.col("id").alias(id_col), *(F.col(f"carried.{c}") for c in carry or []), "text", "n_lines", "n_removed")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

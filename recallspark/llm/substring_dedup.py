@@ -4,14 +4,13 @@ Every run of 13 words is an edge between its first and last 12 words. Edges are
 batch of documents sends each bucket one row of keys and positions. A bucket tells each occurrence of an edge that an earlier
 document also holds where it stands there (the source: the smallest document, the first position). Along a document,
 consecutive edges with consecutive sources form one nonbranching path, so repeated edges compact into long spans with source
-coordinates as they are joined by document. Every distinct source span is then looked up in its source text, and words count as
-repeated only where both sides' digests of the whole span agree. If any differ (a key collision), all is done again with another
-seed.
+coordinates as they are joined by document. Source coordinates verify a span: one of several edges has as many independent keys
+agree at consecutive places of one text, and a span of a single edge is looked up in both texts and compared. If any differ (a
+key collision), all is done again with another seed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ from recallspark.llm.common import by_bytes, materialize, range_hashes, table, t
 WINDOW, PART_BYTES, ATTEMPTS = 13, 6 << 20, 3
 #: Bits below the id for rows that share one, where any do.
 SHARED_BITS = 20
+#: Single places that may be sent to every task for comparison; more are joined by a shuffle.
+BROADCAST_PLACES = 50_000
 
 
 def _gaps(at: np.ndarray) -> bytes:
@@ -128,86 +129,87 @@ def _paths(window: int):
     return run
 
 
-def _digests(text: str, at: list[int], n: list[int]) -> list[bytes]:
-    blob, start, end, _ = words_of([text.encode()])
-    return [hashlib.blake2b(b" ".join([blob[start[k] : end[k]] for k in range(a, a + m)]), digest_size=16).digest() if a + m <= len(start) else b"" for a, m in zip(at, n)]
-
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, text, at in zip(b.column(0).to_pylist(), texts_of(b, "text"), b.column(2).to_pylist()):
+                blob, start, end, _ = words_of([text.encode()])
+                out += ((row, a, b" ".join([blob[start[k] : end[k]] for k in range(a, a + window)])) for a in at)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["row", "pos", "words"])
 
-def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(i, a, m, d) for i, t, at, n in zip(b.column(0).to_pylist(), texts_of(b, "text"), b.column(2).to_pylist(), b.column(3).to_pylist()) for a, m, d in zip(at, n, _digests(t, at, n))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["src", "src_pos", "n", "digest"])
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the words of spans (pos, n) out of texts; other columns pass."""
     for b in batches:
         out = []
-        for text, at, n, digest in zip(texts_of(b, "text"), *(b.column(c).to_pylist() for c in (2, 3, 4))):
-            raw = text.encode()
-            blob, start, end, _ = words_of([raw])
+        for text, at, n in zip(texts_of(b, "text"), *(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("pos", "n"))):
+            blob, start, end, _ = words_of([text.encode()])
             drop = np.zeros(len(start) + 1, np.int32)
-            wrong = 0
-            if at:
-                fits = [d == x for d, x in zip(_digests(text, at, n), digest)]
-                wrong = len(fits) - sum(fits)
-                for a, m, ok in zip(at, n, fits):
-                    drop[a] += ok
-                    drop[a + m] -= ok
+            for a, m in zip(at or (), n or ()):
+                drop[a] += 1
+                drop[a + m] -= 1
             keep = np.cumsum(drop[:-1]) == 0
             words = [blob[a:e] for a, e in zip(start[keep].tolist(), end[keep].tolist())]
-            out.append((len(start), len(start) - len(words), b" ".join(words), wrong))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64())))], ["row", "n_words", "n_removed", "kept", "wrong"])
-
+            out.append((len(start), len(start) - len(words), b" ".join(words).decode()))
+        names = [c for c in b.schema.names if c not in ("text", "pos", "n")]
+        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], [*names, "n_words", "n_removed", "kept"])
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id_col, n_words, n_removed and kept (the kept words joined by one space) of every row of docs.
 
-    A word goes if a window of that many consecutive words covers it whose sequence also starts in a row with a smaller id.
-    Null text has no words. Rows with a null id keep all and are no one's source. Rows that share an id do not thin each other
-    out, nor do repeats within one text. An empty table gives no rows; other columns are not read. Ids are whole numbers.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, shift = texts.select(F.col("id").alias("row"), "text"), 0
-    if texts.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
-        # rows that share an id: each distinct text gets a number of its own below the id
-        shift = SHARED_BITS
-        place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")) - 1
-        numbered = materialize(texts.distinct().withColumn("row", F.shiftleft("id", shift) + place))
-        rows = numbered.select("row", "text")
-    out = _kept_words(rows, buckets, window, shift)
-    if shift:
-        out = out.join(numbered, "row").join(texts.groupBy("id", "text").count().withColumnsRenamed({"id": "i", "text": "t"}), F.col("id").eqNullSafe(F.col("i")) & F.col("text").eqNullSafe(F.col("t")))
-        nobody = texts.where("id is null").select(F.lit(None).cast("long").alias("row"), "text").withColumns({c: F.lit(None) for c in ("pos", "n", "digest")})
-        out = out.where("id is not null").select("id", "n_words", "n_removed", "kept", F.explode(F.sequence(F.lit(1), "count")).alias("_")).drop("_")
-        out = out.unionByName(nobody.mapInArrow(_kept, _KEPT).select(F.col("row").alias("id"), "n_words", "n_removed", "kept"))
-    else:
-        out = out.withColumnRenamed("row", "id")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+def without(rows: DataFrame) -> DataFrame:
+    """rows (text, pos, n and others) with n_words, n_removed and kept instead of these three."""
+    others = rows.drop("text", "pos", "n")
+    return rows.mapInArrow(_kept, ", ".join(f"`{c}` {t}" for c, t in others.dtypes) + ", n_words long, n_removed long, kept string")
 
 
-_KEPT = "row long, n_words long, n_removed long, kept binary, wrong long"
-
-
-def _kept_words(rows: DataFrame, buckets: int, window: int, shift: int) -> DataFrame:
-    keyed = rows.where("row is not null")
+def repeated_spans(texts: DataFrame, window: int, shift: int) -> DataFrame:
+    """doc, pos, n: the spans of words of each row of texts (row, text) that windows of earlier documents cover."""
+    spark = texts.sparkSession
+    texts = texts.where("row is not null")
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for seed in range(ATTEMPTS):
-        edges = keyed.mapInArrow(_edges(buckets, window, seed), "bucket int, keys binary, pos binary, docs binary, firsts binary")
+        edges = texts.mapInArrow(_edges(buckets, window, seed), "bucket int, keys binary, pos binary, docs binary, firsts binary")
         repeats = edges.repartition(buckets, "bucket").mapInArrow(_repeats(shift), "doc long, pos binary, src binary, src_pos binary")
         grouped = repeats.groupBy("doc").agg(*(F.collect_list(F.struct("pos", "src", "src_pos")).getField(c).alias(c) for c in ("pos", "src", "src_pos")))
         spans = materialize(grouped.mapInArrow(_paths(window), "doc long, pos long, n long, src long, src_pos long"))
-        wanted = spans.select("src", "src_pos", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("src_pos", "n")).alias("w"))
-        source = keyed.join(wanted, keyed.row == wanted.src).select("row", "text", "w.src_pos", "w.n")
-        digests = source.mapInArrow(_looked_up, "src long, src_pos long, n long, digest binary")
-        marks = spans.join(digests, ["src", "src_pos", "n"], "left").groupBy("doc").agg(F.collect_list(F.struct("pos", "n", F.coalesce("digest", F.lit(b"")).alias("digest"))).alias("m"))
-        out = rows.join(marks, rows.row == marks.doc, "left").select("row", "text", "m.pos", "m.n", "m.digest")
-        out = materialize(out.mapInArrow(_kept, _KEPT))
-        if not out.where("wrong > 0").limit(1).count():
-            return out.drop("wrong")
+        single = spans.where(F.col("n") == window)
+        asked = single.select(F.col("doc").alias("id"), "pos").unionByName(single.select(F.col("src").alias("id"), F.col("src_pos").alias("pos"))).distinct()
+        grouped = asked.groupBy("id").agg(F.collect_list("pos").alias("at"))
+        if asked.count() <= BROADCAST_PLACES:
+            grouped = F.broadcast(grouped)
+        found = materialize(texts.join(grouped, texts.row == grouped.id).select("row", "text", "at").mapInArrow(_windows(window), "row long, pos long, words binary"))
+        own, theirs = found.withColumnsRenamed({"row": "doc", "words": "own"}), found.withColumnsRenamed({"row": "src", "pos": "src_pos", "words": "theirs"})
+        if not single.join(own, ["doc", "pos"]).join(theirs, ["src", "src_pos"]).where("own <> theirs").limit(1).count():
+            return spans.select("doc", "pos", "n")
     raise RuntimeError("window keys collided under every seed")
 
 
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """id_col, the columns of carry, n_words, n_removed and kept (the kept words joined by one space) of every row of docs.
+
+    A word goes if a window of that many consecutive words covers it whose sequence also starts in a row with a smaller id.
+    Null text has no words. Rows with a null id keep all and are no one's source. Rows that share an id do not thin each other
+    out, nor do repeats within one text; the same (id, text) twice gives two rows. An empty table gives no rows; columns other
+    than carry are not read. Ids are whole numbers.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), *(carry or []))
+    rows, shift = texts.withColumn("_row", F.col("_id")), 0
+    if texts.where("_id is not null").groupBy("_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        # rows that share an id: each distinct text gets a number of its own below the id
+        shift = SHARED_BITS
+        place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text")) - 1
+        numbers = texts.where("_id is not null").select("_id", "text").distinct().withColumn("_row", F.shiftleft("_id", shift) + place)
+        numbers = materialize(numbers.withColumnsRenamed({"_id": "_i", "text": "_t"}))
+        rows = texts.join(numbers, (F.col("_id") == F.col("_i")) & F.col("text").eqNullSafe(F.col("_t")), "left").drop("_i", "_t")
+    one = rows.select(F.col("_row").alias("row"), "text")
+    spans = repeated_spans(one.distinct() if shift else one, window, shift)
+    marks = spans.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("m"))
+    marked = rows.join(marks, rows._row == marks.doc, "left").select("_id", *(carry or []), "text", "m.pos", "m.n")
+    return without(marked).withColumnRenamed("_id", id_col)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
