@@ -2,10 +2,16 @@
 
 from importlib import import_module
 
-MODULES = ["token_counts", "byte_bpe", "packing", "simhash", "topk", "substring_dedup", "minhash", "line_dedup"]
+MODULES = ["token_counts", "byte_bpe", "packing", "simhash", "topk", "substring_dedup", "minhash", "line_dedup", "html_text", "language_id"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
     _module = import_module(f"recallspark.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
+
+import corpus_pipeline  # noqa: E402
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
