@@ -3,9 +3,9 @@
 Every run of 13 words is an edge between its first and last 12 words. Edges are met by key (a hash) in shuffled, packed form: a
 batch of documents sends each bucket one row of keys and positions. A bucket tells each occurrence of an edge that an earlier
 document also holds where it stands there (the source: the smallest document, the first position). Along a document,
-consecutive edges with consecutive sources form one nonbranching path, so repeated edges compact into long spans with source
-coordinates as they are joined by document. Source coordinates verify a span: one of several edges has as many independent keys
-agree at consecutive places of one text, and a span of a single edge is looked up in both texts and compared. If any differ (a
+consecutive edges with one source document form a path, so repeated edges compact into long spans with source
+coordinates as they are joined by document. Source coordinates verify a span: one of several distinct edges has as many independent
+keys agree within one text, and a span of a single distinct edge (its first and last window) is compared with the source's words. If any differ (a
 key collision), all is done again with another seed.
 """
 
@@ -55,7 +55,8 @@ def _edges(buckets: int, window: int, seed: int):
                 if not len(at):
                     continue
                 key = range_hashes(h, at, at + window)
-                bucket = (key >> np.uint64(40)) % np.uint64(buckets)
+                # the leading byte first: the seven others are sent
+                bucket = ((key >> np.uint64(56)) + ((key >> np.uint64(40)) & np.uint64(0xFFFF)) * np.uint64(256)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = []
@@ -112,7 +113,7 @@ def _repeats(shift: int):
 
 
 def _paths(window: int):
-    """Consecutive repeated edges of a document with consecutive sources, as spans of words."""
+    """Consecutive repeated edges of a document with one source document, as spans of words; src_pos is the place of a single distinct edge there, else -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,8 +122,9 @@ def _paths(window: int):
                 p, s, q = (np.frombuffer(b"".join(x), kind).astype(np.int64) for x, kind in ((p, np.int32), (s, np.int64), (q, np.int32)))
                 order = np.argsort(p)
                 p, s, q = p[order], s[order], q[order]
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(q) != 1)]))
-                for x, v in zip(out, (np.full(len(cut), doc), p[cut], np.diff(np.append(cut, len(p))) + window - 1, s[cut], q[cut])):
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0)]))
+                one = np.minimum.reduceat(q, cut) == np.maximum.reduceat(q, cut)
+                for x, v in zip(out, (np.full(len(cut), doc), p[cut], np.diff(np.append(cut, len(p))) + window - 1, s[cut], np.where(one, q[cut], -1))):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["doc", "pos", "n", "src", "src_pos"])
 
@@ -174,7 +176,8 @@ def repeated_spans(texts: DataFrame, window: int, shift: int) -> DataFrame:
         repeats = edges.repartition(buckets, "bucket").mapInArrow(_repeats(shift), "doc long, pos binary, src binary, src_pos binary")
         grouped = repeats.groupBy("doc").agg(*(F.collect_list(F.struct("pos", "src", "src_pos")).getField(c).alias(c) for c in ("pos", "src", "src_pos")))
         spans = materialize(grouped.mapInArrow(_paths(window), "doc long, pos long, n long, src long, src_pos long"))
-        single = spans.where(F.col("n") == window)
+        single = spans.where("src_pos >= 0")
+        single = single.unionByName(single.withColumn("pos", F.col("pos") + F.col("n") - window)).distinct()
         asked = single.select(F.col("doc").alias("id"), "pos").unionByName(single.select(F.col("src").alias("id"), F.col("src_pos").alias("pos"))).distinct()
         grouped = asked.groupBy("id").agg(F.collect_list("pos").alias("at"))
         if asked.count() <= BROADCAST_PLACES:
