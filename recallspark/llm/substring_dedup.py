@@ -25,7 +25,7 @@ WINDOW, PART_BYTES, ATTEMPTS = 13, 6 << 20, 3
 #: Bits below the id for rows that share one, where any do.
 SHARED_BITS = 20
 #: Single places that may be sent to every task for comparison; more are joined by a shuffle.
-BROADCAST_PLACES = 50_000
+BROADCAST_PLACES = 400_000
 
 
 def _gaps(at: np.ndarray) -> bytes:
