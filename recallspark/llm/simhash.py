@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import by_bytes, materialize, table, texts_of, words_of
+from recallspark.llm.common import by_bytes, materialize, mix, range_hashes, table, texts_of, word_hashes, words_of
 from recallspark.llm.components import components, local_components
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Leading bits of a variant that name its bucket, and variants held at a time in a task.
 BUCKET_BITS, CHUNK = 6, 4_000_000
+#: Fingerprints of similar_documents, their bits, and the share of all bits that a pair to be verified may differ in.
+TABLES, TABLE_BITS, MOST_APART = 10, 36, 0.27
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
@@ -70,10 +72,9 @@ def _masks(bits: range, most: int) -> list[int]:
     return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) -> np.ndarray:
-    """Links (a, b) of fingerprints that share a variant in this bucket; b is the smallest that a reaches here."""
-    half, low = radius // 2, BITS - bucket_bits
-    fps = np.unique(fps)
+def bucket_pairs(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int, bits: int = BITS) -> np.ndarray:
+    """Indexes (a, b) of sorted distinct fingerprints that stand side by side at a variant of this bucket and lie within radius."""
+    half, low = radius // 2, bits - bucket_bits
     flips = np.array([bin(int(x)).count("1") for x in (fps >> np.uint64(low)) ^ np.uint64(bucket)])
     keys, owner = [], []
     left, right = [], []
@@ -111,8 +112,15 @@ def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) ->
                     owner.append(np.repeat(own.astype(np.int32), len(fit)))
         meet()
     if not left:
-        return np.zeros((0, 2), np.uint64)
-    label = local_components(np.concatenate(left), np.concatenate(right), len(fps))
+        return np.zeros((0, 2), np.int64)
+    return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+
+
+def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) -> np.ndarray:
+    """Links (a, b) of fingerprints that share a variant in this bucket; b is the smallest that a reaches here."""
+    fps = np.unique(fps)
+    pairs = bucket_pairs(fps, bucket, radius, bucket_bits)
+    label = local_components(pairs[:, 0], pairs[:, 1], len(fps))
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return np.stack([fps[moved], fps[label[moved]]], 1)
 
@@ -156,6 +164,112 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> np.ndarray:
+    """tables SimHashes of so many bits of each text's word shingles, one per column; 0 for a text without words."""
+    out = np.zeros((len(texts), tables), np.uint64)
+    raw = [t.encode().translate(_LOWER) for t in texts]
+    place = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
+        first, h, count = _shingles(raw[lo:hi], words)
+        some = np.flatnonzero(count)
+        if not len(some):
+            continue
+        cut = np.cumsum(count[some]) - count[some]
+        major = []
+        for k in range(-(-tables * bits // 64)):
+            ones = np.add.reduceat(np.unpackbits(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1), cut, axis=0, dtype=np.int32)
+            major.append(2 * ones > count[some][:, None])
+        major = np.concatenate(major, 1)[:, : tables * bits].reshape(len(some), tables, bits)
+        out[lo + some] = (major * place).sum(2, dtype=np.uint64)
+    return out
+
+
+def _shingles(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First shingle of each text, hashes of all shingles, and how many each text has; fewer words than a shingle are one."""
+    blob, start, end, first = words_of(raw)
+    n = np.diff(first)
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    begin = np.cumsum(count) - count
+    base = np.repeat(first[:-1] - begin, count) + np.arange(int(count.sum()))
+    return begin, range_hashes(word_hashes(blob, start, end), base, base + np.repeat(np.minimum(n, words), count)), count
+
+
+def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
+    """The similarity of the shingle sets of each pair of texts; 1 for two texts without words."""
+    out = np.ones(len(left))
+    for k, pair in enumerate(zip(left, right)):
+        begin, h, count = _shingles([t.encode().translate(_LOWER) for t in pair], words)
+        a, b = np.unique(h[: count[0]]), np.unique(h[count[0] :])
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if len(a) + len(b):
+            out[k] = both / (len(a) + len(b) - both)
+    return out
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4) -> DataFrame:
+    """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
+
+    One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
+    `radius` in any of them and agree in most bits of all are verified by their shingle sets. Equal texts are one from the
+    start, so copies form no pairs. Texts without words are alike. Null ids count as the largest, null texts as empty; repeated
+    rows share their component; an empty table gives no rows; other columns are not read.
+    """
+    key = F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))), F.xxhash64(F.lit(2), F.coalesce(text_col, F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.struct(key[0].alias("x"), key[1].alias("y")).alias("same"))
+    # one row of each distinct text, under its smallest key; the two hashes stand for the text
+    ids = materialize(rows.select("id", "same"))
+    chosen = ids.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("least")).withColumn("node", F.xxhash64("same"))
+    texts = rows.groupBy("same").agg(F.any_value("text").alias("text")).select(F.xxhash64("same").alias("node"), "text")
+    texts = materialize(texts)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = sketches_of(texts_of(b, "text"), words, tables, bits).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), tables).cast(pa.list_(pa.int64()))], ["node", "sketch"])
+
+    sketches = materialize(texts.mapInArrow(sketch, "node long, sketch array<long>"))
+    places = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).groupBy("table", "fp").agg(F.min("node").alias("node"))
+    places = materialize(places)
+    reach = [m for m in _masks(range(bucket_bits), radius // 2)]
+    lead = F.shiftrightunsigned("fp", bits - bucket_bits).cast("int")
+    sent = places.select(F.col("table").cast("int").alias("table"), "fp", F.explode(F.array([lead.bitwiseXOR(F.lit(m)) for m in reach])).alias("bucket"))
+    sent = sent.select("fp", F.shiftleft("table", bucket_bits).bitwiseOR(F.col("bucket")).alias("at"))
+
+    def meet(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in groups:
+            fp, at = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for k in np.unique(at).tolist():
+                held.setdefault(k, []).append(fp[at == k])
+        for k in [*held]:
+            fps = np.unique(np.concatenate(held.pop(k)))
+            pairs = fps[bucket_pairs(fps, k & (1 << bucket_bits) - 1, radius, bucket_bits, bits)].view(np.int64)
+            for lo in range(0, len(pairs), 1 << 16):
+                some = pairs[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k >> bucket_bits, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], ["table", "p", "q"])
+
+    near = sent.repartition(tables << bucket_bits, "at").mapInArrow(meet, "table int, p long, q long").distinct()
+    at = lambda fp, node: places.select(F.col("table").cast("int").alias("table"), F.col("fp").alias(fp), F.col("node").alias(node))
+    across = near.join(at("p", "a"), ["table", "p"]).join(at("q", "b"), ["table", "q"]).select("a", "b")
+    within = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).join(places.withColumnRenamed("node", "b"), ["table", "fp"]).select(F.col("node").alias("a"), "b")
+    pairs = across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own, theirs = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, n: z + n)
+    pairs = pairs.join(own, "a").join(theirs, "b").where(apart <= int(MOST_APART * tables * bits)).select("a", "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("left", "right"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(jaccard(left, right, words) >= similarity - 1e-12))
+
+    full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
+    found = components(full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+    joined = chosen.join(found, "node", "left").select("same", "least", F.coalesce("component", "node").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = joined.join(lowest, "root").select("same", "component_id")
+    return ids.join(named, "same").select(F.col("id").alias(id_col), "component_id")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """Substring, line and near-duplicate removal against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -53,6 +54,34 @@ def test_near_duplicates(spark, docs):
         assert got == brute.near_duplicates(docs, words)
 
 
+def test_similar_documents(spark, docs):
+    """Brute force over all pairs; shorter fingerprints may miss a pair that lies close to the threshold, never join others."""
+    dice = random.Random(11)
+    rows = dict(docs)
+    for k in range(60):
+        own = [f"n{dice.randrange(50_000)}" for _ in range(120)]
+        rows[50_000 + 2 * k] = " ".join(own)
+        own[dice.randrange(120)] = "changed"
+        if k % 2:
+            own[60] = "again"
+        rows[50_001 + 2 * k] = " ".join(own)
+    sets = {}
+    for d, t in rows.items():
+        w = brute.words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    ids = sorted(rows)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = brute.components(links, ids)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert len(links) > 50 and set(got) == set(want)
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert sum(got[d] != want[d] for d in ids) <= 0.02 * len(links) + 1
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.similar_documents(none).count() == 0
+    few = spark.createDataFrame([(None, "a b"), (7, "A  b"), (7, "A  b"), (9, None), (None, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in simhash.similar_documents(few).collect()) == [(0, 7), (0, 9), (7, 7), (7, 7), (9, 9)]
+
+
 def test_fingerprint_links_lose_none_within_the_radius(spark):
     dice = random.Random(3)
     seeds = [dice.getrandbits(64) for _ in range(60)]
