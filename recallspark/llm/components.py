@@ -49,3 +49,19 @@ def local_components(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
             break
         label = new[new]
     return label
+
+
+def spanning_forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Which links, earlier ones first, are enough to connect all that the links connect (fewer than n)."""
+    label, keep = np.arange(n), np.zeros(len(left), bool)
+    while True:
+        a, b = label[left], label[right]
+        across = np.flatnonzero(a != b)
+        if not len(across):
+            return keep
+        first = np.full(n, len(left))
+        np.minimum.at(first, a[across], across)
+        np.minimum.at(first, b[across], across)
+        own = np.unique(first[first < len(left)])
+        keep[own] = True
+        label = local_components(a[own], b[own], n)[label]

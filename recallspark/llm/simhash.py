@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.common import by_bytes, materialize, mix, range_hashes, table, texts_of, word_hashes, words_of
-from recallspark.llm.components import components, local_components
+from recallspark.llm.components import components, local_components, spanning_forest
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Leading bits of a variant that name its bucket, and variants held at a time in a task.
@@ -243,7 +243,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 held.setdefault(k, []).append(fp[at == k])
         for k in [*held]:
             fps = np.unique(np.concatenate(held.pop(k)))
-            pairs = fps[bucket_pairs(fps, k & (1 << bucket_bits) - 1, radius, bucket_bits, bits)].view(np.int64)
+            at = bucket_pairs(fps, k & (1 << bucket_bits) - 1, radius, bucket_bits, bits)
+            # the nearest pairs that connect a group, in the same order in every bucket, so large groups stay linear
+            at = at[np.lexsort((mix(fps[at[:, 0]] + mix(fps[at[:, 1]])), np.bitwise_count(fps[at[:, 0]] ^ fps[at[:, 1]])))]
+            pairs = fps[at[spanning_forest(at[:, 0], at[:, 1], len(fps))]].view(np.int64)
             for lo in range(0, len(pairs), 1 << 16):
                 some = pairs[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k >> bucket_bits, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], ["table", "p", "q"])
