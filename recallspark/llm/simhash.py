@@ -25,6 +25,8 @@ BITS, RADIUS, SEED = 64, 4, 42
 BUCKET_BITS, CHUNK = 6, 4_000_000
 #: Fingerprints of similar_documents, their bits, and the share of all bits that a pair to be verified may differ in.
 TABLES, TABLE_BITS, MOST_APART = 10, 36, 0.27
+#: Pairs that connect a bucket are taken so many times over, so that a link survives where a pair fails its verification.
+FORESTS = 8
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
@@ -206,7 +208,7 @@ def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
     return out
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
     """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
 
     One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
@@ -246,7 +248,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             at = bucket_pairs(fps, k & (1 << bucket_bits) - 1, radius, bucket_bits, bits)
             # the nearest pairs that connect a group, in the same order in every bucket, so large groups stay linear
             at = at[np.lexsort((mix(fps[at[:, 0]] + mix(fps[at[:, 1]])), np.bitwise_count(fps[at[:, 0]] ^ fps[at[:, 1]])))]
-            pairs = fps[at[spanning_forest(at[:, 0], at[:, 1], len(fps))]].view(np.int64)
+            keep = np.zeros(len(at), bool)
+            for _ in range(forests):
+                rest = np.flatnonzero(~keep)
+                keep[rest[spanning_forest(at[rest, 0], at[rest, 1], len(fps))]] = True
+            pairs = fps[at[keep]].view(np.int64)
             for lo in range(0, len(pairs), 1 << 16):
                 some = pairs[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k >> bucket_bits, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], ["table", "p", "q"])
