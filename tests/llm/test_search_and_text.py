@@ -110,6 +110,11 @@ def test_repeated_runs_equal_brute_force():
         assert [list(map(bool, m)) for m in html_text.repeated(streams, run, pages)] == want
 
 
+def test_repeated_runs_of_few_and_empty_pages():
+    for streams in ([[]], [[], []], [["a"]], [[], ["a"], []], [["a", "b"], ["a"]]):
+        assert [m.tolist() for m in html_text.repeated(streams)] == [[False] * len(s) for s in streams]
+
+
 def test_language_id_on_held_out_rows(spark):
     rows = QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
