@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks, in SQL functions.
 
 A rolling hash over the hashes of adjacent lines closes a chunk where it meets a condition on content alone, so an inserted or
-deleted line moves no boundary but its own. Chunk hashes are counted over all documents; chunks of several lines whose hash
-repeats are then compared by their bytes, the first place (smallest id, then position) of each stays, and later ones go.
+deleted line moves no boundary but its own. Chunks of several lines are compared over all documents by their bytes; the first
+place (smallest id, then position) of each stays, and later ones go.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from recallspark.llm.common import materialize, table
 
 #: A chunk closes after a line with chance 1 / SPACING; fewer lines than LEAST are never removed.
 SPACING, LEAST = 3, 2
+#: Seeds of the chunk hash that are tried.
+ATTEMPTS = 3
 
 _LINES = r"split(text, r'\n')"
 
@@ -28,6 +30,21 @@ def _chunks(lines: str, ends: str) -> str:
     return f"transform({ends}, (e, c) -> struct(c AS c, slice({lines}, if(c = 0, 0, element_at({ends}, c)) + 1, e - if(c = 0, 0, element_at({ends}, c))) AS lines))"
 
 
+def _later_places(chunks: DataFrame) -> DataFrame:
+    """k and gone (chunk numbers) of the chunks (k, c, lines) whose bytes also stand at an earlier place.
+
+    Chunks are grouped by their bytes with partial sums, so copies go no further than their task. Places are then told by hash
+    alone; should two different chunks share one, all is done again with another seed.
+    """
+    for seed in range(ATTEMPTS):
+        h = F.xxhash64(F.lit(seed), "lines").alias("h")
+        same = chunks.select(h, F.array_join("lines", "\n").alias("chunk"), F.struct("k", "c").alias("place")).groupBy("h", "chunk").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+        firsts = materialize(same.groupBy("h").agg(F.min("first").alias("first"), F.sum("times").alias("times"), F.count("*").alias("kinds")).where("times > 1"))
+        if not firsts.where("kinds > 1").limit(1).count():
+            return chunks.select("k", "c", h).join(firsts.select("h", "first"), "h").where(F.struct("k", "c") != F.col("first")).groupBy("k").agg(F.collect_set("c").alias("gone"))
+    raise RuntimeError("chunk hashes collided under every seed")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: int = SPACING, least: int = LEAST, carry: list[str] | None = None) -> DataFrame:
     """id_col, the columns of carry, text (kept lines), n_lines and n_removed (lines) of every row of docs.
 
@@ -37,18 +54,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(carry or []), F.lit(0).alias("_")).alias("carried")).withColumn("k", F.struct("id", F.xxhash64("text").alias("t")))
-    cut = rows.where("text IS NOT NULL").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
-    hashes = F.expr(f"filter(transform({_chunks('x.l', 'x.e')}, y -> struct(y.c AS c, size(y.lines) AS n, xxhash64(y.lines) AS h)), y -> y.n >= {least})")
-    keyed = cut.select("k", F.explode(hashes).alias("y")).select("k", "y.c", "y.h")
-    repeated = keyed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    suspects = keyed.join(repeated, "h").groupBy("k").agg(F.collect_set("c").alias("cs"))
-    texts = rows.where("text IS NOT NULL").select("k", "text", "carried").repartition("k")
-    held = texts.join(suspects, "k").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
-    held = held.select("k", F.explode(F.expr(f"filter({_chunks('x.l', 'x.e')}, y -> array_contains(cs, y.c))")).alias("y"))
-    # only chunks whose hash repeats are written: they are read twice
-    held = materialize(held.select("k", "y.c", F.expr(r"array_join(y.lines, '\n')").alias("chunk")).distinct())
-    firsts = held.groupBy("chunk").agg(F.min(F.struct("k", "c")).alias("first"), F.count("*").alias("times")).where("times > 1").select("chunk", "first")
-    gone = held.join(firsts, "chunk").where(F.struct("k", "c") != F.col("first")).groupBy("k").agg(F.collect_set("c").alias("gone"))
+    texts = rows.where("text IS NOT NULL")
+    cut = texts.withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
+    held = cut.select("k", F.explode(F.expr(f"filter({_chunks('x.l', 'x.e')}, y -> size(y.lines) >= {least})")).alias("y"))
+    gone = _later_places(held.select("k", "y.c", "y.lines"))
     out = texts.join(gone, "k", "left").withColumn("x", F.expr(f"struct({_LINES} AS l, {chunk_ends(_LINES, spacing)} AS e)"))
     kept = F.expr(f"if(gone IS NULL, x.l, flatten(transform(filter({_chunks('x.l', 'x.e')}, y -> NOT array_contains(gone, y.c)), y -> y.lines)))")
     out = out.select(F.col("k.id").alias("id"), F.size("x.l").alias("n_lines"), kept.alias("kept"), "carried")
