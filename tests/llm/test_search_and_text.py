@@ -131,3 +131,16 @@ def test_language_id_edges(spark):
     empty = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), model).count() == 0
+
+
+def test_html_hosts_of_several_shards(spark, monkeypatch):
+    page = "<body><div>one two three four five six seven eight nine</div><div>own words of page {0}</div></body>"
+    rows = [(k, "https://hot.example/a", page.format(k)) for k in range(40)] + [(40, None, page.format(40)), (41, "https://cold.example/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "SHARD", 10)
+    broadcast = sorted(html_text.html_text(df).select("page_id", "text").collect())
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", -1)
+    assert sorted(html_text.html_text(df).select("page_id", "text").collect()) == broadcast
+    text = dict(broadcast)
+    assert [text[k] for k in range(40)] == [f"own words of page {k}" for k in range(40)]
+    assert text[40].startswith("one two three") and text[41] == ""
