@@ -27,6 +27,8 @@ BUCKET_BITS, CHUNK = 6, 4_000_000
 TABLES, TABLE_BITS, MOST_APART = 10, 36, 0.27
 #: Pairs that connect a bucket are taken so many times over, so that a link survives where a pair fails its verification.
 FORESTS = 8
+#: Cells of the count that ranks shingles from rare to common, and bytes of text whose leading shingles a task of the exact join holds.
+COUNT_CELLS, TASK_BYTES = 1 << 20, 64 << 20
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
@@ -208,11 +210,141 @@ def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
     return out
 
 
+def _shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in turn, and how many each text has."""
+    _, h, count = _shingles(raw, words)
+    owner = np.repeat(np.arange(len(raw)), count)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.bincount(owner[new], minlength=len(raw))
+
+
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles of some of the texts (node, text) fall into each of COUNT_CELLS cells; it only ranks shingles, so a sample will do."""
+    slots = 64
+    kind = "slot int, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(COUNT_CELLS, np.int64)
+        for b in batches:
+            h = _shingle_sets([t.encode().translate(_LOWER) for t in texts_of(b, "text")], words)[0]
+            cells += np.bincount((h % np.uint64(COUNT_CELLS)).astype(np.int64), minlength=COUNT_CELLS)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), pa.array([c.tobytes() for c in np.split(cells, slots)], pa.binary())], ["slot", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[k] = held.get(k, 0) + np.frombuffer(c, np.int64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["slot", "counts"])
+
+    out = np.zeros((slots, COUNT_CELLS // slots), np.int64)
+    for r in texts.where("pmod(node, 4) = 0").mapInArrow(count, kind).repartition(8, "slot").mapInArrow(add, kind).collect():
+        out[r.slot] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
+    """The rarest shingles of each text, so many that two texts of that similarity share one, a row for each bucket of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, comp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            raw = [t.encode().translate(_LOWER) for t in texts_of(b, "text")]
+            for lo, hi in by_bytes([len(t) for t in raw], 4 << 20):
+                h, n = _shingle_sets(raw[lo:hi], words)
+                # texts without words share one shingle of their own
+                none = np.flatnonzero(n == 0)
+                owner = np.concatenate([np.repeat(np.arange(hi - lo), n), none])
+                h, n = np.concatenate([h, np.zeros(len(none), np.uint64)]), np.maximum(n, 1)
+                order = np.lexsort((h, common[(h % np.uint64(COUNT_CELLS)).astype(np.int64)], owner))
+                h, owner = h[order], owner[order]
+                pos = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
+                keep = pos <= (n - np.ceil(similarity * n - 1e-9))[owner]
+                h, owner, pos = h[keep], owner[keep], pos[keep]
+                bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    own = order[cut[k] : cut[k + 1]]
+                    at = owner[own]
+                    rows.append((k, *(x.tobytes() for x in (h[own], node[lo + at], comp[lo + at], n[at].astype(np.int32), pos[own].astype(np.int32)))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], ["bucket", "h", "node", "comp", "size", "pos"])
+
+    return run
+
+
+def _sharing(similarity: float):
+    """Pairs a, b of texts of different components that share a leading shingle and can reach the similarity by their sizes and its place in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for b in batches:
+            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)):
+                parts[k] += (np.frombuffer(x, kind) for x in b.column(k + 1).to_pylist())
+        if not parts[0]:
+            return
+        h, node, comp, size, pos = map(np.concatenate, parts)
+        parts.clear()
+        order = np.lexsort((node, size, h))
+        h, node, comp, size, pos = h[order], node[order], comp[order], size[order], pos[order]
+        held, total = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            for lo in range(0, len(pairs), 1 << 16):
+                some = pairs[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+
+        # each text meets the next one of its shingle, then the one after that, as long as their sizes allow
+        at, step = np.arange(len(h)), 0
+        while len(at):
+            step += 1
+            at = at[: np.searchsorted(at, len(h) - step)]
+            other = at + step
+            fit = (h[other] == h[at]) & (similarity * size[other] <= size[at] + 1e-9)
+            at, other = at[fit], other[fit]
+            most = np.minimum(size[at] - pos[at], size[other] - pos[other])
+            good = (comp[at] != comp[other]) & (most * (1 + similarity) >= similarity * (size[at].astype(np.int64) + size[other]) - 1e-9)
+            x, y = node[at[good]], node[other[good]]
+            if len(x):
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                total += len(x)
+            if total >= CHUNK:
+                yield from out()
+                held.clear()
+                total = 0
+        if held:
+            yield from out()
+
+    return run
+
+
+def sharing_pairs(texts: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs a, b of texts (node, text) in different components of found (node, component): all that can have that similarity, none left out.
+
+    With shingles in one order, two sets of similarity s share one among the first n - ceil(s * n) + 1 of each (n shingles); the
+    order is rare first, so few other pairs do.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    named = texts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "text")
+    entries = named.mapInArrow(_prefixes(words, similarity, shingle_counts(texts, words), buckets), "bucket int, h binary, node binary, comp binary, size binary, pos binary")
+    return entries.repartition(buckets, "bucket").mapInArrow(_sharing(similarity), "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
     """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
 
     One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
-    `radius` in any of them and agree in most bits of all are verified by their shingle sets. Equal texts are one from the
+    `radius` in any of them and agree in most bits of all are verified by their shingle sets. That links most of a group at little
+    cost; an exact join on shingles then verifies all pairs across what is not linked yet. Equal texts are one from the
     start, so copies form no pairs. Texts without words are alike. Null ids count as the largest, null texts as empty; repeated
     rows share their component; an empty table gives no rows; other columns are not read.
     """
@@ -271,8 +403,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             left, right = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("left", "right"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(jaccard(left, right, words) >= similarity - 1e-12))
 
-    full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
-    found = components(full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
+        return full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+    found = materialize(components(verified(pairs)))
+    rest = materialize(verified(sharing_pairs(texts, found, words, similarity)))
+    if rest.limit(1).count():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     joined = chosen.join(found, "node", "left").select("same", "least", F.coalesce("component", "node").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(lowest, "root").select("same", "component_id")

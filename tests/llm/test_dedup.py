@@ -153,3 +153,25 @@ def test_empty_tables(spark):
     assert substring_dedup.substring_dedup(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert line_dedup.line_dedup(none).count() == 0
+
+
+def test_similar_documents_misses_no_pair_that_fingerprints_miss(spark):
+    """With no fingerprint pairs at all, with many failing pairs around, and with few shingles."""
+    dice = random.Random(5)
+    rows = {}
+    for k in range(40):  # 8 against 9 words share 4 of 5 shingles
+        own = [f"s{dice.randrange(50_000)}" for _ in range(9)]
+        rows[2 * k], rows[2 * k + 1] = " ".join(own[:8]), " ".join(own)
+    base = [f"c{k}" for k in range(104)]
+    for k in range(60):  # many lie near each other, few pairs reach 0.8
+        own = list(base)
+        for at in dice.sample(range(3, 101), 3):
+            own[at] = f"x{dice.randrange(4)}"
+        rows[1000 + k] = " ".join(own)
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows.items()}
+    ids = sorted(rows)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = brute.components(links, ids)
+    df = spark.createDataFrame([*rows.items()], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df, forests=0).collect()} == want
