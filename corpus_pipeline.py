@@ -31,14 +31,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (one row, if several share that id).
+    """Keeps one row of each group of near copies: that with the smallest id (null last), then by its text and other columns.
 
     Near copies share at least 0.8 of their five-word shingles, directly or through others of the group.
     """
-    groups = simhash.similar_documents(docs)
-    least = groups.where("doc_id = component_id or doc_id is null and component_id is null").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(least.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return rows.select(*COLUMNS)
+    first = simhash.first_of_similar(docs).select(F.col("doc_id").alias("kept_id"), F.col("same").alias("kept_same"))
+    rows = docs.select(*COLUMNS, simhash.same_text("text").alias("same"))
+    # a text that occurs once under its id needs no choice, so only repeated rows are grouped with their texts
+    times = rows.groupBy("doc_id", "same").agg(F.count("*").alias("times")).where("times > 1").withColumnsRenamed({"doc_id": "id", "same": "s"})
+    first = materialize(first.join(times, F.col("kept_id").eqNullSafe(F.col("id")) & (F.col("kept_same") == F.col("s")), "left").select("kept_id", "kept_same", F.col("times").isNotNull().alias("repeated")))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("same") == F.col("kept_same")))
+    others = [c for c in COLUMNS if c != "doc_id"]
+    one = kept.where("repeated").groupBy("doc_id", "same").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *(F.col(f"r.{c}").alias(c) for c in others))
+    return kept.where("not repeated").select(*COLUMNS).unionByName(one)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

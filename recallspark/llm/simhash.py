@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.common import by_bytes, materialize, mix, range_hashes, table, texts_of, word_hashes, words_of
@@ -339,20 +339,18 @@ def sharing_pairs(texts: DataFrame, found: DataFrame, words: int, similarity: fl
     return entries.repartition(buckets, "bucket").mapInArrow(_sharing(similarity), "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
-    """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
+def same_text(text_col: str) -> Column:
+    """Two hashes that stand for a text; null counts as empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    return F.struct(F.xxhash64(F.lit(1), text).alias("x"), F.xxhash64(F.lit(2), text).alias("y"))
 
-    One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
-    `radius` in any of them and agree in most bits of all are verified by their shingle sets. That links most of a group at little
-    cost; an exact join on shingles then verifies all pairs across what is not linked yet. Equal texts are one from the
-    start, so copies form no pairs. Texts without words are alike. Null ids count as the largest, null texts as empty; repeated
-    rows share their component; an empty table gives no rows; other columns are not read.
-    """
-    key = F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit(""))), F.xxhash64(F.lit(2), F.coalesce(text_col, F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.struct(key[0].alias("x"), key[1].alias("y")).alias("same"))
-    # one row of each distinct text, under its smallest key; the two hashes stand for the text
+
+def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs as id and same (two hashes that stand for the text); and for each distinct text its smallest id (none, id), nulls last, and root, the component."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), same_text(text_col).alias("same"))
+    # one row of each distinct text, under its smallest key
     ids = materialize(rows.select("id", "same"))
-    chosen = ids.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("least")).withColumn("node", F.xxhash64("same"))
+    chosen = ids.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("same"))
     texts = rows.groupBy("same").agg(F.any_value("text").alias("text")).select(F.xxhash64("same").alias("node"), "text")
     texts = materialize(texts)
 
@@ -411,12 +409,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = materialize(verified(sharing_pairs(texts, found, words, similarity)))
     if rest.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    joined = chosen.join(found, "node", "left").select("same", "least", F.coalesce("component", "node").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(lowest, "root").select("same", "component_id")
+    return ids, chosen.join(found, "node", "left").select("same", "least", F.coalesce("component", "node").alias("root"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
+    """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
+
+    One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
+    `radius` in any of them and agree in most bits of all are verified by their shingle sets. That links most of a group at little
+    cost; an exact join on shingles then verifies all pairs across what is not linked yet. Equal texts are one from the
+    start, so copies form no pairs. Texts without words are alike. Null ids count as the largest, null texts as empty; repeated
+    rows share their component; an empty table gives no rows; other columns are not read.
+    """
+    ids, texts = _similar_texts(docs, id_col, text_col, words, similarity, tables, bits, radius, bucket_bits, forests)
+    lowest = texts.groupBy("root").agg(F.min("least.id").alias("component_id"))
+    named = texts.join(lowest, "root").select("same", "component_id")
     return ids.join(named, "same").select(F.col("id").alias(id_col), "component_id")
 
 
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each group of similar_documents: id_col and same (see same_text) of its row with the smallest id (null last), then the smallest same.
+
+    Groups whose smallest ids are equal stay apart; no two of these rows are equal.
+    """
+    texts = _similar_texts(docs, id_col, text_col)[1]
+    first = texts.groupBy("root").agg(F.min(F.struct("least", "same")).alias("f"))
+    return first.select(F.col("f.least.id").alias(id_col), "f.same")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
