@@ -169,12 +169,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> np.ndarray:
-    """tables SimHashes of so many bits of each text's word shingles, one per column; 0 for a text without words."""
+    """tables SimHashes of so many bits of each text's distinct word shingles, one per column; 0 for a text without words."""
     out = np.zeros((len(texts), tables), np.uint64)
     raw = [t.encode().translate(_LOWER) for t in texts]
     place = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
-        first, h, count = _shingles(raw[lo:hi], words)
+        h, count = _shingle_sets(raw[lo:hi], words)
         some = np.flatnonzero(count)
         if not len(some):
             continue

@@ -175,3 +175,13 @@ def test_similar_documents_misses_no_pair_that_fingerprints_miss(spark):
     df = spark.createDataFrame([*rows.items()], "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df, forests=0).collect()} == want
+
+
+def test_sketches_do_not_depend_on_repeats():
+    own, tail = " ".join(f"u{k}" for k in range(100)), " ".join(f"v{k}" for k in range(15))
+    once, often = (simhash.sketches_of([f"{own} " + f"{tail} " * n], 5, 10, 36) for n in (2, 20))
+    assert (once == often).all()
+    near = simhash.sketches_of([f"{own} {tail}"], 5, 10, 36)
+    assert simhash.jaccard([f"{own} {tail}"], [f"{own} " + f"{tail} " * 20], 5)[0] >= 0.8
+    apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(near[0], often[0])]
+    assert sum(apart) <= simhash.MOST_APART * 360
