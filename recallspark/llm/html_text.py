@@ -2,13 +2,14 @@
 
 Markup decides where it speaks: containers for menus, forms, adverts, comments and the like are never text, and blocks inside an
 article or main container always are. All other blocks are undecided. The token streams of all undecided blocks are concatenated
-host by host (large hosts in shards of bounded size), a suffix array by prefix doubling finds long token runs that repeat across
-distinct pages, covered tokens go, and the unique runs stay. On a page with an article container only its blocks are text; its
+host by host, a suffix array by prefix doubling finds long token runs that repeat across distinct pages, covered tokens go, and the
+unique runs stay. On large hosts the same runs are counted by digest over all of the host's pages instead. On a page with an article container only its blocks are text; its
 undecided ones still stand as evidence of what its host repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from recallspark.llm.common import materialize, table, texts_of
 
-#: Tokens of a repeated run, distinct pages that make it boilerplate, pages of a host taken together.
+#: Tokens of a repeated run, distinct pages that make it boilerplate, pages of a host that one suffix array takes.
 RUN, PAGES, SHARD = 8, 3, 400
-#: Hosts of several shards that may be sent to every task; more are joined by a shuffle, each dealt over so many salts.
+#: Larger hosts that may be sent to every task; more are joined by a shuffle, each dealt over so many salts.
 BROADCAST_HOSTS, SALTS = 100_000, 16
 
 # fixed values: element names of HTML
@@ -156,6 +157,47 @@ def _thinned(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pdf.id, "url": pdf.url, "text": text})
 
 
+def _digests(page: list[str], run: int = RUN) -> list[bytes]:
+    """A 128-bit digest of each run of that many tokens of a page."""
+    tokens = " ".join(page).encode().split(b" ") if page else []
+    return [hashlib.blake2b(b" ".join(tokens[k : k + run]), digest_size=16).digest() for k in range(len(tokens) - run + 1)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each page (host, page, html)."""
+    for b in batches:
+        for host, page, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "html")):
+            found = [*dict.fromkeys(_digests(blocks(text)[1]))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([page] * len(found), pa.string()), pa.array(found, pa.binary())], ["host", "page", "run"])
+
+
+def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of pages (id, url, html, runs) without the tokens that any of these runs covers."""
+    for b in batches:
+        out = []
+        for html, runs in zip(texts_of(b, "html"), b.column(3).to_pylist()):
+            inside, loose = blocks(html)
+            gone = np.zeros(sum(block.count(" ") + 1 for block in loose), bool)
+            if runs and not inside:
+                common = set(runs)
+                for k, d in enumerate(_digests(loose)):
+                    if d in common:
+                        gone[k : k + RUN] = True
+            out.append("\n\n".join(inside or unique_runs(loose, gone)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
+
+
+def _large_hosts(pages: DataFrame, kind: str) -> DataFrame:
+    """id, url and text of pages (id, url, html, host) of hosts too large for one suffix array, by the runs on PAGES pages of a host."""
+    pages = pages.withColumn("page", F.sha2(F.concat_ws("|", F.hex("host"), F.coalesce("html", F.lit(""))), 256))
+    runs = pages.select("host", "page", "html").mapInArrow(_runs, "host string, page string, run binary")
+    common = runs.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("host", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    marks = salted.join(common, ["host", "run", "salt"]).groupBy("page").agg(F.collect_set("run").alias("runs"))
+    return pages.join(marks, "page", "left").select("id", "url", "html", "runs").mapInArrow(_without_runs, f"id {kind}, url string, text string")
+
+
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col and text (blocks joined by two line feeds, empty if none) of every row of pages.
 
@@ -166,16 +208,19 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind = dict(pages.dtypes)[id_col]
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    # only hosts of several shards are joined, so pages of all others, and those of hot hosts, are shuffled once by host and shard
-    large = materialize(source.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).where("shards > 1"))
-    read = source.mapInArrow(_read, f"id {kind}, url string, inside array<string>, loose array<string>")
-    read = read.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("id", "loose"), F.lit(SALTS)).cast("int"))
-    if large.count() <= BROADCAST_HOSTS:
-        read = read.join(F.broadcast(large), "host", "left")
+    # hosts are told apart before their pages are parsed, so that pages of small hosts are parsed once, into the shuffle by host
+    large = materialize(source.groupBy(host.alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") > SHARD))
+    hosts, named = large.count(), source.withColumn("host", host)
+    if hosts <= BROADCAST_HOSTS:
+        named = named.join(F.broadcast(large), "host", "left")
     else:
-        read = read.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
-    read = read.withColumn("shard", F.pmod(F.xxhash64("id", "url", "loose"), F.coalesce("shards", F.lit(1)))).drop("salt", "shards")
-    thin = read.groupBy("host", "shard").applyInPandas(_thinned, f"id {kind}, url string, text string")
+        named = named.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+        named = named.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    small = named.where("pages is null").select("id", "url", "html")
+    read = small.mapInArrow(_read, f"id {kind}, url string, inside array<string>, loose array<string>").withColumn("host", host)
+    thin = read.groupBy("host").applyInPandas(_thinned, f"id {kind}, url string, text string")
+    if hosts:
+        thin = thin.unionByName(_large_hosts(named.where("pages is not null").select("id", "url", "html", "host"), kind))
     return thin.withColumnsRenamed({"id": id_col, "url": url_col})
 
 

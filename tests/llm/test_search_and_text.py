@@ -144,3 +144,14 @@ def test_html_hosts_of_several_shards(spark, monkeypatch):
     text = dict(broadcast)
     assert [text[k] for k in range(40)] == [f"own words of page {k}" for k in range(40)]
     assert text[40].startswith("one two three") and text[41] == ""
+
+
+def test_html_runs_on_few_pages_of_a_large_host(spark, monkeypatch):
+    """A run on three pages goes, one on two stays, at any host size."""
+    lines = [" ".join(f"{name}{n}" for n in range(9)) for name in ("thrice", "twice")]
+    rows = [(k, f"https://hot.example/{k}", f"<body><div>{lines[0] if k % 20 == 0 else ''}</div><div>{lines[1] if k in (1, 2) else ''}</div><p>own words of page {k}</p></body>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    small = sorted(html_text.html_text(df).select("page_id", "text").collect())
+    monkeypatch.setattr(html_text, "SHARD", 5)
+    assert sorted(html_text.html_text(df).select("page_id", "text").collect()) == small
+    assert all(r.text == (f"{lines[1]}\n\n" if r.page_id in (1, 2) else "") + f"own words of page {r.page_id}" for r in small)
