@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recallspark.operators.visibility import Caller, tier
 
-#: Queries that may travel as literals with one plan; larger sets are asked in several plans.
-MAX_QUERIES = 256
+#: Queries that meet a partition of drawers as one row.
+QUERY_BLOCK = 256
 #: Published constants of BM25 and of reciprocal-rank fusion, and the floor of the theme channel.
 K1, B, RRF_K, THEME_FLOOR = 1.5, 0.75, 60, 0.55
 # fixed values: boosts of the first five closets, and the distance they need
@@ -24,16 +24,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.when(norm > 0, dot(a, b) / norm), 6)
 
 
-def vector_candidates(drawers: DataFrame, queries: list[tuple[int, list[float]]], k: int, per: list[str] | None = None) -> DataFrame:
-    """query_id, the drawers' columns, similarity and rank (from 1) of the k nearest drawers of each query (and of each group `per`).
+def vector_candidates(drawers: DataFrame, queries: DataFrame, k: int, per: list[str] | None = None) -> DataFrame:
+    """query_id, the drawers' columns, similarity and rank (from 1) of the k nearest drawers of each query (query_id, v), and of each group `per`.
 
-    The query vectors are literals of the plan (at most MAX_QUERIES), so drawers are scanned once and never shuffled by query
-    until only their scores are left; the window keeps k rows per partition before it shuffles.
+    Queries are dealt into blocks and each block meets each partition of drawers, so neither is shuffled by query until only
+    scores are left; the window keeps k rows per partition before it shuffles.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries in one plan")
-    asked = F.array(*(F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, v)).alias("v")) for q, v in queries))
-    scored = drawers.select("*", F.explode(asked).alias("_q")).withColumn("query_id", F.col("_q.query_id")).withColumn("similarity", cosine(F.col("embedding"), F.col("_q.v"))).drop("_q", "embedding")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "v")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.groupBy(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "v")).alias("_asked")).select("_asked")
+    scored = drawers.crossJoin(asked).select(*drawers.columns, F.explode("_asked").alias("_q")).withColumn("query_id", F.col("_q.query_id")).withColumn("similarity", cosine(F.col("embedding"), F.col("_q.v"))).drop("_q", "embedding")
     place = Window.partitionBy("query_id", *(per or [])).orderBy(F.desc_nulls_last("similarity"), "drawer_id")
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
@@ -79,7 +79,7 @@ def policy_rank(fused: DataFrame, drawers: DataFrame, caller: Caller, k: int) ->
     return both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
-def theme_channel(themes: DataFrame, queries: list[tuple[int, list[float]]], k: int = 3, floor: float = THEME_FLOOR) -> DataFrame:
+def theme_channel(themes: DataFrame, queries: DataFrame, k: int = 3, floor: float = THEME_FLOOR) -> DataFrame:
     """The nearest theme drawers above a floor; unknown similarity passes."""
     near = vector_candidates(themes.where("wing = 'Wing_Theme'"), queries, k)
     return near.where(F.col("similarity").isNull() | (F.col("similarity") >= floor))

@@ -209,9 +209,9 @@ def asked(s, d) -> DataFrame:
     return load(s, d, "benchmark").join(v, F.col("item_id") == F.col("v_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "v")
 
 
-def asked_vectors(s, d) -> list:
-    """The stated query set, at most MAX_QUERIES of one plan (more are refused there, never cut)."""
-    return [(r["query_id"], r["v"]) for r in asked(s, d).select("query_id", "v").limit(retrieval.MAX_QUERIES + 1).collect()]
+def asked_vectors(s, d) -> DataFrame:
+    """The stated query set."""
+    return asked(s, d).select("query_id", "v")
 
 
 @register("visible_drawers", f"SELECT drawer_id, wing, room, audience, {sql_iso('memory_time')} AS memory_time FROM visible_drawers d")

@@ -159,3 +159,10 @@ def test_confusion_counts_multisets_and_nothing(spark):
 def test_ids(spark):
     r = spark.range(1).select(ids.slug(F.lit(" O'Neil Jr ")), ids.content_id("x_", 24, F.lit("a"), F.lit(None))).first()
     assert r[0] == "oneil_jr" and r[1].startswith("x_") and len(r[1]) == 26
+
+
+def test_vector_candidates_of_more_queries_than_a_block(spark):
+    drawers = spark.createDataFrame([(f"d{k}", [float(k), 1.0]) for k in range(20)], "drawer_id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(q, [float(q % 20), 1.0]) for q in range(600)], "query_id long, v array<double>")
+    out = retrieval.vector_candidates(drawers, queries, 2).collect()
+    assert len(out) == 1200 and {r.query_id: r.drawer_id for r in out if r["rank"] == 1} == {q: f"d{q % 20}" for q in range(600)}
