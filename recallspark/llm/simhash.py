@@ -227,10 +227,12 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     kind = "slot int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(COUNT_CELLS, np.int64)
+        cells = np.zeros(COUNT_CELLS, np.int32)
         for b in batches:
-            h = _shingle_sets([t.encode().translate(_LOWER) for t in texts_of(b, "text")], words)[0]
-            cells += np.bincount((h % np.uint64(COUNT_CELLS)).astype(np.int64), minlength=COUNT_CELLS)
+            raw = [t.encode().translate(_LOWER) for t in texts_of(b, "text")]
+            for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
+                h = _shingle_sets(raw[lo:hi], words)[0]
+                np.add.at(cells, (h % np.uint64(COUNT_CELLS)).astype(np.int64), 1)
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), pa.array([c.tobytes() for c in np.split(cells, slots)], pa.binary())], ["slot", "counts"])
 
@@ -238,14 +240,14 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(c, np.int64)
+                held[k] = held.get(k, 0) + np.frombuffer(c, np.int32)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["slot", "counts"])
 
-    out = np.zeros((slots, COUNT_CELLS // slots), np.int64)
+    out = np.zeros((slots, COUNT_CELLS // slots), np.int32)
     for r in texts.where("pmod(node, 4) = 0").mapInArrow(count, kind).repartition(8, "slot").mapInArrow(add, kind).collect():
-        out[r.slot] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+        out[r.slot] = np.frombuffer(r.counts, np.int32)
+    return out.ravel()
 
 
 def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
@@ -255,7 +257,7 @@ def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
         for b in batches:
             node, comp = b.column(0).to_numpy(), b.column(1).to_numpy()
             raw = [t.encode().translate(_LOWER) for t in texts_of(b, "text")]
-            for lo, hi in by_bytes([len(t) for t in raw], 4 << 20):
+            for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
                 h, n = _shingle_sets(raw[lo:hi], words)
                 # texts without words share one shingle of their own
                 none = np.flatnonzero(n == 0)
