@@ -15,22 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import table, texts_of, vocabulary
-from recallspark.llm.pretokenize import parts, pieces
+from recallspark.llm.common import Memo, table, texts_of, vocabulary
+from recallspark.llm.pretokenize import fused_pairs, parts, pieces
 
-PART_CHARS, MEMO = 1_000_000, 600_000
+#: Bytes encoded at a time, and the longest pre-token that the memo keeps.
+PART_BYTES, KEPT_CHARS = 1 << 20, 64
 
 
-class Merges(dict):
-    """Pre-token -> packed ids. A miss merges pairs under the ranks and is kept."""
+class Merges(Memo):
+    """Pre-token -> packed ids. A miss merges pairs under the ranks and is kept unless it is long."""
 
     def __init__(self, path: str):
+        super().__init__()
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # one match takes a whole pre-token: boundaries are found by the scan
         self.merge = tiktoken.Encoding("slices", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fused = fused_pairs(ranks)
         size = max(ranks.values()) + 1
         self.length = np.zeros(size, np.int64)
         for token, k in ranks.items():
@@ -41,7 +44,9 @@ class Merges(dict):
             self.flat[self.begin[k] : self.begin[k] + len(token)] = np.frombuffer(token, np.uint8)
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = np.array(self.merge(piece), "<u4").tobytes()
+        out = np.array(self.merge(piece), "<u4").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            self.keep(piece, out, len(out))
         return out
 
 
@@ -57,9 +62,8 @@ def merges(path: str) -> Merges:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Packed ids of each text."""
     memo, out = merges(path), [[] for _ in texts]
-    for group in parts(texts, PART_CHARS):
-        if len(memo) > MEMO:
-            memo.clear()
+    for group in parts(texts, PART_BYTES, memo.fused):
+        memo.room()
         found, first, _ = pieces([t for _, t in group])
         ids = [*map(memo.__getitem__, found)]
         cut = first.tolist()
@@ -130,6 +134,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests of the round trip over all documents."""
     out = bpe_round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

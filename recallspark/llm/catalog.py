@@ -10,8 +10,8 @@ for _name in MODULES:
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
-import corpus_pipeline  # noqa: E402
+from recallspark.llm import pipeline  # noqa: E402
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES["pipeline"] = pipeline.run
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

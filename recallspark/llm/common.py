@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch carries at most between the JVM and a Python worker.
@@ -16,6 +17,10 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Bytes that part words: the space and the controls from tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that a worker's memo of words may hold, and what an entry takes beside its text.
+MEMO_BYTES, MEMO_ENTRY = 48 << 20, 150
+#: Bytes of a word above which it is hashed on its own.
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +40,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, so that later steps neither recompute it nor lose it with an executor."""
+    """Writes df once to the shared folder and reads it back, so that later steps neither recompute it nor lose it with an executor.
+
+    What is written stays until `release`, for results are lazy and read it.
+    """
     path = f"{shared_dir(df.sparkSession)}/recallspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all that `materialize` has written in this process, and says how many tables; results that read them must be done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+class Memo(dict):
+    """A memo of a worker bounded by the bytes of its keys and values; it starts anew once they exceed `limit`."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def room(self) -> None:
+        """Empties the memo if it is over its limit; called between batches."""
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
+
+    def keep(self, key: str, value, size: int) -> None:
+        self[key] = value
+        self.used += len(key) + size + MEMO_ENTRY
+
+
 def vocabulary(name_or_path: str) -> str:
     """A vocabulary file: a path, or the name of one of the installed public files."""
     if os.path.isabs(name_or_path):
@@ -65,26 +105,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_ROOT = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd constant modulo 2**64, and those of its inverse."""
-    size = 1 << max(12, int(n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, r, np.uint64))]) for r in (_ROOT, pow(_ROOT, -1, 1 << 64)))
-    up, down = _powers[size]
-    return up[:n], down[:n]
-
-
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair, whatever stands around it; values are scrambled 64-bit words."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive 64-bit hashes, by doubling; mixing after each step keeps it free of linear relations."""
+    many = len(values) - n + 1
+    if many <= 0:
+        return np.zeros(0, np.uint64)
+    out, used, level, width = np.full(many, n, np.uint64), 0, values, 1
+    while True:
+        if n & width:
+            out = mix(out * np.uint64(0xD6E8FEB86659FD93) + level[used : used + many])
+            used += width
+        if 2 * width > n:
+            return out
+        level = mix(level[:-width] * np.uint64(0x9E3779B97F4A7C15) + level[width:])
+        width *= 2
+
+
+def shingle_hashes(values: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of each text in turn, and how many each text has; fewer words than a shingle are one, none have none."""
+    n = np.diff(first)
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    begin = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.uint64)
+    long = np.repeat(n >= words, count)
+    base = np.repeat(first[:-1] - begin, count) + np.arange(len(out))
+    out[long] = window_hashes(values, words)[base[long]]
+    for k in range(1, words):
+        rows = np.flatnonzero(n == k)
+        if len(rows):
+            out[begin[rows]] = window_hashes(values, k)[first[rows]]
+    return out, count
 
 
 def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +149,18 @@ def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
 
 
 def word_hashes(blob: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    scrambled = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
-    return range_hashes(scrambled[np.frombuffer(blob, np.uint8)], start, end)
+    """A 64-bit hash of each word: eight bytes at a time through a bijection, words of over LONG_WORD bytes by XXH64."""
+    size = end - start
+    lanes = np.ndarray((len(blob) + 1,), "<u8", blob + bytes(8), 0, (1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed + 1))
+    for k in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        rows = np.flatnonzero(size > k) if k else slice(None)
+        rest = np.minimum(size[rows] - k, 8).astype(np.uint64)
+        lane = lanes[start[rows] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        h[rows] = mix(h[rows] * np.uint64(0x9E3779B97F4A7C15) + lane)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh64_intdigest(blob[start[k] : end[k]], seed)
+    return h
 
 
 def by_bytes(sizes: list[int], limit: int):

@@ -2,8 +2,9 @@
 
 The histogram of piece lengths (at most `capacity` rows) goes to the driver. There a configuration linear program over it is
 solved by multiplicative weights: a knapsack dynamic program prices fillings under the current weights, each round takes a share
-of what the priced fillings allow, and lengths that lag behind gain weight. Whole multiples are kept, and what rounding leaves is
-placed by best fit, also by histogram. Spark then ranks pieces of like length and joins ranks with the fillings' places.
+of what the priced fillings allow, and lengths that lag behind gain weight; the mean of several covers is the fractional solution. It is
+rounded to whole multiples, and what rounding leaves is placed by best fit, also by histogram. Spark then ranks pieces of like length and
+joins ranks with the fillings' places.
 """
 
 from __future__ import annotations
@@ -16,21 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import materialize, table, texts_of, vocabulary
+from recallspark.llm.common import Memo, materialize, table, texts_of, vocabulary
 
 CAPACITY, END_ID = 4096, 1
-#: Rounds of the multiplicative weights, their learning rate, entries of a worker's memo of words.
-ROUNDS, RATE, MEMO = 40, 0.5, 700_000
+#: Rounds of the multiplicative weights in a cover, covers that are averaged, the learning rate, longest word that the memo keeps.
+ROUNDS, COVERS, RATE, KEPT_CHARS = 24, 2, 0.5, 64
+#: Ranks of pieces of like length that meet the fillings as one key.
+SLICE = 64
 #: Marks that part from the letters before them in every case.
 MARKS = ".,;:!?|%*#$&)\"-+="
 
 
-class Words(dict):
+class Words(Memo):
     """Word (no ASCII blanks) -> packed ids. Blanks part words in the vocabulary's own rules, so words can be encoded one by one."""
 
     def __init__(self, path: str):
         import os
 
+        super().__init__()
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,9 +51,11 @@ class Words(dict):
         if letters and core != word:
             return self[core] + self[word[len(core) :]]
         if letters and max(core) < "\u0100":  # one pre-token that the normaliser leaves as it is
-            out = self[word] = np.array([t.id for t in self.merge(word.translate(self.spelt))], "<u4").tobytes()
-            return out
-        out = self[word] = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            out = np.array([t.id for t in self.merge(word.translate(self.spelt))], "<u4").tobytes()
+        else:
+            out = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self.keep(word, out, len(out))
         return out
 
     def ids(self, text: str) -> bytes:
@@ -67,8 +74,7 @@ _words: dict[str, Words] = {}
 def words(path: str) -> Words:
     if path not in _words:
         _words[path] = Words(path)
-    if len(_words[path]) > MEMO:
-        _words[path].clear()
+    _words[path].room()
     return _words[path]
 
 
@@ -108,39 +114,70 @@ def priced(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
     return best, take
 
 
+def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+    """A solution of the configuration linear program: fillings (lengths, descending) and how often to use each, in fractions.
+
+    Multiplicative weights, begun at each length's share of a sequence, price fillings by the knapsack program. Every round uses
+    the priced fillings as far as what is left uncovered allows, then raises the weights of lengths that lag behind; after ROUNDS
+    rounds a new cover begins with the weights found so far. The solution is the mean of the covers; what they leave (poor
+    fillings are never used) is left to rounding.
+    """
+    weight, used = np.ones(capacity + 1), {}
+    for cover in range(COVERS):
+        left = counts.astype(float)
+        for t in range(ROUNDS):
+            lengths = np.flatnonzero(left > 1e-9)
+            if not len(lengths):
+                break
+            # less a little for each piece: fillings of few long pieces use short ones up more slowly
+            _, take = priced(lengths * weight[lengths] - 0.05, lengths, capacity)
+            share, slack = (0.5 if t < ROUNDS // 2 else 1.0), (0 if t < ROUNDS // 3 else capacity * t // (ROUNDS * 16))
+            for n in lengths[::-1].tolist():
+                if left[n] <= 1e-9:
+                    continue
+                filling, room = [n], capacity - n
+                while room > 0 and take[room] and left[take[room]] > 1e-9:
+                    filling.append(int(take[room]))
+                    room -= filling[-1]
+                if room > slack:
+                    continue
+                kinds, times = np.unique(filling, return_counts=True)
+                most = float((left[kinds] / times).min()) * share
+                left[kinds] -= times * most
+                key = tuple(sorted(filling, reverse=True))
+                used[key] = used.get(key, 0.0) + most / COVERS
+            rest = left[lengths] / counts[lengths]
+            weight[lengths] *= np.exp(RATE * (rest - rest.mean()))
+    return used
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, descending, of sum at most capacity) and how often to use each, so that every length is placed as often as it occurs."""
+    """Fillings (lengths, descending, of sum at most capacity) and how often to use each, so that every length is placed as often as it occurs.
+
+    The fractional solution is rounded: whole multiples of each filling first, then by falling fractions one more of it while its
+    pieces last; what is left is placed by best fit.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
         left[n] = count
-    whole, weight = left.copy(), np.ones(capacity + 1)
-    used: dict[tuple[int, ...], int] = {}
-    for t in range(ROUNDS):
-        lengths = np.flatnonzero(left)
-        if left.sum() < 8:
-            break
-        # less a little for each piece: fillings of few long pieces use short ones up more slowly
-        best, take = priced(lengths * weight[lengths] - 0.05, lengths, capacity)
-        share, slack = (0.5 if t < ROUNDS // 2 else 1.0), (0 if t < ROUNDS // 3 else capacity * t // (ROUNDS * 16))
-        for n in lengths[::-1].tolist():
-            if not left[n]:
-                continue
-            filling, room = [n], capacity - n
-            while room > 0 and take[room] and left[take[room]] and (filling[-1] != take[room] or filling.count(filling[-1]) < left[take[room]]):
-                filling.append(int(take[room]))
-                room -= filling[-1]
-            if capacity - sum(filling) > slack:
-                continue
+    solution = fractional(left, capacity) if left.sum() else {}
+    out: dict[tuple[int, ...], int] = {}
+    for filling, x in solution.items():
+        if x >= 1:
+            out[filling] = int(x)
+            np.subtract.at(left, list(filling), int(x))
+    for filling, x in sorted(solution.items(), key=lambda kv: (int(kv[1]) - kv[1], kv[0])):
+        if capacity - sum(filling) <= capacity // 64:
             kinds, times = np.unique(filling, return_counts=True)
-            most = int((left[kinds] // times).min())
-            if most:
-                most = max(1, int(most * share))
-                left[kinds] -= times * most
-                key = tuple(sorted(filling, reverse=True))
-                used[key] = used.get(key, 0) + most
-        rest = left[lengths] / whole[lengths]
-        weight[lengths] *= np.exp(RATE * (rest - rest.mean()))
-    out = [*used.items()]
+            if (left[kinds] >= times).all():
+                left[kinds] -= times
+                out[filling] = out.get(filling, 0) + 1
+    return [*out.items()] + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Places left[n] pieces of each length n, long ones first, each into the fullest sequence that has room; equal sequences are handled as one."""
+    left = left.copy()
     open_bins: dict[int, list[list]] = {}
     rooms = np.zeros(capacity + 1, bool)
     for n in np.flatnonzero(left)[::-1].tolist():
@@ -162,37 +199,49 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             now = room - n * each
             open_bins.setdefault(now, []).append([(*filling, *[n] * each), many])
             rooms[now] = now > 0
-    return out + [(tuple(f), m) for bins in open_bins.values() for f, m in bins if f]
+    return [(tuple(f), m) for bins in open_bins.values() for f, m in bins if f]
+
+
+def places_of(fillings: list[tuple[tuple[int, ...], int]]) -> pa.Table:
+    """For each piece of each filling: its length, the ranks among pieces of that length that it takes (from, to), what added to a rank names the sequence, and its offset there."""
+    size = np.array([len(f) for f, _ in fillings], np.int64)
+    length = np.fromiter((n for f, _ in fillings for n in f), np.int64, int(size.sum()))
+    times = np.array([m for _, m in fillings], np.int64)
+    first, each = np.repeat(np.cumsum(times) - times, size), np.repeat(times, size)
+    ends = np.cumsum(length)
+    offset = ends - length - np.repeat((ends - length)[np.cumsum(size) - size], size) if len(length) else length
+    order = np.argsort(length, kind="stable")
+    total = np.cumsum(each[order])
+    heads = np.flatnonzero(np.diff(length[order], prepend=-1) != 0)
+    begin = np.empty(len(length), np.int64)
+    begin[order] = total - each[order] - np.repeat((total - each[order])[heads], np.diff(np.append(heads, len(order))))
+    return pa.table([length, begin, begin + each, first - begin, offset], ["_length", "_from", "_to", "_shift", "_offset"])
 
 
 def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with a column length from 1 to capacity) with sequence_id and offset; keys order pieces of like length.
+    """pieces (with a column length from 1 to capacity) with sequence_id and offset (columns of these names are replaced); keys order pieces of like length.
 
     No piece is cut or dropped; offsets in a sequence have no gaps; repeated keys get places of their own; no pieces, no rows.
-    The histogram has at most capacity rows and the places at most ROUNDS * capacity fillings of it, whatever the input.
+    The histogram that the driver sees has at most capacity rows and its fillings are at most COVERS * ROUNDS * capacity,
+    whatever the input; pieces meet the fillings in a join on length and slices of ranks.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    fillings = configurations(histogram, capacity)
-    first, ranks, places = 0, dict.fromkeys(histogram, 0), []
-    for filling, times in fillings:
-        at = 0
-        for n in filling:
-            places.append((n, ranks[n], ranks[n] + times, first - ranks[n], at))
-            ranks[n] += times
-            at += n
-        first += times
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     buckets = min(4096, max(16, sum(histogram.values()) // 20_000))
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    before = salted.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*keys)) - 1)
-    ranked = ranked.join(before.select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    place = spark.createDataFrame(pa.table([pa.array([p[k] for p in places], pa.int64()) for k in range(5)], ["_length", "_from", "_to", "_shift", "offset"]))
-    out = ranked.join(F.broadcast(place), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return out.select(*pieces.columns, (F.col("_rank") + F.col("_shift")).alias("sequence_id"), "offset")
+    rows = pieces.select(F.struct(*own).alias("_piece"), F.col("length").alias("_length"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)))
+    before = rows.groupBy("_length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_length", "_bucket").orderBy(*(f"_key{n}" for n in range(len(keys))))) - 1)
+    ranked = ranked.join(before.select("_length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before")), ["_length", "_bucket"])
+    ranked = ranked.select("_piece", "_length", (F.col("_rank") + F.col("_before")).alias("_rank")).withColumn("_slice", F.floor(F.col("_rank") / SLICE))
+    place = spark.createDataFrame(places_of(configurations(histogram, capacity)))
+    slices = F.sequence(F.floor(F.col("_from") / SLICE), F.floor((F.col("_to") - 1) / SLICE))
+    out = ranked.join(place.withColumn("_slice", F.explode(slices)), ["_length", "_slice"]).where("_rank >= _from and _rank < _to")
+    return out.select(*(F.col(f"_piece.{c}").alias(c) for c in own), (F.col("_rank") + F.col("_shift")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's pieces of all documents and their places."""
     pieces = token_pieces(table(spark, sf_dir, "documents"))
     pieces = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(pieces, ["doc_id", "piece", "ids_crc32"])

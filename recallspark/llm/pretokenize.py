@@ -110,24 +110,57 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[before, symbol])
 
 
-_SAFE = regex.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-
-
-def parts(texts: list[str], limit: int):
-    """Lists of (row, text) of about limit characters; a longer text is cut only before a space between two letters, where a token begins in any case."""
+#: A letter or number is followed by something of another class: a token begins there whatever stands around.
+_SAFE = regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}")
+_LETTERS = regex.compile(r"\p{L}{4}")
+
+
+def fused_pairs(tokens) -> np.ndarray:
+    """Which byte pairs (first * 256 + second) stand within any token: merges never cross a place with another pair."""
+    out = np.zeros(1 << 16, bool)
+    for t in tokens:
+        for a, b in zip(t, t[1:]):
+            out[a << 8 | b] = True
+    return out
+
+
+def _between(text: str, lo: int, hi: int, fused: np.ndarray) -> int:
+    """The first place among letters from lo on that no merge can cross; hi if there is none before."""
+    for p in range(max(lo, 3), min(hi, len(text))):
+        if not fused[text[p - 1].encode("utf-8", "surrogatepass")[-1] << 8 | text[p].encode("utf-8", "surrogatepass")[0]] and _LETTERS.fullmatch(text, p - 3, p + 1):
+            return p
+    return hi
+
+
+def cuts(text: str, chars: int, fused: np.ndarray | None = None):
+    """Parts of about so many characters of a long text, cut where a token begins or, within longer runs of letters, where no merge crosses."""
+    at = 0
+    while len(text) - at > chars:
+        m = _SAFE.search(text, at + chars, min(len(text), at + 2 * chars))
+        to = m.start() if m else len(text)
+        if not m and fused is not None:
+            to = _between(text, at + chars, len(text), fused)
+        if to >= len(text):
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def parts(texts: list[str], limit: int, fused: np.ndarray | None = None):
+    """Lists of (row, text) of about limit bytes (UTF-8); longer texts are cut (see cuts), so each of their parts has a list of its own."""
     group, total = [], 0
     for row, text in enumerate(texts):
-        at = 0
-        while len(text) - at > limit and (m := _SAFE.search(text, at + limit)):
-            group.append((row, text[at : m.start()]))
-            yield group
-            group, total, at = [], 0, m.start()
-        rest = text[at:] if at else text
-        if total + len(rest) > limit and group:
+        size = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if group and total + size > limit:
             yield group
             group, total = [], 0
-        group.append((row, rest))
-        total += len(rest)
+        if size > limit:
+            for part in cuts(text, max(limit * len(text) // size, 16), fused):
+                yield [(row, part)]
+            continue
+        group.append((row, text))
+        total += size
     if group:
         yield group
 

@@ -17,16 +17,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import by_bytes, materialize, mix, range_hashes, table, texts_of, word_hashes, words_of
+from recallspark.llm.common import by_bytes, materialize, mix, shingle_hashes, table, texts_of, word_hashes, words_of
 from recallspark.llm.components import components, local_components, spanning_forest
 
 BITS, RADIUS, SEED = 64, 4, 42
-#: Leading bits of a variant that name its bucket, and variants held at a time in a task.
-BUCKET_BITS, CHUNK = 6, 4_000_000
-#: Fingerprints of similar_documents, their bits, and the share of all bits that a pair to be verified may differ in.
-TABLES, TABLE_BITS, MOST_APART = 10, 36, 0.27
-#: Pairs that connect a bucket are taken so many times over, so that a link survives where a pair fails its verification.
-FORESTS = 8
+#: Distinct fingerprints that a bucket (variants with the same leading bits) is to hold about, most leading bits, variants held at a time in a task.
+BUCKET_ROWS, MOST_BUCKET_BITS, CHUNK = 16_384, 24, 4_000_000
+#: Fingerprints of similar_documents and their bits; bits of the parity signature of a text's shingle set.
+TABLES, TABLE_BITS, PARITY_BITS = 10, 36, 512
+#: Pairs that connect a bucket are taken so many times over: only a saving, as the exact join that follows finds what they miss.
+FORESTS = 2
+#: Texts that share a leading shingle and meet in one task; more are met in pairs of blocks.
+BLOCK = 4096
 #: Cells of the count that ranks shingles from rare to common, and bytes of text whose leading shingles a task of the exact join holds.
 COUNT_CELLS, TASK_BYTES = 1 << 20, 64 << 20
 
@@ -37,7 +39,7 @@ def fingerprints_of(texts: list[str], words: int) -> np.ndarray:
     """The SimHash of each text over its word shingles, repeats included; 0 for a text without words."""
     out = np.zeros(len(texts), np.uint64)
     raw = [t.encode().translate(_LOWER) for t in texts]
-    for lo, hi in by_bytes([len(t) for t in raw], 2 << 20):
+    for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
         blob, start, end, first = words_of(raw[lo:hi])
         n = np.diff(first)
         count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
@@ -129,12 +131,22 @@ def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) ->
     return np.stack([fps[moved], fps[label[moved]]], 1)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def bits_for(rows: int, radius: int) -> int:
+    """So many leading bits that a bucket holds about BUCKET_ROWS of that many fingerprints, each of which goes to all buckets within half the radius."""
+    for bits in range(4, MOST_BUCKET_BITS):
+        if rows * len(_masks(range(bits), radius // 2)) <= BUCKET_ROWS << bits:
+            return bits
+    return MOST_BUCKET_BITS
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_bits: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect exactly those within radius bits of one another."""
-    reach = [m for m in _masks(range(bucket_bits), radius // 2)]
+    fps = fps.select("fp").distinct()
+    bucket_bits = bucket_bits or bits_for(fps.count(), radius)
+    reach = F.lit(_masks(range(bucket_bits), radius // 2)).cast("array<int>")
     # high buckets of a signed long: shift as unsigned, then flip up to radius/2 of the leading bits
     lead = F.shiftrightunsigned("fp", BITS - bucket_bits).cast("int")
-    sent = fps.select("fp").distinct().select("fp", F.explode(F.array([lead.bitwiseXOR(F.lit(m)) for m in reach])).alias("bucket"))
+    sent = fps.select("fp", F.explode(F.transform(reach, lambda m: lead.bitwiseXOR(m))).alias("bucket"))
 
     def link(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -148,10 +160,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_bits: int = B
                 out = out.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    return sent.repartition(1 << bucket_bits, "bucket").mapInArrow(link, "a long, b long")
+    return sent.repartition(min(1 << bucket_bits, 1 << 16), "bucket").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, bucket_bits: int | None = None) -> DataFrame:
     """Every row of docs as id_col, fp and component_id, the smallest id reachable over links of at most radius differing bits.
 
     Texts without words have fingerprint 0 and link like any other. Null ids count as the largest: their row has its
@@ -168,16 +180,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> np.ndarray:
-    """tables SimHashes of so many bits of each text's distinct word shingles, one per column; 0 for a text without words."""
-    out = np.zeros((len(texts), tables), np.uint64)
+def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's distinct word shingles: tables SimHashes of so many bits (0 for a text without words), the parity of how many fall into each of PARITY_BITS cells, and their number."""
+    out, parity, size = np.zeros((len(texts), tables), np.uint64), np.zeros((len(texts), PARITY_BITS // 64), np.uint64), np.zeros(len(texts), np.int32)
     raw = [t.encode().translate(_LOWER) for t in texts]
     place = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     for lo, hi in by_bytes([len(t) for t in raw], 1 << 20):
         h, count = _shingle_sets(raw[lo:hi], words)
+        size[lo:hi] = count
         some = np.flatnonzero(count)
         if not len(some):
             continue
+        cell = np.bincount(np.repeat(np.arange(hi - lo), count) * PARITY_BITS + (h % np.uint64(PARITY_BITS)).astype(np.int64), minlength=(hi - lo) * PARITY_BITS)
+        parity[lo:hi] = np.packbits((cell & 1).astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1).view(np.uint64)
         cut = np.cumsum(count[some]) - count[some]
         major = []
         for k in range(-(-tables * bits // 64)):
@@ -185,24 +200,25 @@ def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> np.ndar
             major.append(2 * ones > count[some][:, None])
         major = np.concatenate(major, 1)[:, : tables * bits].reshape(len(some), tables, bits)
         out[lo + some] = (major * place).sum(2, dtype=np.uint64)
-    return out
+    return out, parity, size
+
+
+def most_unlike(total, similarity: float):
+    """How many shingles two sets of `total` together may not share at that similarity; their parities differ in no more cells."""
+    return total - 2 * np.ceil(similarity * total / (1 + similarity) - 1e-9)
 
 
-def _shingles(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First shingle of each text, hashes of all shingles, and how many each text has; fewer words than a shingle are one."""
+def _shingles(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of each text in turn, and how many each text has; fewer words than a shingle are one."""
     blob, start, end, first = words_of(raw)
-    n = np.diff(first)
-    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    begin = np.cumsum(count) - count
-    base = np.repeat(first[:-1] - begin, count) + np.arange(int(count.sum()))
-    return begin, range_hashes(word_hashes(blob, start, end), base, base + np.repeat(np.minimum(n, words), count)), count
+    return shingle_hashes(word_hashes(blob, start, end), first, words)
 
 
 def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
     """The similarity of the shingle sets of each pair of texts; 1 for two texts without words."""
     out = np.ones(len(left))
     for k, pair in enumerate(zip(left, right)):
-        begin, h, count = _shingles([t.encode().translate(_LOWER) for t in pair], words)
+        h, count = _shingles([t.encode().translate(_LOWER) for t in pair], words)
         a, b = np.unique(h[: count[0]]), np.unique(h[count[0] :])
         both = len(np.intersect1d(a, b, assume_unique=True))
         if len(a) + len(b):
@@ -212,7 +228,7 @@ def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
 
 def _shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in turn, and how many each text has."""
-    _, h, count = _shingles(raw, words)
+    h, count = _shingles(raw, words)
     owner = np.repeat(np.arange(len(raw)), count)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -281,20 +297,42 @@ def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
     return run
 
 
-def _sharing(similarity: float):
-    """Pairs a, b of texts of different components that share a leading shingle and can reach the similarity by their sizes and its place in both."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading shingles that texts of different components share, with those texts."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for b in batches:
+        for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)):
+            parts[k] += (np.frombuffer(x, kind) for x in b.column(k + 1).to_pylist())
+    if not parts[0]:
+        return
+    h, node, comp, size, pos = map(np.concatenate, parts)
+    parts.clear()
+    order = np.argsort(h, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    count = np.diff(np.append(begin, len(order)))
+    apart = np.repeat(np.minimum.reduceat(comp[order], begin) != np.maximum.reduceat(comp[order], begin), count)
+    keep, among = order[apart], np.repeat(count, count)[apart]
+    for lo in range(0, len(keep), 1 << 16):
+        some = keep[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[some].view(np.int64), node[some], comp[some], pos[some], among[lo : lo + (1 << 16)])], ["h", "node", "comp", "pos", "among"])
+
+
+def _meeting(similarity: float):
+    """Pairs a, b of texts of different components that meet at a shingle and may reach the similarity by their sizes, its place in both and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
         for b in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)):
-                parts[k] += (np.frombuffer(x, kind) for x in b.column(k + 1).to_pylist())
+            for k in range(7):
+                parts[k].append(b.column(k).to_numpy(zero_copy_only=False))
+            parts[7].append(np.asarray(b.column(7).flatten().to_numpy(), np.int64).reshape(-1, PARITY_BITS // 64))
         if not parts[0]:
             return
-        h, node, comp, size, pos = map(np.concatenate, parts)
+        h, pair, block, node, comp, pos, size, parity = map(np.concatenate, parts)
         parts.clear()
-        order = np.lexsort((node, size, h))
-        h, node, comp, size, pos = h[order], node[order], comp[order], size[order], pos[order]
+        order = np.lexsort((node, size, pair, h))
+        h, pair, block, node, comp, pos, size, parity = (x[order] for x in (h, pair, block, node, comp, pos, size, parity))
+        parity, cross = parity.view(np.uint64), (pair >> 32) != (pair & 0xFFFFFFFF)
         held, total = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -309,11 +347,13 @@ def _sharing(similarity: float):
             step += 1
             at = at[: np.searchsorted(at, len(h) - step)]
             other = at + step
-            fit = (h[other] == h[at]) & (similarity * size[other] <= size[at] + 1e-9)
+            fit = (h[other] == h[at]) & (pair[other] == pair[at]) & (similarity * size[other] <= size[at] + 1e-9)
             at, other = at[fit], other[fit]
             most = np.minimum(size[at] - pos[at], size[other] - pos[other])
-            good = (comp[at] != comp[other]) & (most * (1 + similarity) >= similarity * (size[at].astype(np.int64) + size[other]) - 1e-9)
-            x, y = node[at[good]], node[other[good]]
+            good = (comp[at] != comp[other]) & (most * (1 + similarity) >= similarity * (size[at].astype(np.int64) + size[other]) - 1e-9) & (~cross[at] | (block[at] != block[other]))
+            x, y = at[good], other[good]
+            near = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= most_unlike(size[x].astype(np.int64) + size[y], similarity)
+            x, y = node[x[near]], node[y[near]]
             if len(x):
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 total += len(x)
@@ -327,18 +367,25 @@ def _sharing(similarity: float):
     return run
 
 
-def sharing_pairs(texts: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+def sharing_pairs(texts: DataFrame, marks: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs a, b of texts (node, text) in different components of found (node, component): all that can have that similarity, none left out.
 
     With shingles in one order, two sets of similarity s share one among the first n - ceil(s * n) + 1 of each (n shingles); the
-    order is rare first, so few other pairs do.
+    order is rare first, so few other pairs do. Texts that share one meet in a task, in pairs of blocks if they are many, and only
+    pairs that their sizes and parities (marks: node, size, parity) allow leave it.
     """
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    named = texts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "text")
+    named = texts.select("node", "text").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "text")
     entries = named.mapInArrow(_prefixes(words, similarity, shingle_counts(texts, words), buckets), "bucket int, h binary, node binary, comp binary, size binary, pos binary")
-    return entries.repartition(buckets, "bucket").mapInArrow(_sharing(similarity), "a long, b long").distinct()
+    shared = entries.repartition(buckets, "bucket").mapInArrow(_shared, "h long, node long, comp long, pos int, among long")
+    blocks = F.ceil(F.col("among") / BLOCK)
+    block = F.pmod(F.xxhash64("node"), blocks)
+    met = shared.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.withColumn("pair", F.shiftleft(F.least("block", "with"), 32).bitwiseOR(F.greatest("block", "with"))).join(marks, "node")
+    met = met.select("h", "pair", "block", "node", "comp", "pos", "size", "parity").repartition("h", "pair")
+    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct()
 
 
 def same_text(text_col: str) -> Column:
@@ -348,20 +395,20 @@ def same_text(text_col: str) -> Column:
 
 
 def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> tuple[DataFrame, DataFrame]:
-    """Every row of docs as id and same (two hashes that stand for the text); and for each distinct text its smallest id (none, id), nulls last, and root, the component."""
+    """Every row of docs as id and same (two hashes that stand for the text); and for each distinct text its smallest id (least: none, id), nulls last, and root, the component."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), same_text(text_col).alias("same"))
-    # one row of each distinct text, under its smallest key
-    ids = materialize(rows.select("id", "same"))
-    chosen = ids.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("same"))
-    texts = rows.groupBy("same").agg(F.any_value("text").alias("text")).select(F.xxhash64("same").alias("node"), "text")
-    texts = materialize(texts)
+    # one row of each distinct text; its number is given once, as the table is written
+    texts = rows.groupBy("same").agg(F.any_value("text").alias("text"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sketches_of(texts_of(b, "text"), words, tables, bits).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), tables).cast(pa.list_(pa.int64()))], ["node", "sketch"])
+            prints, parity, size = sketches_of(texts_of(b, "text"), words, tables, bits)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints, parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(size)], ["node", "sketch", "parity", "size"])
 
-    sketches = materialize(texts.mapInArrow(sketch, "node long, sketch array<long>"))
+    sketches = materialize(texts.select("node", "text").mapInArrow(sketch, "node long, sketch array<long>, parity array<long>, size int"))
+    marks = sketches.select("node", "size", "parity")
     places = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).groupBy("table", "fp").agg(F.min("node").alias("node"))
     places = materialize(places)
     reach = [m for m in _masks(range(bucket_bits), radius // 2)]
@@ -394,9 +441,11 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     across = near.join(at("p", "a"), ["table", "p"]).join(at("q", "b"), ["table", "q"]).select("a", "b")
     within = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).join(places.withColumnRenamed("node", "b"), ["table", "fp"]).select(F.col("node").alias("a"), "b")
     pairs = across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own, theirs = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
-    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, n: z + n)
-    pairs = pairs.join(own, "a").join(theirs, "b").where(apart <= int(MOST_APART * tables * bits)).select("a", "b")
+    own, theirs = (marks.select(F.col("node").alias(n), F.col("parity").alias(f"{n}_parity"), F.col("size").alias(f"{n}_size")) for n in ("a", "b"))
+    unlike = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, n: z + n)
+    total = F.col("a_size") + F.col("b_size")
+    allowed = total - 2 * F.ceil(F.lit(similarity) * total / (1 + similarity) - 1e-9)
+    pairs = pairs.join(own, "a").join(theirs, "b").where(unlike <= allowed).select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,14 +453,16 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(jaccard(left, right, words) >= similarity - 1e-12))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
+        text = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
+        full = pairs.join(text("a", "left"), "a").join(text("b", "right"), "b")
         return full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
     found = materialize(components(verified(pairs)))
-    rest = materialize(verified(sharing_pairs(texts, found, words, similarity)))
+    rest = materialize(verified(sharing_pairs(texts, marks, found, words, similarity)))
     if rest.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    return ids, chosen.join(found, "node", "left").select("same", "least", F.coalesce("component", "node").alias("root"))
+    named = texts.select("node", "same", "least").join(found, "node", "left")
+    return rows.select("id", "same"), named.select("same", "least", F.coalesce("component", "node").alias("root"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
@@ -440,6 +491,7 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's fingerprints and components of all documents."""
     out = near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -179,9 +179,36 @@ def test_similar_documents_misses_no_pair_that_fingerprints_miss(spark):
 
 def test_sketches_do_not_depend_on_repeats():
     own, tail = " ".join(f"u{k}" for k in range(100)), " ".join(f"v{k}" for k in range(15))
-    once, often = (simhash.sketches_of([f"{own} " + f"{tail} " * n], 5, 10, 36) for n in (2, 20))
+    once, often = (simhash.sketches_of([f"{own} " + f"{tail} " * n], 5, 10, 36)[0] for n in (2, 20))
     assert (once == often).all()
-    near = simhash.sketches_of([f"{own} {tail}"], 5, 10, 36)
+    near = simhash.sketches_of([f"{own} {tail}"], 5, 10, 36)[0]
     assert simhash.jaccard([f"{own} {tail}"], [f"{own} " + f"{tail} " * 20], 5)[0] >= 0.8
     apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(near[0], often[0])]
-    assert sum(apart) <= simhash.MOST_APART * 360
+    assert sum(apart) <= 97
+
+
+def test_substring_dedup_tells_words_apart_that_plain_polynomials_do_not(spark):
+    word = "a"
+    for _ in range(10):  # a Thue-Morse word and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    before, after = " ".join(f"w{k}" for k in range(12)), " ".join(f"x{k}" for k in range(12))
+    rows = [(1, f"{before} {word} {after}"), (2, f"{before} {other} {after}"), (3, " ".join([word] * 13)), (4, " ".join([other] * 13)), (2**62, f"{before} {other} {after}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, dict(rows))).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 2**62: 25}
+
+
+def test_substring_dedup_keeps_clashing_columns_apart(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7), (1, "a c", "y", 8)], "doc_id long, text string, _id string, _row long")
+    out = substring_dedup.substring_dedup(df, carry=["_id", "_row"]).collect()
+    assert sorted((r.doc_id, r.kept, r._id, r._row) for r in out) == [(1, "a b", "x", 7), (1, "a c", "y", 8)]
+
+
+def test_blocks_of_a_common_shingle_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = [(k, f"{common} t{k} u{k % 5}") for k in range(40)]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, dict(rows)), forests=0).collect()}
+    assert got == brute.components(links, sorted(sets))

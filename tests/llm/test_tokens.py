@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from recallspark.llm import byte_bpe, packing, token_counts
+from recallspark.llm import byte_bpe, packing, pretokenize, token_counts
 from tests.llm.brute import EDGE_TEXTS, sha
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,30 @@ def test_registered_digests(spark):
     rows = QUERIES["op8_byte_bpe"](spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {d: sha(t) for d, t in texts.items()}
+
+
+def test_long_texts_of_any_script(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "PART_BYTES", 300)
+    monkeypatch.setattr(byte_bpe, "PART_BYTES", 300)
+    texts = ["\u6211\u559c\u6b22\u94c1\u9524" * 400, "\u0430\u0431\u0432 " * 500, "don't we'll I've " * 90, "x" * 3000, "1234567890" * 200, "\u4f60\u597d\uff0c" * 300, " \n" * 900, "'s'll" * 400]
+    model, plain = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}, special_tokens={})
+    path = P.path("byte_bpe_50k.json")
+    assert token_counts.count(texts, path).tolist() == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+    packed = byte_bpe.encode(texts, P.path("byte_bpe_50k.tiktoken"))
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in packed] == [plain.encode_ordinary(t) for t in texts]
+    assert all(len(t) < 1500 for part in pretokenize.parts(texts[:1], 300, byte_bpe.merges(P.path("byte_bpe_50k.tiktoken")).fused) for _, t in part)
+
+
+def test_other_vocabularies_are_refused(spark):
+    with pytest.raises(ValueError):
+        token_counts.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer="word_bpe_49k.json")
+
+
+def test_configurations_place_every_length():
+    histogram = {1: 7, 5: 3, 900: 40, 1300: 11, 2048: 9, 4096: 4, 4000: 2}
+    placed = {}
+    for filling, times in packing.configurations(histogram):
+        assert sum(filling) <= 4096
+        for n in filling:
+            placed[n] = placed.get(n, 0) + times
+    assert placed == histogram and packing.configurations({}) == []
