@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
 import corpus_pipeline
+from recallspark.llm import pipeline
 from recallspark.llm.common import materialize
 from tests.llm import brute
 
@@ -35,5 +36,5 @@ def test_one_row_of_each_group_with_repeated_shared_and_null_ids(spark):
     text = lambda k: " ".join(f"{k}w{n}" for n in range(30))
     rows = [(1, text("a")), (1, text("a")), (2, text("a")), (None, text("a")), (1, text("b")), (3, text("b") + " more"), (4, text("c")), (4, text("d")), (0, text("d")), (None, text("e")), (None, text("e")), (None, text("f"))]
     docs = spark.createDataFrame([(d, t, "en", s, len(t)) for s, (d, t) in zip("xyxyxyxyxyxy", rows)], "doc_id long, text string, lang string, source string, n_chars long")
-    out = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    out = pipeline.one_of_each_group(spark, docs, SF).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.source) for r in out) == sorted([(1, text("a"), "x"), (1, text("b"), "x"), (4, text("c"), "x"), (0, text("d"), "x"), (-1, text("e"), "x"), (-1, text("f"), "y")])
