@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Memo, table, texts_of, vocabulary
+from recallspark.llm.common import Memo, in_task, table, texts_of, vocabulary
 from recallspark.llm.pretokenize import fused_pairs, parts, pieces
 
 #: Bytes encoded at a time, and the longest pre-token that the memo keeps.
@@ -116,20 +116,20 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not read. No special token is ever made.
     """
     path, (texts, kind) = vocabulary(ranks), _texts(docs, id_col, text_col)
-    return texts.mapInArrow(lambda it: encoded_batches(it, path, True), f"id {kind}, n_tokens long, ids binary, offsets binary").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(in_task(lambda it: encoded_batches(it, path, True)), f"id {kind}, n_tokens long, ids binary, offsets binary").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """The bytes of packed ids: id_col, ids, decoded (binary). Null ids decode to no bytes."""
     path, kind = vocabulary(ranks), dict(encoded.dtypes)[id_col]
     out = encoded.select(F.col(id_col).alias("id"), "ids")
-    return out.mapInArrow(lambda it: decoded_batches(it, path), f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return out.mapInArrow(in_task(lambda it: decoded_batches(it, path)), f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """bpe_encode and then bpe_decode in one pass over each batch: id_col, n_tokens, ids, decoded. Edge cases as there."""
     path, (texts, kind) = vocabulary(ranks), _texts(docs, id_col, text_col)
-    out = texts.mapInArrow(lambda it: decoded_batches(encoded_batches(it, path, False), path), f"id {kind}, n_tokens long, ids binary, decoded binary")
+    out = texts.mapInArrow(in_task(lambda it: decoded_batches(encoded_batches(it, path, False), path)), f"id {kind}, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 

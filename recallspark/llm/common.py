@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,7 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that a worker's memo of words may hold, and what an entry takes beside its text.
-MEMO_BYTES, MEMO_ENTRY = 48 << 20, 150
+MEMO_BYTES, MEMO_ENTRY = 40 << 20, 150
 #: Bytes of a word above which it is hashed on its own.
 LONG_WORD = 64
 
@@ -64,6 +66,20 @@ def release(spark: SparkSession) -> int:
     return done
 
 
+def in_task(run):
+    """run (batches -> batches) for a worker that stays: gives freed memory back to the system when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 class Memo(dict):
     """A memo of a worker bounded by the bytes of its keys and values; it starts anew once they exceed `limit`."""
 

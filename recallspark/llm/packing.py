@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Memo, materialize, table, texts_of, vocabulary
+from recallspark.llm.common import Memo, in_task, materialize, table, texts_of, vocabulary
 
 CAPACITY, END_ID = 4096, 1
 #: Rounds of the multiplicative weights in a cover, covers that are averaged, the learning rate, longest word that the memo keeps.
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return out.mapInArrow(in_task(cut), f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 def priced(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import by_bytes, materialize, mix, shingle_hashes, table, texts_of, word_hashes, words_of
+from recallspark.llm.common import by_bytes, in_task, materialize, mix, shingle_hashes, table, texts_of, word_hashes, words_of
 from recallspark.llm.components import components, local_components, spanning_forest
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Distinct fingerprints that a bucket (variants with the same leading bits) is to hold about, most leading bits, variants held at a time in a task.
-BUCKET_ROWS, MOST_BUCKET_BITS, CHUNK = 16_384, 24, 4_000_000
+BUCKET_ROWS, MOST_BUCKET_BITS, CHUNK = 16_384, 24, 1_000_000
 #: Fingerprints of similar_documents and their bits; bits of the parity signature of a text's shingle set.
 TABLES, TABLE_BITS, PARITY_BITS = 10, 36, 512
 #: Pairs that connect a bucket are taken so many times over: only a saving, as the exact join that follows finds what they miss.
@@ -71,7 +71,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(texts_of(b, "text"), words).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_task(run), f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def _masks(bits: range, most: int) -> list[int]:
@@ -160,7 +160,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_bits: int | N
                 out = out.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    return sent.repartition(min(1 << bucket_bits, 1 << 16), "bucket").mapInArrow(link, "a long, b long")
+    return sent.repartition(min(1 << bucket_bits, 1 << 16), "bucket").mapInArrow(in_task(link), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, bucket_bits: int | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["slot", "counts"])
 
     out = np.zeros((slots, COUNT_CELLS // slots), np.int32)
-    for r in texts.where("pmod(node, 4) = 0").mapInArrow(count, kind).repartition(8, "slot").mapInArrow(add, kind).collect():
+    for r in texts.where("pmod(node, 4) = 0").mapInArrow(in_task(count), kind).repartition(8, "slot").mapInArrow(in_task(add), kind).collect():
         out[r.slot] = np.frombuffer(r.counts, np.int32)
     return out.ravel()
 
@@ -378,14 +378,14 @@ def sharing_pairs(texts: DataFrame, marks: DataFrame, found: DataFrame, words: i
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     named = texts.select("node", "text").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "text")
-    entries = named.mapInArrow(_prefixes(words, similarity, shingle_counts(texts, words), buckets), "bucket int, h binary, node binary, comp binary, size binary, pos binary")
-    shared = entries.repartition(buckets, "bucket").mapInArrow(_shared, "h long, node long, comp long, pos int, among long")
+    entries = named.mapInArrow(in_task(_prefixes(words, similarity, shingle_counts(texts, words), buckets)), "bucket int, h binary, node binary, comp binary, size binary, pos binary")
+    shared = entries.repartition(buckets, "bucket").mapInArrow(in_task(_shared), "h long, node long, comp long, pos int, among long")
     blocks = F.ceil(F.col("among") / BLOCK)
     block = F.pmod(F.xxhash64("node"), blocks)
     met = shared.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.withColumn("pair", F.shiftleft(F.least("block", "with"), 32).bitwiseOR(F.greatest("block", "with"))).join(marks, "node")
     met = met.select("h", "pair", "block", "node", "comp", "pos", "size", "parity").repartition("h", "pair")
-    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+    return met.mapInArrow(in_task(_meeting(similarity)), "a long, b long").distinct()
 
 
 def same_text(text_col: str) -> Column:
@@ -407,7 +407,7 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints, parity)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(size)], ["node", "sketch", "parity", "size"])
 
-    sketches = materialize(texts.select("node", "text").mapInArrow(sketch, "node long, sketch array<long>, parity array<long>, size int"))
+    sketches = materialize(texts.select("node", "text").mapInArrow(in_task(sketch), "node long, sketch array<long>, parity array<long>, size int"))
     marks = sketches.select("node", "size", "parity")
     places = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).groupBy("table", "fp").agg(F.min("node").alias("node"))
     places = materialize(places)
@@ -436,7 +436,7 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
                 some = pairs[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k >> bucket_bits, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], ["table", "p", "q"])
 
-    near = sent.repartition(tables << bucket_bits, "at").mapInArrow(meet, "table int, p long, q long").distinct()
+    near = sent.repartition(tables << bucket_bits, "at").mapInArrow(in_task(meet), "table int, p long, q long").distinct()
     at = lambda fp, node: places.select(F.col("table").cast("int").alias("table"), F.col("fp").alias(fp), F.col("node").alias(node))
     across = near.join(at("p", "a"), ["table", "p"]).join(at("q", "b"), ["table", "q"]).select("a", "b")
     within = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).join(places.withColumnRenamed("node", "b"), ["table", "fp"]).select(F.col("node").alias("a"), "b")
@@ -455,7 +455,7 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     def verified(pairs: DataFrame) -> DataFrame:
         text = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
         full = pairs.join(text("a", "left"), "a").join(text("b", "right"), "b")
-        return full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+        return full.select("a", "b", "left", "right").mapInArrow(in_task(verify), "a long, b long")
 
     found = materialize(components(verified(pairs)))
     rest = materialize(verified(sharing_pairs(texts, marks, found, words, similarity)))

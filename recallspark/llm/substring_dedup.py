@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import by_bytes, materialize, mix, table, texts_of, window_hashes, word_hashes, words_of
+from recallspark.llm.common import by_bytes, in_task, materialize, mix, table, texts_of, window_hashes, word_hashes, words_of
 
 #: Words of a window and of its anchor, bytes of text that meet the buckets as one row each, seeds that are tried.
-WINDOW, ANCHOR, PART_BYTES, ATTEMPTS = 13, 5, 3 << 20, 3
+WINDOW, ANCHOR, PART_BYTES, ATTEMPTS = 13, 5, 1 << 20, 3
 #: Bytes of text whose edges make up a bucket (about as many bytes of keys), and buckets at most.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 16
 #: Bytes of an edge's key that are sent beside its anchor's eight.
 KEY_BYTES = 5
 #: Places whose words are compared that may be sent to every task; more are joined by a shuffle.
@@ -120,46 +120,59 @@ def _edges(buckets: int, window: int, seed: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of the edges of a bucket that a document with a smaller id holds, and where they stand there."""
+def _bucket_paths(rows: list[tuple]) -> np.ndarray | None:
+    """Paths of the edges of one bucket that a document with a smaller id holds."""
     parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-    done, docs = [], 0
+    docs = 0
+    for keys, anchors, starts, sizes, named, firsts in rows:
+        each, first = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(firsts, "<i4")
+        wide = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+        at = np.repeat(np.frombuffer(starts, "<i4") - (np.cumsum(each) - each), each) + np.arange(len(wide))
+        doc = np.searchsorted(first, at, "right") - 1
+        for x, v in zip(parts, (wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(anchors, np.uint64), each), (doc + docs).astype(np.int32), (at - first[doc]).astype(np.int32), np.frombuffer(named, np.int64).reshape(-1, 2))):
+            x.append(v)
+        docs += len(first)
+    key, anchor, doc, at, named = (np.concatenate(x) for x in parts)
+    parts.clear()
+    both = mix(anchor + key * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both, kind="stable")
+    same = np.diff(both[order]) == 0
+    many = np.zeros(len(order), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    some = order[many]
+    key, anchor, doc, at = key[some], anchor[some], doc[some], at[some]
+    if not len(key):
+        return None
+    ids, ts = named[:, 0], named[:, 1]
+    order = np.lexsort((at, ts[doc], ids[doc], key, anchor))
+    key, anchor, doc, at = key[order], anchor[order], doc[order], at[order]
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(anchor) != 0)]))
+    source = np.repeat(head, np.diff(np.append(head, len(key))))
+    late = np.flatnonzero(ids[doc] != ids[doc[source]])
+    if not len(late):
+        return None
+    late = late[np.lexsort((at[late], doc[late]))]
+    return _pieces(ids, ts, at[late].astype(np.int64), doc[late], at[source[late]].astype(np.int64), doc[source[late]])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of repeated edges, and where they stand first; a task's buckets stay packed until each has its turn."""
+
+    def out(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c]).astype(np.int64)) for c in found.dtype.names], list(found.dtype.names))
+
+    held: dict[int, list[tuple]] = {}
     for b in batches:
-        for keys, anchors, starts, sizes, named, firsts, pieces in zip(*(b.column(c).to_pylist() for c in range(1, 8))):
+        for bucket, *row, pieces in zip(*(b.column(c).to_pylist() for c in range(8))):
             if pieces:
-                done.append(np.frombuffer(pieces, _PIECE))
-                continue
-            each, first = np.frombuffer(sizes, np.uint8).astype(np.int64), np.frombuffer(firsts, "<i4")
-            wide = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-            wide[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
-            at = np.repeat(np.frombuffer(starts, "<i4") - (np.cumsum(each) - each), each) + np.arange(len(wide))
-            doc = np.searchsorted(first, at, "right") - 1
-            for x, v in zip(parts, (wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(anchors, np.uint64), each), (doc + docs).astype(np.int32), (at - first[doc]).astype(np.int32), np.frombuffer(named, np.int64).reshape(-1, 2))):
-                x.append(v)
-            docs += len(first)
-    if parts[0]:
-        key, anchor, doc, at, named = (np.concatenate(x) for x in parts)
-        parts.clear()
-        both = mix(anchor + key * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(both, kind="stable")
-        same = np.diff(both[order]) == 0
-        many = np.zeros(len(order), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        some = order[many]
-        key, anchor, doc, at = key[some], anchor[some], doc[some], at[some]
-        ids, ts = named[:, 0], named[:, 1]
-        order = np.lexsort((at, ts[doc], ids[doc], key, anchor))
-        key, anchor, doc, at = key[order], anchor[order], doc[order], at[order]
-        if len(key):
-            head = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(anchor) != 0)]))
-            source = np.repeat(head, np.diff(np.append(head, len(key))))
-            late = np.flatnonzero(ids[doc] != ids[doc[source]])
-            late = late[np.lexsort((at[late], doc[late]))]
-            if len(late):
-                done.append(_pieces(ids, ts, at[late].astype(np.int64), doc[late], at[source[late]].astype(np.int64), doc[source[late]]))
-    for found in done:
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c]).astype(np.int64)) for c in found.dtype.names], list(found.dtype.names))
+                yield out(np.frombuffer(pieces, _PIECE))
+            else:
+                held.setdefault(bucket, []).append(tuple(row))
+    for bucket in [*held]:
+        if (found := _bucket_paths(held.pop(bucket))) is not None:
+            yield out(found)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +228,8 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(16, -(-size // BUCKET_BYTES)))
     for seed in range(ATTEMPTS):
-        edges = texts.mapInArrow(_edges(buckets, window, seed), _PACKED)
-        pieces = edges.repartition(buckets, "bucket").mapInArrow(_repeats, "id long, t long, pos long, n long, src long, src_t long, src_pos long")
+        edges = texts.mapInArrow(in_task(_edges(buckets, window, seed)), _PACKED)
+        pieces = edges.repartition(buckets, "bucket").mapInArrow(in_task(_repeats), "id long, t long, pos long, n long, src long, src_t long, src_pos long")
         spans = materialize(joined_paths(pieces).withColumn("words", F.col("n") + (window - 1)).drop("n"))
         asked = spans.select("id", "t", "pos", "words").unionByName(spans.select(F.col("src").alias("id"), F.col("src_t").alias("t"), F.col("src_pos").alias("pos"), "words")).distinct()
         asked = materialize(asked)
@@ -224,7 +237,7 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
         if asked.count() <= BROADCAST_PLACES:
             grouped = F.broadcast(grouped)
         found = texts.join(grouped, (texts.id == F.col("_i")) & (texts.t == F.col("_t"))).select("id", "t", "text", "places")
-        found = materialize(found.mapInArrow(_digests, "id long, t long, pos long, words long, digest binary"))
+        found = materialize(found.mapInArrow(in_task(_digests), "id long, t long, pos long, words long, digest binary"))
         theirs = found.withColumnsRenamed({"id": "src", "t": "src_t", "pos": "src_pos", "digest": "theirs"})
         unlike = spans.join(found, ["id", "t", "pos", "words"]).join(theirs, ["src", "src_t", "src_pos", "words"]).where("digest <> theirs")
         if not unlike.limit(1).count():
@@ -249,7 +262,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = spans.groupBy(F.col("id").alias("_i"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("pos", "words")).alias("_places"))
     marked = rows.join(marks, (rows._id == marks._i) & (rows._row == marks._t), "left").select("_id", "_carried", "_text", "_places")
     kind = dict(marked.dtypes)["_carried"]
-    out = marked.mapInArrow(_kept, f"_id long, _carried {kind}, _n long, _gone long, _kept string")
+    out = marked.mapInArrow(in_task(_kept), f"_id long, _carried {kind}, _n long, _gone long, _kept string")
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_carried.{c}").alias(c) for c in carry or []), F.col("_n").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_kept").alias("kept"))
 
 

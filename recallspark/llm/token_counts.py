@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Memo, table, texts_of, vocabulary
+from recallspark.llm.common import Memo, in_task, table, texts_of, vocabulary
 from recallspark.llm.pretokenize import fused_pairs, parts, pieces
 
 #: Bytes encoded at a time, and the longest pre-token that the memo keeps.
@@ -93,7 +93,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"))
-    out = out.mapInArrow(lengths, f"id {kind}, n_bytes long, n_tokens long")
+    out = out.mapInArrow(in_task(lengths), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
