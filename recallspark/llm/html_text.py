@@ -1,10 +1,11 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
-Markup decides where it speaks: containers for menus, forms, adverts, comments and the like are never text, and blocks inside an
-article or main container always are. All other blocks are undecided. The token streams of all undecided blocks are concatenated
-host by host, a suffix array by prefix doubling finds long token runs that repeat across distinct pages, covered tokens go, and the
-unique runs stay. On large hosts the same runs are counted by digest over all of the host's pages instead. On a page with an article container only its blocks are text; its
-undecided ones still stand as evidence of what its host repeats.
+Markup rules out what is no text by its element (menus, forms, scripts, footers and the like) and says where the article is;
+all else is evidence for the suffix array. The token streams of each page's undecided blocks are concatenated host by host: all
+blocks outside an article, and within one those whose container is named like a notice, a share bar or the like. A suffix array by
+prefix doubling finds long token runs that repeat across distinct pages, covered tokens go, and the unique runs stay. On large hosts the
+same runs are counted by digest over all of the host's pages instead. On a page with an article container only its blocks are text; the
+others still stand as evidence of what its host repeats.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import materialize, table, texts_of
+from recallspark.llm.common import in_task, materialize, table, texts_of
 
 #: Tokens of a repeated run, distinct pages that make it boilerplate, pages of a host that one suffix array takes.
 RUN, PAGES, SHARD = 8, 3, 400
@@ -35,15 +36,22 @@ ENDS_PARAGRAPH = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# what a container outside an article is ruled out by, as whole words of its names; within one such names only raise a doubt
 _JUNK = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banner|sponsor(?:ed)?|promo|side-?bar|menu|nav(?:bar|igation)?|bread-?crumbs?|cookies?|consent|notice|gdpr|pop-?up|modal|overlay|newsletter|subscribe|share|sharing|social|comments?|comment-?list|disqus|replies|related|recommended|footer|masthead|site-?header|page-?header|login|signup|skip-?link|complementary|contentinfo|search)(?=$|[\s_-]|\d)", re.I)
+_DOUBT = re.compile(r"(?:^|\s)(?:banner|promo|menu|notice|newsletter|subscribe|share|sharing|social|related|recommended|search|side-?bar)(?=$|\s)", re.I)
+_CLEAR = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|sponsored|comments?|comment-?list|replies)(?=$|\s)", re.I)
+#: Containers that such names may rule out or put in doubt within an article.
+HOLDERS = {"div", "section", "article", "ul", "ol", "table", "figure"}
+#: What a block is: text of an article, undecided outside of one, in doubt within one.
+TEXT, LOOSE, DOUBTED = 0, 1, 2
 _MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
 
-def blocks(page: str) -> tuple[list[str], list[str]]:
-    """Texts of the blocks in article or main containers, and of those that markup leaves undecided, in order."""
-    inside: list[str] = []
-    loose: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> tuple[list[str], list[int]]:
+    """Texts of a page's blocks in order, and what each is (TEXT, LOOSE or DOUBTED); what markup rules out is not among them."""
+    texts: list[str] = []
+    kinds: list[int] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, ruled out, what blocks in it are
     run: list[str] = []
 
     def close() -> None:
@@ -51,7 +59,8 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
             text = " ".join(entities.unescape("".join(run)).split())
             run.clear()
             if text:
-                (inside if stack and stack[-1][2] else loose).append(text)
+                texts.append(text)
+                kinds.append(stack[-1][2] if stack else LOOSE)
 
     junk, at = False, 0
     for m in _TOKEN.finditer(page):
@@ -62,12 +71,13 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         if not name:
             continue
         names = " ".join(filter(None, sum(_NAMES.findall(m[4] or ""), ())))
-        if name in INLINE:  # no block of its own; only ruled-out ones are followed, with those of the same name within
+        kind = stack[-1][2] if stack else LOOSE
+        if name in INLINE:  # no block of its own; outside an article only ruled-out ones are followed, with those of the same name within
             if m[2]:
                 if stack and stack[-1][0] == name:
                     stack.pop()
-            elif _JUNK.search(names) or stack and stack[-1][0] == name:
-                stack.append((name, junk or bool(_JUNK.search(names)), False))
+            elif kind == LOOSE and _JUNK.search(names) or stack and stack[-1][0] == name:
+                stack.append((name, junk or kind == LOOSE and bool(_JUNK.search(names)), kind))
             junk = bool(stack) and stack[-1][1]
             continue
         if name == "br":
@@ -84,16 +94,44 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         else:
             if name in ENDS_PARAGRAPH and stack and stack[-1][0] == name:
                 stack.pop()
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else ("", False, LOOSE)
             main = name in ("article", "main") or bool(_MAIN.search(m[4]))
-            bad = above[1] or name in NEVER or name == "header" and not above[2] or bool(names and not main and name not in ("html", "body") and _JUNK.search(names))
+            bad = above[1] or name in NEVER or name == "header" and above[2] == LOOSE
+            if name in HOLDERS and _CLEAR.search(names):
+                bad = True
+            elif above[2] == LOOSE and not main and name not in ("html", "body") and _JUNK.search(names):
+                bad = True
+            kind = above[2]
+            if main and kind == LOOSE:
+                kind = TEXT
+            elif kind == TEXT and name in HOLDERS and _DOUBT.search(names):
+                kind = DOUBTED
             if not m[4].rstrip().endswith("/"):
-                stack.append((name, bad, (above[2] or main) and not bad))
+                stack.append((name, bad, kind))
         junk = bool(stack) and stack[-1][1]
     if at < len(page) and not junk:
         run.append(page[at:])
     close()
-    return inside, loose
+    return texts, kinds
+
+
+def undecided(texts: list[str], kinds: list[int]) -> list[str]:
+    """The blocks of a page that are for the suffix array."""
+    return [t for t, k in zip(texts, kinds) if k != TEXT]
+
+
+def main_text(texts: list[str], kinds: list[int], gone: np.ndarray) -> str:
+    """The text of a page, given which tokens of its undecided blocks repeat: its article without covered doubtful blocks, else its unique runs."""
+    article, at, kept = any(k != LOOSE for k in kinds), 0, []
+    for text, kind in zip(texts, kinds):
+        if kind == TEXT:
+            kept.append(text)
+            continue
+        n = text.count(" ") + 1
+        if article == (kind == DOUBTED):
+            kept += unique_runs([text], gone[at : at + n])
+        at += n
+    return "\n\n".join(kept)
 
 
 def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -131,7 +169,7 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [blocks(t) for t in texts_of(b, "html")]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[k] for x in found], pa.list_(pa.string())) for k in (0, 1))], ["id", "url", "inside", "loose"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([x[1] for x in found], pa.list_(pa.int8()))], ["id", "url", "texts", "kinds"])
 
 
 def unique_runs(page: list[str], gone: np.ndarray, run: int = RUN) -> list[str]:
@@ -152,8 +190,8 @@ def unique_runs(page: list[str], gone: np.ndarray, run: int = RUN) -> list[str]:
 
 
 def _thinned(pdf: pd.DataFrame) -> pd.DataFrame:
-    streams = [[t for block in page for t in block.split(" ")] for page in pdf.loose]
-    text = ["\n\n".join(inside if len(inside) else unique_runs(list(loose), gone)) for inside, loose, gone in zip(pdf.inside, pdf.loose, repeated(streams))]
+    streams = [[t for block in undecided(texts, kinds) for t in block.split(" ")] for texts, kinds in zip(pdf.texts, pdf.kinds)]
+    text = [main_text(list(texts), list(kinds), gone) for texts, kinds, gone in zip(pdf.texts, pdf.kinds, repeated(streams))]
     return pd.DataFrame({"id": pdf.id, "url": pdf.url, "text": text})
 
 
@@ -167,7 +205,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct runs of each page (host, page, html)."""
     for b in batches:
         for host, page, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "html")):
-            found = [*dict.fromkeys(_digests(blocks(text)[1]))]
+            found = [*dict.fromkeys(_digests(undecided(*blocks(text))))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([page] * len(found), pa.string()), pa.array(found, pa.binary())], ["host", "page", "run"])
 
@@ -177,33 +215,35 @@ def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         out = []
         for html, runs in zip(texts_of(b, "html"), b.column(3).to_pylist()):
-            inside, loose = blocks(html)
-            gone = np.zeros(sum(block.count(" ") + 1 for block in loose), bool)
-            if runs and not inside:
+            texts, kinds = blocks(html)
+            stream = undecided(texts, kinds)
+            gone = np.zeros(sum(block.count(" ") + 1 for block in stream), bool)
+            if runs:
                 common = set(runs)
-                for k, d in enumerate(_digests(loose)):
+                for k, d in enumerate(_digests(stream)):
                     if d in common:
                         gone[k : k + RUN] = True
-            out.append("\n\n".join(inside or unique_runs(loose, gone)))
+            out.append(main_text(texts, kinds, gone))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
 def _large_hosts(pages: DataFrame, kind: str) -> DataFrame:
     """id, url and text of pages (id, url, html, host) of hosts too large for one suffix array, by the runs on PAGES pages of a host."""
     pages = pages.withColumn("page", F.sha2(F.concat_ws("|", F.hex("host"), F.coalesce("html", F.lit(""))), 256))
-    runs = pages.select("host", "page", "html").mapInArrow(_runs, "host string, page string, run binary")
+    runs = pages.select("host", "page", "html").mapInArrow(in_task(_runs), "host string, page string, run binary")
     common = runs.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("host", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = runs.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
     marks = salted.join(common, ["host", "run", "salt"]).groupBy("page").agg(F.collect_set("run").alias("runs"))
-    return pages.join(marks, "page", "left").select("id", "url", "html", "runs").mapInArrow(_without_runs, f"id {kind}, url string, text string")
+    return pages.join(marks, "page", "left").select("id", "url", "html", "runs").mapInArrow(in_task(_without_runs), f"id {kind}, url string, text string")
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col and text (blocks joined by two line feeds, empty if none) of every row of pages.
 
     Null or empty html gives an empty text; null ids and urls stay null (pages without a url are one host); repeated rows are
-    distinct pages; an empty table gives no rows; other columns are not read. Inside an article or main container every block
-    stays, however often it repeats; only undecided blocks of pages without one are thinned out by repetition.
+    distinct pages; an empty table gives no rows; other columns are not read. Inside an article or main container a block stays,
+    however often it repeats, unless its container's name puts it in doubt and PAGES pages of the host hold it; of pages without
+    one all blocks are thinned out so.
     """
     kind = dict(pages.dtypes)[id_col]
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -217,7 +257,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         named = named.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
         named = named.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     small = named.where("pages is null").select("id", "url", "html")
-    read = small.mapInArrow(_read, f"id {kind}, url string, inside array<string>, loose array<string>").withColumn("host", host)
+    read = small.mapInArrow(in_task(_read), f"id {kind}, url string, texts array<string>, kinds array<tinyint>").withColumn("host", host)
     thin = read.groupBy("host").applyInPandas(_thinned, f"id {kind}, url string, text string")
     if hosts:
         thin = thin.unionByName(_large_hosts(named.where("pages is not null").select("id", "url", "html", "host"), kind))
@@ -225,6 +265,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's text of all pages."""
     return html_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

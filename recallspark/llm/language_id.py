@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import table, texts_of
+from recallspark.llm.common import in_task, table, texts_of
 from recallspark.llm.pretokenize import LETTER, classes
 
 #: Hashed features, longest n-gram, characters worked on at a time.
@@ -108,18 +108,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["feature", "df"])
 
 
-def _sparse(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for t in texts:
-        f, c = np.unique(grams([t])[0], return_counts=True)
-        out.append((np.append(f, FEATURES), np.append(c / max(c.sum(), 1) * idf[f] * SCALE, 1.0)))
-    return out
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed distinct features of each text and how often each occurs; at most FEATURES, however long the text."""
+    for b in batches:
+        found = [np.unique(grams([t])[0], return_counts=True) for t in texts_of(b, "text")]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k].astype("<i4").tobytes() for f in found], pa.binary()) for k in (0, 1))], ["h", "lang", "features", "counts"])
+
+
+def _sparse(features: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.append(features, FEATURES), np.append(counts / max(counts.sum(), 1) * idf[features] * SCALE, 1.0)
 
 
-def fit_weights(texts: list[str], labels: list[str], idf: np.ndarray) -> Model:
+def fit_weights(counted: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray) -> Model:
     """FTRL-proximal with elastic net on four fifths of the rows, then the temperature of least loss on the rest."""
     languages = sorted(set(labels))
-    rows = _sparse(texts, idf)
+    rows = [_sparse(f, c, idf) for f, c in counted]
     y = np.array([languages.index(x) for x in labels], int)
     apart = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     z, n = np.zeros((FEATURES + 1, len(languages))), np.zeros((FEATURES + 1, len(languages)))
@@ -148,10 +151,11 @@ def fit_weights(texts: list[str], labels: list[str], idf: np.ndarray) -> Model:
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from labelled rows; null labels and null texts take no part. No rows: a model that knows no language.
 
-    Frequencies are counted over all rows; weights come from the `sample` rows whose hashed ids are smallest.
+    Frequencies are counted over all rows; weights come from the `sample` distinct rows (id and text) whose hashes are smallest.
+    Only their feature counts go to the driver, no texts. Ties between languages go to the first by name.
     """
     own = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counted = own.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    counted = own.select("text").mapInArrow(in_task(_frequencies), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df, total = np.zeros(FEATURES), 0
     for r in counted:
         if r["feature"] < 0:
@@ -159,14 +163,19 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         else:
             df[r["feature"]] = r["df"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    chosen = own.select("id", F.xxhash64("id", "text").alias("h")).orderBy("h", "id").limit(sample)
-    picked = own.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(chosen.select("h")), "h", "left_semi").select("h", "text", "lang").collect()
-    picked = sorted(picked, key=lambda r: (r["h"], r["lang"]))[:sample]
-    return fit_weights([r["text"] for r in picked], [r["lang"] for r in picked], idf)
+    hashed = own.withColumn("h", F.xxhash64("id", "text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample)
+    some = hashed.join(F.broadcast(chosen), "h", "left_semi").select("h", "lang", "text").mapInArrow(in_task(_counted), "h long, lang string, features binary, counts binary")
+    picked = sorted(some.groupBy("h", "lang").agg(F.first("features").alias("features"), F.first("counts").alias("counts")).collect(), key=lambda r: (r["h"], r["lang"]))[:sample]
+    read = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
+    return fit_weights([(read(r["features"]), read(r["counts"])) for r in picked], [r["lang"] for r in picked], idf)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced). Null text or text without letters is `und`, score 0."""
+    """docs with lang_pred and score (columns of these names are replaced). Null text or text without letters is `und`, score 0.
+
+    Repeated rows are predicted each; ties go to the first language by name; an empty table gives no rows; other columns pass.
+    """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = kept.index(text_col)
 
@@ -176,7 +185,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*kept).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double")
+    return docs.select(*kept).mapInArrow(in_task(run), ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
@@ -185,6 +194,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's prediction for all documents, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from itertools import combinations
 
 import xxhash
@@ -65,3 +66,45 @@ def near_duplicates(docs: dict[int, str | None], n: int, radius: int = 4) -> dic
     links = [(a, b) for a, b in combinations(sorted(docs), 2) if (fp[a] ^ fp[b]).bit_count() <= radius]
     root = components(links, list(docs))
     return {d: (f"{fp[d]:016x}", root[d]) for d in docs}
+
+
+def _xx(data: bytes, seed: int = 42) -> int:
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def line_chunks(text: str, spacing: int) -> list[tuple[int, int]]:
+    """Begin and end of each chunk: one closes after the second of a pair of lines that meets the condition, unless the pair before did."""
+    lines = text.split("\n")
+    h = [_xx(x.encode()) for x in lines]
+    meets = [False] + [_xx(struct.pack("<q", b), _xx(struct.pack("<q", a)) % (1 << 64)) % spacing == 0 for a, b in zip(h, h[1:])]
+    ends = [n + 1 for n in range(len(lines)) if n + 1 == len(lines) or meets[n] and not meets[n - 1]]
+    return list(zip([0, *ends], ends))
+
+
+def line_dedup(rows: dict[int, str], spacing: int = 2, least: int = 2) -> dict[int, str]:
+    lines, chunks, first = {d: t.split("\n") for d, t in rows.items()}, {d: line_chunks(t, spacing) for d, t in rows.items()}, {}
+    for d in sorted(rows):
+        for c, (a, b) in enumerate(chunks[d]):
+            first.setdefault(tuple(lines[d][a:b]), (d, c))
+    out = {}
+    for d in rows:
+        later = {c for c, (a, b) in enumerate(chunks[d]) if b - a >= least and first[tuple(lines[d][a:b])] != (d, c)}
+        gone = set()
+        for c in later:
+            a, b = chunks[d][c]
+            other, n = first[tuple(lines[d][a:b])]
+            x, y = chunks[other][n]
+            gone.update(range(a, b))
+            if c and c - 1 not in later and n:
+                k = 1
+                while k <= min(a - chunks[d][c - 1][0], x - chunks[other][n - 1][0]) and lines[d][a - k] == lines[other][x - k]:
+                    gone.add(a - k)
+                    k += 1
+            if c + 1 < len(chunks[d]) and c + 1 not in later and n + 1 < len(chunks[other]):
+                k = 0
+                while k < min(chunks[d][c + 1][1] - b, chunks[other][n + 1][1] - y) and lines[d][b + k] == lines[other][y + k]:
+                    gone.add(b + k)
+                    k += 1
+        out[d] = "\n".join(x for n, x in enumerate(lines[d]) if n not in gone)
+    return out

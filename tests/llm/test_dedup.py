@@ -111,41 +111,28 @@ def test_components_of_a_long_chain(spark):
     assert out == {k: 0 for k in range(301)} | {500: 500, 501: 500}
 
 
-def chunk_brute(rows, ends):
-    """Line dedup given each text's chunk ends."""
-    first, out = {}, {}
-    chunks = {}
-    for d in rows:
-        lines = rows[d].split("\n")
-        cut = [0, *ends[d]]
-        chunks[d] = [tuple(lines[a:b]) for a, b in zip(cut, cut[1:])]
-    for d in sorted(rows):
-        for c in chunks[d]:
-            first.setdefault(c, (d, len(out)))
-    seen = set()
-    for d in sorted(rows):
-        kept = []
-        for c in chunks[d]:
-            if len(c) >= 2 and c in seen:
-                continue
-            seen.add(c)
-            kept += c
-        out[d] = "\n".join(kept)
-    return out
-
-
 def test_line_dedup(spark, docs):
     rows = {d: t for d, t in docs.items() if t is not None}
-    block = "\n".join(f"shared line {k}" for k in range(300))
+    dice = random.Random(3)
+    block = [f"shared line {k}" for k in range(300)]
     for k in range(12):
-        rows[30_000 + k] = f"own {k}\nown again {k}\n{block}\nlast {k}"
+        rows[30_000 + k] = "\n".join([f"own {k}", f"own again {k}", *block, f"last {k}"])
+    for k in range(60):  # short passages between lines of their own
+        at = dice.randrange(290)
+        rows[31_000 + k] = "\n".join([*(f"{k} a {n}" for n in range(dice.randrange(4))), *block[at : at + dice.randrange(12)], *(f"{k} b {n}" for n in range(dice.randrange(4)))])
     df = frame(spark, rows | {40_000: None})
-    ends = {r.doc_id: r.e for r in df.where("text is not null").selectExpr("doc_id", f"{line_dedup.chunk_ends(line_dedup._LINES, line_dedup.SPACING)} as e").collect()}
     out = line_dedup.line_dedup(df).collect()
-    assert {r.doc_id: r.text for r in out} == chunk_brute(rows, ends) | {40_000: None}
-    # boundaries are shift resistant: of the shared block, later documents keep single-line chunks and those at its edges
-    left = {r.doc_id: r.text.count("shared line") for r in out if 30_000 < r.doc_id < 40_000}
-    assert max(left.values()) < 100
+    assert {r.doc_id: r.text for r in out} == brute.line_dedup(rows) | {40_000: None}
+    assert all(r.n_removed == r.n_lines - (0 if r.text is None else len(r.text.split("\n")) if r.text or r.n_removed < r.n_lines else 0) for r in out)
+    # boundaries are shift resistant and repeats grow to their neighbours' edges: hardly a line of the block stays in later documents
+    assert max(r.text.count("shared line") for r in out if 30_000 < r.doc_id < 30_012) <= 2
+
+
+def test_line_dedup_by_shuffle_equals_broadcast(spark, docs, monkeypatch):
+    df = frame(spark, {d: t for d, t in docs.items() if d % 3})
+    once = sorted(line_dedup.line_dedup(df).select("doc_id", "text").collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_CHUNKS", -1)
+    assert sorted(line_dedup.line_dedup(df).select("doc_id", "text").collect()) == once
 
 
 def test_empty_tables(spark):

@@ -155,3 +155,34 @@ def test_html_runs_on_few_pages_of_a_large_host(spark, monkeypatch):
     monkeypatch.setattr(html_text, "SHARD", 5)
     assert sorted(html_text.html_text(df).select("page_id", "text").collect()) == small
     assert all(r.text == (f"{lines[1]}\n\n" if r.page_id in (1, 2) else "") + f"own words of page {r.page_id}" for r in small)
+
+
+def test_html_names_within_an_article_rule_out_nothing_alone(spark):
+    inside = "<section class='social-history'>a social history</section><p id='search'>the search goes on</p><h2 class='banner'>On banners</h2><p>the <span class='share'>value of a share rose</span> again</p><div class='share'>this page alone shares this</div>"
+    share = "<div class='share'>tell your friends on all of these fine networks today</div>"
+    rows = [(1, "http://own/1", f"<article>{inside}</article>"), (2, "http://own/2", "<article><p>text</p><div class='ad'>Buy</div></article><article class='comment'><p>First!</p></article>")]
+    rows += [(10 + k, f"http://many/{k}", f"<main><p>text {k}</p>{share}<p>the same last words that every page of this host repeats</p></main>") for k in range(3)]
+    out = {r.page_id: r.text for r in html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "a social history\n\nthe search goes on\n\nOn banners\n\nthe value of a share rose again\n\nthis page alone shares this"
+    assert out[2] == "text"
+    assert all(out[10 + k] == f"text {k}\n\nthe same last words that every page of this host repeats" for k in range(3))
+
+
+def test_top_k_of_queries_that_share_an_id(spark):
+    rows = [(0, [1, 2]), (0, [2, 1]), (1, [3, 0]), (2, [0, 3])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    out = topk.top_k(vectors.where("vec_id = 0"), vectors, k=1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(0, 1, 1, 6), (0, 1, 2, 6)]
+
+
+def test_top_k_is_exact_beyond_doubles_and_over_many_blocks(spark):
+    big = 1 << 31
+    rows = [(k, [big + k, big - k, k]) for k in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    want = []
+    for q, v in rows[:4]:
+        best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q))[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for query_block, vector_block in ((512, 8192), (2, 3)):
+        out = topk.top_k(vectors.where("vec_id < 4"), vectors, k=3, query_block=query_block, vector_block=vector_block).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == sorted(want)
