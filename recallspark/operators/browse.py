@@ -61,11 +61,13 @@ def forget_candidates(rows: DataFrame, phrase: str, text: str = "text") -> DataF
     return rows.withColumn("score", score).where("score is not null")
 
 
-def theme_groups(drawers: DataFrame, since: Column, least: int, newest: int) -> DataFrame:
-    """audience and wing groups of recent or undated drawers, with the newest ids oldest first and a hash that names the group's content."""
+def theme_groups(drawers: DataFrame, since: Column, window_days: int, least: int, newest: int) -> DataFrame:
+    """Groups of recent or undated drawers by space, audience and wing, with the newest ids oldest first, and a hash of space, audience, wing, window and those ids that names the theme."""
+    key = ["space_id", "audience", "wing"]
     rows = drawers.where(F.col("memory_time").isNull() | (F.col("memory_time") >= since)).withColumn("audience", F.coalesce("audience", F.lit("owner")))
-    place = Window.partitionBy("audience", "wing").orderBy(F.desc_nulls_last("memory_time"), F.desc("drawer_id"))
+    place = Window.partitionBy(*key).orderBy(F.desc_nulls_last("memory_time"), F.desc("drawer_id"))
     rows = rows.withColumn("_n", F.row_number().over(place))
-    out = rows.groupBy("audience", "wing").agg(F.count("*").alias("drawers"), F.array_sort(F.collect_list(F.when(F.col("_n") <= newest, F.struct((-F.col("_n")).alias("n"), "drawer_id")))).alias("kept"))
-    ids = F.array_join(F.transform("kept.drawer_id", lambda x: x.cast("string")), ",")
-    return out.where(F.col("drawers") >= least).select("audience", "wing", "drawers", ids.alias("ids"), F.substring(F.sha2(F.concat_ws("|", "audience", "wing", ids), 256), 1, 16).alias("theme_id"))
+    out = rows.groupBy(*key).agg(F.count("*").alias("drawers"), F.array_sort(F.collect_list(F.when(F.col("_n") <= newest, F.struct((-F.col("_n")).alias("n"), F.col("drawer_id").cast("string").alias("id"))))).alias("kept"))
+    ids, named = F.array_join("kept.id", ","), F.array_join(F.array_sort("kept.id"), ",")
+    theme = F.substring(F.sha2(F.concat_ws("|", *key, F.lit(str(window_days)), named), 256), 1, 16)
+    return out.where(F.col("drawers") >= least).select(*key, "drawers", ids.alias("ids"), theme.alias("theme_id"))

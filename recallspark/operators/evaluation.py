@@ -26,3 +26,74 @@ def confusion(proposed: DataFrame, gold: DataFrame, keys: list[str]) -> DataFram
     both = p.join(g, keys, "full").select(F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("g", F.lit(0)).alias("g"))
     out = both.agg(F.sum(F.least("p", "g")).alias("matched"), F.sum("p").alias("proposed"), F.sum("g").alias("gold"))
     return out.withColumn("precision", F.round(F.try_divide("matched", "proposed"), 6)).withColumn("recall", F.round(F.try_divide("matched", "gold"), 6))
+
+
+def quality(results: DataFrame) -> DataFrame:
+    """Per category: questions, correct ones, evidence recall, omissions, abstentions and latency (median; nearest rank at 0.95; mean).
+
+    results: category, correct, found, wanted (evidence groups), omissions, abstains (expected), abstained, ms.
+    """
+    place = Window.partitionBy("category").orderBy("ms")
+    rows = results.withColumn("_r", F.row_number().over(place)).withColumn("_n", F.count("*").over(Window.partitionBy("category")))
+    p95 = F.max(F.when(F.col("_r") == F.greatest(F.floor(F.lit(0.95) * F.col("_n")), F.lit(1)), F.col("ms")))
+    return rows.groupBy("category").agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.round(100 * F.count_if("correct") / F.count("*"), 1).alias("correct_pct"),
+        F.round(F.sum("found") / F.greatest(F.sum("wanted"), F.lit(1)), 3).alias("evidence_recall"), F.sum("omissions").alias("omissions"),
+        F.count_if("abstains").alias("abstention_total"), F.count_if(F.col("abstains") & F.col("abstained")).alias("abstention_correct"),
+        F.round(F.median("ms"), 1).alias("p50_ms"), F.round(p95, 1).alias("p95_ms"), F.round(F.avg("ms"), 1).alias("mean_ms"),
+    )
+
+
+def connectivity(statements: DataFrame, entities: DataFrame, phrase: str, roles: list[str]) -> DataFrame:
+    """Entities, those that read like phrases (a pattern), those linked to another that does not, roles held under several names, and ASCII names."""
+    real = entities.select("entity_id").distinct().withColumn("_phrase", F.col("entity_id").rlike(phrase))
+    named = real.where("not _phrase").select("entity_id")
+    ends = statements.where("subject_id <> object_id").select("subject_id", "object_id").distinct()
+    ends = ends.join(named.withColumnRenamed("entity_id", "subject_id"), "subject_id", "left_semi").join(named.withColumnRenamed("entity_id", "object_id"), "object_id", "left_semi")
+    linked = ends.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
+    role = F.split_part("entity_id", F.lit(":"), F.lit(1))
+    split = real.where(role.isin(roles)).groupBy(role.alias("role")).agg(F.count("*").alias("c")).where("c > 1")
+    ascii_named = named.where(~F.col("entity_id").rlike(r"[^\x00-\x7F]") & ~role.isin(*roles, "self"))
+    count = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    out = real.agg(F.count("*").alias("entities"), F.count_if("_phrase").alias("phrase_nodes")).withColumn("linked", count(linked))
+    out = out.withColumn("linked_pct", F.round(100 * F.col("linked") / F.greatest(F.col("entities") - F.col("phrase_nodes"), F.lit(1)), 1))
+    return out.withColumn("fragmented_roles", count(split)).withColumn("ascii_named", count(ascii_named))
+
+
+# fixed values: what the shadow proposer has to reach, at least or at most
+SHADOW_LEAST = {"operation_accuracy": 0.90, "action_exact_accuracy": 0.80, "target_top1_accuracy": 0.90, "case_consistency_rate": 0.95}
+SHADOW_MOST = {"none_false_positive_rate": 0.05, "schema_failure_rate": 0.0, "provider_failure_rate": 0.0, "policy_rejection_rate": 0.0, "high_confidence_errors": 0.0}
+
+
+def shadow_scores(runs: DataFrame) -> DataFrame:
+    """Rates, stability and gates of a commitment proposer over runs (name, error, expected and actual operation, action, target, confidence).
+
+    A run is right if it has no error and operation, action and target (where expected) agree. A case is consistent if all its
+    runs come out alike. overall_pass needs every gate, cases of each kind among them.
+    """
+    ok = F.col("error").isNull()
+    same = lambda c: F.coalesce(F.col(f"actual_{c}"), F.lit("")) == F.coalesce(F.col(f"expected_{c}"), F.lit(""))
+    has = lambda c: F.coalesce(F.col(f"expected_{c}") != "", F.lit(False))
+    right = ok & same("operation") & (~has("action") | same("action")) & (~has("target") | same("target"))
+    none = F.col("expected_operation") == "none"
+    rate = lambda part, whole: F.round(F.coalesce(F.try_divide(F.count_if(part), F.count_if(whole)), F.lit(0.0)), 6)
+    outcome = F.concat_ws("|", F.coalesce("error", F.lit("")), F.coalesce("actual_operation", F.lit("")), F.coalesce("actual_action", F.lit("")), F.coalesce("actual_target", F.lit("")))
+    rows = runs.withColumn("_right", right)
+    cases = rows.groupBy("name").agg((F.min(outcome) == F.max(outcome)).alias("same"), F.min("_right").alias("right"), F.count("*").alias("runs"))
+    cases = cases.agg(F.count("*").alias("cases"), F.min("runs").alias("min_runs"), F.round(F.avg(F.col("same").cast("int")), 6).alias("case_consistency_rate"), F.round(F.avg(F.col("right").cast("int")), 6).alias("all_runs_correct_rate"))
+    every = F.lit(True)
+    out = rows.agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("valid"),
+        rate(ok & same("operation"), ok).alias("operation_accuracy"), rate(ok & has("action") & same("action"), ok & has("action")).alias("action_exact_accuracy"),
+        rate(ok & has("target") & same("target"), ok & has("target")).alias("target_top1_accuracy"), rate(ok & none & ~same("operation"), ok & none).alias("none_false_positive_rate"),
+        rate(F.col("error") == "schema_invalid", every).alias("schema_failure_rate"), rate(F.col("error").isin("provider_error", "provider_empty"), every).alias("provider_failure_rate"), rate(F.col("error") == "policy_rejected", every).alias("policy_rejection_rate"),
+        F.count_if(ok & (F.col("confidence") >= 0.8) & ~F.col("_right")).cast("double").alias("high_confidence_errors"),
+        F.count_if(ok & has("action")).alias("action_cases"), F.count_if(ok & has("target")).alias("target_cases"), F.count_if(ok & none).alias("none_cases"),
+    )
+    for c in ("cases", "min_runs", "case_consistency_rate", "all_runs_correct_rate"):
+        out = out.withColumn(c, cases.select(c).scalar())
+    gates = [F.col(c) >= x for c, x in SHADOW_LEAST.items()] + [F.col(c) <= x for c, x in SHADOW_MOST.items()] + [F.col(c) > 0 for c in ("action_cases", "target_cases", "none_cases")] + [F.col("min_runs") >= 2]
+    passed = F.lit(0)
+    for g in gates:
+        passed = passed + g.cast("int")
+    return out.withColumn("gates_passed", passed).withColumn("overall_pass", (F.col("total") > 0) & (passed == len(gates)))

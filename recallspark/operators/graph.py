@@ -28,9 +28,9 @@ def readable(audiences: list[str], column: str = "audience") -> Column:
     return F.col(column).isin(audiences) if audiences else F.lit(False)
 
 
-def visible(statements: DataFrame, audiences: list[str] | None, as_of: Column | None = None, sensitive: bool = False) -> DataFrame:
-    """The statements that a caller may read; audiences None is the owner, who reads all."""
-    out = statements
+def visible(statements: DataFrame, audiences: list[str] | None, as_of: Column | None = None, sensitive: bool = False, space: str | None = None) -> DataFrame:
+    """The statements that a caller may read, in one space or in each on its own; audiences None is the owner, who reads all."""
+    out = statements.where(F.col("space_id") == space) if space else statements
     if audiences is not None:
         out = out.where(readable(audiences))
     if not sensitive:
@@ -39,14 +39,14 @@ def visible(statements: DataFrame, audiences: list[str] | None, as_of: Column |
 
 
 def with_names(statements: DataFrame, entities: DataFrame) -> DataFrame:
-    """Display names of both ends; statements of unknown entities go, as in an inner join."""
+    """Display names of both ends in the statement's space; statements of unknown entities go, as in an inner join."""
     s, o = entities.withColumnsRenamed({"entity_id": "subject_id", "name": "subject"}), entities.withColumnsRenamed({"entity_id": "object_id", "name": "object"})
-    return statements.join(s, "subject_id").join(o, "object_id")
+    return statements.join(s, ["space_id", "subject_id"]).join(o, ["space_id", "object_id"])
 
 
 def top_per_subject(statements: DataFrame, n: int) -> DataFrame:
-    """The n most relevant statements of each subject, with their rank from 1."""
-    place = Window.partitionBy("subject_id").orderBy(*relevance())
+    """The n most relevant statements of each subject of a space, with their rank from 1."""
+    place = Window.partitionBy("space_id", "subject_id").orderBy(*relevance())
     return statements.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
 
 
@@ -88,9 +88,9 @@ def timeline(statements: DataFrame, entity: str | None = None, since: Column | N
 
 def entities_of_turns(statements: DataFrame, entities: DataFrame, turns: list[str], limit: int) -> DataFrame:
     """Entities named by statements of some turns, by number of statements; one that is both ends of a statement counts once."""
-    ends = statements.where(F.col("source_turn_id").isin(turns)).select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
-    counted = ends.groupBy("entity_id").agg(F.count("*").alias("hits"))
-    return counted.join(entities, "entity_id").groupBy("name").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "name").limit(limit)
+    ends = statements.where(F.col("source_turn_id").isin(turns)).select("space_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
+    counted = ends.groupBy("space_id", "entity_id").agg(F.count("*").alias("hits"))
+    return counted.join(entities, ["space_id", "entity_id"]).groupBy("name").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "name").limit(limit)
 
 
 def expand_one_hop(statements: DataFrame, turns: list[str], as_of: Column, seeds: int, limit: int) -> DataFrame:
@@ -101,24 +101,46 @@ def expand_one_hop(statements: DataFrame, turns: list[str], as_of: Column, seeds
     return found.drop("entity_id").dropDuplicates(["statement_id"]).orderBy(*relevance()).limit(limit)
 
 
-def substrings(text: Column, longest: int = MAX_NAME) -> Column:
-    """All distinct substrings of a short text, up to `longest` characters."""
-    size = F.char_length(text)
-    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    cut = F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), size - a + 1), F.lit(1))), lambda n: F.substring(text, a, n)))
+def substrings(text: Column, sizes: Column) -> Column:
+    """All distinct substrings of a short text whose length is one of sizes (an array)."""
+    length = F.char_length(text)
+    fits = F.filter(sizes, lambda n: (n > 0) & (n <= length))
+    cut = F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda a: F.substring(text, a, n)))
     return F.array_distinct(F.flatten(cut))
 
 
-def match_names(phrases: DataFrame, names: DataFrame, cap: int = 3, longest: int = MAX_NAME) -> DataFrame:
-    """Entities whose name (column match) occurs in a phrase, longest name first, at most cap for each phrase.
+def match_names(phrases: DataFrame, names: DataFrame, longest: int = MAX_NAME) -> DataFrame:
+    """phrases with the columns of each name of their space (column match) that occurs in the phrase.
+
+    Substrings of a phrase, of lengths that names have, meet the names in a hash join, so no phrase is held against every name.
+    """
+    some = names.where((F.char_length("match") > 0) & (F.char_length("match") <= longest))
+    sizes = some.agg(F.collect_set(F.char_length("match")).alias("_sizes"))  # one row, `longest` numbers at most
+    parts = phrases.crossJoin(F.broadcast(sizes)).withColumn("match", F.explode(substrings(F.col("phrase"), F.col("_sizes")))).drop("_sizes")
+    return parts.join(some, ["space_id", "match"])
+
+
+def matched_entities(phrases: DataFrame, entities: DataFrame, mentions: DataFrame, audiences: list[str], cap: int = 3, least: float = 0.0, aliases_only: bool = False) -> DataFrame:
+    """phrase_id, name, stage and rank of the entities that a phrase may be about, at most cap for each.
 
-    Substrings of the phrase meet names in a hash join, so no phrase is held against every name.
+    Whole names come first, then names by what follows their first colon, then aliases that the audiences may read; longest
+    first within each, names by themselves break ties. An entity counts at its first stage only. Names are matched as they are written,
+    aliases in lower case.
     """
-    parts = phrases.select("phrase_id", F.explode(substrings(F.lower("phrase"), longest)).alias("match"))
-    hits = parts.join(names.where((F.char_length("match") > 0) & (F.char_length("match") <= longest)), "match")
-    hits = hits.groupBy("phrase_id", "entity_id").agg(F.max(F.char_length("match")).alias("length"))
-    place = Window.partitionBy("phrase_id").orderBy(F.desc("length"), "entity_id")
-    return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= cap)
+    named = entities.select("space_id", "name", F.col("name").alias("match"), F.char_length("name").alias("length"))
+    tails = entities.select("space_id", "name", tail(F.col("name")).alias("match"), F.char_length("name").alias("length")).where("match is not null")
+    known = mentions.where(readable(audiences) & (F.col("confidence") >= least))
+    alias = known.join(entities, ["space_id", "entity_id"]).select("space_id", "name", F.col("alias").alias("match"), F.char_length("alias").alias("length"))
+    lowered = phrases.withColumn("phrase", F.lower("phrase"))
+    stages = [] if aliases_only else [match_names(phrases, named), match_names(phrases, tails)]
+    stages.append(match_names(lowered, alias))
+    hits = None
+    for n, found in enumerate(stages, 3 - len(stages)):
+        found = found.select("phrase_id", "name", F.struct(F.lit(n).alias("stage"), (-F.col("length")).alias("short")).alias("place"))
+        hits = found if hits is None else hits.unionByName(found)
+    best = hits.groupBy("phrase_id", "name").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("phrase_id").orderBy("place", "name")
+    return best.select("phrase_id", "name", F.col("place.stage").alias("stage"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= cap)
 
 
 def tail(name: Column) -> Column:
@@ -128,9 +150,8 @@ def tail(name: Column) -> Column:
 
 def stats(statements: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
     s = statements.agg(F.count("*").alias("statements"), F.count_if(F.col("valid_to").isNull()).alias("active"), F.count_if(F.col("valid_to").isNotNull()).alias("invalidated"), F.count_if("sensitive").alias("sensitive"))
-    e, m = entities.agg(F.count("*").alias("entities")), mentions.agg(F.count("*").alias("mentions"))
-    one = lambda df: df.withColumn("_", F.lit(1))
-    return one(s).join(one(e), "_").join(one(m), "_").drop("_")
+    count = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    return s.withColumn("entities", count(entities)).withColumn("mentions", count(mentions))
 
 
 def degrees(statements: DataFrame, limit: int) -> DataFrame:
@@ -139,23 +160,40 @@ def degrees(statements: DataFrame, limit: int) -> DataFrame:
 
 
 def add_triples(incoming: DataFrame) -> DataFrame:
-    """Idempotent adds: of equal (turn, subject, predicate, object, audience) the first recorded stays, whatever the replay order."""
-    key = ["source_turn_id", "subject_id", "predicate", "object_id", "audience"]
-    first = Window.partitionBy(*key).orderBy("recorded_at", "statement_id")
-    return incoming.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """Idempotent adds, in order of recorded_at: what three probes let through, whatever the replay order.
 
-
-def invalidate(statements: DataFrame, ends: DataFrame) -> DataFrame:
-    """Closes open statements at the first end of their (subject, predicate, object) after their start; closed ones stay as they are."""
-    key = ["subject_id", "predicate", "object_id"]
-    hits = statements.where("valid_to is null").join(ends.select(*key, "ended_at"), key).where("valid_from is null or ended_at > valid_from")
+    A projection id names the first statement that brings it; later ones are its replays (or conflicts, see projection_conflicts).
+    Of equal (turn, subject, predicate, object) for one audience of a space the first stays, open or not; and while an equal statement is open,
+    no other turn adds it again.
+    """
+    fact = ["space_id", "subject_id", "predicate", "object_id", "audience"]
+    order = ["recorded_at", "statement_id"]
+    first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    rows = incoming.withColumn("_n", F.when(F.col("projection_id").isNotNull(), first("space_id", "projection_id")).otherwise(1)).where("_n = 1")
+    rows = rows.withColumn("_n", F.when(F.col("source_turn_id").isNotNull(), first(*fact, "source_turn_id")).otherwise(1)).where("_n = 1")
+    before = Window.partitionBy(*fact).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_n", F.coalesce(F.count_if(F.col("valid_to").isNull()).over(before), F.lit(0))).where("_n = 0").drop("_n")
+
+
+def projection_conflicts(incoming: DataFrame) -> DataFrame:
+    """Statements whose projection id already names a different (subject, predicate, object, audience) of their space."""
+    fact = F.struct("subject_id", "predicate", "object_id", "audience")
+    first = Window.partitionBy("space_id", "projection_id").orderBy("recorded_at", "statement_id")
+    rows = incoming.where("projection_id is not null").withColumn("_first", F.first(fact).over(first))
+    return rows.where(F.col("_first") != fact).drop("_first")
+
+
+def invalidate(statements: DataFrame, ends: DataFrame, audiences: list[str]) -> DataFrame:
+    """Closes open statements of the caller's audiences at the first end of their (space, subject, predicate, object) after their start; others stay as they are."""
+    key = ["space_id", "subject_id", "predicate", "object_id"]
+    hits = statements.where(F.col("valid_to").isNull() & readable(audiences)).join(ends.select(*key, "ended_at"), key).where("valid_from is null or ended_at > valid_from")
     first = hits.groupBy("statement_id").agg(F.min("ended_at").alias("ended_at"))
     return statements.join(first, "statement_id", "left").withColumn("valid_to", F.coalesce("valid_to", "ended_at")).drop("ended_at")
 
 
 def supersede(statements: DataFrame, single: list[str]) -> DataFrame:
-    """For predicates that hold one value at a time, ends each statement where the subject's next one starts, with no gap."""
-    then = Window.partitionBy("subject_id", "predicate").orderBy(F.asc_nulls_first("valid_from"), "statement_id")
+    """For predicates that hold one value at a time, ends each statement where the subject's next one for the same audience starts, with no gap."""
+    then = Window.partitionBy("space_id", "audience", "subject_id", "predicate").orderBy(F.asc_nulls_first("valid_from"), "statement_id")
     follows = F.when(F.col("predicate").isin(single), F.lead("valid_from").over(then))
     return statements.withColumn("valid_to", F.coalesce(F.least("valid_to", follows), "valid_to", follows))
 
@@ -167,8 +205,8 @@ def forget(statements: DataFrame, turns: DataFrame) -> DataFrame:
 
 def orphans(statements: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities that no statement speaks of any more."""
-    ends = statements.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
-    return entities.join(ends, "entity_id", "left_anti")
+    ends = statements.select("space_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
+    return entities.join(ends, ["space_id", "entity_id"], "left_anti")
 
 
 def move_audience(statements: DataFrame, turns: DataFrame, audience: str) -> DataFrame:
@@ -176,10 +214,52 @@ def move_audience(statements: DataFrame, turns: DataFrame, audience: str) -> Dat
     return statements.join(moved, "source_turn_id", "left").withColumn("audience", F.when(F.col("_moved"), F.lit(audience)).otherwise(F.col("audience"))).drop("_moved")
 
 
-def merge_triples(primary: DataFrame, expanded: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
-    """Primary then expanded statements, each once; those that say something new before those that restate a (subject, predicate, object)."""
+def merge_triples(primary: DataFrame, expanded: DataFrame, shown: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
+    """Primary then expanded statements, each once, in their own order (column ordinal); those of turns already shown as drawers (shown: source_turn_id) come last, and none is dropped for that."""
     both = primary.withColumn("_side", F.lit(0)).unionByName(expanded.withColumn("_side", F.lit(1)))
-    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("statement_id").orderBy("_side"))).where("_n = 1")
-    said = Window.partitionBy("subject_id", "predicate", "object_id").orderBy("_side", *relevance())
-    both = both.withColumn("restates", F.row_number().over(said) > 1)
-    return both.orderBy("restates", "_side", *relevance()).limit(limit).drop("_n", "_side")
+    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("statement_id").orderBy("_side", "ordinal"))).where("_n = 1")
+    turns = shown.select("source_turn_id").distinct().withColumn("restates", F.lit(True))
+    both = both.join(turns, "source_turn_id", "left").withColumn("restates", F.coalesce("restates", F.lit(False)))
+    return both.orderBy("restates", "_side", "ordinal").limit(limit).drop("_n", "_side")
+
+
+def ordered(statements: DataFrame, limit: int) -> DataFrame:
+    """The most relevant statements with their place (ordinal, from 1); few by their limit, so one task numbers them."""
+    return statements.orderBy(*relevance()).limit(limit).withColumn("ordinal", F.row_number().over(Window.orderBy(*relevance())))
+
+
+def distinct_mentions(mentions: DataFrame) -> DataFrame:
+    """Upsert-ignore of aliases: of equal (space, audience, entity, alias), trimmed and in lower case, the first recorded stays; empty ones go."""
+    rows = mentions.withColumn("alias", F.lower(F.trim("alias"))).where("alias <> '' and entity_id <> ''")
+    rows = rows.withColumn("mention_id", F.concat_ws(":", "audience", "entity_id", "alias"))
+    first = Window.partitionBy("space_id", "mention_id").orderBy("recorded_at", "confidence")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def probes(asked: DataFrame, statements: DataFrame) -> DataFrame:
+    """asked (space_id, subject_id, predicate, object_id, audience) with whether the statement is known, is open, and was once closed."""
+    key = ["space_id", "subject_id", "predicate", "object_id", "audience"]
+    seen = statements.groupBy(*key).agg(F.count_if(F.col("valid_to").isNull()).alias("_open"), F.count_if(F.col("valid_to").isNotNull()).alias("_closed"))
+    has = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    out = asked.join(seen, key, "left")
+    return out.select(*asked.columns, F.col("_open").isNotNull().alias("known"), has("_open").alias("open"), has("_closed").alias("closed"))
+
+
+def seeded(hints: list[str], matched: DataFrame, most: int = 3) -> DataFrame:
+    """phrase_id, name and place of the entities that a recall starts from: hints first, then those that the phrase matches, each once."""
+    asked = matched.select("phrase_id").distinct().select("phrase_id", F.posexplode(F.array(*map(F.lit, hints)).cast("array<string>")).alias("_at", "name"))
+    both = asked.withColumn("_side", F.lit(0)).unionByName(matched.select("phrase_id", F.col("rank").alias("_at"), "name").withColumn("_side", F.lit(1)))
+    best = both.groupBy("phrase_id", "name").agg(F.min(F.struct("_side", "_at")).alias("_best"))
+    place = F.row_number().over(Window.partitionBy("phrase_id").orderBy("_best", "name"))
+    return best.select("phrase_id", "name", place.alias("place")).where(F.col("place") <= most)
+
+
+def rewritten(phrases: DataFrame, aliases: DataFrame, facts: DataFrame) -> DataFrame:
+    """phrase_id and query: the phrase, with the name of its one sure alias if that is not in it and has a fact (space_id, name) that can be seen.
+
+    aliases: phrase_id, name and rank of sure aliases, at least two where there are several.
+    """
+    one = aliases.groupBy("phrase_id").agg(F.count("*").alias("_n"), F.min("name").alias("name")).where("_n = 1").drop("_n")
+    rows = phrases.join(one, "phrase_id", "left").join(facts.select("space_id", "name").distinct().withColumn("_fact", F.lit(True)), ["space_id", "name"], "left")
+    carry = F.col("_fact") & ~F.contains("phrase", "name")
+    return rows.select("phrase_id", F.when(F.coalesce(carry, F.lit(False)), F.concat_ws(" ", "phrase", "name")).otherwise(F.col("phrase")).alias("query"))

@@ -143,13 +143,66 @@ def materialization(pending: Column, failed: Column) -> Column:
 
 
 def provisional_sources(rows: DataFrame, most: int = PROVISIONAL_ROWS, budget: int = PROVISIONAL_BYTES) -> DataFrame:
-    """For each turn_group, newest sources first within a number of rows and a byte budget; one too large is skipped, not a stop."""
-    kind = "struct<used:long,kept:array<long>>"
-    seed = F.from_json(F.lit('{"used": 0, "kept": []}'), kind)
+    """For each turn_group, newest sources (id, bytes) first within a number of rows and a byte budget; one too large is skipped, not a stop.
+
+    Each round takes of every group the newest row below its last pick that still fits: a maximum with partial sums, so no
+    group is gathered, however large.
+    """
+    picked = rows.where(F.col("bytes") <= budget).groupBy("turn_group").agg(F.max(F.struct("id", "bytes")).alias("p")).select("turn_group", "p.id", F.col("p.bytes").alias("used"))
+    out = picked
+    for _ in range(most - 1):
+        last = picked.select("turn_group", F.col("id").alias("_last"), F.col("used").alias("_used"))
+        fits = rows.join(last, "turn_group").where((F.col("id") < F.col("_last")) & (F.col("bytes") + F.col("_used") <= budget))
+        picked = fits.groupBy("turn_group", "_used").agg(F.max(F.struct("id", "bytes")).alias("p")).select("turn_group", "p.id", (F.col("_used") + F.col("p.bytes")).alias("used"))
+        out = out.unionByName(picked)
+    return out.select("turn_group", "id")
+
+
+def fold_dead_letters(events: DataFrame) -> DataFrame:
+    """entry_id, state, attempts and rejected after ordered operations (entry_id, seq, op): claim, finish, fail, release, resolve.
+
+    Only an unresolved entry can be claimed, so of several claimants one has it; finish and fail (or release) need a claim; an
+    entry that is being replayed cannot be resolved. Operations that find another state change nothing and count as rejected. An
+    entry's operations are few; they fold in an expression.
+    """
+    kind = "struct<state:string,attempts:int,rejected:int>"
+    seed = F.from_json(F.lit('{"state": "unresolved", "attempts": 0, "rejected": 0}'), kind)
+
+    def apply(z: Column, e: Column) -> Column:
+        op, state = e["op"], z["state"]
+        claims, ends = (op == "claim") & (state == "unresolved"), op.isin("finish", "fail", "release") & (state == "replaying")
+        settles = (op == "resolve") & (state != "replaying")
+        after = F.when(claims, F.lit("replaying")).when(ends, F.when(op == "finish", F.lit("replayed")).otherwise(F.lit("unresolved"))).when(settles, F.lit("resolved")).otherwise(state)
+        return F.struct(after.alias("state"), (z["attempts"] + claims.cast("int")).alias("attempts"), (z["rejected"] + (~(claims | ends | settles)).cast("int")).alias("rejected"))
+
+    rows = events.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("ops"))
+    return rows.select("entry_id", F.aggregate("ops", seed, apply).alias("z")).select("entry_id", "z.*")
+
+
+def command_stats(statuses: DataFrame) -> DataFrame:
+    """Requests by status, with their attempts."""
+    return statuses.groupBy("status").agg(F.count("*").alias("requests"), F.sum("attempts").alias("attempts"), F.max("attempts").alias("most"))
+
+
+def capacity(rows: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """rows and bytes that provisional sources of a space hold, and whether another may be stored."""
+    out = rows.groupBy("space_id").agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return out.withColumn("admits", (F.col("rows") < most) & (F.col("bytes") < most_bytes))
+
+
+def projected_commitments(commitments: DataFrame, marks: DataFrame) -> DataFrame:
+    """commitments (commitment_id, revision) with projected: whether a mark (commitment_id, revision) is for the revision that stands; marks of older ones count for nothing."""
+    done = marks.select("commitment_id", "revision").distinct().withColumn("projected", F.lit(True))
+    return commitments.join(done, ["commitment_id", "revision"], "left").withColumn("projected", F.coalesce("projected", F.lit(False)))
+
+
+def unarchived(commitments: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Commitments without a tombstone, or with one that only archives (state archived)."""
+    t = tombstones.select("commitment_id", F.col("state").alias("_state"))
+    return commitments.join(t, "commitment_id", "left").where("_state is null or _state = 'archived'").drop("_state")
 
-    def take(z: Column, e: Column) -> Column:
-        fits = (F.size(z["kept"]) < most) & (z["used"] + e["bytes"] <= budget)
-        return F.struct(F.when(fits, z["used"] + e["bytes"]).otherwise(z["used"]).alias("used"), F.when(fits, F.concat(z["kept"], F.array(e["id"]))).otherwise(z["kept"]).alias("kept"))
 
-    lists = rows.groupBy("turn_group").agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "bytes")))).alias("all"))
-    return lists.select("turn_group", F.aggregate("all", seed, take).alias("z")).select("turn_group", F.explode("z.kept").alias("id"))
+def commitments_of_sources(revisions: DataFrame, commitments: DataFrame, sources: DataFrame) -> DataFrame:
+    """The commitments that some source events revised, each once."""
+    hit = revisions.join(sources.select("source").distinct(), "source", "left_semi").select("commitment_id").distinct()
+    return commitments.join(hit, "commitment_id", "left_semi")

@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 #: The moment and the callers that the queries speak for.
 AS_OF, CURSOR = "2024-01-16 00:00:00", ("2024-01-10T00:00:00", "stmt_5")
-READERS = ["owner", "companion:c0"]
+READERS, SPACE = ["owner", "companion:c0"], "space_0"
 CALLER = visibility.Caller("space_0", tuple(READERS), session_id="session_1", person_id="person_0", device_id="device_2")
 TURNS = [f"turn_{k}" for k in range(0, 500, 25)]
 PHRASE = "andthe"
@@ -28,7 +28,7 @@ PHRASE = "andthe"
 _T = f"TIMESTAMP '{AS_OF}'"
 _VALID = f"(valid_from IS NULL OR valid_from <= {_T}) AND (valid_to IS NULL OR valid_to > {_T})"
 _READ = "audience IN ('owner', 'companion:c0')"
-_SEEN = f"{_READ} AND NOT sensitive"
+_SEEN, _HERE = f"{_READ} AND NOT sensitive", f"space_id = '{SPACE}'"
 _ORDER = "confidence DESC NULLS LAST, valid_from DESC NULLS LAST, recorded_at DESC NULLS LAST, statement_id"
 _TURNS = f"source_turn_id IN ({', '.join(repr(t) for t in TURNS)})"
 _S = f"statement_id, subject_id, predicate, object_id, {sql_iso('valid_from')} AS valid_from, confidence"
@@ -53,8 +53,8 @@ def short(df: DataFrame, *more: str) -> DataFrame:
     return df.select("statement_id", "subject_id", "predicate", "object_id", iso(F.col("valid_from")).alias("valid_from"), "confidence", *more)
 
 
-def seen(s, d, as_of: bool = True) -> DataFrame:
-    return graph.visible(views.statements(s, d), READERS, at() if as_of else None)
+def seen(s, d, as_of: bool = True, space: str | None = None) -> DataFrame:
+    return graph.visible(views.statements(s, d), READERS, at() if as_of else None, space=space)
 
 
 def recallable(s, d) -> DataFrame:
@@ -66,8 +66,8 @@ def recallable(s, d) -> DataFrame:
 
 
 @register("statements entities", f"""SELECT s.subject_id, a.name AS subject, predicate, b.name AS object, statement_id, confidence, rank FROM (
- SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {_ORDER}) AS rank FROM statements WHERE {_SEEN} AND {_VALID}) s
- JOIN entities a ON a.entity_id = subject_id JOIN entities b ON b.entity_id = object_id WHERE rank <= 8""")
+ SELECT *, row_number() OVER (PARTITION BY space_id, subject_id ORDER BY {_ORDER}) AS rank FROM statements WHERE {_SEEN} AND {_VALID}) s
+ JOIN entities a ON a.entity_id = subject_id AND a.space_id = s.space_id JOIN entities b ON b.entity_id = object_id AND b.space_id = s.space_id WHERE rank <= 8""")
 def kg_subject_topn(s, d):
     return graph.with_names(graph.top_per_subject(seen(s, d), 8), views.entities(s, d)).select("subject_id", "subject", "predicate", "object", "statement_id", "confidence", "rank")
 
@@ -75,28 +75,28 @@ def kg_subject_topn(s, d):
 for _name, _where, _entity in (("outgoing", "subject_id = 'user:8'", "user:8"), ("incoming", "object_id = 'item:9'", "item:9"), ("both", "subject_id = 'user:8' OR object_id = 'user:8'", "user:8")):
 
     def _read(s, d, entity=_entity, direction=_name):
-        return short(graph.entity_read(seen(s, d), entity, direction))
+        return short(graph.entity_read(seen(s, d, space=SPACE), entity, direction))
 
     _read.__name__ = f"kg_entity_{_name}"
-    register("statements", f"SELECT {_S} FROM statements s WHERE {_SEEN} AND {_VALID} AND ({_where}) ORDER BY {_ORDER.replace('valid_from', 's.valid_from')} LIMIT 200")(_read)
+    register("statements", f"SELECT {_S} FROM statements s WHERE {_HERE} AND {_SEEN} AND {_VALID} AND ({_where}) ORDER BY {_ORDER.replace('valid_from', 's.valid_from')} LIMIT 200")(_read)
 
 
 @register("statements", f"""SELECT {_S}, seed FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY seed) AS n FROM (
- SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_ORDER}) AS rank FROM (SELECT *, CASE entity_id WHEN 'user:8' THEN 0 WHEN 'item:9' THEN 1 WHEN 'user:3' THEN 2 END AS seed FROM ({_ENDS} statements WHERE {_SEEN} AND {_VALID}))
+ SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_ORDER}) AS rank FROM (SELECT *, CASE entity_id WHEN 'user:8' THEN 0 WHEN 'item:9' THEN 1 WHEN 'user:4' THEN 2 END AS seed FROM ({_ENDS} statements WHERE {_HERE} AND {_SEEN} AND {_VALID}))
  WHERE seed IS NOT NULL) WHERE rank <= 8) WHERE n = 1""")
 def kg_entity_combined(s, d):
-    return short(graph.read_combined(seen(s, d), ["user:8", "item:9", "user:3"], 8), F.col("seed").cast("int").alias("seed"))
+    return short(graph.read_combined(seen(s, d, space=SPACE), ["user:8", "item:9", "user:4"], 8), F.col("seed").cast("int").alias("seed"))
 
 
-@register("statements", f"SELECT {_S} FROM statements s WHERE {_READ} AND (s.valid_from IS NULL OR (s.valid_from >= TIMESTAMP '2024-01-05' AND s.valid_from < {_T})) ORDER BY recorded_at DESC, statement_id DESC LIMIT 100")
+@register("statements", f"SELECT {_S} FROM statements s WHERE {_HERE} AND {_READ} AND (s.valid_from IS NULL OR (s.valid_from >= TIMESTAMP '2024-01-05' AND s.valid_from < {_T})) ORDER BY recorded_at DESC, statement_id DESC LIMIT 100")
 def kg_timeline(s, d):
-    rows = graph.visible(views.statements(s, d), READERS, sensitive=True)
+    rows = graph.visible(views.statements(s, d), READERS, sensitive=True, space=SPACE)
     return short(graph.timeline(rows, since=graph.time("2024-01-05T00:00:00"), until=at()))
 
 
-@register("statements", f"SELECT {_S} FROM statements s WHERE (recorded_at < TIMESTAMP '2024-01-10' OR recorded_at = TIMESTAMP '2024-01-10' AND statement_id < 'stmt_5') AND (subject_id = 'user:8' OR object_id = 'user:8') ORDER BY recorded_at DESC, statement_id DESC LIMIT 100")
+@register("statements", f"SELECT {_S} FROM statements s WHERE space_id = 'space_0' AND (recorded_at < TIMESTAMP '2024-01-10' OR recorded_at = TIMESTAMP '2024-01-10' AND statement_id < 'stmt_5') AND (subject_id = 'user:8' OR object_id = 'user:8') ORDER BY recorded_at DESC, statement_id DESC LIMIT 100")
 def kg_timeline_keyset(s, d):
-    return short(graph.timeline(views.statements(s, d), "user:8", after=CURSOR))
+    return short(graph.timeline(graph.visible(views.statements(s, d), None, sensitive=True, space=SPACE), "user:8", after=CURSOR))
 
 
 @register("statements", f"SELECT {_S} FROM statements s WHERE {_READ} AND {_VALID.replace('valid_from', 's.valid_from')} ORDER BY recorded_at DESC, statement_id DESC LIMIT 50")
@@ -109,36 +109,73 @@ def kg_asof_history(s, d):
     return short(graph.visible(views.statements(s, d), None, at(), sensitive=True))
 
 
-@register("statements entities", f"SELECT name, CAST(count(*) AS BIGINT) AS hits FROM ({_ENDS} statements WHERE {_TURNS}) JOIN entities USING (entity_id) GROUP BY name ORDER BY hits DESC, name LIMIT 20")
+@register("statements entities", f"SELECT name, CAST(count(*) AS BIGINT) AS hits FROM ({_ENDS} statements WHERE {_TURNS}) JOIN entities USING (space_id, entity_id) GROUP BY name ORDER BY hits DESC, name LIMIT 20")
 def kg_turn_entities(s, d):
     return graph.entities_of_turns(views.statements(s, d), views.entities(s, d), TURNS, 20)
 
 
-@register("statements", f"""SELECT DISTINCT ON (statement_id) {_S} FROM (SELECT * FROM (SELECT DISTINCT ON (statement_id) * FROM ({_ENDS} statements WHERE {_SEEN} AND {_VALID}) WHERE entity_id IN (
- SELECT entity_id FROM (SELECT entity_id, count(*) AS hits FROM ({_ENDS} statements WHERE {_SEEN} AND {_TURNS}) GROUP BY 1 ORDER BY hits DESC, entity_id LIMIT 3))) ORDER BY {_ORDER} LIMIT 24)""")
+@register("statements", f"""SELECT DISTINCT ON (statement_id) {_S} FROM (SELECT * FROM (SELECT DISTINCT ON (statement_id) * FROM ({_ENDS} statements WHERE {_HERE} AND {_SEEN} AND {_VALID}) WHERE entity_id IN (
+ SELECT entity_id FROM (SELECT entity_id, count(*) AS hits FROM ({_ENDS} statements WHERE {_HERE} AND {_SEEN} AND {_TURNS}) GROUP BY 1 ORDER BY hits DESC, entity_id LIMIT 3))) ORDER BY {_ORDER} LIMIT 24)""")
 def kg_one_hop_expand(s, d):
-    return short(graph.expand_one_hop(seen(s, d, False), TURNS, at(), 3, 24))
+    return short(graph.expand_one_hop(seen(s, d, False, SPACE), TURNS, at(), 3, 24))
 
 
-_MATCH = "SELECT phrase_id, entity_id, length, rank FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id ORDER BY length DESC, entity_id) AS rank FROM (SELECT phrase_id, entity_id, max(length(match)) AS length FROM phrases JOIN ({}) ON contains(lower(phrase), match) AND match <> '' GROUP BY 1, 2)) WHERE rank <= 3"
+_MATCH = "SELECT phrase_id, entity_id, length, rank FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id ORDER BY length DESC, entity_id) AS rank FROM (SELECT phrase_id, entity_id, max(length(match)) AS length FROM phrases p JOIN ({}) n ON p.space_id = n.space_id AND contains({}, match) AND match <> '' GROUP BY 1, 2)) WHERE rank <= 3"
 
 
-@register("entities phrases", _MATCH.format("SELECT entity_id, lower(name) AS match FROM entities"))
+def _longest(phrases: DataFrame, names: DataFrame) -> DataFrame:
+    """The three entities with the longest names in each phrase."""
+    hits = graph.match_names(phrases, names).groupBy("phrase_id", "entity_id").agg(F.max(F.char_length("match")).alias("length"))
+    place = Window.partitionBy("phrase_id").orderBy(F.desc("length"), "entity_id")
+    return hits.withColumn("rank", F.row_number().over(place)).where("rank <= 3")
+
+
+@register("entities phrases", _MATCH.format("SELECT space_id, entity_id, name AS match FROM entities", "phrase"))
 def kg_match_whole(s, d):
-    names = views.entities(s, d).select("entity_id", F.lower("name").alias("match"))
-    return graph.match_names(views.phrases(s, d), names).select("phrase_id", "entity_id", "length", "rank")
+    return _longest(views.phrases(s, d), views.entities(s, d).select("space_id", "entity_id", F.col("name").alias("match")))
 
 
-@register("entities phrases", _MATCH.format("SELECT entity_id, CASE WHEN contains(name, ':') THEN substr(name, instr(name, ':') + 1) END AS match FROM entities"))
+@register("entities phrases", _MATCH.format("SELECT space_id, entity_id, CASE WHEN contains(name, ':') THEN substr(name, instr(name, ':') + 1) END AS match FROM entities", "phrase"))
 def kg_match_tail(s, d):
-    names = views.entities(s, d).select("entity_id", graph.tail(F.col("name")).alias("match")).where("match is not null")
-    return graph.match_names(views.phrases(s, d), names).select("phrase_id", "entity_id", "length", "rank")
+    return _longest(views.phrases(s, d), views.entities(s, d).select("space_id", "entity_id", graph.tail(F.col("name")).alias("match")).where("match is not null"))
 
 
-@register("mentions phrases", _MATCH.format("SELECT entity_id, alias AS match FROM mentions WHERE confidence >= 0.85"))
+@register("mentions phrases", _MATCH.format("SELECT space_id, entity_id, alias AS match FROM mentions WHERE confidence >= 0.85", "lower(phrase)"))
 def kg_match_alias(s, d):
-    names = views.mentions(s, d).where("confidence >= 0.85").select("entity_id", F.col("alias").alias("match"))
-    return graph.match_names(views.phrases(s, d), names).select("phrase_id", "entity_id", "length", "rank")
+    names = views.mentions(s, d).where("confidence >= 0.85").select("space_id", "entity_id", F.col("alias").alias("match"))
+    return _longest(views.phrases(s, d).withColumn("phrase", F.lower("phrase")), names)
+
+
+_STAGED = """, hits AS (
+ SELECT phrase_id, name, 0 AS stage, -length(name) AS short FROM phrases JOIN entities USING (space_id) WHERE name <> '' AND contains(phrase, name)
+ UNION ALL SELECT phrase_id, name, 1, -length(name) FROM phrases JOIN entities USING (space_id) WHERE contains(name, ':') AND substr(name, instr(name, ':') + 1) <> '' AND contains(phrase, substr(name, instr(name, ':') + 1))
+ UNION ALL SELECT phrase_id, name, 2, -length(alias) FROM phrases JOIN mentions USING (space_id) JOIN entities USING (space_id, entity_id) WHERE audience IN ('owner', 'companion:c0') AND confidence >= {} AND contains(lower(phrase), alias)),
+matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id ORDER BY stage, short, name) AS rank FROM (SELECT phrase_id, name, min((stage, short))[1] AS stage, min((stage, short))[2] AS short FROM hits WHERE stage >= {} GROUP BY 1, 2)) WHERE rank <= {})
+"""
+
+
+@register("entities mentions phrases", _STAGED.format(0, 0, 3) + "SELECT phrase_id, name, stage, rank FROM matched")
+def kg_match_names(s, d):
+    return graph.matched_entities(views.phrases(s, d), views.entities(s, d), views.mentions(s, d), READERS)
+
+
+@register("entities mentions phrases statements", _STAGED.format(0.85, 2, 2) + f""", facts AS (SELECT DISTINCT s.space_id, name FROM statements s JOIN entities e ON e.space_id = s.space_id AND e.entity_id IN (s.subject_id, s.object_id) WHERE {_SEEN} AND {_VALID}
+ UNION SELECT space_id, name FROM entities WHERE entity_id IN ('nation:1', 'nation:6', 'nation:12')),
+one AS (SELECT phrase_id, min(name) AS name FROM matched GROUP BY 1 HAVING count(*) = 1)
+SELECT phrase_id, CASE WHEN f.name IS NOT NULL AND NOT contains(phrase, o.name) THEN phrase || ' ' || o.name ELSE phrase END AS query FROM phrases p LEFT JOIN one o USING (phrase_id) LEFT JOIN facts f ON f.space_id = p.space_id AND f.name = o.name""")
+def alias_query_rewrite(s, d):
+    """Phrases with the name of their one sure alias, where something visible is known of it (statements, or what is noted of three nations)."""
+    phrases, entities = views.phrases(s, d), views.entities(s, d)
+    sure = graph.matched_entities(phrases, entities, views.mentions(s, d), READERS, cap=2, least=0.85, aliases_only=True)
+    ends = seen(s, d).select("space_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
+    noted = entities.where(F.col("entity_id").isin("nation:1", "nation:6", "nation:12")).select("space_id", "name")
+    return graph.rewritten(phrases, sure, ends.join(entities, ["space_id", "entity_id"]).select("space_id", "name").unionByName(noted))
+
+
+@register("entities mentions phrases", _STAGED.format(0, 0, 3) + """, seeds AS (SELECT phrase_id, 0 AS side, 0 AS at_, 'item:9' AS name FROM (SELECT DISTINCT phrase_id FROM matched) UNION ALL SELECT phrase_id, 1, rank, name FROM matched)
+SELECT phrase_id, name, place FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id ORDER BY b, name) AS place FROM (SELECT phrase_id, name, min((side, at_)) AS b FROM seeds GROUP BY 1, 2)) WHERE place <= 3""")
+def kg_recall_seeds(s, d):
+    return graph.seeded(["item:9"], graph.matched_entities(views.phrases(s, d), views.entities(s, d), views.mentions(s, d), READERS))
 
 
 @register("statements entities mentions", "SELECT *, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM mentions) AS mentions FROM (SELECT count(*) AS statements, count(*) FILTER (valid_to IS NULL) AS active, count(*) FILTER (valid_to IS NOT NULL) AS invalidated, count(*) FILTER (sensitive) AS sensitive FROM statements)")
@@ -156,32 +193,59 @@ def kg_known_audiences(s, d):
     return views.statements(s, d).groupBy("space_id", "audience").agg(F.count("*").alias("statements"), F.count_distinct("predicate").alias("predicates"))
 
 
-@register("statements", f"SELECT {_S} FROM (SELECT *, row_number() OVER (PARTITION BY source_turn_id, subject_id, predicate, object_id, audience ORDER BY recorded_at, statement_id) AS n FROM statements) s WHERE n = 1")
+_KEY = "space_id, subject_id, predicate, object_id, audience"
+
+
+@register("statements", f"""SELECT {_S} FROM (SELECT *, count(*) FILTER (valid_to IS NULL) OVER (PARTITION BY {_KEY} ORDER BY recorded_at, statement_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM (
+ SELECT *, row_number() OVER (PARTITION BY {_KEY}, source_turn_id ORDER BY recorded_at, statement_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY space_id, projection_id ORDER BY recorded_at, statement_id) AS n FROM statements)
+ WHERE n = 1 OR projection_id IS NULL) WHERE m = 1) s WHERE coalesce(opened, 0) = 0""")
 def kg_add_idempotent(s, d):
     return short(graph.add_triples(views.statements(s, d)))
 
 
-@register("statements", f"""SELECT s.statement_id, {sql_iso("coalesce(any_value(s.valid_to), min(e.ended_at))")} AS valid_to FROM statements s LEFT JOIN (SELECT subject_id, predicate, object_id, recorded_at AS ended_at FROM statements WHERE audience = 'owner') e
- ON s.valid_to IS NULL AND s.subject_id = e.subject_id AND s.predicate = e.predicate AND s.object_id = e.object_id AND (s.valid_from IS NULL OR e.ended_at > s.valid_from) GROUP BY s.statement_id""")
+@register("statements", """SELECT statement_id, projection_id FROM (SELECT *, first_value((subject_id, predicate, object_id, audience)) OVER (PARTITION BY space_id, projection_id ORDER BY recorded_at, statement_id) AS f FROM statements WHERE projection_id IS NOT NULL)
+WHERE f <> (subject_id, predicate, object_id, audience)""")
+def kg_projection_conflicts(s, d):
+    return graph.projection_conflicts(views.statements(s, d)).select("statement_id", "projection_id")
+
+
+@register("statements", f"""SELECT s.statement_id, {sql_iso("coalesce(any_value(s.valid_to), min(e.ended_at))")} AS valid_to FROM statements s LEFT JOIN (SELECT space_id, subject_id, predicate, object_id, recorded_at AS ended_at FROM statements WHERE audience = 'owner') e
+ ON s.valid_to IS NULL AND {_READ.replace('audience', 's.audience')} AND s.space_id = e.space_id AND s.subject_id = e.subject_id AND s.predicate = e.predicate AND s.object_id = e.object_id AND (s.valid_from IS NULL OR e.ended_at > s.valid_from) GROUP BY s.statement_id""")
 def kg_invalidate_fold(s, d):
     rows = views.statements(s, d)
     ends = rows.where("audience = 'owner'").withColumnRenamed("recorded_at", "ended_at")
-    return graph.invalidate(rows, ends).select("statement_id", iso(F.col("valid_to")).alias("valid_to"))
+    return graph.invalidate(rows, ends, READERS).select("statement_id", iso(F.col("valid_to")).alias("valid_to"))
 
 
-@register("statements", f"""SELECT statement_id, {sql_iso("least(valid_to, follows)")} AS valid_to FROM (SELECT *, CASE WHEN predicate IN ('works_at', 'owns') THEN lead(valid_from) OVER (PARTITION BY subject_id, predicate ORDER BY valid_from ASC NULLS FIRST, statement_id) END AS follows FROM statements)""")
+@register("statements", f"""SELECT statement_id, {sql_iso("least(valid_to, follows)")} AS valid_to FROM (SELECT *, CASE WHEN predicate IN ('works_at', 'owns') THEN lead(valid_from) OVER (PARTITION BY space_id, audience, subject_id, predicate ORDER BY valid_from ASC NULLS FIRST, statement_id) END AS follows FROM statements)""")
 def kg_supersede(s, d):
     return graph.supersede(views.statements(s, d), ["works_at", "owns"]).select("statement_id", iso(F.col("valid_to")).alias("valid_to"))
 
 
+@register("statements", """SELECT a.space_id, a.subject_id, a.predicate, a.object_id, a.audience, s.space_id IS NOT NULL AS known, coalesce(o, 0) > 0 AS open, coalesce(c, 0) > 0 AS closed FROM (
+ SELECT DISTINCT space_id, subject_id, predicate, object_id, 'owner' AS audience FROM statements WHERE audience <> 'owner') a LEFT JOIN (
+ SELECT space_id, subject_id, predicate, object_id, audience, count(*) FILTER (valid_to IS NULL) AS o, count(*) FILTER (valid_to IS NOT NULL) AS c FROM statements GROUP BY ALL) s USING (space_id, subject_id, predicate, object_id, audience)""")
+def kg_probes(s, d):
+    rows = views.statements(s, d)
+    asked = rows.where("audience <> 'owner'").select("space_id", "subject_id", "predicate", "object_id", F.lit("owner").alias("audience")).distinct()
+    return graph.probes(asked, rows)
+
+
+@register("mentions", """SELECT space_id, audience || ':' || entity_id || ':' || lower(trim(alias)) AS mention_id, max(confidence) AS confidence FROM (SELECT * FROM mentions UNION ALL SELECT space_id, entity_id, ' ' || upper(alias), confidence, audience FROM mentions) GROUP BY 1, 2""")
+def kg_mention_upsert(s, d):
+    once = views.mentions(s, d).withColumn("recorded_at", F.lit(0))
+    again = once.withColumn("alias", F.concat(F.lit(" "), F.upper("alias"))).withColumn("recorded_at", F.lit(1))
+    return graph.distinct_mentions(once.unionByName(again)).select("space_id", "mention_id", "confidence")
+
+
 @register("statements", f"SELECT {_S} FROM statements s WHERE NOT ({_TURNS})")
 def kg_soft_forget(s, d):
     return short(graph.forget(views.statements(s, d), s.createDataFrame([(t,) for t in TURNS], "source_turn_id string")))
 
 
-@register("statements entities", "SELECT entity_id, name FROM entities WHERE entity_id NOT IN (SELECT unnest([subject_id, object_id]) FROM statements WHERE predicate IN ('likes', 'works_at'))")
+@register("statements entities", "SELECT space_id, entity_id, name FROM entities WHERE (space_id, entity_id) NOT IN (SELECT (space_id, unnest([subject_id, object_id])) FROM statements WHERE predicate IN ('likes', 'works_at'))")
 def kg_hard_forget_orphans(s, d):
-    return graph.orphans(views.statements(s, d).where("predicate in ('likes', 'works_at')"), views.entities(s, d))
+    return graph.orphans(views.statements(s, d).where("predicate in ('likes', 'works_at')"), views.entities(s, d)).select("space_id", "entity_id", "name")
 
 
 @register("statements", f"SELECT CASE WHEN {_TURNS} THEN 'owner' ELSE audience END AS audience, count(*) AS statements FROM statements GROUP BY 1")
@@ -190,23 +254,28 @@ def kg_move_audience(s, d):
     return moved.groupBy("audience").agg(F.count("*").alias("statements"))
 
 
-_TOP = f"SELECT * FROM statements WHERE {_SEEN} AND {_VALID} AND {{}} ORDER BY {_ORDER} LIMIT 30"
+_TOP = f"SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS ordinal FROM statements WHERE {_HERE} AND {_SEEN} AND {_VALID} AND {{}} QUALIFY ordinal <= 30"
+_MERGED = f"""(SELECT s.*, source_turn_id IN (SELECT source_turn_id FROM drawers WHERE drawer_id < 40) AS restates FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY side, ordinal) AS n FROM (
+ SELECT *, 0 AS side FROM ({_TOP.format("subject_id = 'user:8'")}) UNION ALL SELECT *, 1 FROM ({_TOP.format("object_id = 'item:9'")}))) s WHERE n = 1 ORDER BY restates, side, ordinal LIMIT 24)"""
+
+
+def _merged(s, d) -> DataFrame:
+    rows, shown = seen(s, d, space=SPACE), views.drawers(s, d).where("drawer_id < 40")
+    return graph.merge_triples(graph.ordered(rows.where(graph.touches("user:8", "outgoing")), 30), graph.ordered(rows.where(graph.touches("item:9", "incoming")), 30), shown)
 
 
-@register("statements", f"""SELECT {_S}, restates FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY side, {_ORDER}) > 1 AS restates FROM (
- SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY side) AS n FROM (SELECT *, 0 AS side FROM ({_TOP.format("subject_id = 'user:8'")}) UNION ALL SELECT *, 1 FROM ({_TOP.format("object_id = 'item:9'")}))) WHERE n = 1) s ORDER BY restates, side, {_ORDER.replace('valid_from', 's.valid_from')} LIMIT 24""")
+@register("statements drawers", f"SELECT {_S}, restates FROM {_MERGED} s")
 def triple_merge(s, d):
-    rows = seen(s, d)
-    return short(graph.merge_triples(graph.entity_read(rows, "user:8", "outgoing", 30), graph.entity_read(rows, "item:9", "incoming", 30)), "restates")
+    return short(_merged(s, d), "restates")
 
 
 # records and retrieval
 
 
 def asked(s, d) -> DataFrame:
-    """Recall queries: benchmark items with the vector that stands for their text."""
-    v = load(s, d, "embeddings").select((F.col("vec_id") / 50).alias("v_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return load(s, d, "benchmark").join(v, F.col("item_id") == F.col("v_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "v")
+    """Recall queries: benchmark items, with the vector that stands for their text where there is one."""
+    v = load(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return load(s, d, "benchmark").join(v, F.col("vec_id") == 50 * F.col("item_id"), "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "v")
 
 
 def asked_vectors(s, d) -> DataFrame:
@@ -235,12 +304,16 @@ def vector_topk_per_wing(s, d):
     return retrieval.vector_candidates(recallable(s, d), asked_vectors(s, d), 3, ["wing"]).select("query_id", "wing", "drawer_id", "similarity", "rank")
 
 
-@register("vector", """, near AS (SELECT *, round(1 - similarity, 6) AS distance FROM vector WHERE rank <= 30), files AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, drawer_id) AS closet FROM (
- SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY distance, drawer_id) AS n FROM near) WHERE n = 1)
-SELECT n.query_id, n.drawer_id, round(n.distance - CASE WHEN f.distance <= 1.5 THEN CASE closet WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN 0.25 WHEN 3 THEN 0.15 WHEN 4 THEN 0.08 WHEN 5 THEN 0.04 ELSE 0 END ELSE 0 END, 6) AS distance
-FROM near n JOIN files f USING (query_id, source_file)""")
+@register("vector closets", """, near AS (SELECT * FROM vector WHERE rank <= 10), c AS (SELECT * FROM (SELECT query_id, source_file, 1 - round(list_cosine_similarity(embedding, v), 6) AS distance,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding, v), 6) DESC NULLS LAST, drawer_id) AS rank FROM closets CROSS JOIN queries WHERE v IS NOT NULL) WHERE rank <= 20),
+f AS (SELECT query_id, source_file, min((rank, distance)) AS b FROM c GROUP BY 1, 2)
+SELECT n.query_id, n.drawer_id, round(greatest(0, least(2, 1 - similarity - CASE WHEN round(b[2], 6) <= 1.5 THEN CASE b[1] WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN 0.25 WHEN 3 THEN 0.15 WHEN 4 THEN 0.08 WHEN 5 THEN 0.04 ELSE 0 END ELSE 0 END)), 6) AS distance
+FROM near n LEFT JOIN f USING (query_id, source_file)""")
 def closet_boost(s, d):
-    return retrieval.closet_boost(retrieval.vector_candidates(recallable(s, d), asked_vectors(s, d), 30)).select("query_id", "drawer_id", "distance")
+    rows, closets = recallable(s, d), views.closets(s, d)
+    near = retrieval.vector_candidates(closets, asked_vectors(s, d), 20).join(closets.select("drawer_id", "source_file"), "drawer_id")
+    found = retrieval.vector_candidates(rows, asked_vectors(s, d), 10).join(rows.select("drawer_id", "source_file"), "drawer_id")
+    return retrieval.closet_boost(found, near, 10).select("query_id", "drawer_id", "distance")
 
 
 @register("lexical", "SELECT query_id, drawer_id, score, rank FROM lexical WHERE rank <= 10")
@@ -264,7 +337,7 @@ def policy_rank(s, d):
 
 
 @register("drawers queries", """SELECT query_id, drawer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
- SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme')) WHERE rank <= 3 AND similarity >= 0.05""")
+ SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05""")
 def theme_channel(s, d):
     return retrieval.theme_channel(views.drawers(s, d), asked_vectors(s, d), floor=0.05).select("query_id", "drawer_id", "similarity")
 
@@ -277,12 +350,19 @@ def fused_recall(s, d):
     return best.join(rows.select("drawer_id", "wing", "source_turn_id", "memory_time"), "drawer_id").select("query_id", "place", "drawer_id", "wing", "source_turn_id", iso(F.col("memory_time")).alias("memory_time"), "rrf", "similarity")
 
 
-@register("placed", r"""SELECT query_id, string_agg(part, chr(10) ORDER BY part) AS context FROM (SELECT query_id, '[' || wing || ']' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS part FROM (
- SELECT query_id, wing, row_number() OVER (PARTITION BY query_id, wing ORDER BY place) AS n, '- ' || CASE WHEN memory_time IS NOT NULL THEN '[' || strftime(memory_time, '%Y-%m-%d') || '] ' ELSE '' END || substr(translate(text, chr(10) || chr(9) || chr(13), '   '), 1, 96) AS line
- FROM placed JOIN (SELECT drawer_id, wing, memory_time, text FROM drawers) USING (drawer_id)) WHERE n <= 4 GROUP BY query_id, wing) GROUP BY query_id""")
+_GROUPS = "CASE WHEN wing = 'Wing_Theme' THEN 0 " + " ".join(f"WHEN memory_type IN ({', '.join(repr(k) for k in kinds)}) THEN {n}" for n, kinds in enumerate(retrieval.GROUPS.values(), 1)) + f" ELSE {len(retrieval.GROUPS)} END"
+_TITLES = "[" + ", ".join(f"'{t}'" for t in [retrieval.THEMES, *(f"{t}:" for t in retrieval.GROUPS)]) + "]"
+_RENDERED = f"""SELECT query_id, array_to_string([x FOR x IN [string_agg(part, chr(10)) FILTER (section = 0), string_agg(part, chr(10) ORDER BY section) FILTER (section > 0)] IF x IS NOT NULL], chr(10) || chr(10)) AS context FROM (
+ SELECT query_id, section, ({_TITLES})[section + 1] || chr(10) || string_agg(line, chr(10) ORDER BY n) AS part FROM (SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY place) AS n,
+ '- ' || coalesce('[' || strftime(memory_time, '%Y-%m-%d') || '] ', '') || CASE WHEN section = 0 AND length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE coalesce(text, '') END AS line
+ FROM (SELECT *, {_GROUPS} AS section FROM {{}})) WHERE n <= 4 GROUP BY 1, 2) GROUP BY 1"""
+_TEXTS = "drawer_id", "wing", "memory_type", "memory_time", "text"
+
+
+@register("placed", _RENDERED.format("placed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)"))
 def rendered_context(s, d):
     rows = recallable(s, d)
-    return retrieval.render(retrieval.policy_rank(_fused(s, d), rows, CALLER, 8).join(rows.select("drawer_id", "wing", "memory_time", "text"), "drawer_id"))
+    return retrieval.render(retrieval.policy_rank(_fused(s, d), rows, CALLER, 8).join(rows.select(*_TEXTS), "drawer_id"))
 
 
 # browsing
@@ -324,10 +404,11 @@ def forget_candidates(s, d):
     return browse.forget_candidates(load(s, d, "documents"), PHRASE).select("doc_id", "score")
 
 
-@register("drawers", """SELECT audience, wing, drawers, ids, substr(sha256(audience || '|' || wing || '|' || ids), 1, 16) AS theme_id FROM (SELECT audience, wing, count(*) AS drawers, string_agg(drawer_id::VARCHAR, ',' ORDER BY n DESC) FILTER (n <= 30) AS ids FROM (
- SELECT coalesce(audience, 'owner') AS audience, wing, drawer_id, row_number() OVER (PARTITION BY coalesce(audience, 'owner'), wing ORDER BY memory_time DESC NULLS LAST, drawer_id DESC) AS n FROM drawers WHERE memory_time IS NULL OR memory_time >= TIMESTAMP '2024-01-03') GROUP BY 1, 2) WHERE drawers >= 3""")
+@register("drawers", """SELECT space_id, audience, wing, drawers, ids, substr(sha256(space_id || '|' || audience || '|' || wing || '|30|' || sorted), 1, 16) AS theme_id FROM (SELECT space_id, audience, wing, count(*) AS drawers, string_agg(drawer_id::VARCHAR, ',' ORDER BY n DESC) FILTER (n <= 30) AS ids,
+ string_agg(drawer_id::VARCHAR, ',' ORDER BY drawer_id::VARCHAR) FILTER (n <= 30) AS sorted FROM (SELECT space_id, coalesce(audience, 'owner') AS audience, wing, drawer_id, row_number() OVER (PARTITION BY space_id, coalesce(audience, 'owner'), wing ORDER BY memory_time DESC NULLS LAST, drawer_id DESC) AS n
+ FROM drawers WHERE memory_time IS NULL OR memory_time >= TIMESTAMP '2024-01-03') GROUP BY 1, 2, 3) WHERE drawers >= 3""")
 def theme_groups(s, d):
-    return browse.theme_groups(views.drawers(s, d), graph.time("2024-01-03T00:00:00"), 3, 30)
+    return browse.theme_groups(views.drawers(s, d), graph.time("2024-01-03T00:00:00"), 30, 3, 30)
 
 
 # ledgers
@@ -437,7 +518,15 @@ def privacy_anti_join(s, d):
     return ledgers.without_tombstones(load(s, d, "documents"), load(s, d, "labels").where("toxic = 1"), "doc_id").select("doc_id")
 
 
-@register("", None)
+def _provisional_sql(most: int, budget: int) -> str:
+    """Greedy picks, one query for each."""
+    rows = "rows AS (SELECT source AS turn_group, doc_id AS id, strlen(text) AS bytes FROM documents)"
+    picks = [f"p1 AS (SELECT turn_group, max(id) AS id, arg_max(bytes, id) AS used FROM rows WHERE bytes <= {budget} GROUP BY 1)"]
+    picks += [f"p{n} AS (SELECT turn_group, max(r.id) AS id, used + arg_max(bytes, r.id) AS used FROM rows r JOIN p{n - 1} p USING (turn_group) WHERE r.id < p.id AND bytes + used <= {budget} GROUP BY turn_group, used)" for n in range(2, most + 1)]
+    return f"WITH {', '.join([rows, *picks])} " + " UNION ALL ".join(f"SELECT turn_group, id FROM p{n}" for n in range(1, most + 1))
+
+
+@register("", _provisional_sql(ledgers.PROVISIONAL_ROWS, ledgers.PROVISIONAL_BYTES))
 def provisional_budget(s, d):
     rows = load(s, d, "documents").select(F.col("source").alias("turn_group"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes"))
     return ledgers.provisional_sources(rows)
@@ -479,3 +568,6 @@ SELECT sum(least(coalesce(p, 0), coalesce(g, 0)))::BIGINT AS matched, sum(p)::BI
 def extraction_pr(s, d):
     rows = views.statements(s, d)
     return evaluation.confusion(rows.where("confidence >= 0.3"), rows.where("audience = 'owner'"), ["subject_id", "predicate", "object_id"])
+
+
+from recallspark.plans import more  # noqa: E402, F401  registers the rest

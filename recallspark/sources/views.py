@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # fixed values: wing ids, and the predicate that each event type stands for
 WINGS = ["Wing_Profile", "Wing_Interaction", "Wing_Relationship", "Wing_Emotion", "Wing_Future", "Wing_Event", "Wing_Work", "Wing_Life", "Wing_Health", "Wing_Privacy", "Wing_Theme"]
+MEMORY_TYPES = ["profile", "interaction", "relationship", "emotion", "goal", "event", "work", "preference", "health", "privacy", "theme"]
 PREDICATES = {"view": "likes", "click": "uses", "purchase": "owns", "signup": "works_at", "error": "has_symptom"}
 SENSITIVE = ["has_symptom"]
 
@@ -50,39 +51,47 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((n % 10).cast("double") / 10).alias("confidence"),
         predicate.isin(SENSITIVE).alias("sensitive"),
         text_of("turn_", n % 500).alias("source_turn_id"),
+        F.when(n % 40 == 0, text_of("fact_", n % 400)).alias("projection_id"),
     )
 
 
+def spaces(rows: DataFrame) -> DataFrame:
+    """The rows once for each of the four spaces."""
+    return rows.withColumn("space_id", F.explode(F.array(*(F.lit(f"space_{k}") for k in range(4)))))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id and name of everything a statement speaks of, and of all nations."""
+    """space_id, entity_id and name of everything a statement speaks of, and of all nations (in every space)."""
     s = load(spark, sf_dir, "events")
-    users = s.select(text_of("user:", F.col("user_id")).alias("entity_id"))
-    items = s.select(text_of("item:", F.regexp_extract("props", "[0-9]+", 0)).alias("entity_id"))
+    space = text_of("space_", F.col("user_id") % 4).alias("space_id")
+    users = s.select(space, text_of("user:", F.col("user_id")).alias("entity_id"))
+    items = s.select(space, text_of("item:", F.regexp_extract("props", "[0-9]+", 0)).alias("entity_id"))
     told = users.unionByName(items).distinct().withColumn("name", F.col("entity_id"))
     nations = load(spark, sf_dir, "nation").select(text_of("nation:", F.col("n_nationkey")).alias("entity_id"), F.lower("n_name").alias("name"))
-    return told.unionByName(nations)
+    return told.unionByName(spaces(nations))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases of nations, with how sure they are."""
+    """Aliases of nations by space and audience, with how sure they are."""
     n = load(spark, sf_dir, "nation")
     sure = F.element_at(F.array(F.lit(0.95), F.lit(0.85), F.lit(0.7)), (F.col("n_nationkey") % 3).cast("int") + 1)
-    return n.select(text_of("nation:", F.col("n_nationkey")).alias("entity_id"), F.concat(F.lit("land "), F.substring(F.lower("n_name"), 1, 4)).alias("alias"), sure.alias("confidence"))
+    audience = F.when(F.col("n_nationkey") % 5 == 4, F.lit("companion:c1")).otherwise(F.lit("owner"))
+    return spaces(n.select(text_of("nation:", F.col("n_nationkey")).alias("entity_id"), F.concat(F.lit("land "), F.substring(F.lower("n_name"), 1, 4)).alias("alias"), sure.alias("confidence"), audience.alias("audience")))
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What customers say: a nation by name or by alias, and a user."""
+    """What customers say in their space: a nation by name or by alias (in capitals), and a user."""
     c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    place = F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("land "), F.substring(F.lower("n_name"), 1, 4)))
-    return c.select(F.col("c_custkey").alias("phrase_id"), text_of("moved to ", place, " near user:", F.col("c_custkey") % 40).alias("phrase"))
+    place = F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("LAND "), F.substring("n_name", 1, 4)))
+    return c.select(F.col("c_custkey").alias("phrase_id"), text_of("space_", F.col("c_custkey") % 4).alias("space_id"), text_of("moved to ", place, " near user:", F.col("c_custkey") % 40).alias("phrase"))
 
 
 def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory records with their vectors and visibility metadata, some undated or without an audience."""
+    """Memory records with their vectors (null where there is none) and visibility metadata, some undated or without an audience."""
     d, v = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
     n = F.col("doc_id")
     hours = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (n % 2000).cast("int"))
-    return d.join(v, n == F.col("vec_id")).select(
+    return d.join(v, n == F.col("vec_id"), "left").select(
         n.alias("drawer_id"),
         text_of("space_", n % 2).alias("space_id"),
         choose(F.substring("source", 4, 9).cast("int") % 11, WINGS).alias("wing"),
@@ -98,11 +107,22 @@ def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 6 == 4, text_of("session_", n % 3)).alias("session_id"),
         F.when(n % 9 == 0, text_of("person_", n % 2)).alias("person_id"),
         text_of("device_", n % 4).alias("source_device_id"),
+        F.when(n % 8 == 0, text_of("device_", (n + 1) % 4)).otherwise(F.lit("")).alias("target_device_id"),
         text_of("turn_", n % 500).alias("source_turn_id"),
         F.when(n % 13 != 0, hours).alias("memory_time"),
+        choose(F.substring("source", 4, 9).cast("int") % 11, MEMORY_TYPES).alias("memory_type"),
+        F.when(n % 23 == 0, F.lit("Archived")).alias("room_status"),
+        choose(n % 10, ['{"location": {"room": "and"}}', '{"note": "plain"}', "no json", *["{}"] * 7]).alias("extensions"),
+        (n % 5 + 1).cast("int").alias("importance"),
     )
 
 
+def closets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of source files with their vectors; a file can have several."""
+    d, v = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
+    return d.where("doc_id % 3 = 1").join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("drawer_id"), F.col("source").alias("source_file"), "embedding")
+
+
 def command_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status notifications of requests, in order of seq."""
     e = load(spark, sf_dir, "events")
@@ -141,3 +161,41 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     then = Window.partitionBy("conv_id").orderBy("turn")
     c = c.withColumn("next_role", F.lead("role").over(then)).withColumn("next_text", F.lead("text").over(then))
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_text"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("assistant_text"))
+
+
+def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents on canonical facts, in order of seq, with whether their projections are done."""
+    e = load(spark, sf_dir, "events")
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type").isin("view", "click"), "add").when(F.col("event_type") == "purchase", "invalidate").when(F.col("event_type") == "signup", "reactivate").when(n % 20 == 0, "forget").otherwise("add")
+    result = F.when(F.col("event_type") == "purchase", choose(n % 2, ["invalidated", "superseded"])).when(kind == "forget", choose(F.floor(n / 20) % 2, ["hard", "soft"]))
+    states = ["projected", "pending", "not_required"]
+    return e.select(
+        text_of("fact_", F.col("user_id"), "_", n % 10).alias("fact_id"), text_of("slot_", F.col("user_id")).alias("slot"), n.alias("seq"), kind.alias("kind"), result.alias("result"),
+        text_of("intent_", n % 3000).alias("intent_id"), text_of("turn_", n % 500).alias("source"), (n % 7 != 0).alias("applied"), choose(n % 3, states).alias("drawer"), choose(F.floor(n / 3) % 3, states).alias("kg"), "ts",
+    )
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an extractor proposes for turns: fragments, statements, invalidations and privacy actions, with the text they quote."""
+    e = load(spark, sf_dir, "events")
+    n = F.col("event_id")
+    named = F.create_map(*(F.lit(x) for kv in PREDICATES.items() for x in kv))[F.col("event_type")]
+    return e.select(
+        text_of("space_", F.col("user_id") % 4).alias("space_id"), text_of("turn_", n % 500).alias("turn_id"), choose(n % 4, ["fragment", "triple", "invalidation", "privacy"]).alias("kind"), n.alias("idx"),
+        F.col("props").alias("content"), F.col("props").alias("user_text"), F.when(n % 3 == 0, F.lit("zz")).when(n % 11 == 0, F.lit(" ")).otherwise(F.substring("props", 3, 6)).alias("evidence_quote"),
+        text_of("user:", F.col("user_id")).alias("subject"), F.when(n % 5 != 0, named).alias("predicate"), text_of("item:", F.regexp_extract("props", "[0-9]+", 0)).alias("object"),
+        ((n % 10).cast("double") / 10).alias("confidence"), ((n % 8).cast("double") / 8).alias("fact_confidence"), (n % 5 + 1).cast("int").alias("importance"),
+        choose(n % 6, ["personal", "household", "personal", "personal", "personal", "personal"]).alias("layer"), choose(n % 7, ["persona", "persona", "device", "persona", "persona", "persona", "persona"]).alias("scope"),
+        choose(n % 13, ["current_device", *["all_devices"] * 12]).alias("visibility"), F.when(n % 17 == 0, F.lit("device_1")).otherwise(F.lit("")).alias("target_device_id"), choose(n % 9, ["sensitive", "private", *["normal"] * 7]).alias("privacy"),
+        F.when(n % 2 == 0, F.col("ts")).alias("valid_from"), F.col("ts").alias("occurred_at"),
+    )
+
+
+def turn_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who speaks in a turn: space, audience, device, layer, person."""
+    k = F.col("id")
+    return spark.range(500).select(
+        text_of("turn_", k).alias("turn_id"), text_of("space_", k % 4).alias("space_id"), choose(k % 3, ["owner", "companion:c0", "companion:c1"]).alias("audience"), text_of("device_", k % 5).alias("device_id"),
+        choose(k % 6, ["household", *["personal"] * 5]).alias("layer"), F.when(k % 8 != 0, text_of("person_", k % 3)).alias("person_id"),
+    )

@@ -9,15 +9,15 @@ from recallspark.functions import ids
 from recallspark.operators import browse, evaluation, graph, ledgers, retrieval
 from recallspark.operators.visibility import Caller, tier, visible
 
-STATEMENT = "statement_id string, subject_id string, predicate string, object_id string, audience string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz, confidence double, sensitive boolean, source_turn_id string"
+STATEMENT = "statement_id string, subject_id string, predicate string, object_id string, audience string, valid_from timestamp_ntz, valid_to timestamp_ntz, recorded_at timestamp_ntz, confidence double, sensitive boolean, source_turn_id string, space_id string, projection_id string"
 
 
 def day(n):
     return datetime(2024, 1, n) if n else None
 
 
-def statement(k, s="a", p="likes", o="b", audience="owner", start=1, end=None, recorded=1, confidence=0.5, sensitive=False, turn="t"):
-    return (f"s{k}", s, p, o, audience, day(start), day(end), day(recorded), confidence, sensitive, turn)
+def statement(k, s="a", p="likes", o="b", audience="owner", start=1, end=None, recorded=1, confidence=0.5, sensitive=False, turn="t", space="x", projection=None):
+    return (f"s{k}", s, p, o, audience, day(start), day(end), day(recorded), confidence, sensitive, turn, space, projection)
 
 
 @pytest.fixture
@@ -48,7 +48,7 @@ def test_hidden_rows_do_not_fill_the_window(table):
 
 def test_entity_that_is_both_ends_counts_once(spark, table):
     df = table(statement(1, s="a", o="a"), statement(2, s="a", o="b"))
-    entities = spark.createDataFrame([("a", "A"), ("b", "B")], "entity_id string, name string")
+    entities = spark.createDataFrame([("x", "a", "A"), ("x", "b", "B"), ("y", "a", "Z")], "space_id string, entity_id string, name string")
     assert [tuple(r) for r in graph.entities_of_turns(df, entities, ["t"], 9).collect()] == [("A", 2), ("B", 1)]
     assert names(graph.entity_read(df, "a")) == ["s1", "s2"]
 
@@ -67,24 +67,28 @@ def test_replayed_add_does_not_resurrect_and_supersede_leaves_no_gap(table):
 
 def test_invalidate_closes_open_statements_only(spark, table):
     df = table(statement(1, start=2), statement(2, start=2, end=9), statement(3, start=8))
-    ends = spark.createDataFrame([("a", "likes", "b", day(1)), ("a", "likes", "b", day(6)), ("a", "likes", "b", day(5))], "subject_id string, predicate string, object_id string, ended_at timestamp_ntz")
-    assert {r.statement_id: r.valid_to for r in graph.invalidate(df, ends).collect()} == {"s1": day(5), "s2": day(9), "s3": None}
+    ends = spark.createDataFrame([("x", "a", "likes", "b", day(1)), ("x", "a", "likes", "b", day(6)), ("x", "a", "likes", "b", day(5)), ("y", "a", "likes", "b", day(4))], "space_id string, subject_id string, predicate string, object_id string, ended_at timestamp_ntz")
+    assert {r.statement_id: r.valid_to for r in graph.invalidate(df, ends, ["owner"]).collect()} == {"s1": day(5), "s2": day(9), "s3": None}
 
 
-def test_longest_name_wins_and_empty_names_never_match(spark):
-    phrases = spark.createDataFrame([(1, "Visit New York City"), (2, ""), (3, None)], "phrase_id int, phrase string")
-    found = spark.createDataFrame([("a", "york"), ("b", "new york"), ("c", ""), ("d", "paris")], "entity_id string, match string")
-    assert [(r.phrase_id, r.entity_id, r["rank"]) for r in graph.match_names(phrases, found).orderBy("rank").collect()] == [(1, "b", 1), (1, "a", 2)]
+def test_whole_names_then_tails_then_aliases_longest_first(spark):
+    phrases = spark.createDataFrame([(1, "x", "Visit new york with BINGO"), (2, "x", ""), (3, "x", None), (4, "y", "new york")], "phrase_id int, space_id string, phrase string")
+    entities = spark.createDataFrame([("x", "a", "york"), ("x", "b", "new york"), ("x", "c", ""), ("x", "d", "Visit New"), ("x", "e", "pet:with"), ("x", "f", "dog"), ("x", "g", "tail:")], "space_id string, entity_id string, name string")
+    mentions = spark.createDataFrame([("x", "f", "bingo", 0.9, "owner"), ("x", "a", "visit", 0.9, "owner"), ("x", "b", "with", 0.5, "companion:z")], "space_id string, entity_id string, alias string, confidence double, audience string")
+    found = lambda **k: [(r.phrase_id, r.name, r.stage) for r in graph.matched_entities(phrases, entities, mentions, ["owner"], **k).orderBy("phrase_id", "rank").collect()]
+    assert found(cap=9) == [(1, "new york", 0), (1, "york", 0), (1, "pet:with", 1), (1, "dog", 2)]
+    assert found(cap=2) == [(1, "new york", 0), (1, "york", 0)]
+    assert found(cap=9, aliases_only=True) == [(1, "dog", 2), (1, "york", 2)]
 
 
 def test_visibility_fails_closed(spark):
-    kind = "id int, wing string, space_id string, privacy string, layer string, visibility string, scope string, session_id string, person_id string, audience string, source_device_id string"
-    base = dict(wing="Wing_Life", space_id="s", privacy=None, layer=None, visibility=None, scope=None, session_id=None, person_id=None, audience=None, source_device_id=None)
-    changes = [{}, {"wing": "Wing_Privacy"}, {"space_id": "o"}, {"privacy": "DO_NOT_RECALL"}, {"privacy": "private"}, {"visibility": "private"}, {"scope": "session"}, {"scope": "session", "session_id": "x"}, {"person_id": "p"}, {"person_id": ""}, {"audience": "c"}, {"visibility": "current_device"}, {"visibility": "current_device", "source_device_id": "d"}]
+    kind = "id int, wing string, space_id string, privacy string, layer string, visibility string, scope string, session_id string, person_id string, audience string, source_device_id string, target_device_id string"
+    base = dict(wing="Wing_Life", space_id="s", privacy=None, layer=None, visibility=None, scope=None, session_id=None, person_id=None, audience=None, source_device_id=None, target_device_id=None)
+    changes = [{}, {"wing": "Wing_Privacy"}, {"space_id": "o"}, {"privacy": "DO_NOT_RECALL"}, {"privacy": "private"}, {"visibility": "private"}, {"scope": "session"}, {"scope": "session", "session_id": "x"}, {"person_id": "p"}, {"person_id": ""}, {"audience": "c"}, {"visibility": "current_device"}, {"visibility": "current_device", "source_device_id": "d"}, {"visibility": "current_device", "target_device_id": "d"}]
     df = spark.createDataFrame([(k, *(base | c).values()) for k, c in enumerate(changes)], kind)
     see = lambda c: {r.id for r in df.where(visible(c)).collect()}
     assert see(Caller("s")) == {0, 9}
-    assert see(Caller("s", session_id="x", person_id="p", device_id="d", audiences=("owner", "c"))) == {0, 7, 8, 9, 10, 12}
+    assert see(Caller("s", session_id="x", person_id="p", device_id="d", audiences=("owner", "c"))) == {0, 7, 8, 9, 10, 12, 13}
     assert see(Caller("s", audiences=())) == set() and see(Caller("s", layers=("household",))) == set()
     assert see(Caller("s", every_audience=True, include_private=True)) == {0, 4, 5, 6, 7, 8, 9, 10}
     assert df.select(F.max(tier(Caller("s")))).first()[0] == 0.75
