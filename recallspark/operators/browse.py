@@ -71,3 +71,38 @@ def theme_groups(drawers: DataFrame, since: Column, window_days: int, least: int
     ids, named = F.array_join("kept.id", ","), F.array_join(F.array_sort("kept.id"), ",")
     theme = F.substring(F.sha2(F.concat_ws("|", *key, F.lit(str(window_days)), named), 256), 1, 16)
     return out.where(F.col("drawers") >= least).select(*key, "drawers", ids.alias("ids"), theme.alias("theme_id"))
+
+
+def hierarchy(drawers: DataFrame, wings: list[str], previews: int = 3, width: int = 96) -> DataFrame:
+    """Wing, room and how many drawers each holds, with previews of the first ones (blanks squeezed, cut with an ellipsis), and whether there are more.
+
+    Wings that are configured but empty have one row without a room; equal previews of a room count once.
+    """
+    plain_text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\p{Z}]+", " "))
+    short = F.when(F.char_length(plain_text) > width, F.concat(F.substring(plain_text, 1, width), F.lit("…"))).otherwise(plain_text)
+    rows = drawers.select("wing", "room", "drawer_id", short.alias("preview"))
+    counts = rows.groupBy("wing", "room").agg(F.count("*").alias("drawers"))
+    once = rows.groupBy("wing", "room", "preview").agg(F.min("drawer_id").alias("first"))
+    place = Window.partitionBy("wing", "room").orderBy("first")
+    some = once.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= previews + 1).groupBy("wing", "room").agg(F.array_sort(F.collect_list(F.struct("_n", "preview"))).alias("p"))
+    shown = F.transform(F.slice("p", 1, previews), lambda x: x["preview"])
+    out = counts.alias("c").join(some.alias("s"), F.expr("c.wing <=> s.wing and c.room <=> s.room")).select("c.wing", "c.room", "c.drawers", shown.alias("previews"), (F.size("p") > previews).alias("truncated"))
+    configured = drawers.sparkSession.createDataFrame([(w,) for w in wings], "wing string").join(counts.select("wing").distinct(), "wing", "left_anti")
+    return out.unionByName(configured.select("wing", F.lit(None).cast("string").alias("room"), F.lit(0).cast("long").alias("drawers"), F.array().cast("array<string>").alias("previews"), F.lit(False).alias("truncated")))
+
+
+def entries_with_counts(drawers: DataFrame, limit: int, since: Column, until: Column) -> DataFrame:
+    """The newest dated drawers of a window, with whether it holds more, and how many drawers have no date and so are in no window."""
+    dated = drawers.where((F.col("memory_time") >= since) & (F.col("memory_time") < until))
+    more = dated.agg((F.count("*") > limit).alias("m")).scalar()
+    undated = drawers.agg(F.count_if(F.col("memory_time").isNull()).alias("u")).scalar()
+    return dated.orderBy(F.desc("memory_time"), F.desc("drawer_id")).limit(limit).withColumn("more_in_window", more).withColumn("undated_count", undated)
+
+
+#: What an export names of each record.
+EXPORTED = ["drawer_id", "text", "memory_time", "wing", "room", "memory_type", "importance", "audience", "source_turn_id"]
+
+
+def capped_edges(drawers: DataFrame, limit: int) -> DataFrame:
+    """The pairs of rooms that share most wings, at most `limit`, those of more wings first."""
+    return room_edges(drawers).orderBy(F.desc("shared"), "room", "other").limit(limit)

@@ -12,11 +12,11 @@ def recall_and_mrr(found: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("hit") / F.col("n")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
-    """Nearest-rank percentiles of each group (position floor(share * n), at least 1), by ranks instead of gathered lists."""
+def nearest_rank(rows: DataFrame, by: str, value: str, shares: list[float], up: bool = False) -> DataFrame:
+    """Nearest-rank percentiles of each group (position floor(share * n), or rounded up; at least 1), by ranks instead of gathered lists."""
     place = Window.partitionBy(by).orderBy(value)
     ranked = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(place)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    at = lambda s: F.max(F.when(F.col("_r") == F.greatest(F.floor(F.lit(s) * F.col("_n")), F.lit(1)), F.col(value)))
+    at = lambda s: F.max(F.when(F.col("_r") == F.greatest((F.ceil if up else F.floor)(F.lit(s) * F.col("_n")), F.lit(1)), F.col(value)))
     return ranked.groupBy(by).agg(F.count("*").alias("n"), *(at(s).alias(f"p{round(100 * s)}") for s in shares))
 
 
@@ -97,3 +97,19 @@ def shadow_scores(runs: DataFrame) -> DataFrame:
     for g in gates:
         passed = passed + g.cast("int")
     return out.withColumn("gates_passed", passed).withColumn("overall_pass", (F.col("total") > 0) & (passed == len(gates)))
+
+
+# fixed values: the least that extraction has to reach, by what is extracted
+GATES = {"triple": (0.85, 0.70), "invalidation": (0.90, 0.80)}
+
+
+def extraction_gates(proposed: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Per kind: matched, proposed and gold rows as multisets, precision, recall, and whether they pass the kind's gates (none: they pass)."""
+    p, g = proposed.groupBy("kind", *keys).agg(F.count("*").alias("p")), gold.groupBy("kind", *keys).agg(F.count("*").alias("g"))
+    both = p.join(g, ["kind", *keys], "full").select("kind", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("g", F.lit(0)).alias("g"))
+    out = both.groupBy("kind").agg(F.sum(F.least("p", "g")).alias("matched"), F.sum("p").alias("proposed"), F.sum("g").alias("gold"))
+    out = out.withColumn("precision", F.round(F.try_divide("matched", "proposed"), 6)).withColumn("recall", F.round(F.try_divide("matched", "gold"), 6))
+    passed = F.lit(True)
+    for kind, (least_p, least_r) in GATES.items():
+        passed = F.when(F.col("kind") == kind, (F.coalesce("precision", F.lit(0.0)) >= least_p) & (F.coalesce("recall", F.lit(0.0)) >= least_r)).otherwise(passed)
+    return out.withColumn("passed", passed)

@@ -206,3 +206,24 @@ def commitments_of_sources(revisions: DataFrame, commitments: DataFrame, sources
     """The commitments that some source events revised, each once."""
     hit = revisions.join(sources.select("source").distinct(), "source", "left_semi").select("commitment_id").distinct()
     return commitments.join(hit, "commitment_id", "left_semi")
+
+
+def commitment_listing(commitments: DataFrame, limit: int) -> DataFrame:
+    """Active ones first by due date (none last), then the rest by when they were last updated, newest first; with the exact total and whether the page is cut."""
+    live = F.col("status").isin("proposed", "confirmed")
+    total = commitments.agg(F.count("*").alias("t")).scalar()
+    page = commitments.orderBy(F.desc(live), F.asc_nulls_last(F.when(live, F.col("due_at"))), F.desc_nulls_last("updated_at"), "commitment_id").limit(limit)
+    return page.withColumn("total", total).withColumn("truncated", F.col("total") > limit)
+
+
+#: The counters of open work that together say whether a memory is materialised.
+OPEN = ["drawer_not_projected", "kg_not_projected", "invalidations_pending", "supersessions_pending", "reactivations_pending", "forget_projections_pending"]
+
+
+def materialization_status(stats: DataFrame, dead: Column) -> DataFrame:
+    """pending (the sum of OPEN) and state: unavailable without numbers, degraded with dead letters, materializing while anything is open, else ready."""
+    pending = F.lit(0)
+    for c in OPEN:
+        pending = pending + F.coalesce(F.col(c), F.lit(0))
+    state = F.when(F.col("assertions_total").isNull(), F.lit("unavailable")).when(dead > 0, F.lit("degraded")).when(pending > 0, F.lit("materializing")).otherwise(F.lit("ready"))
+    return stats.select(pending.alias("pending"), state.alias("state"))

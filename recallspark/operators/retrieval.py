@@ -74,13 +74,13 @@ def bm25(drawers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     words = drawers.select("drawer_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    n, mean = (words.agg(f.cast("double").alias("x")).scalar() for f in (F.count("*"), F.avg("size")))
+    total = words.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean")).alias("x")).scalar()
     asked = terms.select("term").distinct()
     posts = words.select("drawer_id", "size", F.explode("words").alias("term")).join(asked, "term", "left_semi").groupBy("term", "drawer_id", "size").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
-    scores = posts.join(df, "term").withColumn("part", part).join(terms, "term").groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    idf = F.log(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / total["mean"]))
+    scores = posts.withColumn("part", part).join(terms, "term").groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "drawer_id")
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 

@@ -91,6 +91,19 @@ def unwrapped(messages: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("_e")
 
 
+COMMANDS = ["remember", "forget", "correct", "add_triple", "invalidate", "commitment"]
+COMMAND = "struct<kind:string,request_id:string,memory_space_id:string>"
+
+
+def commands_of(messages: DataFrame) -> DataFrame:
+    """messages (value) of commands with kind, request_id, space_id, body (the payload as a variant) and error; other messages go."""
+    rows = unwrapped(messages).where("kind = 'memory_command'").withColumn("_payload", F.from_json("value", ENVELOPE)["payload"])
+    c = F.from_json("_payload", COMMAND)
+    known = F.coalesce(c["kind"].isin(COMMANDS), F.lit(False))
+    error = F.when(~known, F.lit("unknown command")).when(F.coalesce(F.trim(c["request_id"]) == "", F.lit(True)), F.lit("command without id"))
+    return rows.select("*", c["kind"].alias("command"), c["request_id"].alias("request_id"), c["memory_space_id"].alias("space_id"), F.try_parse_json("_payload").alias("body")).withColumn("error", error).drop("_payload", "turn")
+
+
 def retained(messages: DataFrame, newest: Column, days: int = 14, most: int = 5000, most_bytes: int = 512 << 20) -> DataFrame:
     """Messages (space_id, seq, ts, bytes) that a stream with limits keeps: no older than `days`, then the newest while count and bytes of a space allow; old ones go first."""
     rows = messages.where(F.col("ts") >= newest - F.make_dt_interval(F.lit(days)))

@@ -476,3 +476,74 @@ def commitment_shadow(s, d):
         F.when(u % 3 == 1, F.lit("act")).alias("expected_action"), F.when(n % 13 != 0, F.lit("act")).otherwise(F.lit("other")).alias("actual_action"), F.when(u % 3 == 2, F.lit("t1")).alias("expected_target"), F.when(n % 17 != 0, F.lit("t1")).alias("actual_target"), ((n % 10) / 10).alias("confidence"),
     )
     return evaluation.shadow_scores(rows)
+
+
+# listings and statuses
+
+
+_PREVIEW = r"trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g'))"
+
+
+@register("drawers", f"""SELECT wing, room, drawers, array_to_string(p[1:3], '|') AS previews, len(p) > 3 AS truncated FROM (SELECT wing, room, sum(n)::BIGINT AS drawers, list(preview ORDER BY first) AS p FROM (SELECT wing, room, preview, count(*) AS n, min(drawer_id) AS first FROM (
+ SELECT wing, room, drawer_id, CASE WHEN length({_PREVIEW}) > 96 THEN substr({_PREVIEW}, 1, 96) || '…' ELSE {_PREVIEW} END AS preview FROM drawers) GROUP BY 1, 2, 3) GROUP BY 1, 2) UNION ALL SELECT 'Wing_Spare', NULL, 0, '', false""")
+def hierarchy_snapshot(s, d):
+    return browse.hierarchy(views.drawers(s, d), [*views.WINGS, "Wing_Spare"]).withColumn("previews", F.array_join("previews", "|"))
+
+
+@register("visible_drawers", f"SELECT drawer_id, {sql_iso('v.memory_time')} AS memory_time, (SELECT count(*) > 10 FROM visible_drawers WHERE memory_time >= TIMESTAMP '2024-01-02' AND memory_time < TIMESTAMP '2024-01-20') AS more_in_window, (SELECT count(*) FROM visible_drawers WHERE memory_time IS NULL) AS undated_count FROM visible_drawers v WHERE v.memory_time >= TIMESTAMP '2024-01-02' AND v.memory_time < TIMESTAMP '2024-01-20' ORDER BY v.memory_time DESC, drawer_id DESC LIMIT 10")
+def entries_window(s, d):
+    return browse.entries_with_counts(recallable(s, d), 10, graph.time("2024-01-02T00:00:00"), graph.time("2024-01-20T00:00:00")).select("drawer_id", iso(F.col("memory_time")).alias("memory_time"), "more_in_window", "undated_count")
+
+
+@register("visible_drawers", f"SELECT {', '.join(c if c != 'memory_time' else sql_iso('v.memory_time') + ' AS memory_time' for c in browse.EXPORTED)} FROM visible_drawers v")
+def export_records(s, d):
+    return browse.export(views.drawers(s, d), visibility.visible(CALLER)).select(*browse.EXPORTED).withColumn("memory_time", iso(F.col("memory_time")))
+
+
+@register("drawers", "SELECT a.room, b.room AS other, count(*) AS shared FROM (SELECT DISTINCT room, wing FROM drawers) a JOIN (SELECT DISTINCT room, wing FROM drawers) b ON a.wing = b.wing AND a.room < b.room GROUP BY 1, 2 ORDER BY shared DESC, a.room, other LIMIT 3")
+def room_edges_capped(s, d):
+    return browse.capped_edges(views.drawers(s, d), 3)
+
+
+@register("drawers", f"""SELECT drawer_id FROM drawers WHERE wing <> 'Wing_Privacy' AND space_id = 'space_0' AND privacy NOT IN ('do_not_recall', 'private') AND visibility <> 'private' AND {_DEVICE}""")
+def owner_recollections(s, d):
+    """What the owner sees in their own memory: every audience."""
+    from recallspark.operators.recall import owner_view
+
+    return views.drawers(s, d).where(visibility.visible(owner_view(CALLER))).select("drawer_id")
+
+
+@register("", "SELECT event_type, count(*) AS n, max(value) FILTER (r = greatest(ceil(0.5 * c), 1)) AS p50, max(value) FILTER (r = greatest(ceil(0.99 * c), 1)) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def percentiles_rounded_up(s, d):
+    return evaluation.nearest_rank(load(s, d, "events"), "event_type", "value", [0.5, 0.99], up=True)
+
+
+@register("claims", """, p AS (SELECT kind, subject, object, count(*) AS p FROM claims WHERE confidence >= 0.3 GROUP BY ALL), g AS (SELECT kind, subject, object, count(*) AS g FROM claims WHERE fact_confidence >= 0.25 GROUP BY ALL),
+b AS (SELECT kind, sum(least(coalesce(p, 0), coalesce(g, 0)))::BIGINT AS matched, sum(coalesce(p, 0))::BIGINT AS proposed, sum(coalesce(g, 0))::BIGINT AS gold FROM p FULL JOIN g USING (kind, subject, object) GROUP BY 1)
+SELECT *, round(matched / proposed, 6) AS precision, round(matched / gold, 6) AS recall, CASE kind WHEN 'triple' THEN round(matched / proposed, 6) >= 0.85 AND round(matched / gold, 6) >= 0.70 WHEN 'invalidation' THEN round(matched / proposed, 6) >= 0.90 AND round(matched / gold, 6) >= 0.80 ELSE true END AS passed FROM b""")
+def extraction_gates(s, d):
+    rows = views.claims(s, d)
+    return evaluation.extraction_gates(rows.where("confidence >= 0.3"), rows.where("fact_confidence >= 0.25"), ["subject", "object"])
+
+
+@register("", """WITH c AS (SELECT o_orderkey AS commitment_id, (['proposed', 'fulfilled', 'confirmed', 'cancelled'])[o_orderkey % 4 + 1] AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS due_at, o_orderdate AS updated_at FROM orders)
+SELECT commitment_id, status, (SELECT count(*) FROM c) AS total, (SELECT count(*) > 50 FROM c) AS truncated FROM c ORDER BY status IN ('proposed', 'confirmed') DESC, CASE WHEN status IN ('proposed', 'confirmed') THEN due_at END ASC NULLS LAST, updated_at DESC NULLS LAST, commitment_id LIMIT 50""")
+def commitment_listing(s, d):
+    k = F.col("o_orderkey")
+    rows = load(s, d, "orders").select(k.alias("commitment_id"), views.choose(k % 4, ["proposed", "fulfilled", "confirmed", "cancelled"]).alias("status"), F.when(k % 3 != 0, F.col("o_orderdate")).alias("due_at"), F.col("o_orderdate").alias("updated_at"))
+    return ledgers.commitment_listing(rows, 50).select("commitment_id", "status", "total", "truncated")
+
+
+@register("canonical", """SELECT pending, CASE WHEN pending > 0 THEN 'materializing' ELSE 'ready' END AS state FROM (SELECT (count(*) FILTER (state = 'active' AND drawer = 'pending') + count(*) FILTER (state = 'active' AND kg = 'pending') + sum(invalidations_pending) + sum(supersessions_pending) + sum(reactivations_pending)
+ + count(*) FILTER (state = 'forgotten' AND drawer = 'pending') + count(*) FILTER (state = 'forgotten' AND kg = 'pending'))::BIGINT AS pending FROM canonical)""")
+def materialization_status(s, d):
+    return ledgers.materialization_status(canonical.stats(canonical.fold(views.canonical_events(s, d))), F.lit(0))
+
+
+@register("", """SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN (['remember', 'forget', 'correct', 'add_triple', 'invalidate', 'commitment', 'dance'])[event_id % 7 + 1] ELSE 'remember' END AS command, CASE WHEN event_id % 5 <> 0 THEN 'r' || event_id ELSE '' END AS request_id,
+ CASE WHEN event_id % 7 = 6 THEN 'unknown command' WHEN event_id % 5 = 0 THEN 'command without id' END AS error FROM events WHERE event_id % 2 = 0""")
+def command_parse(s, d):
+    n = F.col("event_id")
+    body = F.to_json(F.struct(views.choose(n % 7, [*storage.COMMANDS, "dance"]).alias("kind"), F.when(n % 5 != 0, text_of("r", n)).otherwise(F.lit("")).alias("request_id"), F.lit("space_0").alias("memory_space_id")))
+    value = F.to_json(F.struct(F.when(n % 2 == 0, F.lit("memory_command")).otherwise(F.lit("device_sync")).alias("kind"), body.alias("payload")))
+    return storage.commands_of(load(s, d, "events").select(n.alias("seq"), value.alias("value"))).select("seq", "command", "request_id", "error")
