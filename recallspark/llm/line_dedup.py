@@ -15,8 +15,8 @@ from recallspark.llm.common import materialize, table
 
 #: Of the line pairs, one in SPACING meets the condition; fewer lines than LEAST are never removed on their own.
 SPACING, LEAST = 2, 2
-#: Seeds of the chunk hash that are tried, and repeated chunks that may be sent to every task; more are joined by a shuffle.
-ATTEMPTS, BROADCAST_CHUNKS = 3, 100_000
+#: Seeds of the chunk hash that are tried, and bytes of repeated chunks' places that may be sent to every task; more are joined by a shuffle.
+ATTEMPTS, BROADCAST_BYTES = 3, 8 << 20
 
 _LINES = r"split(text, r'\n')"
 
@@ -61,7 +61,8 @@ def _later_places(chunks: DataFrame) -> DataFrame:
         if firsts.where("kinds > 1").limit(1).count():
             continue
         known = firsts.select("h", "first")
-        if firsts.count() <= BROADCAST_CHUNKS:
+        marks = F.size("first.before") + F.size("first.after")
+        if (firsts.agg(F.sum(100 + 8 * marks)).first()[0] or 0) <= BROADCAST_BYTES:
             known = F.broadcast(known)
         later = chunks.select("k", "c", h).join(known, "h").where((F.col("k") != F.col("first.k")) | (F.col("c") != F.col("first.c")))
         return later.groupBy("k").agg(F.collect_set(F.struct("c", F.col("first.before").alias("before"), F.col("first.after").alias("after"))).alias("gone"))

@@ -131,7 +131,7 @@ def test_line_dedup(spark, docs):
 def test_line_dedup_by_shuffle_equals_broadcast(spark, docs, monkeypatch):
     df = frame(spark, {d: t for d, t in docs.items() if d % 3})
     once = sorted(line_dedup.line_dedup(df).select("doc_id", "text").collect())
-    monkeypatch.setattr(line_dedup, "BROADCAST_CHUNKS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert sorted(line_dedup.line_dedup(df).select("doc_id", "text").collect()) == once
 
 
