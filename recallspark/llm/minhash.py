@@ -3,7 +3,8 @@
 Each word shingle is hashed once; its leading bits name a bin, and a bin keeps its smallest hash. Empty bins borrow from a bin
 that a hash of (bin, probe) picks until it finds one that isn't empty (optimal densification). Only the low-order byte of each
 bin is kept, eight to a long, and likeness corrects for bytes that agree by chance. Nothing is exploded: a document's
-fingerprint is one expression over its text.
+fingerprint is one expression over its text. An empty bin that finds none in 200 probes (only where very few bins are filled) borrows
+from the filled bin that its own number picks.
 """
 
 from __future__ import annotations
@@ -99,6 +100,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's fingerprints and likenesses of all documents, their edited texts and their successors."""
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("packed")).alias("fingerprint"), as_text(F.col("edited_packed")).alias("edited_fingerprint"), "near_edited", "near_next")
 
