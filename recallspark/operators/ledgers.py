@@ -85,37 +85,29 @@ def active_for_slot(facts: DataFrame) -> DataFrame:
     return live.groupBy("slot").agg(F.max(F.struct("last_seq", "fact_id")).alias("held"), (F.count("*") - 1).alias("conflicts")).select("slot", F.col("held.fact_id").alias("fact_id"), "conflicts")
 
 
-def step(state: Column, asked: Column) -> Column:
-    """The status after an intent: asked if it may follow, else unchanged; a first intent proposes or confirms."""
-    allowed = F.lit(False)
-    for before, after in TRANSITIONS.items():
-        allowed = allowed | ((state == before) & asked.isin(after))
-    return F.when(state.isNull(), F.when(asked == "confirmed", asked).otherwise(F.lit("proposed"))).when(allowed, asked).otherwise(state)
-
-
 def fold_commitments(events: DataFrame) -> DataFrame:
-    """Current commitments from ordered intents (commitment_id, promisor, place, status, participant, due_at).
+    """Current commitments from ordered intents (commitment_id, promisor, place, status, participant, due_at), under TRANSITIONS.
 
-    The intents of one commitment (bounded by its conversations) fold in an expression, in order of place: forbidden
-    transitions count as rejected and change nothing; others raise the revision, add their participant and replace a due date.
+    Forbidden transitions count as rejected and change nothing; others raise the revision, add their participant and replace a
+    due date. The fold needs no history in hand: a first intent confirms or proposes; the first later one that cancels or
+    supersedes, or fulfils what is confirmed, ends it; before that, intents confirm or, until then, propose again; after it only the
+    same end is taken. So window minima say of each intent whether it is taken, and the rest is one aggregation.
     """
-    kind = "struct<status:string,revision:int,rejected:int,participants:array<string>,due_at:timestamp_ntz>"
-    seed = F.from_json(F.lit('{"revision": 0, "rejected": 0, "participants": []}'), kind)
-
-    def apply(z: Column, e: Column) -> Column:
-        after = step(z["status"], e["status"])
-        taken = z["status"].isNull() | (after == e["status"])
-        return F.struct(
-            after.alias("status"),
-            (z["revision"] + F.when(taken, 1).otherwise(0)).alias("revision"),
-            (z["rejected"] + F.when(taken, 0).otherwise(1)).alias("rejected"),
-            F.when(taken, F.array_union(z["participants"], F.array(e["participant"]))).otherwise(z["participants"]).alias("participants"),
-            F.when(taken, F.coalesce(e["due_at"], z["due_at"])).otherwise(z["due_at"]).alias("due_at"),
-        )
-
-    rows = events.groupBy("commitment_id", "promisor").agg(F.array_sort(F.collect_list(F.struct("place", "status", "participant", "due_at"))).alias("events"))
-    state = rows.select("commitment_id", "promisor", F.aggregate("events", seed, apply).alias("z"))
-    return state.select("commitment_id", "promisor", "z.status", "z.revision", "z.rejected", F.array_sort("z.participants").alias("participants"), "z.due_at")
+    own, status, k = Window.partitionBy("commitment_id", "promisor"), F.col("status"), F.col("_k")
+    first = lambda test: F.min(F.when(test, k)).over(own)
+    rows = events.withColumn("_k", F.row_number().over(own.orderBy("place"))).withColumn("_sure", first(status == "confirmed"))
+    rows = rows.withColumn("_end", F.least(first(status.isin("cancelled", "superseded") & (k > 1)), first((status == "fulfilled") & (k > F.col("_sure")))))
+    rows = rows.withColumn("_as", F.max(F.when(k == F.col("_end"), status)).over(own))
+    before = F.col("_end").isNull() | (k < F.col("_end"))
+    goes_on = (status == "confirmed") | ((status == "proposed") & F.coalesce(k <= F.col("_sure"), F.lit(True)))
+    taken = (k == 1) | (before & goes_on) | F.coalesce((k >= F.col("_end")) & (status == F.col("_as")), F.lit(False))
+    rows = rows.withColumn("_taken", taken)
+    due = F.max(F.when(F.col("_taken") & F.col("due_at").isNotNull(), F.struct("_k", "due_at")))
+    return rows.groupBy("commitment_id", "promisor").agg(
+        F.coalesce(F.max("_as"), F.when(F.max("_sure").isNotNull(), F.lit("confirmed")).otherwise(F.lit("proposed"))).alias("status"),
+        F.count_if("_taken").cast("int").alias("revision"), F.count_if(~F.col("_taken")).cast("int").alias("rejected"),
+        F.array_sort(F.collect_set(F.when(F.col("_taken"), F.col("participant")))).alias("participants"), due["due_at"].alias("due_at"),
+    )
 
 
 def commitment_page(commitments: DataFrame, limit: int) -> DataFrame:
