@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from html.parser import HTMLParser
 from itertools import combinations
 
 import xxhash
@@ -108,3 +109,64 @@ def line_dedup(rows: dict[int, str], spacing: int = 2, least: int = 2) -> dict[i
                     k += 1
         out[d] = "\n".join(x for n, x in enumerate(lines[d]) if n not in gone)
     return out
+
+
+def _chain(values: list[bytes]) -> int:
+    """Spark's 64-bit hash of several values: each is hashed with the hash so far as its seed."""
+    seed = 42
+    for v in values:
+        seed = _xx(v, seed % (1 << 64))
+    return seed
+
+
+def fingerprint(text: str | None, bins: int = 128, n: int = 5) -> list[int]:
+    """One-permutation MinHash of word shingles, empty bins filled from probed ones, low bytes packed eight to a long."""
+    w = [struct.pack("<q", _xx(x.encode())) for x in words(text)]
+    hashes = [_chain(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [_chain(w)] if w else [_chain([struct.pack("<q", 0)])]
+    least: dict[int, int] = {}
+    for h in hashes:
+        j = (h >> 57) + bins // 2
+        least[j] = min(least.get(j, h), h)
+    held = [least[j] for j in sorted(least)]
+    int32 = lambda x: struct.pack("<i", x)
+    full = []
+    for i in range(bins):
+        donor = next((p for p in (i, *(_chain([int32(i), int32(t)]) % bins for t in range(1, 201))) if p in least), None)
+        full.append((least[donor] if donor is not None else held[_chain([int32(i)]) % len(held)]) & 255)
+    packed = [int.from_bytes(bytes(full[k : k + 8]), "big") for k in range(0, bins, 8)]
+    return [x - (1 << 64) if x >> 63 else x for x in packed]
+
+
+class _Article(HTMLParser):
+    """Texts of the blocks of article elements, for pages whose only boilerplate stands outside of them."""
+
+    INLINE = {"b", "i", "em", "strong", "a", "span"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.runs, self.silent = 0, [""], False
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.silent = tag in ("script", "style")
+        if tag == "br":
+            self.runs[-1] += " "
+        elif tag not in self.INLINE:
+            self.runs.append("")
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.runs.append("")
+        self.depth -= tag == "article"
+        self.silent = False
+
+    def handle_data(self, data):
+        if self.depth and not self.silent:
+            self.runs[-1] += data
+
+
+def article(page: str | None) -> str:
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    return "\n\n".join(t for t in (" ".join(r.split()) for r in parser.runs) if t)

@@ -186,3 +186,17 @@ def test_top_k_is_exact_beyond_doubles_and_over_many_blocks(spark):
     for query_block, vector_block in ((512, 8192), (2, 3)):
         out = topk.top_k(vectors.where("vec_id < 4"), vectors, k=3, query_block=query_block, vector_block=vector_block).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == sorted(want)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60] + brute.EDGE_TEXTS
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r.f for r in df.select("doc_id", minhash.fingerprint("text").alias("f")).collect()}
+    assert got == {k: brute.fingerprint(t) for k, t in enumerate(texts)}
+
+
+def test_registered_html_text_equals_a_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op10_html_text"](spark, sf).collect()}
+    assert got == {k: (t := brute.article(h), len(t)) for k, h in pages.items()}
