@@ -236,12 +236,32 @@ def policy_rank_boosted(s, d):
     return retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8, boost).select("query_id", "drawer_id", F.col("tier").alias("score"), "place")
 
 
-@register("placed drawers queries", """, t AS (SELECT * FROM (SELECT query_id, drawer_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
- SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05)
-SELECT query_id, drawer_id, row_number() OVER (PARTITION BY query_id ORDER BY side, place, drawer_id) AS place FROM (SELECT query_id, drawer_id, rank AS place, 0 AS side FROM t UNION ALL SELECT query_id, drawer_id, place, 1 FROM placed p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = p.query_id AND t.drawer_id = p.drawer_id))""")
-def theme_merge(s, d):
+_THEMED = """, t AS (SELECT * FROM (SELECT query_id, drawer_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
+ SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05),
+themed AS (SELECT query_id, drawer_id, row_number() OVER (PARTITION BY query_id ORDER BY side, place, drawer_id) AS place FROM (SELECT query_id, drawer_id, rank AS place, 0 AS side FROM t UNION ALL SELECT query_id, drawer_id, place, 1 FROM placed p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = p.query_id AND t.drawer_id = p.drawer_id)))
+"""
+
+
+def _themed(s, d) -> DataFrame:
     themes = retrieval.theme_channel(views.drawers(s, d), asked_vectors(s, d), floor=0.05)
-    return retrieval.with_themes(themes, retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8)).select("query_id", "drawer_id", "place")
+    return retrieval.with_themes(themes, retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8))
+
+
+@register("placed drawers queries", _THEMED + "SELECT query_id, drawer_id, place FROM themed")
+def theme_merge(s, d):
+    return _themed(s, d).select("query_id", "drawer_id", "place")
+
+
+@register(
+    "placed drawers queries statements",
+    _THEMED + f""", said AS (SELECT row_number() OVER (ORDER BY restates, side, ordinal) AS k, {_LINE} AS line FROM {_LINES.format(_MERGED)})
+SELECT query_id, (SELECT string_agg('- ' || line, chr(10) ORDER BY k) FROM said) || chr(10) || chr(10) || context AS context FROM ({_RENDERED.format("themed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)")})""",
+)
+def recall_context(s, d):
+    """A whole recall in one plan: records by vector and words, fused and ranked, themes before them, and the graph's merged facts above, as text."""
+    best = _themed(s, d).join(views.drawers(s, d).select(*_TEXTS), "drawer_id")
+    said = _merged(s, d).select(F.row_number().over(graph.Window.orderBy("restates", F.col("subject_id") != "user:8", "ordinal")).alias("ordinal"), _line().alias("line"))
+    return retrieval.render(best, best.select("query_id").distinct().join(F.broadcast(said)))
 
 
 @register("vector", "SELECT query_id, drawer_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, drawer_id) AS place FROM (SELECT query_id, drawer_id, round(coalesce(CASE WHEN drawer_id % 3 = 0 THEN similarity / 2 END, CASE WHEN drawer_id % 3 = 1 THEN similarity END, CASE WHEN drawer_id % 6 = 2 THEN 0.4::DOUBLE END, 0), 6) AS score FROM vector WHERE rank <= 12)) WHERE place <= 5")
