@@ -59,7 +59,7 @@ def fresh(rows: DataFrame, store: DataFrame, key: str, order: list[str]) -> Data
 def append_verified(rows: DataFrame, path: str, key: str, order: list[str]) -> int:
     """Appends what `fresh` lets through to the table at path, reads the keys back, and says how many were written."""
     spark = rows.sparkSession
-    store = spark.read.schema(rows.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], rows.schema)
+    store = spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
     new = fresh(rows, store, key, order)
     before = store.count()
     new.write.mode("append").parquet(path)
@@ -71,7 +71,7 @@ def append_verified(rows: DataFrame, path: str, key: str, order: list[str]) -> i
     return written
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -148,7 +148,7 @@ def write_snapshot(tables: dict[str, tuple[DataFrame, list[str]]], path: str) ->
 
 def verify_snapshot(spark: SparkSession, tables: dict[str, list[str]], path: str) -> DataFrame:
     """The faults of a snapshot against its manifest."""
-    held = {n: (spark.read.parquet(f"{path}/{n}"), c) for n, c in tables.items() if _exists(spark, f"{path}/{n}")}
+    held = {n: (spark.read.parquet(f"{path}/{n}"), c) for n, c in tables.items() if exists(spark, f"{path}/{n}")}
     required = spark.read.parquet(f"{path}/manifest")
     return manifest_faults(required, manifest(held) if held else required.limit(0))
 

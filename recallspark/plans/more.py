@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, evaluation, graph, ledgers, retrieval, steward, storage, visibility
-from recallspark.plans.catalog import _GROUPS, _HERE, _MERGED, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, _merged, asked, asked_vectors, at, recallable, register, seen
+from recallspark.operators import browse, canonical, evaluation, graph, ledgers, recall, retrieval, steward, storage, visibility
+from recallspark.plans.catalog import _MERGED, _RENDERED, _TEXTS, CALLER, READERS, SPACE, _fused, _merged, asked, asked_vectors, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
 from recallspark.sources.views import iso, load, text_of
@@ -528,9 +528,7 @@ def room_edges_capped(s, d):
 @register("drawers", f"""SELECT drawer_id FROM drawers WHERE wing <> 'Wing_Privacy' AND space_id = 'space_0' AND privacy NOT IN ('do_not_recall', 'private') AND visibility <> 'private' AND {_DEVICE}""")
 def owner_recollections(s, d):
     """What the owner sees in their own memory: every audience."""
-    from recallspark.operators.recall import owner_view
-
-    return views.drawers(s, d).where(visibility.visible(owner_view(CALLER))).select("drawer_id")
+    return views.drawers(s, d).where(visibility.visible(recall.owner_view(CALLER))).select("drawer_id")
 
 
 @register("", "SELECT event_type, count(*) AS n, max(value) FILTER (r = greatest(ceil(0.5 * c), 1)) AS p50, max(value) FILTER (r = greatest(ceil(0.99 * c), 1)) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) GROUP BY 1")

@@ -81,7 +81,7 @@ def consume(messages: DataFrame, process: Callable[[DataFrame], DataFrame], done
 
     def take(batch: DataFrame, number: int) -> None:
         rows = batch.where("route = 'process'").withColumn("attempt", F.lit(0))
-        if storage._exists(spark, f"{retry}/_batch={number - 1}"):
+        if storage.exists(spark, f"{retry}/_batch={number - 1}"):
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{retry}/_batch={number - 1}"))
         out = process(rows).withColumn("attempt", F.col("attempt") + 1).withColumn("error", F.when(F.col("failed"), F.coalesce("error", F.lit("failed"))).otherwise(F.col("error"))).persist()
         again = F.col("failed") & (F.col("attempt") < deliveries)
