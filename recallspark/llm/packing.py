@@ -9,7 +9,6 @@ joins ranks with the fillings' places.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
