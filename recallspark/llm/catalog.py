@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_counts", "byte_bpe", "packing", "simhash", "topk", "substring_dedup", "minhash", "line_dedup", "html_text", "language_id", "mixing"]
+MODULES = ["token_counts", "byte_bpe", "packing", "simhash", "topk", "substring_dedup", "minhash", "line_dedup", "html_text", "language_id", "mixing", "whitening", "phrases"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
