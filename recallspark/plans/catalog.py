@@ -336,10 +336,10 @@ def policy_rank(s, d):
     return retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8).select("query_id", "drawer_id", "tier", "place")
 
 
-@register("drawers queries", """SELECT query_id, drawer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
- SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05""")
+@register("visible_drawers queries", """SELECT query_id, drawer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
+ SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM visible_drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05""")
 def theme_channel(s, d):
-    return retrieval.theme_channel(views.drawers(s, d), asked_vectors(s, d), floor=0.05).select("query_id", "drawer_id", "similarity")
+    return retrieval.theme_channel(recallable(s, d), asked_vectors(s, d), floor=0.05).select("query_id", "drawer_id", "similarity")
 
 
 @register("placed", f"SELECT query_id, place, drawer_id, wing, source_turn_id, {sql_iso('memory_time')} AS memory_time, rrf, similarity FROM placed JOIN (SELECT drawer_id, wing, source_turn_id, memory_time FROM drawers) d USING (drawer_id)")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, evaluation, graph, ledgers, recall, retrieval, steward, storage, visibility
-from recallspark.plans.catalog import _MERGED, _RENDERED, _TEXTS, CALLER, READERS, SPACE, _fused, _merged, asked, asked_vectors, recallable, register
+from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, recall, retrieval, steward, storage, visibility
+from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
 from recallspark.sources.views import iso, load, text_of
@@ -136,17 +136,82 @@ def fact_lines(s, d):
     return views.statements(s, d).select("statement_id", _line().alias("line"))
 
 
-@register(
-    "placed statements drawers",
-    f""", said AS (SELECT row_number() OVER (ORDER BY restates, side, ordinal) AS k, {_LINE} AS line FROM {_LINES.format(_MERGED)})
-SELECT query_id, (SELECT string_agg('- ' || line, chr(10) ORDER BY k) FROM said) || chr(10) || chr(10) || context AS context FROM ({_RENDERED.format("placed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)")})""",
-)
+# the graph half of recalls
+
+
+_ENDED = "SELECT *, unnest(CASE WHEN subject_id = object_id THEN [subject_id] ELSE [subject_id, object_id] END) AS entity_id FROM statements"
+
+
+def _facts_sql(name: str, frontier: str) -> str:
+    """The best statements about each entity of a frontier (query_id, space_id, name, ordinal)."""
+    return f"""{name} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY ordinal, erank) AS ordinal) FROM (
+ SELECT f.query_id, f.ordinal, t.* FROM {frontier} f JOIN entities e ON e.space_id = f.space_id AND e.name = f.name JOIN best t ON t.space_id = e.space_id AND t.entity_id = e.entity_id
+ QUALIFY row_number() OVER (PARTITION BY f.query_id, statement_id ORDER BY f.ordinal, erank) = 1))"""
+
+
+def _recall_sql(recalled: str) -> str:
+    """Statements of each query of `asking` (query_id, space_id, query) with its `hints` and recalled turns."""
+    return f""", best AS (SELECT *, row_number() OVER (PARTITION BY space_id, entity_id ORDER BY {_ORDER}) AS erank FROM ({_ENDED} WHERE {_SEEN} AND {_VALID}) QUALIFY erank <= 8),
+found AS (SELECT query_id, name, 0 AS stage, -length(name) AS short FROM asking JOIN entities USING (space_id) WHERE name <> '' AND contains(query, name)
+ UNION ALL SELECT query_id, name, 1, -length(name) FROM asking JOIN entities USING (space_id) WHERE contains(name, ':') AND substr(name, instr(name, ':') + 1) <> '' AND contains(query, substr(name, instr(name, ':') + 1))
+ UNION ALL SELECT query_id, name, 2, -length(alias) FROM asking JOIN mentions USING (space_id) JOIN entities USING (space_id, entity_id) WHERE audience IN ('owner', 'companion:c0') AND contains(lower(query), alias)),
+matched AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY place, name) AS rank FROM (SELECT query_id, name, min((stage, short)) AS place FROM found GROUP BY 1, 2) QUALIFY rank <= 3),
+led AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY place, name) AS ordinal FROM (SELECT query_id, name, min(place) AS place FROM hints GROUP BY 1, 2) QUALIFY ordinal <= 3),
+seeds AS (SELECT query_id, space_id, name, ordinal FROM asking JOIN (SELECT * FROM led UNION ALL SELECT m.query_id, m.name, coalesce(n, 0) + rank FROM matched m LEFT JOIN (SELECT query_id, count(*) AS n FROM led GROUP BY 1) u USING (query_id)
+ WHERE rank <= 3 - coalesce(n, 0) AND NOT EXISTS (SELECT 1 FROM led WHERE led.query_id = m.query_id AND led.name = m.name)) USING (query_id)),
+recalled AS ({recalled}),
+hops AS (SELECT query_id, space_id, name, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, name) AS ordinal FROM (SELECT DISTINCT query_id, space_id, source_turn_id FROM recalled) JOIN ({_ENDED} WHERE {_SEEN}) USING (space_id, source_turn_id) JOIN entities USING (space_id, entity_id) GROUP BY 1, 2, 3 QUALIFY ordinal <= 3),
+{_facts_sql("primaries", "seeds")}, {_facts_sql("expanded", "hops")},
+facts AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY restates, side, ordinal) AS ordinal) FROM (SELECT *, EXISTS (SELECT 1 FROM recalled r WHERE r.query_id = b.query_id AND r.source_turn_id = b.source_turn_id) AS restates FROM (
+ SELECT *, 0 AS side FROM primaries UNION ALL SELECT *, 1 FROM expanded) b QUALIFY row_number() OVER (PARTITION BY query_id, statement_id ORDER BY side, ordinal) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY restates, side, ordinal) <= 24)
+"""
+
+
+_ASKING = ", asking AS (SELECT query_id, 'space_0' AS space_id, query FROM queries), hints AS (SELECT query_id, 'user:' || (4 * (query_id % 30)) AS name, 1 AS place FROM queries WHERE query_id % 2 = 0 UNION ALL SELECT query_id, 'item:' || (query_id % 100), 2 FROM queries WHERE query_id % 4 = 0)"
+_RECALLED = _ASKING + _recall_sql("SELECT query_id, space_id, source_turn_id FROM placed JOIN (SELECT drawer_id, space_id, source_turn_id FROM visible_drawers) v USING (drawer_id)")
+_FACT_LINES = f"said AS (SELECT query_id, string_agg('- ' || {_LINE}, chr(10) ORDER BY ordinal) AS said FROM {_LINES.format('facts')} GROUP BY 1)"
+
+
+def _with_facts_sql(rows: str) -> str:
+    return f", {_FACT_LINES}, shown AS ({_RENDERED.format(rows)}) SELECT query_id, array_to_string([x FOR x IN [said, context] IF x IS NOT NULL], chr(10) || chr(10)) AS context FROM said FULL JOIN shown USING (query_id)"
+
+
+def _hints(s, d) -> DataFrame:
+    """What callers name beside their query: a user for every second one, an item besides for every fourth."""
+    q = asked(s, d)
+    n = F.col("query_id")
+    return q.where(n % 2 == 0).select(n, text_of("user:", 4 * (n % 30)).alias("name"), F.lit(1).alias("place")).unionByName(q.where(n % 4 == 0).select(n, text_of("item:", n % 100).alias("name"), F.lit(2).alias("place")))
+
+
+def _recall_facts(s, d, records: DataFrame) -> DataFrame:
+    """Each query's own statements; records: its recalled drawers."""
+    queries = asked(s, d).select("query_id", F.lit(SPACE).alias("space_id"), "query")
+    turns = records.select("query_id", "drawer_id").join(recallable(s, d).select("drawer_id", "space_id", "source_turn_id"), "drawer_id")
+    return graph_recall.recall(queries, _hints(s, d), turns, views.statements(s, d), views.entities(s, d), views.mentions(s, d), READERS, at())
+
+
+@register("placed queries statements entities mentions visible_drawers", _RECALLED + "SELECT query_id, ordinal, statement_id, restates FROM facts")
+def recall_facts(s, d):
+    """Facts of every recall query: about what its hints and its text name, then one hop from the records it found."""
+    return _recall_facts(s, d, retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8)).select("query_id", "ordinal", "statement_id", "restates")
+
+
+@register("statements entities mentions phrases", ", asking AS (SELECT phrase_id AS query_id, space_id, phrase AS query FROM phrases), hints AS (SELECT query_id, '' AS name, 0 AS place FROM asking WHERE false)" + _recall_sql("SELECT query_id, space_id, '' AS source_turn_id FROM asking WHERE false") + "SELECT query_id AS phrase_id, ordinal, statement_id FROM facts")
+def phrase_facts(s, d):
+    """Facts of everything that customers say, about what each phrase names."""
+    queries = views.phrases(s, d).withColumnsRenamed({"phrase_id": "query_id", "phrase": "query"})
+    none = queries.where("false")
+    found = graph_recall.recall(queries, none.select("query_id", F.lit("").alias("name"), F.lit(0).alias("place")), none.select("query_id", "space_id", F.lit("").alias("source_turn_id")), views.statements(s, d), views.entities(s, d), views.mentions(s, d), READERS, at())
+    return found.select(F.col("query_id").alias("phrase_id"), "ordinal", "statement_id")
+
+
+@register("placed queries statements entities mentions visible_drawers", _RECALLED + _with_facts_sql("placed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)"))
 def rendered_with_facts(s, d):
-    """The rendered memory with the merged statements of the graph above it."""
+    """The rendered memory of each query with its own facts above it."""
     rows = recallable(s, d)
-    said = _merged(s, d).select(F.row_number().over(graph.Window.orderBy("restates", F.col("subject_id") != "user:8", "ordinal")).alias("ordinal"), _line().alias("line"))
-    best = retrieval.policy_rank(_fused(s, d), rows, CALLER, 8).join(rows.select(*_TEXTS), "drawer_id")
-    return retrieval.render(best, best.select("query_id").distinct().join(F.broadcast(said)))
+    best = retrieval.policy_rank(_fused(s, d), rows, CALLER, 8)
+    said = _recall_facts(s, d, best).select("query_id", "ordinal", _line().alias("line"))
+    return retrieval.render(best.join(rows.select(*_TEXTS), "drawer_id"), said)
 
 
 @register("", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.000000Z' WHEN 2 THEN 'last spring' WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.500000Z' END AS t FROM orders""")
@@ -237,31 +302,31 @@ def policy_rank_boosted(s, d):
 
 
 _THEMED = """, t AS (SELECT * FROM (SELECT query_id, drawer_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, drawer_id) AS rank FROM (
- SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05),
+ SELECT query_id, drawer_id, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM visible_drawers CROSS JOIN queries WHERE wing = 'Wing_Theme' AND embedding IS NOT NULL AND v IS NOT NULL)) WHERE rank <= 3 AND similarity >= 0.05),
 themed AS (SELECT query_id, drawer_id, row_number() OVER (PARTITION BY query_id ORDER BY side, place, drawer_id) AS place FROM (SELECT query_id, drawer_id, rank AS place, 0 AS side FROM t UNION ALL SELECT query_id, drawer_id, place, 1 FROM placed p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = p.query_id AND t.drawer_id = p.drawer_id)))
 """
 
 
 def _themed(s, d) -> DataFrame:
-    themes = retrieval.theme_channel(views.drawers(s, d), asked_vectors(s, d), floor=0.05)
-    return retrieval.with_themes(themes, retrieval.policy_rank(_fused(s, d), recallable(s, d), CALLER, 8))
+    """Themes that the caller may see, then fused records."""
+    rows = recallable(s, d)
+    themes = retrieval.theme_channel(rows, asked_vectors(s, d), floor=0.05)
+    return retrieval.with_themes(themes, retrieval.policy_rank(_fused(s, d), rows, CALLER, 8))
 
 
-@register("placed drawers queries", _THEMED + "SELECT query_id, drawer_id, place FROM themed")
+@register("placed visible_drawers queries", _THEMED + "SELECT query_id, drawer_id, place FROM themed")
 def theme_merge(s, d):
     return _themed(s, d).select("query_id", "drawer_id", "place")
 
 
-@register(
-    "placed drawers queries statements",
-    _THEMED + f""", said AS (SELECT row_number() OVER (ORDER BY restates, side, ordinal) AS k, {_LINE} AS line FROM {_LINES.format(_MERGED)})
-SELECT query_id, (SELECT string_agg('- ' || line, chr(10) ORDER BY k) FROM said) || chr(10) || chr(10) || context AS context FROM ({_RENDERED.format("themed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)")})""",
-)
+@register("placed drawers queries statements entities mentions visible_drawers", _THEMED + _RECALLED + _with_facts_sql("themed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)"))
 def recall_context(s, d):
-    """A whole recall in one plan: records by vector and words, fused and ranked, themes before them, and the graph's merged facts above, as text."""
-    best = _themed(s, d).join(views.drawers(s, d).select(*_TEXTS), "drawer_id")
-    said = _merged(s, d).select(F.row_number().over(graph.Window.orderBy("restates", F.col("subject_id") != "user:8", "ordinal")).alias("ordinal"), _line().alias("line"))
-    return retrieval.render(best, best.select("query_id").distinct().join(F.broadcast(said)))
+    """A whole recall in one plan: records by vector and words, fused and ranked, the themes that the caller may see before them, and each query's own facts above, as text."""
+    rows = recallable(s, d)
+    records = retrieval.policy_rank(_fused(s, d), rows, CALLER, 8)
+    themes = retrieval.theme_channel(rows, asked_vectors(s, d), floor=0.05)
+    said = _recall_facts(s, d, records).select("query_id", "ordinal", _line().alias("line"))
+    return retrieval.render(retrieval.with_themes(themes, records).join(rows.select(*_TEXTS), "drawer_id"), said)
 
 
 @register("vector", "SELECT query_id, drawer_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, drawer_id) AS place FROM (SELECT query_id, drawer_id, round(coalesce(CASE WHEN drawer_id % 3 = 0 THEN similarity / 2 END, CASE WHEN drawer_id % 3 = 1 THEN similarity END, CASE WHEN drawer_id % 6 = 2 THEN 0.4::DOUBLE END, 0), 6) AS score FROM vector WHERE rank <= 12)) WHERE place <= 5")
