@@ -4,38 +4,60 @@ Words are counted, then pairs of frequent words; a pair that is frequent is a pr
 (its next pair is frequent, too) points to what follows, three words at most, and the places of a prefix go to one task, which grows
 the prefix to the right, depth first: the places that go on with the same word are the projection of the longer prefix. Equal
 continuations are counted before they are shuffled. The places of very frequent prefixes are dealt by whole continuations and
-counted as such. Words are held as XXH64 hashes, which are proven distinct over all words of the corpus (else another salt is taken);
+counted as such. Words are held as 64-bit hashes, which are proven distinct over all words of the corpus (else another seed is taken);
 which words and pairs are frequent goes to the tasks as bit sets of bounded size, whose errors cost work but no count.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Memo, in_task, materialize, mix, table
+from recallspark.llm.common import LONG_WORD, in_task, materialize, mix, table, word_hashes
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases returned for each language, and the share (in percent) of its occurrences within a longer one that drops a phrase.
 LONGEST, LEAST, BEST, COVERED = 5, 100, 2000, 100
-#: Places above which a prefix is dealt by whole continuations; words gathered before they are counted; bits of a set, and bits for each member up to that.
-HOT, CHUNK, MOST_BITS, BITS_EACH = 1 << 17, 1 << 20, 1 << 29, 64
-
-_PIECE = re.compile(rb"[^.,;:!?\x0a-\x0d]+")
+#: Places above which a prefix is dealt by whole continuations; bytes of text looked at at once; rows of a group of prefixes; bits of a set, and bits for each member up to that.
+HOT, CHUNK, GROUP, MOST_BITS, BITS_EACH = 1 << 17, 12 << 20, 1 << 13, 1 << 29, 64
+
+_BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
+_BREAK = re.compile(rb"[.,;:!?\x0a-\x0d]")
+#: What each byte is: 0 part of a word, 1 blank, 2 end of a piece.
+_KIND = np.zeros(256, np.int8)
+_KIND[[0x20, 0x09]] = 1
+_KIND[list(_BREAKS)] = 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z in lower case; of what parts words for `split`, only spaces and tabs are left in a piece."""
-    for found in _PIECE.finditer(text.encode().lower()):
-        if words := found[0].split():
-            yield words
+def words_in(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined texts, start and end of each word there, and the piece that it is in."""
+    blob = b"\n".join(texts)
+    kind = _KIND[np.frombuffer(blob, np.uint8)]
+    solid = np.zeros(len(blob) + 2, np.int8)
+    solid[1:-1] = kind == 0
+    step = np.diff(solid)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return blob, start, end, np.cumsum(kind == 2, dtype=np.int32)[start]
+
+
+def same_words(blob: bytes, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word equals, byte by byte, the word whose number `like` gives for it."""
+    size = end - start
+    if (size != size[like]).any():
+        return False
+    lanes = np.ndarray((len(blob) + 1,), "<u8", blob + bytes(8), 0, (1,))
+    for k in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        rows = np.flatnonzero(size > k)
+        shift = np.uint64(64) - np.uint64(8) * np.minimum(size[rows] - k, 8).astype(np.uint64)
+        if ((lanes[start[rows] + k] ^ lanes[start[like[rows]] + k]) << shift).any():
+            return False
+    long = np.flatnonzero(size > LONG_WORD).tolist()
+    return all(blob[start[k] : end[k]] == blob[start[like[k]] : end[like[k]]] for k in long)
 
 
 class BitSet:
@@ -71,131 +93,165 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a.astype(np.uint64)) * _PRIME + b.astype(np.uint64))
 
 
-def counted(rows: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of a matrix, sorted, and how often each occurs."""
-    if not len(rows):
-        return rows, np.zeros(0, np.int64)
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
-    if times is None:
-        return rows[first], np.diff(np.append(first, len(rows)))
-    return rows[first], np.add.reduceat(times[order], first)
+def firsts(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each code from 0 to n - 1 occurs first."""
+    out = np.zeros(n, np.int64)
+    out[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return out
+
+
+def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns and how often each occurs. Rows meet by a hash, are compared, and are sorted where two share one."""
+    hashed = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        hashed = mix(hashed * _PRIME + c.astype(np.uint64))
+    codes, found = pd.factorize(hashed)
+    at = firsts(codes, len(found))
+    if all((c == c[at][codes]).all() for c in columns):
+        return [c[at] for c in columns], np.bincount(codes, minlength=len(found))
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.flatnonzero(np.concatenate([[True], np.any([r[1:] != r[:-1] for r in rows], 0)]))
+    return [r[new] for r in rows], np.diff(np.append(new, len(order)))
 
 
 def _texts(batches, chunk: int):
-    """Lists of pieces of one language each, of about chunk words."""
+    """Lists of texts of one language each, A-Z in lower case, of about chunk bytes; longer texts are cut where a piece ends."""
     held: dict[str, list] = {}
     size: dict[str, int] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for p in pieces(text or ""):
-                held.setdefault(lang, []).append(p)
-                size[lang] = size.get(lang, 0) + len(p)
+            whole, at = (text or "").encode().lower(), 0
+            while at < len(whole):
+                cut = _BREAK.search(whole, at + chunk)
+                end = cut.start() if cut else len(whole)
+                held.setdefault(lang, []).append(whole[at:end])
+                size[lang] = size.get(lang, 0) + end - at
+                at = end
                 if size[lang] >= chunk:
                     yield lang, held.pop(lang)
                     size[lang] = 0
     yield from held.items()
 
 
-def word_counts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """lang, word and f of every word."""
+def _sliced(lang: str, columns: list[pa.Array], names: list[str]):
+    """Record batches of some columns, a slice at a time, with the language before them."""
+    for k in range(0, len(columns[0]), 65536):
+        part = [c.slice(k, 65536) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part], ["lang", *names])
+
+
+def word_counts(docs: DataFrame, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """lang, word, h (a hash of the word; null where two words of a part of the corpus share it) and f of every word."""
 
     def run(batches):
-        for lang, lists in _texts(batches, chunk):
-            told: dict[bytes, int] = {}
-            for p in lists:
-                for w in p:
-                    told[w] = told.get(w, 0) + 1
-            words = list(told)
-            for k in range(0, len(words), 8192):
-                part = words[k : k + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([w.decode() for w in part]), pa.array([told[w] for w in part], pa.int64())], ["lang", "word", "f"])
+        for lang, texts in _texts(batches, chunk):
+            blob, start, end, _ = words_in(texts)
+            codes, found = pd.factorize(word_hashes(blob, start, end, seed))
+            at = firsts(codes, len(found))
+            words = pa.array([blob[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())], pa.string())
+            n = pa.array(np.bincount(codes, minlength=len(found)))
+            alike = same_words(blob, start, end, at[codes]) and (found != 0).all()
+            yield from _sliced(lang, [words, pa.array(found.view(np.int64)) if alike else pa.nulls(len(found), pa.int64()), n], ["word", "h", "f"])
+
+    return docs.mapInArrow(in_task(run), "lang string, word string, h long, f long").groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
+
 
-    return docs.mapInArrow(in_task(run), "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+_X = [f"x{k}" for k in range(LONGEST)]
 
 
-def _followed(docs: DataFrame, salt: bytes, words, pairs=None, hot=None, chunk: int = CHUNK) -> DataFrame:
-    """Pairs of frequent words (lang, h, n), or, given the frequent pairs, the places of prefixes that may go on: lang, h (the prefix and up to three words that follow), n, hot."""
+def _known(texts: list[bytes], seed: int, words) -> np.ndarray:
+    """The hashes of all words in turn, 0 for those that are not frequent, with a 0 wherever a piece ends."""
+    blob, start, end, piece = words_in(texts)
+    h = word_hashes(blob, start, end, seed)
+    h[~words.value.has(h)] = 0
+    out = np.zeros(len(h) + int((piece[1:] != piece[:-1]).sum()) + 1, np.int64)
+    out[np.arange(len(h)) + np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])[: len(h)]] = h.view(np.int64)
+    return out
 
-    class Known(Memo):
-        def __missing__(self, word: bytes) -> int:
-            h = np.uint64(xxhash.xxh64_intdigest(salt + word, 42))
-            self.keep(word, value := int(h.astype(np.int64)) if words.value.has(h.reshape(1))[0] else 0, 32)
-            return value
+
+def pair_counts(docs: DataFrame, seed: int, words, chunk: int = CHUNK) -> DataFrame:
+    """lang, x0, x1 and f of all pairs of frequent words."""
 
     def run(batches):
-        known = Known()
-        for lang, lists in _texts(batches, chunk):
-            ids: list[int] = []
-            for p in lists:
-                ids.extend(map(known.__getitem__, p))
-                ids.append(0)
-            known.room()
-            a = np.array(ids, np.int64)
-            if pairs is None:
-                at = np.flatnonzero((a[:-1] != 0) & (a[1:] != 0))
-                rows, n = counted(np.stack([a[at], a[at + 1]], 1))
-                high = np.zeros(len(rows), bool)
-            else:
-                a = np.append(a, np.zeros(LONGEST, np.int64))
-                some = (a[:-1] != 0) & (a[1:] != 0)
-                hashed = pair_hash(a[:-1], a[1:])
-                some &= pairs.value.has(hashed)
-                at = np.flatnonzero(some[:-1] & some[1:])
-                columns, goes = [a[at], a[at + 1], a[at + 2]], np.ones(len(at), bool)
-                for k in range(3, LONGEST):
-                    goes = goes & some[at + k - 1]
-                    columns.append(np.where(goes, a[at + k], 0))
-                rows, n = counted(np.stack(columns, 1))
-                high = hot.value.has(pair_hash(rows[:, 0], rows[:, 1]))
-            for k in range(0, len(rows), 16384):
-                part = slice(k, k + 16384)
-                flat = pa.array(rows[part].ravel())
-                lists_ = pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[part])), lists_, pa.array(n[part]), pa.array(high[part])], ["lang", "h", "n", "hot"])
-
-    return docs.mapInArrow(in_task(run), "lang string, h array<long>, n long, hot boolean")
+        for lang, texts in _texts(batches, chunk):
+            a = _known(texts, seed, words)
+            at = np.flatnonzero((a[:-1] != 0) & (a[1:] != 0))
+            columns, n = counted([a[at], a[at + 1]])
+            yield from _sliced(lang, [*map(pa.array, columns), pa.array(n)], [*_X[:2], "f"])
 
+    return docs.mapInArrow(in_task(run), "lang string, x0 long, x1 long, f long").groupBy("lang", "x0", "x1").agg(F.sum("f").alias("f"))
 
-def _grown(least: int):
-    """Grows a prefix to the right, depth first, over its projected places."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, n = counted(np.stack(pdf.h), pdf.n.to_numpy())
-        found, times = [], []
+def projected(docs: DataFrame, seed: int, words, pairs, hot, chunk: int = CHUNK) -> DataFrame:
+    """The places where a frequent pair may go on, equal ones counted (n): lang, x0, x1 (the pair), x2 to x4 (what follows; 0 where it cannot go on), and whether the pair is very frequent (hot)."""
+
+    def run(batches):
+        for lang, texts in _texts(batches, chunk):
+            a = np.append(_known(texts, seed, words), np.zeros(LONGEST, np.int64))
+            some = (a[:-1] != 0) & (a[1:] != 0)
+            at = np.flatnonzero(some)
+            some[at] = pairs.value.has(pair_hash(a[at], a[at + 1]))
+            at = np.flatnonzero(some[:-1] & some[1:])
+            columns, goes = [a[at], a[at + 1], a[at + 2]], np.ones(len(at), bool)
+            for k in range(3, LONGEST):
+                goes = goes & some[at + k - 1]
+                columns.append(np.where(goes, a[at + k], 0))
+            columns, n = counted(columns)
+            high = hot.value.has(pair_hash(columns[0], columns[1]))
+            yield from _sliced(lang, [*map(pa.array, columns), pa.array(high), pa.array(n)], [*_X, "hot", "n"])
+
+    kind = ", ".join(["lang string", *(f"{x} long" for x in _X), "hot boolean, n long"])
+    return docs.mapInArrow(in_task(run), kind).groupBy("lang", *_X, "hot").agg(F.sum("n").alias("n"))
+
+
+def _grown(least: int):
+    """Grows each prefix of a group to the right, depth first, over its projected places."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        langs, names = pd.factorize(rows["lang"].to_numpy(zero_copy_only=False))
+        columns = [langs, *(rows[x].to_numpy() for x in _X)]
+        order = np.lexsort(columns[::-1])
+        columns, n = [c[order] for c in columns], rows["n"].to_numpy()[order]
+        total = np.concatenate([[0], np.cumsum(n)])
+        new = [np.zeros(len(n), bool)]
+        for c in columns:
+            new.append(new[-1] | np.concatenate([[True], c[1:] != c[:-1]]))
+        # where the ranges of equal prefixes of each length begin
+        edges = [np.append(np.flatnonzero(x), len(n)) for x in new[1:]]
+        lang, found, times = [], [], []
 
         def grow(low: int, high: int, size: int) -> None:
-            # rows are sorted, so that each continuation of the prefix is a range of them
-            if size == rows.shape[1]:
-                return
-            word = rows[low:high, size]
-            edges = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [high - low]]) + low
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if rows[a, size] and (f := int(n[a:b].sum())) >= least:
-                    found.append(rows[a, : size + 1].tolist())
+            # rows are sorted, so each continuation of a prefix is a range of them
+            at = edges[size + 1]
+            for k in range(int(np.searchsorted(at, low)), int(np.searchsorted(at, high))):
+                a, b = int(at[k]), int(at[k + 1])
+                f = int(total[b] - total[a])
+                if f >= least and columns[size + 1][a]:
+                    lang.append(names[langs[order[a]]])
+                    found.append([int(columns[j + 1][a]) for j in range(size + 1)])
                     times.append(f)
-                    grow(a, b, size + 1)
+                    if size + 1 < LONGEST:
+                        grow(a, b, size + 1)
 
-        grow(0, len(rows), 2)
-        return pd.DataFrame({"lang": pdf.lang.iat[0], "h": pd.Series(found, dtype=object), "f": pd.Series(times, dtype="int64")})
+        for a, b in zip(edges[2][:-1].tolist(), edges[2][1:].tolist()):
+            if total[b] - total[a] >= least:
+                grow(a, b, 2)
+        return pa.table([pa.array(lang, pa.string()), pa.array(found, pa.list_(pa.int64())), pa.array(times, pa.int64())], ["lang", "h", "f"])
 
     return run
 
 
 def frequent(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """All words (lang, word, h, f) and all phrases of 1 to LONGEST words that occur at least `least` times (lang, h, f): h holds the hashes of the words."""
-    counts = materialize(word_counts(docs, chunk))
-    for k in range(100):
-        salt = f"{k}\x00" if k else ""
-        words = counts.withColumn("h", F.xxhash64(F.concat(F.lit(salt), F.col("word")) if k else F.col("word")))
+    for seed in range(100):
+        words = materialize(word_counts(docs, seed, chunk))
         same = words.groupBy("h").agg(F.min("word").alias("a"), F.max("word").alias("b"))
-        if not same.where("a <> b or h = 0").limit(1).count():
+        if not same.where("h is null or a <> b").limit(1).count():
             break
     known = words.where(F.col("f") >= least)
     told = gathered(known.select("h").distinct(), known.count())
-    pairs = _followed(docs, salt.encode(), told, chunk=chunk).groupBy("lang", F.col("h")[0].alias("x"), F.col("h")[1].alias("y")).agg(F.sum("n").alias("f"))
-    pairs = materialize(pairs.where(F.col("f") >= least))
+    pairs = materialize(pair_counts(docs, seed, told, chunk).where(F.col("f") >= least))
 
     def hashed(batches):
         for b in batches:
@@ -203,15 +259,16 @@ def frequent(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk: int = C
 
     sets = []
     for some in (pairs, pairs.where(F.col("f") > hot)):
-        sets.append(gathered(some.select("x", "y").mapInArrow(hashed, "p long"), some.count()))
-    places = _followed(docs, salt.encode(), told, *sets, chunk=chunk)
-    # equal continuations meet before they are dealt by their prefix
-    places = materialize(places.groupBy("lang", "h", "hot").agg(F.sum("n").alias("n")))
-    grown = places.where("not hot").groupBy("lang", F.col("h")[0], F.col("h")[1]).applyInPandas(_grown(least), "lang string, h array<long>, f long")
-    out = known.select("lang", F.array("h").alias("h"), "f").unionByName(pairs.select("lang", F.array("x", "y").alias("h"), "f")).unionByName(grown)
+        sets.append(gathered(some.select("x0", "x1").mapInArrow(hashed, "p long"), some.count()))
+    places = materialize(projected(docs, seed, told, *sets, chunk=chunk))
+    cool = places.where("not hot")
+    groups = max(1, -(-cool.count() // GROUP))
+    cool = cool.withColumn("_group", F.pmod(F.xxhash64("lang", "x0", "x1"), F.lit(groups)))
+    grown = cool.groupBy("_group").applyInArrow(_grown(least), "lang string, h array<long>, f long")
+    out = known.select("lang", F.array("h").alias("h"), "f").unionByName(pairs.select("lang", F.array("x0", "x1").alias("h"), "f")).unionByName(grown)
     for size in range(3, LONGEST + 1):
-        whole = places.where("hot").where(F.col("h")[size - 1] != 0).groupBy("lang", F.slice("h", 1, size).alias("h")).agg(F.sum("n").alias("f"))
-        out = out.unionByName(whole.where(F.col("f") >= least))
+        whole = places.where("hot").where(F.col(_X[size - 1]) != 0).groupBy("lang", *_X[:size]).agg(F.sum("n").alias("f"))
+        out = out.unionByName(whole.where(F.col("f") >= least).select("lang", F.array(*_X[:size]).alias("h"), "f"))
     return words, materialize(out)
 
 

@@ -49,30 +49,58 @@ def rows_of(out, lang="lang"):
 
 
 @pytest.mark.parametrize("hot", [1 << 17, 40])
-def test_phrases_equal_brute_force(spark, hot):
+def test_phrases_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(phrases, "GROUP", 50)
     dice = random.Random(6)
     docs = [("".join(dice.choice(["The", "the", "cat", "sat", "É", "é", "on", "a", "x\x00y"]) + dice.choice([" ", " ", " ", "\t ", ", ", ".\n", "\x0b", "?"]) for _ in range(dice.choice([0, 3, 60]))), dice.choice(["en", "fr", None, "und"])) for _ in range(300)]
     docs += [("new york city is big " * 9, "en")] * 30 + [(None, "en"), ("", None), ("w " * 3000 + "end", "fr")]
     frame = spark.createDataFrame([(*d, 0, "") for d in docs], KIND).repartition(5)
-    for chunk in (1 << 20, 50):
+    for chunk in (1 << 20, 150):
         assert rows_of(phrases.collocations(frame, least=20, best=40, hot=hot, chunk=chunk)) == sorted(brute(docs, 20, 40))
 
 
-def test_another_salt_where_two_words_share_a_hash(spark, monkeypatch):
-    # a hash of the length alone is shared by most words; with the first salt it is not
-    from pyspark.sql import functions as F
+def test_another_seed_where_words_share_a_hash(spark, monkeypatch):
+    real, seeds = phrases.word_hashes, []
+    docs = [("big cat and dog", "en")] * 120 + [("a b", "en")]
+    frame = spark.createDataFrame([(*d, 0, "") for d in docs], KIND)
 
-    real = F.xxhash64
-    calls = []
+    def counts(rows, seed, chunk):
+        # with the first seed, two words of different parts of the corpus have one hash
+        seeds.append(seed)
+        out = real_counts(rows, seed, chunk)
+        from pyspark.sql import functions as F
 
-    def poor(c):
-        calls.append(1)
-        return F.length(c).cast("long") + 1 if len(calls) == 1 else real(c)
+        return out.withColumn("h", F.when(F.col("word") == "a", F.lit(7)).when(F.col("word") == "b", F.lit(7)).otherwise(F.col("h"))) if not seed else out
 
-    monkeypatch.setattr(phrases.F, "xxhash64", poor)
-    docs = [("big cat and dog", "en")] * 120
-    assert rows_of(phrases.collocations(spark.createDataFrame([(*d, 0, "") for d in docs], KIND))) == sorted(brute(docs))
-    assert len(calls) == 2
+    real_counts = phrases.word_counts
+    monkeypatch.setattr(phrases, "word_counts", counts)
+    assert rows_of(phrases.collocations(frame)) == sorted(brute(docs))
+    assert seeds == [0, 1] and real is phrases.word_hashes
+
+
+def test_words_are_compared_byte_by_byte():
+    import numpy as np
+
+    blob, start, end, piece = phrases.words_in([b"abcdefghi abcdefghi abcdefghj", b"x" * 90 + b" " + b"x" * 89 + b"y", b"a.b a"])
+    assert len(start) == 8 and piece.tolist() == [0, 0, 0, 1, 1, 2, 3, 3]
+    for i in range(8):
+        for j in range(8):
+            like = np.arange(8)
+            like[i] = j
+            assert phrases.same_words(blob, start, end, like) == (blob[start[i] : end[i]] == blob[start[j] : end[j]])
+
+
+def test_rows_that_share_a_hash_are_sorted(monkeypatch):
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    columns = [dice.integers(0, 4, 300) for _ in range(3)]
+    want = sorted(Counter(zip(*(c.tolist() for c in columns))).items())
+    for poor in (False, True):
+        if poor:
+            monkeypatch.setattr(phrases, "mix", lambda h: h & np.uint64(1))
+        rows, n = phrases.counted(columns)
+        assert sorted(zip(zip(*(r.tolist() for r in rows)), n.tolist())) == want
 
 
 def test_sets_of_bits_miss_no_member(monkeypatch):
