@@ -11,6 +11,8 @@ from recallspark.operators.visibility import Caller, tier
 
 #: Published constants of BM25 and of reciprocal-rank fusion, and the floor of the theme channel.
 K1, B, RRF_K, THEME_FLOOR = 1.5, 0.75, 60, 0.55
+#: Bytes of vectors in a block of drawers or queries, and drawers that a block has at least.
+BLOCK_BYTES, LEAST_BLOCK = 16 << 20, 1024
 # fixed values: boosts of the first five closets, and the distance they need
 CLOSET_BOOSTS, CLOSET_DISTANCE = [0.40, 0.25, 0.15, 0.08, 0.04], 1.5
 
@@ -48,15 +50,21 @@ def _scores(per: list[str], k: int):
 def vector_candidates(drawers: DataFrame, queries: DataFrame, k: int, per: list[str] | None = None) -> DataFrame:
     """query_id, drawer_id, similarity and rank (from 1) of the k nearest drawers of each query (query_id, v), and of each group `per` (its columns come along).
 
-    Drawers are dealt into blocks that each meet all queries in one matrix product; a block returns k rows for each query and
-    group, so only those are shuffled by query. Drawers and queries without a vector take no part; a zero vector's similarity is null.
+    Drawers and queries are dealt into blocks of bounded bytes, and each pair of blocks is one matrix product; it returns k rows for each query
+    and group, so only those are shuffled by query. Drawers and queries without a vector take no part; a zero vector's similarity is null.
     """
     per = per or []
-    blocks = int(drawers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = drawers.where("embedding is not null").select("drawer_id", "embedding", *per, F.pmod(F.xxhash64("drawer_id"), F.lit(blocks)).alias("_block"))
-    asked = queries.where("v is not null").select(F.col("query_id").cast("long").alias("query_id"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    held = drawers.where("embedding is not null").select("drawer_id", "embedding", *per)
+    asked = queries.where("v is not null").select(F.col("query_id").cast("long").alias("query_id"), "v")
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    asking = asked.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-8 * size // BLOCK_BYTES), min(drawers.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    q_blocks = max(1, -(-8 * asking // BLOCK_BYTES))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     kinds = dict(held.dtypes)
-    found = held.groupBy("_block").cogroup(asked.groupBy("_block")).applyInPandas(_scores(per, k), ", ".join(["query_id long", f"drawer_id {kinds['drawer_id']}", *(f"`{c}` {kinds[c]}" for c in per), "similarity double"]))
+    held = held.withColumn("_block", F.pmod(F.xxhash64("drawer_id"), F.lit(blocks))).withColumn("_q", every(q_blocks))
+    asked = asked.withColumn("_block", every(blocks)).withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
+    found = held.groupBy("_block", "_q").cogroup(asked.groupBy("_block", "_q")).applyInPandas(_scores(per, k), ", ".join(["query_id long", f"drawer_id {kinds['drawer_id']}", *(f"`{c}` {kinds[c]}" for c in per), "similarity double"]))
     found = found.withColumn("similarity", F.when(~F.isnan("similarity"), F.col("similarity")))
     place = Window.partitionBy("query_id", *per).orderBy(F.desc_nulls_last("similarity"), "drawer_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, recall, retrieval, steward, storage, visibility
+from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, recall, retrieval, steward, storage, vector_index, visibility
 from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
@@ -337,6 +337,26 @@ def similarity_rank(s, d):
     return retrieval.similarity_rank(rows, 5).select("query_id", "drawer_id", "score", "place")
 
 
+_SEEING = ["wing", "space_id", "privacy", "layer", "visibility", "audience", "scope", "session_id", "person_id", "source_device_id", "target_device_id"]
+
+
+def _indexed(s, d) -> vector_index.Index:
+    return vector_index.build(views.drawers(s, d), _SEEING)
+
+
+@register("vector", "SELECT query_id, drawer_id, similarity, rank FROM vector WHERE rank <= 10")
+def vector_index_topk(s, d):
+    """The nearest drawers by an index over all drawers; who may see them is a condition of its scan."""
+    return vector_index.search(_indexed(s, d), asked_vectors(s, d), 10, visibility.visible(CALLER))[0].select("query_id", "drawer_id", "similarity", "rank")
+
+
+@register("", None)
+def vector_index_recall(s, d):
+    """What the approximate search finds and reads for every query, reading as many cells as 0.9 of all hits need."""
+    index, queries, seen = _indexed(s, d), asked_vectors(s, d), visibility.visible(CALLER)
+    return vector_index.recall(index, queries, 10, vector_index.probes_for(index, queries, 10, 0.9, seen), seen)
+
+
 @register("", """SELECT event_id AS query_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN NULL ELSE true END AS clean FROM events""")
 def superseded_currency(s, d):
     n = F.col("event_id")
