@@ -113,6 +113,8 @@ def _wanted(index: Index, queries: DataFrame, k: int, probes: int | None) -> Dat
                 few = bool(zeros) and not probes and (not length[q] or int(sizes.sum()) < k)
                 out = pd.DataFrame({"cell": np.array(cell, np.int32), "first": [*first.tolist(), *[few] * bool(zeros)], "reach": [*reach.tolist(), *[2.0] * bool(zeros)]})
                 out["at"] = np.arange(1, len(out) + 1, dtype=np.int32)
+                if not len(out):
+                    continue
                 out["query_id"], out["v"] = pdf["query_id"].iat[q], [pdf["v"].iat[q]] * len(out)
                 yield out[["query_id", "v", "cell", "at", "first", "reach"]]
 
