@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.operators import graph
+from recallspark.operators.scratch import written
 
 #: Entities that a recall starts or expands from, and the statements read of each.
 ENTITIES, EACH = 3, 8
@@ -49,25 +50,24 @@ def of_turns(recalled: DataFrame, statements: DataFrame, entities: DataFrame, mo
     return named.withColumn("ordinal", place).where(F.col("ordinal") <= most).drop("hits")
 
 
-def facts(frontier: DataFrame, statements: DataFrame, entities: DataFrame, each: int = EACH) -> DataFrame:
+def facts(frontier: DataFrame, statements: DataFrame, entities: DataFrame, each: int = EACH, key: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The `each` best statements about every entity of a frontier (query_id, space_id, name, ordinal), with query_id and their place in the query (ordinal, from 1).
 
-    Statements of both directions count; one that two entities of a query share stays with the first.
+    Statements of both directions count; one that two entities of a query share stays with the first. key: what names a query (and a part of it).
     """
     known = frontier.join(entities.select("space_id", "name", "entity_id"), ["space_id", "name"]).withColumnRenamed("ordinal", "_seed")
     asked = known.select("space_id", "entity_id").distinct()
     best = _ends(statements).join(asked, ["space_id", "entity_id"], "left_semi")
     best = best.withColumn("_rank", F.row_number().over(Window.partitionBy("space_id", "entity_id").orderBy(*graph.relevance()))).where(F.col("_rank") <= each)
-    found = known.select("query_id", "space_id", "entity_id", "_seed").join(best, ["space_id", "entity_id"])
-    first = Window.partitionBy("query_id", "statement_id").orderBy("_seed", "_rank")
+    found = known.select(*key, "space_id", "entity_id", "_seed").join(best, ["space_id", "entity_id"])
+    first = Window.partitionBy(*key, "statement_id").orderBy("_seed", "_rank")
     found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_seed", "_rank"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_seed", "_rank"))
     return found.withColumn("ordinal", place).drop("_n", "_seed", "_rank", "entity_id")
 
 
-def merged(primary: DataFrame, expanded: DataFrame, recalled: DataFrame, limit: int = graph.MERGE_LIMIT) -> DataFrame:
-    """Each query's statements once: those asked about, then those expanded to; what a recalled record of the query already says comes last. ordinal counts anew."""
-    both = primary.withColumn("_side", F.lit(0)).unionByName(expanded.withColumn("_side", F.lit(1)))
+def merged(both: DataFrame, recalled: DataFrame, limit: int = graph.MERGE_LIMIT) -> DataFrame:
+    """Each query's statements once: those asked about (_side 0), then those expanded to (_side 1); what a recalled record of the query already says comes last. ordinal counts anew."""
     first = Window.partitionBy("query_id", "statement_id").orderBy("_side", "ordinal")
     both = both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     shown = recalled.where("source_turn_id <> ''").select("query_id", "source_turn_id").distinct().withColumn("restates", F.lit(True))
@@ -85,6 +85,8 @@ def recall(queries: DataFrame, hints: DataFrame, recalled: DataFrame, statements
     told = graph.visible(statements, audiences, sensitive=sensitive)
     now = told.where(graph.valid_at(as_of))
     phrases = queries.select(F.col("query_id").alias("phrase_id"), "space_id", F.col("query").alias("phrase"))
-    matched = graph.matched_entities(phrases, entities, mentions, audiences, cap=ENTITIES).withColumnRenamed("phrase_id", "query_id")
-    primary = facts(seeds(queries, hints, matched), now, entities)
-    return merged(primary, facts(of_turns(recalled, told, entities), now, entities), recalled)
+    matched = written(graph.matched_entities(phrases, entities, mentions, audiences, cap=ENTITIES), "matched").withColumnRenamed("phrase_id", "query_id")
+    # a few rows for each query
+    frontier = seeds(queries, hints, matched).withColumn("_side", F.lit(0)).unionByName(of_turns(recalled, told, entities).withColumn("_side", F.lit(1)))
+    both = facts(written(frontier, "frontier"), now, entities, key=("query_id", "_side"))
+    return merged(both, recalled)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.operators.scratch import written
 from recallspark.operators.visibility import Caller, tier
 
 #: Published constants of BM25 and of reciprocal-rank fusion, and the floor of the theme channel.
@@ -56,10 +57,11 @@ def vector_candidates(drawers: DataFrame, queries: DataFrame, k: int, per: list[
     per = per or []
     held = drawers.where("embedding is not null").select("drawer_id", "embedding", *per)
     asked = queries.where("v is not null").select(F.col("query_id").cast("long").alias("query_id"), "v")
-    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
-    asking = asked.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0]
-    blocks = max(1, -(-8 * size // BLOCK_BYTES), min(drawers.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
-    q_blocks = max(1, -(-8 * asking // BLOCK_BYTES))
+    # the columns of vectors aren't read to count rows
+    n, some = drawers.count(), asked.select(F.size("v")).first()
+    size = 8 * (some[0] if some else 1)
+    blocks = max(1, -(-n * size // BLOCK_BYTES), min(drawers.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    q_blocks = max(1, -(-queries.count() * size // BLOCK_BYTES))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     kinds = dict(held.dtypes)
     held = held.withColumn("_block", F.pmod(F.xxhash64("drawer_id"), F.lit(blocks))).withColumn("_q", every(q_blocks))
@@ -78,17 +80,22 @@ def tokens(text: Column) -> Column:
 def bm25(drawers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, drawer_id, score and rank of the k best drawers of each query (query_id, query) by BM25.
 
-    Only postings of query terms are shuffled: terms are counted per drawer before the join, and the join is on the term.
+    Only postings of query terms are shuffled: terms are counted per drawer before the join, and the join is on the term. How many
+    drawers have a term is counted by partial sums and goes with the queries' terms, so no task sees a whole term.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     words = drawers.select("drawer_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    total = words.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean")).alias("x")).scalar()
-    asked = terms.select("term").distinct()
-    posts = words.select("drawer_id", "size", F.explode("words").alias("term")).join(asked, "term", "left_semi").groupBy("term", "drawer_id", "size").agg(F.count("*").alias("tf"))
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    idf = F.log(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / total["mean"]))
-    scores = posts.withColumn("part", part).join(terms, "term").groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    asked = terms.select("term").distinct().withColumn("_asked", F.lit(True))
+    # one pass over the texts: postings of the asked terms, and a row without a term for every drawer
+    posts = words.select("drawer_id", "size", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term")).join(asked, "term", "left").where("_asked or term is null")
+    posts = written(posts.groupBy("term", "drawer_id", "size").agg(F.count("*").alias("tf")), "posts")
+    total = posts.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    n, mean = float(total["n"]), total["mean"] or 1.0
+    posts = posts.where("term is not null")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = terms.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+    scores = posts.join(known, "term").withColumn("part", part).groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "drawer_id")
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 

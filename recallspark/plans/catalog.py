@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import ids
 from recallspark.operators import browse, evaluation, graph, ledgers, retrieval, visibility
+from recallspark.operators.scratch import written
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.plans.oracle_views import sql
 from recallspark.sources import views
@@ -322,8 +323,9 @@ def bm25_topk(s, d):
 
 
 def _fused(s, d, k: int = 20) -> DataFrame:
+    """The k best records of each query, of few rows each and written once."""
     rows = recallable(s, d)
-    return retrieval.fuse(retrieval.vector_candidates(rows, asked_vectors(s, d), 30), retrieval.bm25(rows, asked(s, d), 30), k)
+    return written(retrieval.fuse(retrieval.vector_candidates(rows, asked_vectors(s, d), 30), retrieval.bm25(rows, asked(s, d), 30), k), "fused")
 
 
 @register("fused", "SELECT query_id, drawer_id, rrf, rank FROM fused")

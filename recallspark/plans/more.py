@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, recall, retrieval, steward, storage, vector_index, visibility
+from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, postings, recall, retrieval, steward, storage, vector_index, visibility
+from recallspark.operators.scratch import written
 from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
@@ -186,7 +187,7 @@ def _hints(s, d) -> DataFrame:
 def _recall_facts(s, d, records: DataFrame) -> DataFrame:
     """Each query's own statements; records: its recalled drawers."""
     queries = asked(s, d).select("query_id", F.lit(SPACE).alias("space_id"), "query")
-    turns = records.select("query_id", "drawer_id").join(recallable(s, d).select("drawer_id", "space_id", "source_turn_id"), "drawer_id")
+    turns = written(records.select("query_id", "drawer_id").join(recallable(s, d).select("drawer_id", "space_id", "source_turn_id"), "drawer_id"), "turns")
     return graph_recall.recall(queries, _hints(s, d), turns, views.statements(s, d), views.entities(s, d), views.mentions(s, d), READERS, at())
 
 
@@ -209,7 +210,7 @@ def phrase_facts(s, d):
 def rendered_with_facts(s, d):
     """The rendered memory of each query with its own facts above it."""
     rows = recallable(s, d)
-    best = retrieval.policy_rank(_fused(s, d), rows, CALLER, 8)
+    best = written(retrieval.policy_rank(_fused(s, d), rows, CALLER, 8), "records")
     said = _recall_facts(s, d, best).select("query_id", "ordinal", _line().alias("line"))
     return retrieval.render(best.join(rows.select(*_TEXTS), "drawer_id"), said)
 
@@ -323,10 +324,11 @@ def theme_merge(s, d):
 def recall_context(s, d):
     """A whole recall in one plan: records by vector and words, fused and ranked, the themes that the caller may see before them, and each query's own facts above, as text."""
     rows = recallable(s, d)
-    records = retrieval.policy_rank(_fused(s, d), rows, CALLER, 8)
+    records = written(retrieval.policy_rank(_fused(s, d), rows, CALLER, 8), "records")
     themes = retrieval.theme_channel(rows, asked_vectors(s, d), floor=0.05)
-    said = _recall_facts(s, d, records).select("query_id", "ordinal", _line().alias("line"))
-    return retrieval.render(retrieval.with_themes(themes, records).join(rows.select(*_TEXTS), "drawer_id"), said)
+    best = written(retrieval.with_themes(themes, records), "placed")
+    said = written(_recall_facts(s, d, records).select("query_id", "ordinal", _line().alias("line")), "facts")
+    return retrieval.render(best.join(rows.select(*_TEXTS), "drawer_id"), said)
 
 
 @register("vector", "SELECT query_id, drawer_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, drawer_id) AS place FROM (SELECT query_id, drawer_id, round(coalesce(CASE WHEN drawer_id % 3 = 0 THEN similarity / 2 END, CASE WHEN drawer_id % 3 = 1 THEN similarity END, CASE WHEN drawer_id % 6 = 2 THEN 0.4::DOUBLE END, 0), 6) AS score FROM vector WHERE rank <= 12)) WHERE place <= 5")
@@ -337,6 +339,12 @@ def similarity_rank(s, d):
     return retrieval.similarity_rank(rows, 5).select("query_id", "drawer_id", "score", "place")
 
 
+@register("lexical", "SELECT query_id, drawer_id, score, rank FROM lexical WHERE rank <= 10")
+def block_max_topk(s, d):
+    """The best drawers by words, by postings in blocks that are skipped by their upper bounds."""
+    return postings.search(postings.build(recallable(s, d)), asked(s, d), 10)[0].select("query_id", "drawer_id", "score", "rank")
+
+
 _SEEING = ["wing", "space_id", "privacy", "layer", "visibility", "audience", "scope", "session_id", "person_id", "source_device_id", "target_device_id"]
 
 
