@@ -14,6 +14,8 @@ from recallspark.operators.visibility import Caller, tier
 K1, B, RRF_K, THEME_FLOOR = 1.5, 0.75, 60, 0.55
 #: Bytes of vectors in a block of drawers or queries, and drawers that a block has at least.
 BLOCK_BYTES, LEAST_BLOCK = 16 << 20, 1024
+#: Rows of query terms up to which they are broadcast rather than postings dealt by term.
+BROADCAST_ROWS = 200_000
 # fixed values: boosts of the first five closets, and the distance they need
 CLOSET_BOOSTS, CLOSET_DISTANCE = [0.40, 0.25, 0.15, 0.08, 0.04], 1.5
 
@@ -83,11 +85,12 @@ def bm25(drawers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Only postings of query terms are shuffled: terms are counted per drawer before the join, and the join is on the term. How many
     drawers have a term is counted by partial sums and goes with the queries' terms, so no task sees a whole term.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
+    few = F.broadcast if terms.count() <= BROADCAST_ROWS else lambda df: df
     words = drawers.select("drawer_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     asked = terms.select("term").distinct().withColumn("_asked", F.lit(True))
     # one pass over the texts: postings of the asked terms, and a row without a term for every drawer
-    posts = words.select("drawer_id", "size", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term")).join(asked, "term", "left").where("_asked or term is null")
+    posts = words.select("drawer_id", "size", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term")).join(few(asked), "term", "left").where("_asked or term is null")
     posts = written(posts.groupBy("term", "drawer_id", "size").agg(F.count("*").alias("tf")), "posts")
     total = posts.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     n, mean = float(total["n"]), total["mean"] or 1.0
@@ -95,7 +98,7 @@ def bm25(drawers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = terms.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
-    scores = posts.join(known, "term").withColumn("part", part).groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = posts.join(few(known), "term").withColumn("part", part).groupBy("query_id", "drawer_id").agg(F.round(F.sum("part"), 6).alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "drawer_id")
     return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, evaluation, graph, graph_recall, ledgers, postings, recall, retrieval, steward, storage, vector_index, visibility
+from recallspark.operators import browse, canonical, erasure, evaluation, graph, graph_recall, ledgers, postings, recall, retrieval, steward, storage, vector_index, visibility
 from recallspark.operators.scratch import written
 from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
 from recallspark.sources.views import iso, load, text_of
+from recallspark.streaming import keyed
 
 # storage and visibility
 
@@ -543,6 +544,34 @@ def commitments_of_sources(s, d):
     return ledgers.commitments_of_sources(revisions, _revisions(s, d), sources).select("commitment_id")
 
 
+@register("drawers", """, c AS (SELECT DISTINCT l.source_turn_id AS target, CASE WHEN toxic = 1 THEN 'delete' ELSE 'archive_topic' END AS action, d.drawer_id FROM labels JOIN drawers l ON l.drawer_id = doc_id JOIN drawers d ON d.source_turn_id = l.source_turn_id WHERE toxic = 1 OR quality = 0),
+o AS (SELECT *, action = 'delete' AND count(*) OVER (PARTITION BY target, action) = 1 AS erases FROM c)
+SELECT target, action, drawer_id, CASE WHEN alone THEN 'erase' ELSE 'archive' END AS outcome, action = 'delete' AND NOT alone AS downgraded FROM (SELECT *, bool_and(erases) OVER (PARTITION BY drawer_id) AS alone FROM o)""")
+def privacy_outcomes(s, d):
+    """What becomes of the drawers of turns that labels call toxic (to be deleted) or poor (to be archived)."""
+    rows = views.drawers(s, d).select("drawer_id", "source_turn_id")
+    asks = load(s, d, "labels").where("toxic = 1 or quality = 0").select(F.col("doc_id").alias("drawer_id"), F.when(F.col("toxic") == 1, F.lit("delete")).otherwise(F.lit("archive_topic")).alias("action"))
+    asks = asks.join(rows, "drawer_id").select(F.col("source_turn_id").alias("target"), "action").distinct()
+    return erasure.privacy_outcomes(asks.join(rows.withColumnRenamed("source_turn_id", "target"), "target"))
+
+
+_LOG = "SELECT 'space_' || (user_id % 4) AS space_id, 'user:' || user_id AS subject_id, 'likes' AS predicate, 'item:' || (CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 4) AS object_id, 'owner' AS audience, event_id AS seq, CASE WHEN event_type IN ('purchase', 'error') THEN 'invalidate' ELSE 'add' END AS op, 'stmt_' || event_id AS statement_id, 'turn_' || (event_id % 20) AS turn_id, ts AS told_at FROM events"
+
+
+@register("", f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, object_id ORDER BY seq) AS n FROM ({_LOG})),
+f AS (SELECT space_id, subject_id, predicate, object_id, audience, 0::BIGINT AS n, NULL::VARCHAR AS open, []::VARCHAR[] AS turns, NULL::VARCHAR AS starts, NULL::TIMESTAMP AS begun, NULL::VARCHAR AS ends, NULL::TIMESTAMP AS closed FROM l WHERE n = 1
+ UNION ALL SELECT f.space_id, f.subject_id, f.predicate, f.object_id, f.audience, l.n, CASE WHEN op = 'invalidate' THEN NULL WHEN open IS NULL AND NOT list_contains(turns, turn_id) THEN statement_id ELSE open END,
+  CASE WHEN op = 'add' AND open IS NULL THEN list_distinct(list_append(turns, turn_id)) ELSE turns END, CASE WHEN op = 'add' AND open IS NULL AND NOT list_contains(turns, turn_id) THEN statement_id END, told_at, CASE WHEN op = 'invalidate' THEN open END, told_at
+ FROM f JOIN l ON l.subject_id = f.subject_id AND l.object_id = f.object_id AND l.n = f.n + 1)
+SELECT a.space_id, a.subject_id, a.predicate, a.object_id, a.audience, a.starts AS statement_id, {sql_iso('a.begun')} AS valid_from, {sql_iso('b.closed')} AS valid_to FROM f a LEFT JOIN f b ON b.ends = a.starts WHERE a.starts IS NOT NULL""")
+def statement_log(s, d):
+    """Statements that a log of adds and invalidations leaves, in its order: replays of a turn do not bring back what has ended."""
+    e, n = load(s, d, "events"), F.col("event_id")
+    rows = e.select(text_of("space_", F.col("user_id") % 4).alias("space_id"), text_of("user:", F.col("user_id")).alias("subject_id"), F.lit("likes").alias("predicate"), text_of("item:", F.regexp_extract("props", "[0-9]+", 0).cast("long") % 4).alias("object_id"), F.lit("owner").alias("audience"),
+        n.alias("seq"), F.when(F.col("event_type").isin("purchase", "error"), F.lit("invalidate")).otherwise(F.lit("add")).alias("op"), text_of("stmt_", n).alias("statement_id"), text_of("turn_", n % 20).alias("turn_id"), F.col("ts").alias("at"))
+    return keyed.statement_log(rows).withColumns({"valid_from": iso(F.col("valid_from")), "valid_to": iso(F.col("valid_to"))})
+
+
 # quality
 
 
