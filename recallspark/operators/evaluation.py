@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.operators.scratch import written
+
+#: Buckets that a range of values is cut into, and ranges that are broadcast.
+BUCKETS, BROADCAST_ROWS = 1024, 100_000
+
 
 def recall_and_mrr(found: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Queries, recall at k and mean reciprocal rank of found (query_id, drawer_id, rank) against gold (query_id, drawer_id)."""
@@ -12,12 +17,44 @@ def recall_and_mrr(found: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return hits.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("hit") / F.col("n")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def order_statistics(rows: DataFrame, by: str, value: str, places: list[Column]) -> DataFrame:
+    """by, n and values (an array): of each group, its number of values and the values at some places (from 1; expressions of n, which must be within it), exactly.
+
+    No group is sorted or gathered: the range of values that holds a place is cut into BUCKETS buckets, counted by partial sums, and the bucket with the place,
+    between its own smallest and largest value, is the next range, until it is one value. Later rounds read only what lies in
+    such ranges. Nulls and NaN take no part; groups without a value give no rows; a null group is a group.
+    """
+    kind = rows.schema[value].dataType.simpleString()
+    held = rows.select(F.col(by).alias("_by"), F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    sizes = held.groupBy("_by").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    targets = written(sizes.select("_by", "n", "lo", "hi", F.posexplode(F.array(*(p.cast("long") for p in places))).alias("which", "at")), "targets")
+    same = lambda a, b: F.col(f"{a}._by").eqNullSafe(F.col(f"{b}._by"))
+    while True:
+        ranges = targets.where("lo < hi").select("_by", "lo", "hi").distinct()
+        n = ranges.count()
+        if not n:
+            break
+        few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+        inside = held.alias("h").join(few(ranges.alias("r")), same("h", "r") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select("h._by", "_v", "lo", "hi")
+        part = lambda c: F.col(c).cast("double") / 2
+        width = part("hi") - part("lo")
+        bucket = F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), BUCKETS - 1).when((width > 0) & (width < float("inf")), F.least(F.lit(BUCKETS - 1), F.floor((part("_v") - part("lo")) / width * BUCKETS).cast("int"))).otherwise(BUCKETS // 2)
+        counts = inside.withColumn("bucket", bucket).groupBy("_by", "lo", "hi", "bucket").agg(F.count("*").alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_by", "lo", "hi").orderBy("bucket"))).alias("c")
+        found = targets.where("lo < hi").alias("t").join(counts, same("t", "c") & (F.col("t.lo") == F.col("c.lo")) & (F.col("t.hi") == F.col("c.hi")) & (F.col("at") > F.col("upto") - F.col("c")) & (F.col("at") <= F.col("upto")))
+        found = found.select("t._by", "n", F.col("low").alias("lo"), F.col("high").alias("hi"), "which", (F.col("at") - F.col("upto") + F.col("c")).alias("at"))
+        targets = written(targets.where("not lo < hi").unionByName(found), "targets")
+        left = targets.where("lo < hi").select("_by", "lo", "hi").distinct()
+        held = written(held.alias("h").join(few(left.alias("r")), same("h", "r") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")), "left_semi").select("h._by", "_v"), "held")
+    out = targets.groupBy("_by").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("which", "lo"))).alias("_all"))
+    return out.select(F.col("_by").alias(by), "n", F.transform("_all", lambda x: x["lo"]).cast(f"array<{kind}>").alias("values"))
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: list[float], up: bool = False) -> DataFrame:
-    """Nearest-rank percentiles of each group (position floor(share * n), or rounded up; at least 1), by ranks instead of gathered lists."""
-    place = Window.partitionBy(by).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(place)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    at = lambda s: F.max(F.when(F.col("_r") == F.greatest((F.ceil if up else F.floor)(F.lit(s) * F.col("_n")), F.lit(1)), F.col(value)))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), *(at(s).alias(f"p{round(100 * s)}") for s in shares))
+    """Nearest-rank percentiles of each group (position floor(share * n), or rounded up; at least 1), by selection."""
+    places = [F.greatest((F.ceil if up else F.floor)(F.lit(s) * F.col("n")), F.lit(1)) for s in shares]
+    found = order_statistics(rows, by, value, places)
+    return found.select(by, "n", *(F.col("values")[k].alias(f"p{round(100 * s)}") for k, s in enumerate(shares)))
 
 
 def confusion(proposed: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,15 +70,16 @@ def quality(results: DataFrame) -> DataFrame:
 
     results: category, correct, found, wanted (evidence groups), omissions, abstains (expected), abstained, ms.
     """
-    place = Window.partitionBy("category").orderBy("ms")
-    rows = results.withColumn("_r", F.row_number().over(place)).withColumn("_n", F.count("*").over(Window.partitionBy("category")))
-    p95 = F.max(F.when(F.col("_r") == F.greatest(F.floor(F.lit(0.95) * F.col("_n")), F.lit(1)), F.col("ms")))
-    return rows.groupBy("category").agg(
+    n = F.col("n")
+    found = order_statistics(results, "category", "ms", [F.floor((n + 1) / 2), F.ceil((n + 1) / 2), F.greatest(F.floor(F.lit(0.95) * n), F.lit(1))])
+    at = lambda k: F.col("values")[k]
+    found = found.select(F.col("category").alias("_category"), F.round((at(0) + at(1)) / 2, 1).alias("p50_ms"), F.round(at(2), 1).alias("p95_ms"))
+    out = results.groupBy("category").agg(
         F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.round(100 * F.count_if("correct") / F.count("*"), 1).alias("correct_pct"),
         F.round(F.sum("found") / F.greatest(F.sum("wanted"), F.lit(1)), 3).alias("evidence_recall"), F.sum("omissions").alias("omissions"),
-        F.count_if("abstains").alias("abstention_total"), F.count_if(F.col("abstains") & F.col("abstained")).alias("abstention_correct"),
-        F.round(F.median("ms"), 1).alias("p50_ms"), F.round(p95, 1).alias("p95_ms"), F.round(F.avg("ms"), 1).alias("mean_ms"),
+        F.count_if("abstains").alias("abstention_total"), F.count_if(F.col("abstains") & F.col("abstained")).alias("abstention_correct"), F.round(F.avg("ms"), 1).alias("mean_ms"),
     )
+    return out.join(found, F.col("category").eqNullSafe(F.col("_category")), "left").drop("_category")
 
 
 def connectivity(statements: DataFrame, entities: DataFrame, phrase: str, roles: list[str]) -> DataFrame:

@@ -15,6 +15,8 @@ from recallspark.operators.scratch import written
 
 #: Entities that a recall starts or expands from, and the statements read of each.
 ENTITIES, EACH = 3, 8
+#: Slots that a short interval may touch in a join by time.
+LONG = 16
 
 
 def _ends(statements: DataFrame) -> DataFrame:
@@ -90,3 +92,28 @@ def recall(queries: DataFrame, hints: DataFrame, recalled: DataFrame, statements
     frontier = seeds(queries, hints, matched).withColumn("_side", F.lit(0)).unionByName(of_turns(recalled, told, entities).withColumn("_side", F.lit(1)))
     both = facts(written(frontier, "frontier"), now, entities, key=("query_id", "_side"))
     return merged(both, recalled)
+
+
+def valid_when(moments: DataFrame, statements: DataFrame, time: str, key: list[str], slot_seconds: int | None = None) -> DataFrame:
+    """moments with the statements of their key that hold at their time: an interval join on [valid_from, valid_to).
+
+    Time is cut into slots of about the mean length of an interval, within the span of the moments; a statement lies in each slot that it touches and a moment in one, so
+    both meet by key and slot, and a busy key is as many small groups as it has slots. Statements that hold longer than LONG slots, or have an open
+    end, are cut at the span of the moments and kept once for every LONG slots instead, where all of the moments of those slots meet them. Moments without a time give no rows.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    span = moments.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    if span["a"] is None:
+        return moments.join(statements.drop(*[c for c in statements.columns if c in moments.columns and c not in key]), key).limit(0)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = statements.withColumns({"_a": F.greatest(F.coalesce(micros("valid_from"), F.lit(span["a"])), F.lit(span["a"])), "_b": F.least(F.coalesce(micros("valid_to") - 1, F.lit(span["b"])), F.lit(span["b"]))}).where("_a <= _b")
+    mean = held.agg(F.avg(F.col("_b") - F.col("_a"))).first()[0] or 0
+    slot = int(slot_seconds * 1_000_000 if slot_seconds else max(1_000_000, mean))
+    fine = lambda c, wide: F.floor((F.col(c) - F.lit(span["a"])) / F.lit(wide)).cast("long")
+    short = F.col("_b") - F.col("_a") <= LONG * slot
+    slots = F.when(short, F.transform(F.sequence(fine("_a", slot), fine("_b", slot)), lambda x: F.struct(F.lit(0).alias("wide"), x.alias("at")))).otherwise(F.transform(F.sequence(fine("_a", LONG * slot), fine("_b", LONG * slot)), lambda x: F.struct(F.lit(1).alias("wide"), x.alias("at"))))
+    dealt = held.withColumn("_slot", F.explode(slots)).drop("_a", "_b")
+    asked = moments.where(F.col(time).isNotNull()).withColumn("_at", at)
+    asked = asked.withColumn("_slot", F.explode(F.array(F.struct(F.lit(0).alias("wide"), fine("_at", slot).alias("at")), F.struct(F.lit(1).alias("wide"), fine("_at", LONG * slot).alias("at"))))).drop("_at")
+    found = asked.join(dealt.drop(*[c for c in dealt.columns if c in moments.columns and c not in key]), [*key, "_slot"])
+    return found.where(graph.valid_at(F.col(time))).drop("_slot")

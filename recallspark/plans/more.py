@@ -207,6 +207,13 @@ def phrase_facts(s, d):
     return found.select(F.col("query_id").alias("phrase_id"), "ordinal", "statement_id")
 
 
+@register("statements drawers", "SELECT drawer_id, statement_id FROM drawers d JOIN statements s ON s.space_id = d.space_id WHERE s.subject_id IN ('user:0', 'user:1', 'user:4', 'user:5', 'user:8', 'user:9') AND memory_time IS NOT NULL AND (valid_from IS NULL OR valid_from <= memory_time) AND (valid_to IS NULL OR valid_to > memory_time)")
+def facts_when_told(s, d):
+    """The statements about some users that held when each memory was told: an as-of join of two tables."""
+    known = views.statements(s, d).where(F.col("subject_id").isin("user:0", "user:1", "user:4", "user:5", "user:8", "user:9")).select("space_id", "statement_id", "valid_from", "valid_to")
+    return graph_recall.valid_when(views.drawers(s, d).select("drawer_id", "space_id", "memory_time"), known, "memory_time", ["space_id"]).select("drawer_id", "statement_id")
+
+
 @register("placed queries statements entities mentions visible_drawers", _RECALLED + _with_facts_sql("placed JOIN (SELECT drawer_id, wing, memory_type, memory_time, text FROM drawers) USING (drawer_id)"))
 def rendered_with_facts(s, d):
     """The rendered memory of each query with its own facts above it."""
