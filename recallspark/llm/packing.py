@@ -2,8 +2,9 @@
 
 The histogram of piece lengths (at most `capacity` rows) goes to the driver. There a configuration linear program over it is
 solved by multiplicative weights: a knapsack dynamic program prices fillings under the current weights, each round takes a share
-of what the priced fillings allow, and lengths that lag behind gain weight; the mean of several covers is the fractional solution. It is
-rounded to whole multiples, and what rounding leaves is placed by best fit, also by histogram. Spark then ranks pieces of like length and
+of what the priced fillings allow, and lengths that lag behind gain weight. Covers and their mean are rounded to whole multiples, and what
+rounding leaves is placed by best fit, also by histogram; the best of them, never worse than best fit alone, is taken, and the weights
+bound how far from the fewest sequences it can be. Spark then ranks pieces of like length and
 joins ranks with the fillings' places.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from recallspark.llm.common import Memo, in_task, materialize, table, texts_of, vocabulary
 
 CAPACITY, END_ID = 4096, 1
-#: Rounds of the multiplicative weights in a cover, covers that are averaged, the learning rate, longest word that the memo keeps.
-ROUNDS, COVERS, RATE, KEPT_CHARS = 24, 2, 0.5, 64
+#: Rounds of the multiplicative weights in a cover, covers at most, the learning rate, longest word that the memo keeps.
+ROUNDS, COVERS, RATE, KEPT_CHARS = 24, 3, 0.5, 64
 #: Ranks of pieces of like length that meet the fillings as one key.
 SLICE = 64
 #: Marks that part from the letters before them in every case.
@@ -113,23 +114,26 @@ def priced(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.n
     return best, take
 
 
-def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """A solution of the configuration linear program: fillings (lengths, descending) and how often to use each, in fractions.
+def covers(counts: np.ndarray, capacity: int) -> Iterator[tuple[dict[tuple[int, ...], float], float]]:
+    """Solutions of the configuration linear program: fillings (lengths, descending) and how often to use each, in fractions; with each, a bound that no packing beats.
 
     Multiplicative weights, begun at each length's share of a sequence, price fillings by the knapsack program. Every round uses
     the priced fillings as far as what is left uncovered allows, then raises the weights of lengths that lag behind; after ROUNDS
-    rounds a new cover begins with the weights found so far. The solution is the mean of the covers; what they leave (poor
-    fillings are never used) is left to rounding.
+    rounds a new cover begins with the weights found so far. What a cover leaves (poor fillings are never used) is left to rounding. Any
+    weights bound every packing: the weight of all pieces over the most that one sequence can hold of it.
     """
-    weight, used = np.ones(capacity + 1), {}
-    for cover in range(COVERS):
-        left = counts.astype(float)
+    weight, every = np.ones(capacity + 1), np.flatnonzero(counts)
+    while True:
+        left, used, bound = counts.astype(float), {}, 0.0
         for t in range(ROUNDS):
             lengths = np.flatnonzero(left > 1e-9)
             if not len(lengths):
                 break
             # less a little for each piece: fillings of few long pieces use short ones up more slowly
-            _, take = priced(lengths * weight[lengths] - 0.05, lengths, capacity)
+            values = np.maximum(lengths * weight[lengths] - 0.05, 0)
+            best, take = priced(values, lengths, capacity)
+            if best[capacity] > 0:
+                bound = max(bound, float((values * counts[lengths]).sum() / best[capacity]))
             share, slack = (0.5 if t < ROUNDS // 2 else 1.0), (0 if t < ROUNDS // 3 else capacity * t // (ROUNDS * 16))
             for n in lengths[::-1].tolist():
                 if left[n] <= 1e-9:
@@ -144,23 +148,29 @@ def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float
                 most = float((left[kinds] / times).min()) * share
                 left[kinds] -= times * most
                 key = tuple(sorted(filling, reverse=True))
-                used[key] = used.get(key, 0.0) + most / COVERS
+                used[key] = used.get(key, 0.0) + most
             rest = left[lengths] / counts[lengths]
             weight[lengths] *= np.exp(RATE * (rest - rest.mean()))
-    return used
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, descending, of sum at most capacity) and how often to use each, so that every length is placed as often as it occurs.
-
-    The fractional solution is rounded: whole multiples of each filling first, then by falling fractions one more of it while its
-    pieces last; what is left is placed by best fit.
-    """
-    left = np.zeros(capacity + 1, np.int64)
-    for n, count in histogram.items():
-        left[n] = count
-    solution = fractional(left, capacity) if left.sum() else {}
-    out: dict[tuple[int, ...], int] = {}
+        weight[every] /= weight[every].mean()
+        yield used, bound
+
+
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A bound from lengths alone: long pieces each need a sequence, and what is too long for their rest needs more (the best over all divisions into long, middle and short)."""
+    sizes = np.arange(capacity + 1)
+    upto, words = np.cumsum(counts), np.cumsum(counts * sizes)
+    half = capacity // 2
+    a = np.arange(half + 1)  # pieces below a are short
+    long, middle = upto[capacity] - upto[capacity - a], upto[capacity - a] - upto[half]
+    held = words[capacity - a] - words[half]
+    below = words[half] - np.where(a > 0, words[np.maximum(a - 1, 0)], 0)
+    more = np.maximum(0, -(-(below - (middle * capacity - held)) // capacity))
+    return int((long + middle + more).max())
+
+
+def rounded(solution: dict[tuple[int, ...], float], counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole multiples of each filling, then by falling fractions one more of it while its pieces last; what is left is placed by best fit."""
+    left, out = counts.copy(), {}
     for filling, x in solution.items():
         if x >= 1:
             out[filling] = int(x)
@@ -174,6 +184,34 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return [*out.items()] + best_fit(left, capacity)
 
 
+def packed(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Fillings (lengths, descending, of sum at most capacity) and how often to use each, so that every length is placed as often as it occurs; and a number of sequences that no packing goes below.
+
+    Each cover, the mean of those so far, and best fit alone are rounded, and the fewest sequences count; it ends when they meet the bound, or
+    after COVERS covers.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, count in histogram.items():
+        counts[n] = count
+    if not counts.sum():
+        return [], 0
+    many = lambda fillings: sum(m for _, m in fillings)
+    best, bound, mean = best_fit(counts, capacity), least_sequences(counts, capacity), {}
+    for k, (solution, least) in enumerate(covers(counts, capacity), 1):
+        bound = max(bound, int(np.ceil(least - 1e-6 * max(1.0, least) - 1e-9)))
+        for filling, x in solution.items():
+            mean[filling] = mean.get(filling, 0.0) + x
+        for some in [solution, {f: x / k for f, x in mean.items()}][: min(k, 2)]:
+            best = min(best, rounded(some, counts, capacity), key=many)
+        if many(best) <= bound or k == COVERS:
+            return best, bound
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """The fillings of `packed`."""
+    return packed(histogram, capacity)[0]
+
+
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Places left[n] pieces of each length n, long ones first, each into the fullest sequence that has room; equal sequences are handled as one."""
     left = left.copy()
@@ -221,8 +259,8 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFr
     """pieces (with a column length from 1 to capacity) with sequence_id and offset (columns of these names are replaced); keys order pieces of like length.
 
     No piece is cut or dropped; offsets in a sequence have no gaps; repeated keys get places of their own; no pieces, no rows.
-    The histogram that the driver sees has at most capacity rows and its fillings are at most COVERS * ROUNDS * capacity,
-    whatever the input; pieces meet the fillings in a join on length and slices of ranks.
+    The histogram that the driver sees has at most capacity rows and its fillings are at most COVERS * ROUNDS * capacity
+    of at most capacity pieces, whatever the input; pieces meet the fillings in a join on length and slices of ranks.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

@@ -5,6 +5,7 @@ import math
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -121,3 +122,46 @@ def test_configurations_place_every_length():
         for n in filling:
             placed[n] = placed.get(n, 0) + times
     assert placed == histogram and packing.configurations({}) == []
+
+
+def histograms():
+    dice = np.random.default_rng(1)
+    count = lambda x: dict(zip(*(a.tolist() for a in np.unique(x, return_counts=True))))
+    yield {n: int(dice.integers(1, 51)) for n in range(1, 4097)}
+    yield {int(n): int(dice.integers(1, 120)) for n in dice.choice(np.arange(100, 1401), 60, False)}
+    yield count(dice.integers(1300, 2701, 20_000))
+    yield count(np.clip(dice.lognormal(6, 1, 50_000).astype(int), 1, 4096))
+    yield {1400: 1000, 1296: 1000}
+    yield {4096: 3, 1: 2}
+    yield {2049: 7, 2048: 2, 1: 1}
+
+
+@pytest.mark.parametrize("histogram", list(histograms()))
+def test_packing_is_never_worse_than_best_fit_and_near_its_bound(histogram):
+    counts = np.zeros(4097, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c
+    fillings, bound = packing.packed(histogram)
+    many = sum(m for _, m in fillings)
+    placed = np.zeros(4097, np.int64)
+    for filling, times in fillings:
+        assert sum(filling) <= 4096
+        np.add.at(placed, list(filling), times)
+    assert (placed == counts).all()
+    assert bound <= many <= sum(m for _, m in packing.best_fit(counts, 4096))
+    print("sequences", many, "bound", bound)
+    assert many <= 1.015 * bound + 1
+    assert packing.least_sequences(counts, 4096) <= bound and bound >= -(-sum(n * c for n, c in histogram.items()) // 4096)
+
+
+def test_bounds_of_packing_hold_for_small_cases():
+    import itertools
+    import random
+
+    dice = random.Random(3)
+    for _ in range(60):
+        sizes = [dice.randrange(1, 11) for _ in range(dice.randrange(1, 7))]
+        least = next(k for k in range(1, 8) for way in itertools.product(range(k), repeat=len(sizes)) if all(sum(s for s, w in zip(sizes, way) if w == j) <= 10 for j in range(k)))
+        histogram = {s: sizes.count(s) for s in sizes}
+        fillings, bound = packing.packed(histogram, 10)
+        assert bound <= least <= sum(m for _, m in fillings) <= least + 1
