@@ -9,13 +9,14 @@ from the filled bin that its own number picks.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.common import table
 
-#: Bins (128, two masks of 64 bits), bits kept of each, words of a shingle, rows of an id range.
-BINS, KEPT, WORDS, RANGE_ROWS = 128, 8, 5, 2000
+#: Bins (128, two masks of 64 bits), bits kept of each, words of a shingle, rows of an id range, and ranges at most (above 100 million rows they grow, and their sort spills).
+BINS, KEPT, WORDS, RANGE_ROWS, MOST_RANGES = 128, 8, 5, 2000, 50_000
 _LOW_BITS = 0x0101010101010101
 
 
@@ -63,15 +64,21 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], order: str) -> D
     """docs with column `next`, a struct of the carried columns of the row that follows by id (after the last: the first).
 
     Null ids come last; rows that share an id are ordered by the column `order`. Rows are dealt by ranges of ids, and the first
-    row of each range also stands at the end of the range before it, so no range needs another and nothing is sorted in one task.
+    row of each range also stands at the end of the range before it, so no range needs another and nothing is sorted in one task. Rows
+    without an id, and rows of one id, are in one range.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.withColumn("_key", key).withColumn("_guest", F.lit(0))
-    n = rows.count()
-    ranges = min(1000, n // RANGE_ROWS)
-    cuts = sorted(set(rows.select("_key").approxQuantile("_key", [k / (ranges + 1) for k in range(1, ranges + 1)], 0.1 / (ranges + 1)))) if ranges else []
-    place = F.size(F.filter(F.lit([int(min(c, 2.0**62)) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_range", place)
+    keys = rows.select("_key")
+    ranges = min(MOST_RANGES, keys.count() // RANGE_ROWS)
+    # the first ids of as many ranges of like size; a row's range is found by binary search, so no row walks the cuts
+    cuts = sorted({r[0] for r in keys.repartitionByRange(ranges, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key")).select("min(_key)").collect()}) if ranges > 1 else []
+    splits = sorted({float(c) for c in cuts[1:]})
+    if splits:
+        placed = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="_place", outputCol="_range").transform(rows.withColumn("_place", F.col("_key").cast("double"))).drop("_place")
+        rows = placed.withColumn("_range", F.col("_range").cast("int"))
+    else:
+        rows = rows.withColumn("_range", F.lit(0))
     heads = sorted((r["_range"], r["head"]) for r in rows.groupBy("_range").agg(F.min("_key").alias("head")).collect())
     if not heads:
         return docs.withColumn("next", F.struct(*carried))
