@@ -56,16 +56,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes all that `materialize` has written in this process, and says how many tables; results that read them must be done with."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         done += bool(path.getFileSystem(conf).delete(path, True))
     return done
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all that `materialize` has written in this process, and says how many tables; results that read them must be done with."""
+    paths = [*_written]
+    _written.clear()
+    return _delete(spark, paths)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, drop: str | None = None):
+    """Gives a function that materializes the one result of a step, and its path; at the end all else that the step wrote is deleted, and the path to drop."""
+    begun, kept = len(_written), []
+
+    def keep(df: DataFrame) -> tuple[DataFrame, str]:
+        out = materialize(df)
+        kept.append(_written[-1])
+        return out, kept[-1]
+
+    yield keep
+    gone = [p for p in _written[begun:] if p not in kept] + [drop] * bool(drop)
+    _written[:] = [p for p in _written if p not in gone]
+    _delete(spark, gone)
+
+
 def in_task(run):
     """run (batches -> batches) for a worker that stays: gives freed memory back to the system when its task ends."""
 

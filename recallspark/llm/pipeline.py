@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import language_id, line_dedup, packing, simhash, substring_dedup
-from recallspark.llm.common import materialize, table
+from recallspark.llm.common import materialize, scope, table
 
 #: Documents whose language is less sure than this are rejected, as are those without any letter.
 LEAST_SCORE = 0.5
@@ -88,8 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each on what its predecessor wrote."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages over the documents table, each on what its predecessor wrote.
+
+    What a stage wrote besides its result is deleted once the result is written, and so is the result when the next one is; the last stage's
+    result is lazy and keeps what it reads (see `common.release`).
+    """
+    docs, path = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scope(spark, path) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,3 +56,14 @@ def test_written_tables_are_released(spark):
     assert df.count() == 7 and os.path.isdir(folder)
     assert common.release(spark) >= 1
     assert not os.path.isdir(folder) and not common._written
+
+
+def test_a_step_leaves_its_result_alone(spark):
+    before = list(common._written)
+    with common.scope(spark) as keep:
+        extra = common.materialize(spark.range(3))
+        first, path = keep(extra)
+    assert first.count() == 3 and common._written == [*before, path]
+    with common.scope(spark, path) as keep:
+        second, other = keep(first.selectExpr("id + 1 as id"))
+    assert second.count() == 3 and common._written == [*before, other] and not os.path.isdir(path)
