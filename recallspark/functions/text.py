@@ -234,3 +234,19 @@ def first_object(reply: Column) -> Column:
 def subject_token(space: Column) -> Column:
     """A space's name in a message subject."""
     return F.concat(F.lit("b64_"), F.rtrim(F.translate(F.base64(F.encode(space, "UTF-8")), "+/", "-_"), F.lit("=")))
+
+
+def safe_name(value: Column, most: int = 180) -> Column:
+    """A name of letters, digits, underscores and hyphens; runs of others become one underscore, none is left at the ends, nothing is `default`, and what is too long ends in a hash of the whole."""
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    safe = F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    safe = F.when(safe == "", F.lit("default")).otherwise(safe)
+    return F.when(F.char_length(safe) <= most, safe).otherwise(F.concat(F.substring(safe, 1, max(1, most - 17)), F.lit("_"), F.substring(F.sha2(raw, 256), 1, 16)))
+
+
+def pooled(hidden: Column, mask: Column, kind: str = "mean") -> Column:
+    """One vector of the vectors of a text's tokens: the first (cls), or the mean of those whose mask is 1, of length one; no tokens have none."""
+    kept = F.transform(F.filter(F.arrays_zip(hidden.alias("h"), mask.alias("m")), lambda z: z["m"] == 1), lambda z: z["h"])
+    size = F.size(kept)
+    mean = F.transform(F.sequence(F.lit(1), F.size(hidden[0])), lambda k: F.aggregate(kept, F.lit(0.0), lambda s, v: s + F.element_at(v, k).cast("double")) / size)
+    return F.when(F.size(hidden) > 0, unit(hidden[0]) if kind == "cls" else F.when(size > 0, unit(mean)))

@@ -21,6 +21,22 @@ def owner_browse(drawers: DataFrame, seen: Column) -> DataFrame:
     return drawers.groupBy("wing").agg(F.count_if(seen).alias("visible"), F.count_if(~seen).alias("withheld"))
 
 
+def owner_tree(drawers: DataFrame, seen: Column, wings: list[str], titles: int, most: int) -> DataFrame:
+    """place, wing, room, drawers and titles (the first ones, with whether there are more) of what an owner may see, with entry_count, withheld_count and truncated on each row.
+
+    At most `most` drawers, by id, are looked at, as a page; truncated says whether there are more, and what may not be seen among them is counted. Wings go in the
+    order given, others after them by name; empty ones are not shown.
+    """
+    some = drawers.orderBy("drawer_id").limit(most).withColumn("_seen", seen)
+    counts = some.agg(F.count_if("_seen").alias("entry_count"), F.count_if(~F.col("_seen")).alias("withheld_count"))
+    more = drawers.limit(most + 1).agg((F.count("*") > most).alias("truncated"))
+    first = Window.partitionBy("wing", "room").orderBy("drawer_id")
+    rows = some.where("_seen").withColumn("_n", F.row_number().over(first))
+    out = rows.groupBy("wing", "room").agg(F.count("*").alias("drawers"), F.array_sort(F.collect_list(F.when(F.col("_n") <= titles, F.col("drawer_id")))).alias("titles"))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, wings)), F.col("wing")), F.lit(0)), F.lit(len(wings) + 1))
+    return out.select(order.cast("int").alias("place"), "wing", "room", "drawers", "titles", (F.col("drawers") > titles).alias("more"), counts.select("entry_count").scalar().alias("entry_count"), counts.select("withheld_count").scalar().alias("withheld_count"), more.scalar().alias("truncated"))
+
+
 def rooms(drawers: DataFrame) -> DataFrame:
     """Rooms with their wings; a room of two wings or more is a tunnel. Tunnels come first."""
     pairs = drawers.groupBy("room", "wing").agg(F.count("*").alias("n"))

@@ -104,3 +104,54 @@ def exact_invalidation(asked: DataFrame, statements: DataFrame, drawers: DataFra
     live = facts.where("state = 'active'").groupBy("fact_id").agg(F.count("*").alias("facts"))
     out = graph.join(found, key, "left").join(live, "fact_id", "left")
     return out.withColumns({"drawers": F.coalesce("drawers", F.lit(0)), "facts": F.coalesce("facts", F.lit(0))})
+
+
+SLOT = ["space_id", "audience", "subject_id", "predicate"]
+
+
+def registered(events: DataFrame) -> DataFrame:
+    """The outcome of each event (SLOT, object_id, seq, op, intent_id, payload, single) of a slot, in order of seq: outcome and evidence (of the object, after it).
+
+    op register: forgotten facts stay so; a slot that holds a single value refuses another while one is active (slot conflict); an intent that
+    comes again must bring the same object and payload (replay, else evidence conflict); an inactive fact takes no new evidence; else the fact is created
+    or gets evidence. op invalidate ends an active fact, op forget ends a known one for good; both do nothing (none) where there is none. Refused events
+    change nothing. Slots are dealt by key and read in order, an event at a time; an intent belongs to the slot that names it.
+    """
+    kinds = dict(events.dtypes)
+    columns = [*SLOT, "object_id", "seq", "op", "intent_id", "payload", "single"]
+
+    def run(batches):
+        slot, facts, intents, evidence = None, {}, {}, {}
+        for pdf in batches:
+            out, counts = [], []
+            for r in pdf.itertuples(index=False):
+                if (r.space_id, r.audience, r.subject_id, r.predicate) != slot:
+                    slot, facts, intents, evidence = (r.space_id, r.audience, r.subject_id, r.predicate), {}, {}, {}
+                state, said = facts.get(r.object_id), (r.object_id, r.payload)
+                if r.op == "register":
+                    if state == "forgotten":
+                        result = "forgotten"
+                    elif state is None and r.single and "active" in facts.values():
+                        result = "slot conflict"
+                    elif r.intent_id in intents:
+                        result = "replay" if intents[r.intent_id] == said else "evidence conflict"
+                    elif state == "inactive":
+                        result = "inactive"
+                    else:
+                        result = "evidence" if state else "created"
+                        facts[r.object_id], intents[r.intent_id] = "active", said
+                        evidence[r.object_id] = evidence.get(r.object_id, 0) + 1
+                elif r.op == "invalidate":
+                    result = "invalidated" if state == "active" else "none"
+                    if state == "active":
+                        facts[r.object_id] = "inactive"
+                else:
+                    result = "erased" if state in ("active", "inactive") else "none"
+                    if result == "erased":
+                        facts[r.object_id] = "forgotten"
+                out.append(result)
+                counts.append(evidence.get(r.object_id, 0))
+            yield pdf[[*SLOT, "object_id", "seq", "op"]].assign(outcome=out, evidence=counts)
+
+    kind = ", ".join([*(f"{c} {kinds[c]}" for c in [*SLOT, "object_id", "seq", "op"]), "outcome string, evidence long"])
+    return events.select(*columns).repartition(*SLOT).sortWithinPartitions(*SLOT, "seq").mapInPandas(run, kind)

@@ -63,6 +63,51 @@ def first_decisions(decisions: DataFrame) -> DataFrame:
     return both.groupBy(*key, "kept").agg(F.count_if(F.col("input_hash") != F.col("kept.input_hash")).alias("conflicts")).select(*key, F.col("kept.seq").alias("seq"), F.col("kept.input_hash").alias("input_hash"), "conflicts")
 
 
+def decided(decisions: DataFrame, tombstones: DataFrame, provisional: str) -> DataFrame:
+    """decisions (space_id, turn_id, version, seq, input_hash) with the outcome of putting each if absent, in order of seq.
+
+    redacted: after the turn's tombstone (space_id, turn_id, seq), which wins over everything; attribution conflict: a provisional source and an
+    extractor cannot both decide one turn, whichever came first; stored: the first of its version; replay: the same input again; input conflict:
+    the identity is used for another input. The firsts are minima with partial sums, so no turn is gathered.
+    """
+    turn = ["space_id", "turn_id"]
+    gone = tombstones.groupBy(*turn).agg(F.min("seq").alias("_gone"))
+    first = decisions.groupBy(*turn).agg(F.min(F.struct("seq", "version")).alias("_first"))
+    own = decisions.groupBy(*turn, "version").agg(F.min(F.struct("seq", "input_hash")).alias("_own"))
+    rows = decisions.join(gone, turn, "left").join(first, turn).join(own, [*turn, "version"])
+    outcome = F.when(F.col("_gone").isNotNull() & (F.col("seq") > F.col("_gone")), "redacted")
+    outcome = outcome.when((F.col("version") == provisional) != (F.col("_first.version") == provisional), "attribution conflict").when(F.col("seq") == F.col("_own.seq"), "stored")
+    outcome = outcome.when(F.col("input_hash").eqNullSafe(F.col("_own.input_hash")), "replay").otherwise("input conflict")
+    return rows.withColumn("outcome", outcome).drop("_gone", "_first", "_own")
+
+
+def applied_commitments(events: DataFrame, identity: list[str]) -> DataFrame:
+    """commitment_id, status, revision, rejected, strangers, participants, condition and due_at after ordered intents (commitment_id, place, status, participant, condition, due_at, and the columns of its identity).
+
+    The first intent fixes who promises what: later ones with another identity are refused (strangers) and change nothing. The others fold as in
+    `fold_commitments`; a condition or due date replaces only when it is given. A new revision has no projections, so what `projected_commitments` says of older ones no longer counts.
+    """
+    own = Window.partitionBy("commitment_id")
+    first = events.groupBy("commitment_id").agg(F.min_by(F.struct(*identity), "place").alias("_is"))
+    rows = events.join(first, "commitment_id").withColumn("_own", F.struct(*identity).eqNullSafe(F.col("_is")))
+    odd = rows.groupBy("commitment_id").agg(F.count_if(~F.col("_own")).cast("int").alias("strangers"))
+    status, k = F.col("status"), F.col("_k")
+    lowest = lambda test: F.min(F.when(test, k)).over(own)
+    rows = rows.where("_own").withColumn("_k", F.row_number().over(own.orderBy("place"))).withColumn("_sure", lowest(status == "confirmed"))
+    rows = rows.withColumn("_end", F.least(lowest(status.isin("cancelled", "superseded") & (k > 1)), lowest((status == "fulfilled") & (k > F.col("_sure")))))
+    rows = rows.withColumn("_as", F.max(F.when(k == F.col("_end"), status)).over(own))
+    goes_on = (status == "confirmed") | ((status == "proposed") & F.coalesce(k <= F.col("_sure"), F.lit(True)))
+    taken = (k == 1) | ((F.col("_end").isNull() | (k < F.col("_end"))) & goes_on) | F.coalesce((k >= F.col("_end")) & (status == F.col("_as")), F.lit(False))
+    rows = rows.withColumn("_taken", taken)
+    last = lambda c: F.max(F.when(F.col("_taken") & F.col(c).isNotNull(), F.struct("_k", c)))[c].alias(c)
+    out = rows.groupBy("commitment_id").agg(
+        F.coalesce(F.max("_as"), F.when(F.max("_sure").isNotNull(), F.lit("confirmed")).otherwise(F.lit("proposed"))).alias("status"),
+        F.count_if("_taken").cast("int").alias("revision"), F.count_if(~F.col("_taken")).cast("int").alias("rejected"),
+        F.array_sort(F.collect_set(F.when(F.col("_taken"), F.col("participant")))).alias("participants"), last("condition"), last("due_at"),
+    )
+    return out.join(odd, "commitment_id")
+
+
 def fold_facts(events: DataFrame) -> DataFrame:
     """Canonical facts from (fact_id, slot, seq, kind, evidence) events: add, invalidate, reactivate, forget.
 

@@ -9,6 +9,7 @@ import json
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pandas as pd
@@ -22,21 +23,50 @@ from recallspark.operators.visibility import Caller
 VOICE_SECONDS, GRAPH_SECONDS, CANDIDATES, SCANNED, TOKEN_SECONDS, TOKEN_IDS = 0.3, 0.05, 20, 50_000, 600, 100
 
 
-def within(plan: DataFrame, seconds: float) -> tuple[list[Row], bool]:
-    """A plan's rows, and False; or none and True if it is not done in time or fails. Its jobs are interrupted then, so other parts of a recall stay whole."""
+def answered(plan: DataFrame, seconds: float) -> tuple[list[Row], str | None]:
+    """A plan's rows, and null; or none, and `timeout` or what went wrong. Jobs over the budget are interrupted, so other parts of a recall stay whole."""
     context, tag = plan.sparkSession.sparkContext, f"budget-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
     context.addJobTag(tag)
     timer.start()
     try:
-        return plan.collect(), False
-    except Exception:
-        return [], True
+        rows = plan.collect()
+        return ([], "timeout") if late.is_set() else (rows, None)
+    except Exception as e:
+        return [], "timeout" if late.is_set() else f"{type(e).__name__}: {e}"
     finally:
         timer.cancel()
         context.removeJobTag(tag)
 
 
+def within(plan: DataFrame, seconds: float) -> tuple[list[Row], bool]:
+    """A plan's rows, and False; or none and True if it is not done in time or fails."""
+    rows, reason = answered(plan, seconds)
+    return rows, reason is not None
+
+
+def voice(records: DataFrame, facts: DataFrame | None, render: Callable[[list[Row], list[Row]], str], seconds: float = VOICE_SECONDS, graph_seconds: float = GRAPH_SECONDS) -> dict:
+    """A spoken recall: records within its whole budget and, beside them, facts within theirs.
+
+    Facts that are late or fail are left out without a word (facts_reason says why); records that are late or fail make the recall degraded, with an empty context,
+    so that the caller never waits longer than the budget for it. Few rows each, as a recall's are.
+    """
+    with ThreadPoolExecutor(2) as pool:
+        asked = pool.submit(answered, records, seconds)
+        told = pool.submit(answered, facts, min(seconds, graph_seconds)) if facts is not None else None
+        rows, reason = asked.result()
+        said, dropped = told.result() if told else ([], None)
+    if reason is not None:
+        return {"context": "", "records": [], "facts": [], "degraded": True, "reason": reason, "facts_reason": dropped}
+    return {"context": render(rows, said), "records": rows, "facts": said, "degraded": False, "reason": None, "facts_reason": dropped}
+
+
 def owner_view(caller: Caller) -> Caller:
     """The caller as the owner who looks through their own memory: every audience, nothing private."""
     return replace(caller, every_audience=True, include_private=False)

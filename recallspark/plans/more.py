@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import browse, canonical, erasure, evaluation, graph, graph_recall, ledgers, postings, recall, retrieval, steward, storage, vector_index, visibility
+from recallspark.operators import browse, canonical, erasure, evaluation, graph, graph_recall, ledgers, ontology, postings, recall, retrieval, steward, storage, vector_index, visibility
 from recallspark.operators.scratch import written
-from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _TEXTS, _VALID, CALLER, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
+from recallspark.plans.catalog import _ORDER, _RENDERED, _SEEN, _STEP, _TEXTS, _VALID, CALLER, ORACLES, READERS, SPACE, _fused, asked, asked_vectors, at, recallable, register
 from recallspark.plans.oracle_views import iso as sql_iso
 from recallspark.sources import views
 from recallspark.sources.views import iso, load, text_of
@@ -106,12 +106,33 @@ def storage_policy(s, d):
     return views.drawers(s, d).select("drawer_id", visibility.recallable().alias("recallable"), visibility.listed().alias("listed"))
 
 
-@register("claims", """SELECT idx, CASE WHEN predicate IS NULL OR predicate NOT IN ('likes', 'uses', 'owns') THEN 'unknown predicate' END AS fault FROM claims""")
+_ONTOLOGY = "(VALUES " + ", ".join(f"('{p}', '{w}', '{k}')" for (w, k), ps in ontology.WINGS.items() for p in ps) + ") o(p, ow, ot)"
+
+
+@register("claims", f"""SELECT idx, error, CASE WHEN error IS NULL THEN CASE WHEN triple THEN ow ELSE wing END END AS to_wing, CASE WHEN error IS NULL THEN CASE WHEN triple THEN ot ELSE memory_type END END AS to_type FROM (
+ SELECT *, CASE WHEN triple AND ow IS NULL THEN 'unsupported predicate' WHEN triple AND wing NOT IN ('', 'auto') AND wing <> ow THEN 'wing conflicts' WHEN triple AND memory_type NOT IN ('', 'auto') AND memory_type <> ot THEN 'type conflicts' WHEN NOT triple AND (wing IN ('', 'auto') OR memory_type IN ('', 'auto')) THEN 'needs wing and type' END AS error FROM (
+ SELECT *, predicate IS NOT NULL AS triple FROM (SELECT c.idx, CASE WHEN kind = 'invalidation' THEN replace(predicate, 'likes', 'adores') ELSE predicate END AS predicate, CASE importance WHEN 1 THEN 'Wing_Life' WHEN 2 THEN 'auto' WHEN 3 THEN 'Wing_Work' ELSE '' END AS wing, CASE WHEN confidence > 0.6 THEN 'life' WHEN confidence > 0.3 THEN '' ELSE 'work' END AS memory_type FROM claims c) LEFT JOIN {_ONTOLOGY} ON p = predicate))""")
+def predicate_placement(s, d):
+    """Where claims belong by what their predicates mean, against the wing and type that they ask for."""
+    c = views.claims(s, d)
+    rows = c.select("idx", "subject", F.when(F.col("kind") == "invalidation", F.replace("predicate", F.lit("likes"), F.lit("adores"))).otherwise(F.col("predicate")).alias("predicate"), "object",
+        F.when(F.col("importance") == 1, "Wing_Life").when(F.col("importance") == 2, "auto").when(F.col("importance") == 3, "Wing_Work").otherwise("").alias("wing"), F.when(F.col("confidence") > 0.6, "life").when(F.col("confidence") > 0.3, "").otherwise("work").alias("memory_type"))
+    return ontology.placed(rows).select("idx", "error", "to_wing", "to_type")
+
+
+@register("claims", f"""SELECT idx, CASE WHEN p IS NULL THEN 'unknown predicate' END AS fault FROM claims LEFT JOIN {_ONTOLOGY} ON p = predicate""")
 def predicate_whitelist(s, d):
-    known = s.createDataFrame([(p,) for p in ("likes", "uses", "owns")], "predicate string").withColumn("known", F.lit(True))
+    known = ontology.registry(s).select("predicate", F.lit(True).alias("known"))
     return views.claims(s, d).join(F.broadcast(known), "predicate", "left").select("idx", F.when(F.col("known").isNull(), F.lit("unknown predicate")).alias("fault"))
 
 
+@register("drawers visible_drawers", f"""SELECT place, wing, room, drawers, titles, drawers > 3 AS more, (SELECT count(*) FROM s WHERE seen) AS entry_count, (SELECT count(*) FROM s WHERE NOT seen) AS withheld_count, (SELECT count(*) > 800 FROM drawers) AS truncated FROM (
+ SELECT coalesce(nullif(list_position({views.WINGS[:5]!r}, wing), 0), 6)::INT AS place, wing, room, count(*) AS drawers, array_to_string(list_sort(list(drawer_id))[1:3], ',') AS titles FROM s WHERE seen GROUP BY ALL)""".replace("SELECT place", ", s AS (SELECT *, drawer_id IN (SELECT drawer_id FROM visible_drawers) AS seen FROM (SELECT * FROM drawers ORDER BY drawer_id LIMIT 800)) SELECT place", 1))
+def owner_tree(s, d):
+    """What the owner's browser shows of the first 800 records: wings in order, rooms, titles, and how many are withheld."""
+    return browse.owner_tree(views.drawers(s, d), visibility.visible(CALLER), views.WINGS[:5], 3, 800).withColumn("titles", F.array_join("titles", ","))
+
+
 @register("drawers", "SELECT space_id, drawer_id, wing FROM drawers WHERE wing NOT IN ('Wing_Privacy', 'Wing_Theme')")
 def searched_wings(s, d):
     return views.drawers(s, d).where(F.col("wing").isin(visibility.searched_wings(None, views.WINGS))).select("space_id", "drawer_id", "wing")
@@ -280,11 +301,26 @@ def record_wire(s, d):
     return rows.where("back[0] = room and cast(back[1] as bigint) = drawer_id").select("drawer_id", F.col("m")["room"].alias("a"), "tags", F.size("m").alias("kept"), "cursor", "token")
 
 
-@register("", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"a": ' || event_id || '}' WHEN event_id % 3 = 1 THEN '{"b": 1}' END AS object FROM events""")
+@register("", """SELECT conv_id, turn, CASE WHEN role <> 'system' THEN '{"conv":' || conv_id || ',"turn":' || turn || ',"said":"' || substr(sha256(text), 1, 12) || '"}' END AS object FROM conversations""")
 def reply_objects(s, d):
-    n = F.col("event_id")
-    reply = F.when(n % 3 == 0, F.concat(F.lit('Here:\n```json\n{"a": '), n.cast("string"), F.lit("}\n```\nDone."))).when(n % 3 == 1, F.lit('sure {"b": 1} ok')).otherwise(F.lit("no {object"))
-    return load(s, d, "events").select("event_id", text.first_object(reply).alias("object"))
+    """The object in what a model replies: a turn's text, a fenced object about it, and the text again; system turns have a brace that never closes."""
+    about = F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn", F.substring(F.sha2("text", 256), 1, 12).alias("said")))
+    reply = F.when(F.col("role") != "system", F.concat("text", F.lit("\n```json\n"), about, F.lit("\n```\n"), "text")).otherwise(F.concat("text", F.lit(" {open")))
+    return load(s, d, "conversations").select("conv_id", "turn", text.first_object(reply).alias("object"))
+
+
+@register("", r"""SELECT doc_id, CASE WHEN length(safe) <= 40 THEN safe ELSE substr(safe, 1, 23) || '_' || substr(sha256(raw), 1, 16) END AS name FROM (SELECT doc_id, raw, CASE WHEN s = '' THEN 'default' ELSE s END AS safe FROM (
+ SELECT doc_id, raw, regexp_replace(regexp_replace(raw, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM (SELECT doc_id, trim(coalesce(text, '')) AS raw FROM documents)))""")
+def safe_names(s, d):
+    return load(s, d, "documents").select("doc_id", text.safe_name(F.col("text"), 40).alias("name"))
+
+
+@register("", """SELECT label, k, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id < 200 AND vec_id % 4 <> 0) GROUP BY 1, 2)""")
+def pooled_vectors(s, d):
+    """Vectors of a label pooled as tokens of one text, every fourth masked."""
+    rows = load(s, d, "embeddings").where("vec_id < 200").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("t"))
+    v = text.pooled(F.transform("t", lambda t: t["e"]), F.transform("t", lambda t: (t["vec_id"] % 4 != 0).cast("int")))
+    return rows.select("label", F.posexplode(v).alias("k", "x")).select("label", (F.col("k") + 1).alias("k"), F.round("x", 6).alias("x"))
 
 
 # retrieval
@@ -428,7 +464,8 @@ def steward_intents(s, d):
 
 @register("claims turn_contexts", """SELECT idx, t.space_id, audience, device_id AS source_device_id, CASE WHEN privacy = 'private' AND audience <> 'owner' THEN 'normal' ELSE privacy END AS privacy, CASE WHEN scope = 'device' AND target_device_id = '' THEN device_id ELSE target_device_id END AS target_device_id FROM claims c JOIN turn_contexts t USING (turn_id)""")
 def steward_identity(s, d):
-    return steward.stamped(views.claims(s, d), views.turn_contexts(s, d)).select("idx", "space_id", "audience", "source_device_id", "privacy", "target_device_id")
+    contexts = views.turn_contexts(s, d)
+    return steward.stamped(views.claims(s, d).join(contexts.select("turn_id"), "turn_id", "left_semi"), contexts).select("idx", "space_id", "audience", "source_device_id", "privacy", "target_device_id")
 
 
 @register("turn_contexts", "SELECT turn_id, CASE WHEN space_id <> 'space_0' THEN 'skip' WHEN layer <> 'personal' OR person_id IS NULL THEN 'dead' ELSE 'process' END AS route FROM turn_contexts")
@@ -579,6 +616,63 @@ def statement_log(s, d):
     return keyed.statement_log(rows).withColumns({"valid_from": iso(F.col("valid_from")), "valid_to": iso(F.col("valid_to"))})
 
 
+_REGISTER = "SELECT 'user:' || user_id AS subject_id, 'item:' || (CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 3) AS object_id, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'invalidate' WHEN event_type = 'error' AND value < 20 THEN 'forget' ELSE 'register' END AS op, 'intent_' || (event_id % 40) AS intent_id, event_type AS payload, user_id % 2 = 0 AS single FROM events"
+_OUTCOME = """CASE op WHEN 'register' THEN CASE WHEN list_contains(forgotten, l.object_id) THEN 'forgotten' WHEN NOT list_contains(active, l.object_id) AND NOT list_contains(inactive, l.object_id) AND single AND len(active) > 0 THEN 'slot conflict'
+ WHEN list_contains(told, l.intent_id || '|' || l.object_id || '|' || payload) THEN 'replay' WHEN list_contains(seen, l.intent_id) THEN 'evidence conflict' WHEN list_contains(inactive, l.object_id) THEN 'inactive' WHEN list_contains(active, l.object_id) THEN 'evidence' ELSE 'created' END
+ WHEN 'invalidate' THEN CASE WHEN list_contains(active, l.object_id) THEN 'invalidated' ELSE 'none' END ELSE CASE WHEN list_contains(active, l.object_id) OR list_contains(inactive, l.object_id) THEN 'erased' ELSE 'none' END END"""
+
+
+@register("", f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS n FROM ({_REGISTER})),
+f AS (SELECT subject_id, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS object_id, '' AS outcome, []::VARCHAR[] AS active, []::VARCHAR[] AS inactive, []::VARCHAR[] AS forgotten, []::VARCHAR[] AS seen, []::VARCHAR[] AS told, []::VARCHAR[] AS given FROM l WHERE n = 1
+ UNION ALL SELECT s.subject_id, s.n, s.seq, s.object_id, s.outcome, CASE WHEN outcome = 'created' THEN list_append(active, object_id) WHEN outcome IN ('invalidated', 'erased') THEN list_filter(active, lambda x: x <> object_id) ELSE active END,
+  CASE WHEN outcome = 'invalidated' THEN list_append(inactive, object_id) WHEN outcome = 'erased' THEN list_filter(inactive, lambda x: x <> object_id) ELSE inactive END, CASE WHEN outcome = 'erased' THEN list_append(forgotten, object_id) ELSE forgotten END,
+  CASE WHEN outcome IN ('created', 'evidence') THEN list_append(seen, intent_id) ELSE seen END, CASE WHEN outcome IN ('created', 'evidence') THEN list_append(told, intent_id || '|' || object_id || '|' || payload) ELSE told END, CASE WHEN outcome IN ('created', 'evidence') THEN list_append(given, object_id) ELSE given END
+ FROM (SELECT l.subject_id, l.n, l.seq, l.object_id, l.intent_id, l.payload, active, inactive, forgotten, seen, told, given, {_OUTCOME} AS outcome FROM f JOIN l ON l.subject_id = f.subject_id AND l.n = f.n + 1) s)
+SELECT subject_id, object_id, seq, outcome, len(list_filter(given, lambda x: x = object_id))::BIGINT AS evidence FROM f WHERE n > 0""")
+def canonical_register(s, d):
+    """What registering, invalidating and forgetting facts in the order of the events comes to, for slots of one value and of many."""
+    e, n = load(s, d, "events"), F.col("event_id")
+    op = F.when(F.col("event_type") == "purchase", "invalidate").when((F.col("event_type") == "error") & (F.col("value") < 20), "forget").otherwise("register")
+    rows = e.select(F.lit(SPACE).alias("space_id"), F.lit("owner").alias("audience"), text_of("user:", F.col("user_id")).alias("subject_id"), F.lit("owns").alias("predicate"), text_of("item:", F.regexp_extract("props", "[0-9]+", 0).cast("long") % 3).alias("object_id"),
+        n.alias("seq"), op.alias("op"), text_of("intent_", n % 40).alias("intent_id"), F.col("event_type").alias("payload"), (F.col("user_id") % 2 == 0).alias("single"))
+    return canonical.registered(rows).select("subject_id", "object_id", "seq", "outcome", "evidence")
+
+
+@register("", """WITH d AS (SELECT 'space_' || (user_id % 4) AS space_id, 'turn_' || (event_id % 300) AS turn_id, CASE WHEN event_type = 'view' THEN 'provisional' ELSE event_type END AS version, event_id AS seq, props AS input_hash FROM events WHERE event_type <> 'error'),
+t AS (SELECT 'space_' || (user_id % 4) AS space_id, 'turn_' || (event_id % 300) AS turn_id, min(event_id) AS gone FROM events WHERE event_type = 'error' AND value < 40 GROUP BY 1, 2),
+w AS (SELECT d.*, gone, first_value(version) OVER (PARTITION BY space_id, turn_id ORDER BY seq) AS lead_version, row_number() OVER (PARTITION BY space_id, turn_id, version ORDER BY seq) AS n, first_value(input_hash) OVER (PARTITION BY space_id, turn_id, version ORDER BY seq) AS lead_hash FROM d LEFT JOIN t USING (space_id, turn_id))
+SELECT space_id, turn_id, version, seq, CASE WHEN seq > gone THEN 'redacted' WHEN (version = 'provisional') <> (lead_version = 'provisional') THEN 'attribution conflict' WHEN n = 1 THEN 'stored' WHEN input_hash = lead_hash THEN 'replay' ELSE 'input conflict' END AS outcome FROM w""")
+def decision_outcomes(s, d):
+    """What putting extraction decisions if absent comes to, with tombstones and provisional sources."""
+    e, n = load(s, d, "events"), F.col("event_id")
+    turn = [text_of("space_", F.col("user_id") % 4).alias("space_id"), text_of("turn_", n % 300).alias("turn_id")]
+    rows = e.where("event_type <> 'error'").select(*turn, F.when(F.col("event_type") == "view", "provisional").otherwise(F.col("event_type")).alias("version"), n.alias("seq"), F.col("props").alias("input_hash"))
+    stones = e.where("event_type = 'error' and value < 40").select(*turn, n.alias("seq"))
+    return ledgers.decided(rows, stones, "provisional").select("space_id", "turn_id", "version", "seq", "outcome")
+
+
+@register("", None)
+def commitment_apply(s, d):
+    """Commitments with identity and condition: an order's lines of another action (by their tax) than its first are strangers."""
+    return ledgers.applied_commitments(_applied_events(s, d), ["promisor", "action"]).withColumn("participants", F.array_join("participants", ",")).withColumn("due_at", iso(F.col("due_at")))
+
+
+def _applied_events(s, d) -> DataFrame:
+    more = load(s, d, "lineitem").select(F.col("l_orderkey").alias("commitment_id"), F.struct(F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("place"), F.when(F.col("l_tax") > 0.06, F.lit("other")).otherwise(F.lit("deliver")).alias("action"), F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("condition"))
+    return views.commitment_events(s, d).join(more, ["commitment_id", "place"])
+
+
+_APPLY_STEP = _STEP.replace("e.status", "l.status")
+ORACLES["commitment_apply"] = f"""WITH RECURSIVE a AS (SELECT o_orderkey AS commitment_id, l_shipdate, l_linenumber, l_partkey, l_suppkey, 'customer:' || o_custkey AS promisor, CASE WHEN l_linestatus = 'F' THEN (['confirmed', 'fulfilled', 'cancelled'])[l_linenumber % 3 + 1] ELSE (['proposed', 'confirmed'])[l_linenumber % 2 + 1] END AS status,
+ 'supplier:' || l_suppkey AS participant, CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate END AS due_at, CASE WHEN l_tax > 0.06 THEN 'other' ELSE 'deliver' END AS action, CASE WHEN l_discount > 0.05 THEN l_returnflag END AS condition FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT *, first_value(action) OVER (PARTITION BY commitment_id ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS lead_action FROM a),
+l AS (SELECT *, row_number() OVER (PARTITION BY commitment_id ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS n FROM b WHERE action = lead_action),
+f AS (SELECT commitment_id, n, CASE WHEN status = 'confirmed' THEN status ELSE 'proposed' END AS status, 1 AS revision, 0 AS rejected, [participant] AS participants, condition, due_at FROM l WHERE n = 1
+ UNION ALL SELECT z.commitment_id, l.n, {_APPLY_STEP}, z.revision + ({_APPLY_STEP} = l.status)::INT, z.rejected + ({_APPLY_STEP} <> l.status)::INT, CASE WHEN {_APPLY_STEP} = l.status THEN list_distinct(list_append(z.participants, l.participant)) ELSE z.participants END,
+  CASE WHEN {_APPLY_STEP} = l.status THEN coalesce(l.condition, z.condition) ELSE z.condition END, CASE WHEN {_APPLY_STEP} = l.status THEN coalesce(l.due_at, z.due_at) ELSE z.due_at END FROM f z JOIN l ON l.commitment_id = z.commitment_id AND l.n = z.n + 1)
+SELECT commitment_id, status, revision, rejected, strangers, array_to_string(list_sort(participants), ',') AS participants, condition, {sql_iso('due_at')} AS due_at FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY commitment_id ORDER BY n DESC) = 1) JOIN (SELECT commitment_id, count(*) FILTER (action <> lead_action)::INT AS strangers FROM b GROUP BY 1) USING (commitment_id)"""
+
+
 # quality
 
 

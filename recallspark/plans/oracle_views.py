@@ -63,7 +63,7 @@ VIEWS["claims"] = """
   CASE event_id % 13 WHEN 0 THEN 'current_device' ELSE 'all_devices' END AS visibility, CASE WHEN event_id % 17 = 0 THEN 'device_1' ELSE '' END AS target_device_id, CASE event_id % 9 WHEN 0 THEN 'sensitive' WHEN 1 THEN 'private' ELSE 'normal' END AS privacy,
   CASE WHEN event_id % 2 = 0 THEN ts END AS valid_from, ts AS occurred_at FROM events"""
 VIEWS["turn_contexts"] = """
- SELECT 'turn_' || k AS turn_id, 'space_' || (k % 4) AS space_id, (['owner', 'companion:c0', 'companion:c1'])[k % 3 + 1] AS audience, 'device_' || (k % 5) AS device_id, CASE k % 6 WHEN 0 THEN 'household' ELSE 'personal' END AS layer, CASE WHEN k % 8 <> 0 THEN 'person_' || (k % 3) END AS person_id FROM range(500) t(k)"""
+ SELECT 'turn_' || (8 * conv_id + turn) AS turn_id, 'space_' || (conv_id % 4) AS space_id, CASE WHEN role = 'user' THEN 'owner' ELSE 'companion:c' || (conv_id % 2) END AS audience, 'device_' || (conv_id % 5) AS device_id, CASE WHEN role = 'system' THEN 'household' ELSE 'personal' END AS layer, CASE WHEN length(text) % 8 <> 0 THEN 'person_' || (conv_id % 3) END AS person_id FROM conversations"""
 VIEWS["visible_drawers"] = """
  SELECT * FROM drawers WHERE wing <> 'Wing_Privacy' AND space_id = 'space_0' AND privacy NOT IN ('do_not_recall', 'private') AND visibility <> 'private'
   AND (scope <> 'session' OR session_id = 'session_1') AND (person_id IS NULL OR person_id = 'person_0') AND coalesce(audience, 'owner') IN ('owner', 'companion:c0')

@@ -193,9 +193,10 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who speaks in a turn: space, audience, device, layer, person."""
-    k = F.col("id")
-    return spark.range(500).select(
-        text_of("turn_", k).alias("turn_id"), text_of("space_", k % 4).alias("space_id"), choose(k % 3, ["owner", "companion:c0", "companion:c1"]).alias("audience"), text_of("device_", k % 5).alias("device_id"),
-        choose(k % 6, ["household", *["personal"] * 5]).alias("layer"), F.when(k % 8 != 0, text_of("person_", k % 3)).alias("person_id"),
+    """Who speaks in each turn of a conversation: space, audience, device, layer, person."""
+    c = load(spark, sf_dir, "conversations")
+    k = 8 * F.col("conv_id") + F.col("turn")
+    return c.select(
+        text_of("turn_", k).alias("turn_id"), text_of("space_", F.col("conv_id") % 4).alias("space_id"), F.when(F.col("role") == "user", F.lit("owner")).otherwise(text_of("companion:c", F.col("conv_id") % 2)).alias("audience"), text_of("device_", F.col("conv_id") % 5).alias("device_id"),
+        F.when(F.col("role") == "system", F.lit("household")).otherwise(F.lit("personal")).alias("layer"), F.when(F.char_length("text") % 8 != 0, text_of("person_", F.col("conv_id") % 3)).alias("person_id"),
     )
