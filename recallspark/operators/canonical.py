@@ -155,3 +155,24 @@ def registered(events: DataFrame) -> DataFrame:
 
     kind = ", ".join([*(f"{c} {kinds[c]}" for c in [*SLOT, "object_id", "seq", "op"]), "outcome string, evidence long"])
     return events.select(*columns).repartition(*SLOT).sortWithinPartitions(*SLOT, "seq").mapInPandas(run, kind)
+
+
+TARGETS = ["drawer", "kg"]
+
+
+def fold_forgets(events: DataFrame, key: str) -> DataFrame:
+    """key, hard, reason, drawer and kg (pending, projected or not_required), blocks and done of what was forgotten, from events (key, seq, op, hard, reason, targets) of facts or commitments.
+
+    op begin: forgetting is hard once any request is; the reason is the first one's, or the first hard one's where that came later. A target is pending
+    from the first request that names it until a mark (op mark, targets) after that; later requests do not open it again, and marks without a request mean
+    nothing. blocks: whoever comes again under the key is refused, from the first request on. done: nothing is pending, so evidence may be scrubbed. All of it is minima with partial sums.
+    """
+    begin, mark = F.col("op") == "begin", F.col("op") == "mark"
+    names = lambda t: F.array_contains("targets", t)
+    first = events.groupBy(key).agg(
+        F.max(F.when(begin, F.col("hard"))).alias("hard"), F.min(F.when(begin, F.struct("seq", "hard", "reason"))).alias("_first"), F.min(F.when(begin & F.col("hard"), F.struct("seq", "reason"))).alias("_hard"),
+        *(F.min(F.when(begin & names(t), F.col("seq"))).alias(f"_asked_{t}") for t in TARGETS), *(F.max(F.when(mark & names(t), F.col("seq"))).alias(f"_marked_{t}") for t in TARGETS),
+    ).where("_first is not null")
+    state = lambda t: F.when(F.col(f"_asked_{t}").isNull(), "not_required").when(F.coalesce(F.col(f"_marked_{t}") > F.col(f"_asked_{t}"), F.lit(False)), "projected").otherwise("pending")
+    out = first.select(key, "hard", F.coalesce("_hard.reason", "_first.reason").alias("reason"), *(state(t).alias(t) for t in TARGETS), F.lit(True).alias("blocks"))
+    return out.withColumn("done", (F.col("drawer") != "pending") & (F.col("kg") != "pending"))

@@ -121,11 +121,17 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def manifest(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """table, rows and digest of each table (with the columns that the digest covers); the digest does not depend on the order of rows."""
+    """table, rows and digest of each table (with the columns that the digest covers).
+
+    The digest does not depend on the order of rows: it is the sums of both halves of their SHA-256's first 128 bits, so that changes do not cancel out. Null and
+    empty values, and where one value ends, are told apart.
+    """
     out = None
     for name, (df, columns) in sorted(tables.items()):
-        row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-        one = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")), F.lit(0)).alias("digest")).select(F.lit(name).alias("table"), "rows", "digest")
+        parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns]
+        row = F.sha2(F.concat_ws("|", *parts), 256)
+        half = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")  # noqa: E731, B023
+        one = df.agg(F.count("*").alias("rows"), F.concat_ws("-", half(1), half(17)).alias("digest")).select(F.lit(name).alias("table"), "rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
 

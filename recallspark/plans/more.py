@@ -76,7 +76,15 @@ def palace_inventory(s, d):
 _PARTS = {"nation": ["n_nationkey", "n_name"], "region": ["r_regionkey", "r_name"], "conversations": ["conv_id", "turn", "role"]}
 
 
-@register("", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', {', '.join(f'{x}::VARCHAR' for x in c)})), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, c in sorted(_PARTS.items())))
+_HASHED = "sha256(concat_ws('|', {}))"
+_DIGEST = "SELECT '{0}' AS \"table\", count(*) AS rows, sum(('0x' || substr(h, 1, 16))::UBIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 17, 16))::UBIGINT)::VARCHAR AS digest FROM (SELECT {1} AS h FROM {0})"
+
+
+def _row_hash(columns: list[str]) -> str:
+    return _HASHED.format(", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in columns))
+
+
+@register("", " UNION ALL ".join(_DIGEST.format(t, _row_hash(c)) for t, c in sorted(_PARTS.items())))
 def snapshot_manifest(s, d):
     return storage.manifest({t: (load(s, d, t), c) for t, c in _PARTS.items()})
 
@@ -638,6 +646,22 @@ def canonical_register(s, d):
     return canonical.registered(rows).select("subject_id", "object_id", "seq", "outcome", "evidence")
 
 
+@register("", """WITH RECURSIVE l AS (SELECT user_id AS fact_id, event_id AS seq, CASE WHEN event_type IN ('signup', 'error') THEN 'begin' ELSE 'mark' END AS op, value > 60 AS hard, props AS reason, CASE WHEN event_type = 'view' THEN ['drawer'] WHEN event_type = 'click' THEN ['kg'] WHEN value < 20 THEN ['drawer'] ELSE ['drawer', 'kg'] END AS targets,
+ row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'purchase'),
+f AS (SELECT fact_id, 0::BIGINT AS n, NULL::BOOLEAN AS hard, NULL::VARCHAR AS reason, 'not_required' AS drawer, 'not_required' AS kg FROM l WHERE n = 1
+ UNION ALL SELECT f.fact_id, l.n, CASE WHEN op = 'begin' THEN coalesce(f.hard, false) OR l.hard ELSE f.hard END, CASE WHEN op = 'begin' AND (f.hard IS NULL OR l.hard AND NOT f.hard) THEN l.reason ELSE f.reason END,
+  CASE WHEN list_contains(targets, 'drawer') THEN CASE WHEN op = 'begin' AND drawer = 'not_required' THEN 'pending' WHEN op = 'mark' AND drawer = 'pending' THEN 'projected' ELSE drawer END ELSE drawer END,
+  CASE WHEN list_contains(targets, 'kg') THEN CASE WHEN op = 'begin' AND kg = 'not_required' THEN 'pending' WHEN op = 'mark' AND kg = 'pending' THEN 'projected' ELSE kg END ELSE kg END FROM f JOIN l ON l.fact_id = f.fact_id AND l.n = f.n + 1)
+SELECT fact_id, hard, reason, drawer, kg, true AS blocks, drawer <> 'pending' AND kg <> 'pending' AS done FROM f WHERE hard IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY n DESC) = 1""")
+def forget_states(s, d):
+    """How far the forgetting of each fact has come: requests and marks of its projections, in the order of the events."""
+    kind, v = F.col("event_type"), F.col("value")
+    both = F.array(F.lit("drawer"), F.lit("kg"))
+    targets = F.when(kind == "view", F.array(F.lit("drawer"))).when(kind == "click", F.array(F.lit("kg"))).when(v < 20, F.array(F.lit("drawer"))).otherwise(both)
+    rows = load(s, d, "events").where(kind != "purchase").select(F.col("user_id").alias("fact_id"), F.col("event_id").alias("seq"), F.when(kind.isin("signup", "error"), "begin").otherwise("mark").alias("op"), (v > 60).alias("hard"), F.col("props").alias("reason"), targets.alias("targets"))
+    return canonical.fold_forgets(rows, "fact_id")
+
+
 @register("", """WITH d AS (SELECT 'space_' || (user_id % 4) AS space_id, 'turn_' || (event_id % 300) AS turn_id, CASE WHEN event_type = 'view' THEN 'provisional' ELSE event_type END AS version, event_id AS seq, props AS input_hash FROM events WHERE event_type <> 'error'),
 t AS (SELECT 'space_' || (user_id % 4) AS space_id, 'turn_' || (event_id % 300) AS turn_id, min(event_id) AS gone FROM events WHERE event_type = 'error' AND value < 40 GROUP BY 1, 2),
 w AS (SELECT d.*, gone, first_value(version) OVER (PARTITION BY space_id, turn_id ORDER BY seq) AS lead_version, row_number() OVER (PARTITION BY space_id, turn_id, version ORDER BY seq) AS n, first_value(input_hash) OVER (PARTITION BY space_id, turn_id, version ORDER BY seq) AS lead_hash FROM d LEFT JOIN t USING (space_id, turn_id))

@@ -21,6 +21,12 @@ def test_registering_facts(spark):
     assert canonical.registered(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_forgetting_escalates_and_marks_count_after_requests(spark):
+    rows = [("a", 1, "mark", None, None, ["kg"]), ("a", 2, "begin", False, "soft", ["drawer"]), ("a", 3, "mark", None, None, ["drawer", "kg"]), ("a", 4, "begin", True, "hard", ["drawer", "kg"]), ("b", 1, "begin", True, "x", ["kg"]), ("b", 2, "mark", None, None, ["kg"]), ("b", 3, "begin", False, "y", ["kg"]), ("c", 1, "mark", None, None, ["kg"])]
+    out = canonical.fold_forgets(spark.createDataFrame(rows, "k string, seq long, op string, hard boolean, reason string, targets array<string>"), "k").orderBy("k").collect()
+    assert [tuple(r) for r in out] == [("a", True, "hard", "projected", "pending", True, False), ("b", True, "x", "not_required", "projected", True, True)]
+
+
 def test_decisions_with_tombstones_and_attribution(spark):
     kind = "space_id string, turn_id string, version string, seq long, input_hash string"
     rows = [("s", "t1", "v1", 1, "a"), ("s", "t1", "v1", 2, "a"), ("s", "t1", "v1", 3, "b"), ("s", "t1", "v2", 4, "b"), ("s", "t1", "prov", 5, "a"), ("s", "t2", "prov", 6, "a"), ("s", "t2", "v1", 7, "a"), ("s", "t2", "prov", 8, "a"), ("s", "t3", "v1", 9, "a"), ("s", "t3", "v1", 11, "a"), ("r", "t3", "v1", 12, "a")]
