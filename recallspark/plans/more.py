@@ -417,11 +417,14 @@ def vector_index_recall(s, d):
     return vector_index.recall(index, queries, 10, vector_index.probes_for(index, queries, 10, 0.9, seen), seen)
 
 
-@register("", """SELECT event_id AS query_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN NULL ELSE true END AS clean FROM events""")
+@register("", """WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n, strftime(ts, '%Y-%m-%d') AS day, 'item:' || regexp_extract(props, '[0-9]+') AS item FROM events WHERE event_type = 'purchase' QUALIFY n <= 12),
+a AS (SELECT user_id, arg_max(item, day || n) AS cur, arg_min(item, n) AS old FROM l GROUP BY 1), m AS (SELECT user_id, cur, old, max(day) FILTER (contains(item, cur)) AS newest FROM l JOIN a USING (user_id) GROUP BY ALL)
+SELECT user_id AS query_id, coalesce(bool_and(day <= newest) FILTER (contains(item, old)), true) AS clean FROM l JOIN m USING (user_id) GROUP BY 1""")
 def superseded_currency(s, d):
-    n = F.col("event_id")
-    lines = ["- [2024-01-02] new town\n- [2023-05-01] old town", "- [2024-01-02] new town\n- [2024-05-01] old town", "- [2024-01-02] new town\n- old town", "- [2024-01-02] from old town to new town", "- [2024-01-02] new town", "- [2024-01-02] new town"]
-    rows = load(s, d, "events").select(n.alias("query_id"), views.choose(n % 6, lines).alias("context"), F.array(F.lit("new town")).alias("expected"), F.when(n % 6 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("old town"))).alias("forbidden"))
+    """Whether what is told of each user's purchases presents the first of them as past, against the newest."""
+    e = load(s, d, "events").where("event_type = 'purchase'").select("user_id", F.row_number().over(graph.Window.partitionBy("user_id").orderBy("value", "event_id")).alias("n"), F.date_format("ts", "yyyy-MM-dd").alias("day"), text_of("item:", F.regexp_extract("props", "[0-9]+", 0)).alias("item")).where("n <= 12")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("- ["), "day", F.lit("] "), "item").alias("line")))), lambda x: x["line"]), "\n")
+    rows = e.groupBy(F.col("user_id").alias("query_id")).agg(lines.alias("context"), F.array(F.max_by("item", F.concat("day", F.col("n").cast("string")))).alias("expected"), F.array(F.min_by("item", "n")).alias("forbidden"))
     return retrieval.superseded_cleanly(rows)
 
 
