@@ -1,7 +1,7 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
-Markup rules out what is no text by its element (menus, forms, scripts, footers and the like) and says where the article is;
-all else is evidence for the suffix array. The token streams of each page's undecided blocks are concatenated host by host: all
+Markup rules out what is no text by its element (menus, forms, scripts, footers and the like) and says where the article is. Names
+are evidence: sure ones rule a container out, likely ones where its own size or links say the same, and what stays in doubt is for the suffix array. The token streams of each page's undecided blocks are concatenated host by host: all
 blocks outside an article, and within one those whose container is named like a notice, a share bar or the like. A suffix array by
 prefix doubling finds long token runs that repeat across distinct pages, covered tokens go, and the unique runs stay. On large hosts the
 same runs are counted by digest over all of the host's pages instead. On a page with an article container only its blocks are text; the
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from recallspark.llm.common import in_task, materialize, table, texts_of
 
-#: Tokens of a repeated run, distinct pages that make it boilerplate, pages of a host that one suffix array takes.
-RUN, PAGES, SHARD = 8, 3, 400
+#: Tokens of a repeated run, distinct pages that make it boilerplate, pages of a host that one suffix array takes, and bytes of their html.
+RUN, PAGES, SHARD, SHARD_BYTES = 8, 3, 400, 32 << 20
 #: Larger hosts that may be sent to every task; more are joined by a shuffle, each dealt over so many salts.
 BROADCAST_HOSTS, SALTS = 100_000, 16
 
@@ -35,11 +35,18 @@ NEVER = {"head", "title", "nav", "aside", "footer", "form", "style", "script", "
 ENDS_PARAGRAPH = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-# what a container outside an article is ruled out by, as whole words of its names; within one such names only raise a doubt
-_JUNK = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banner|sponsor(?:ed)?|promo|side-?bar|menu|nav(?:bar|igation)?|bread-?crumbs?|cookies?|consent|notice|gdpr|pop-?up|modal|overlay|newsletter|subscribe|share|sharing|social|comments?|comment-?list|disqus|replies|related|recommended|footer|masthead|site-?header|page-?header|login|signup|skip-?link|complementary|contentinfo|search)(?=$|[\s_-]|\d)", re.I)
-_DOUBT = re.compile(r"(?:^|\s)(?:banner|promo|menu|notice|newsletter|subscribe|share|sharing|social|related|recommended|search|side-?bar)(?=$|\s)", re.I)
-_CLEAR = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|sponsored|comments?|comment-?list|replies)(?=$|\s)", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+# fixed values: words of names that say what a container is (what adverts, comments and consent are is sure; the likely ones are held against its size, and hints against its links), and words that only say how it is laid out
+SURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "comment", "comments", "commentlist", "disqus", "replies", "popup", "modal", "breadcrumb", "breadcrumbs", "pagination", "login", "signup"}
+LIKELY = {"banner", "promo", "promotion", "menu", "nav", "navbar", "navigation", "notice", "alert", "newsletter", "subscribe", "subscription", "related", "recommended", "search", "sidebar", "side", "footer", "masthead", "overlay", "skip"}
+HINTS = {"share", "sharing", "social", "promoted", "popular", "trending"}
+LAYOUT = {"box", "bar", "wrap", "wrapper", "container", "inner", "outer", "block", "section", "list", "area", "unit", "slot", "widget", "panel", "item", "items", "links", "link", "buttons", "button", "top", "bottom", "left", "right", "main", "site", "page", "post", "up", "form", "row", "col", "column", "header", "text", "message", "thread", "the"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
+#: Evidence by names: none, a doubt, likely (a short or link-dense container goes), sure.
+NONE, DOUBT, PROBABLE, RULED = 0, 1, 2, 3
+#: Words up to which a likely container is a notice, and the share of its characters in links from which it is a list of links.
+NOTICE_WORDS, LINK_SHARE = 40, 0.5
 #: Containers that such names may rule out or put in doubt within an article.
 HOLDERS = {"div", "section", "article", "ul", "ol", "table", "figure"}
 #: What a block is: text of an article, undecided outside of one, in doubt within one.
@@ -47,12 +54,41 @@ TEXT, LOOSE, DOUBTED = 0, 1, 2
 _MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
 
+def evidence(attributes: str) -> int:
+    """What the names in an element's attributes say. A name counts in full if all its words are telling or of layout (`cookie-consent`, `ad-box`), else it raises a doubt (`search-guide`); an id, which may be an anchor into the text, raises no more than a doubt but for comments."""
+    level = NONE
+    for m in _NAMES.finditer(attributes):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind == "role":
+            level = max(level, RULED if value.strip().lower() in ROLES else NONE)
+            continue
+        for name in [value] if kind == "aria-label" else value.split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            telling = [w for w in words if w in SURE or w in LIKELY or w in HINTS]
+            if not telling:
+                continue
+            if all(w in HINTS for w in telling) or not all(w in SURE or w in LIKELY or w in HINTS or w in LAYOUT or w.isdigit() for w in words):
+                level = max(level, DOUBT)
+            elif kind == "id":
+                level = max(level, RULED if words[0] in ("comments", "disqus") else DOUBT)
+            else:
+                level = max(level, RULED if any(w in SURE for w in telling) else PROBABLE)
+    return level
+
+
 def blocks(page: str) -> tuple[list[str], list[int]]:
-    """Texts of a page's blocks in order, and what each is (TEXT, LOOSE or DOUBTED); what markup rules out is not among them."""
+    """Texts of a page's blocks in order, and what each is (TEXT, LOOSE or DOUBTED); what markup rules out is not among them.
+
+    A container of doubtful names is judged when it is whole: one that is likely a notice or the like goes if it is short, and any goes that is mostly links;
+    what remains of them is for the suffix array.
+    """
     texts: list[str] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, ruled out, what blocks in it are
+    boxes: list[int] = []  # of each block: the container with doubtful names that it is in, or -1
+    judged: list[list[int]] = []  # of each such container: evidence, characters, characters in links, words
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, ruled out, what blocks in it are, container
     run: list[str] = []
+    links = 0
 
     def close() -> None:
         if run:
@@ -61,23 +97,35 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             if text:
                 texts.append(text)
                 kinds.append(stack[-1][2] if stack else LOOSE)
+                boxes.append(stack[-1][3] if stack else -1)
+                if boxes[-1] >= 0:
+                    judged[boxes[-1]][3] += text.count(" ") + 1
+
+    def said(text: str) -> None:
+        run.append(text)
+        if stack and stack[-1][3] >= 0:
+            n = len("".join(text.split()))
+            judged[stack[-1][3]][1] += n
+            judged[stack[-1][3]][2] += n * (links > 0)
 
     junk, at = False, 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not junk:
-            run.append(page[at : m.start()])
+            said(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
-        names = " ".join(filter(None, sum(_NAMES.findall(m[4] or ""), ())))
-        kind = stack[-1][2] if stack else LOOSE
+        level = evidence(m[4]) if m[4] and not m[2] else NONE
+        above = stack[-1] if stack else ("", False, LOOSE, -1)
         if name in INLINE:  # no block of its own; outside an article only ruled-out ones are followed, with those of the same name within
+            if name == "a":
+                links = max(0, links + (-1 if m[2] else 1))
             if m[2]:
                 if stack and stack[-1][0] == name:
                     stack.pop()
-            elif kind == LOOSE and _JUNK.search(names) or stack and stack[-1][0] == name:
-                stack.append((name, junk or kind == LOOSE and bool(_JUNK.search(names)), kind))
+            elif above[2] == LOOSE and level == RULED or above[0] == name:
+                stack.append((name, junk or above[2] == LOOSE and level == RULED, above[2], above[3]))
             junk = bool(stack) and stack[-1][1]
             continue
         if name == "br":
@@ -94,25 +142,27 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
         else:
             if name in ENDS_PARAGRAPH and stack and stack[-1][0] == name:
                 stack.pop()
-            above = stack[-1] if stack else ("", False, LOOSE)
+                above = stack[-1] if stack else ("", False, LOOSE, -1)
             main = name in ("article", "main") or bool(_MAIN.search(m[4]))
-            bad = above[1] or name in NEVER or name == "header" and above[2] == LOOSE
-            if name in HOLDERS and _CLEAR.search(names):
-                bad = True
-            elif above[2] == LOOSE and not main and name not in ("html", "body") and _JUNK.search(names):
-                bad = True
-            kind = above[2]
+            told = level if name in HOLDERS or above[2] == LOOSE and not main and name not in ("html", "body") else NONE
+            bad = above[1] or name in NEVER or name == "header" and above[2] == LOOSE or told == RULED
+            kind, box = above[2], above[3]
             if main and kind == LOOSE:
                 kind = TEXT
-            elif kind == TEXT and name in HOLDERS and _DOUBT.search(names):
-                kind = DOUBTED
+            elif told in (DOUBT, PROBABLE) and not bad:
+                kind = DOUBTED if kind == TEXT else kind
+                if box < 0 or told > judged[box][0]:
+                    box = len(judged)
+                    judged.append([told, 0, 0, 0])
             if not m[4].rstrip().endswith("/"):
-                stack.append((name, bad, kind))
+                stack.append((name, bad, kind, box))
         junk = bool(stack) and stack[-1][1]
     if at < len(page) and not junk:
-        run.append(page[at:])
+        said(page[at:])
     close()
-    return texts, kinds
+    gone = {k for k, (told, chars, linked, words) in enumerate(judged) if told == PROBABLE and words <= NOTICE_WORDS or chars and linked >= LINK_SHARE * chars}
+    kept = [k for k, box in enumerate(boxes) if box not in gone]
+    return [texts[k] for k in kept], [kinds[k] for k in kept]
 
 
 def undecided(texts: list[str], kinds: list[int]) -> list[str]:
@@ -249,7 +299,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     # hosts are told apart before their pages are parsed, so that pages of small hosts are parsed once, into the shuffle by host
-    large = materialize(source.groupBy(host.alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") > SHARD))
+    large = materialize(source.groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes")).where((F.col("pages") > SHARD) | (F.col("bytes") > SHARD_BYTES)).drop("bytes"))
     hosts, named = large.count(), source.withColumn("host", host)
     if hosts <= BROADCAST_HOSTS:
         named = named.join(F.broadcast(large), "host", "left")
