@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from recallspark.llm.common import materialize, table
 
-#: Dimensions accumulated at a time, queries and candidates per block, candidates that a block has at least, and the magnitude up to which doubles hold scores exactly.
-DIMS, QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCK, EXACT = 16, 4096, 32_768, 2048, 2.0**52
+#: Dimensions accumulated at a time, queries and candidates per block at most, bytes of a block's vectors, candidates that a block has at least, and the magnitude up to which doubles hold scores exactly.
+DIMS, QUERY_BLOCK, VECTOR_BLOCK, BLOCK_BYTES, LEAST_BLOCK, EXACT = 16, 4096, 32_768, 16 << 20, 2048, 2.0**52
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -62,10 +62,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector
     q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null").distinct()
     q = q.withColumn("x", F.xxhash64(F.lit(1), "v")).withColumn("y", F.xxhash64(F.lit(2), "v"))
     x = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    n_q, n_x = q.count(), x.count()
+    n_q, n_x, dims = q.count(), *x.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    # long vectors lie in smaller blocks, so that what a task holds does not grow with them
+    fits = max(1, BLOCK_BYTES // (8 * max(dims, 1)))
+    query_block, vector_block = min(query_block, fits), min(vector_block, fits)
     q_blocks = max(1, -(-n_q // query_block))
     # smaller blocks than asked for while there are fewer than tasks that can run
-    x_blocks = max(1, -(-n_x // vector_block), min(vectors.sparkSession.sparkContext.defaultParallelism, n_x // LEAST_BLOCK))
+    x_blocks = max(1, -(-n_x // vector_block), min(vectors.sparkSession.sparkContext.defaultParallelism, n_x // min(LEAST_BLOCK, vector_block)))
     deal = lambda df, name, n, seed: df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(n)).cast("int"))
     q, x = deal(q, "qb", q_blocks, 1), deal(x, "xb", x_blocks, 2).withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "least": F.lit(None).cast("long")})
     kind = "query_id long, x long, y long, vec_id long, score long"

@@ -200,3 +200,89 @@ def test_registered_html_text_equals_a_parser(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op10_html_text"](spark, sf).collect()}
     assert got == {k: (t := brute.article(h), len(t)) for k, h in pages.items()}
+
+
+def page_text(page):
+    texts, kinds = html_text.blocks(page)
+    return html_text.main_text(texts, kinds, __import__("numpy").zeros(sum(t.count(" ") + 1 for t in html_text.undecided(texts, kinds)), bool))
+
+
+LONG = "The harbour was rebuilt in stone after the great storm, and for a century its two lamps were lit by hand each night while the keepers logged the weather, the ships and the price of oil in a book that the town still has today, bound in sealskin and kept dry."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<main><div class="notice">We use cookies</div><p>Body text.</p></main>', "Body text."),
+        ('<article><p>One.</p><div class="cookie-consent">Accept all?</div><div class="ad-box">Buy now</div><p>Two.</p></article>', "One.\n\nTwo."),
+        ('<article><section id="ads"><p>What ads cost in 1900</p></section><ol id="replies"><li>Survey replies</li></ol></article>', "What ads cost in 1900\n\nSurvey replies"),
+        ('<div class="search-guide"><p>How to search a library.</p></div>', "How to search a library."),
+        ('<article><p>One.</p><div id="comments"><p>First!</p></div><div class="comment-list"><p>Me too</p></div></article>', "One."),
+        ('<article><p>One.</p><div class="related"><ul><li><a href="/a">' + LONG + '</a></li><li><a href="/b">More</a></li></ul></div></article>', "One."),
+        ('<article><div class="notice"><p>' + LONG + "</p></div></article>", LONG),
+        ('<article><p>One.</p><div class="shareButtons"><a href="#">Share this</a></div><div role="dialog"><p>Sign in</p></div><section aria-label="Advertisement"><p>' + LONG + "</p></section></article>", "One."),
+        ('<article><div class="related-work"><p>Earlier studies.</p></div><div class="adsorption"><p>Gas on charcoal.</p></div></article>', "Earlier studies.\n\nGas on charcoal."),
+    ],
+)
+def test_names_are_evidence_only(page, text):
+    assert page_text(page) == text
+
+
+def test_pages_without_an_article_lose_what_their_host_repeats(spark):
+    """Through the query, against a brute-force count of runs over all pages of a host; one path per host size."""
+    dice = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    line = lambda n: " ".join(dice.choice(words) for _ in range(n))
+    common = [line(12) for _ in range(4)]
+    rows = []
+    for k in range(460):
+        host = "large.example" if k < 420 else f"small{k % 4}.example"
+        parts = [line(dice.choice([3, 9, 30])) for _ in range(3)] + [dice.choice(common)] + ([line(5) + " " + common[0] + " " + line(4)] if k % 5 == 0 else [])
+        dice.shuffle(parts)
+        rows.append((k, f"https://{host}/{k}", "".join(f"<p>{p}</p>" for p in parts)))
+    runs = {}
+    for k, url, page in rows:
+        tokens = [t for b in html_text.blocks(page)[0] for t in b.split(" ")]
+        for j in range(len(tokens) - html_text.RUN + 1):
+            runs.setdefault((url.split("/")[2], tuple(tokens[j : j + html_text.RUN])), set()).add(k)
+    want = {}
+    for k, url, page in rows:
+        texts = html_text.blocks(page)[0]
+        tokens = [t for b in texts for t in b.split(" ")]
+        gone = [False] * len(tokens)
+        for j in range(len(tokens) - html_text.RUN + 1):
+            if len(runs[url.split("/")[2], tuple(tokens[j : j + html_text.RUN])]) >= html_text.PAGES:
+                gone[j : j + html_text.RUN] = [True] * html_text.RUN
+        at, kept = 0, []
+        for b in texts:
+            own, mask = b.split(" "), gone[at : at + b.count(" ") + 1]
+            at += len(own)
+            if all(mask):
+                continue
+            j = 0
+            while j < len(mask):
+                e = j
+                while e < len(mask) and mask[e]:
+                    e += 1
+                if 0 < e - j < html_text.RUN:
+                    mask[j:e] = [False] * (e - j)
+                j = max(e, j + 1)
+            kept.append(" ".join(w for w, g in zip(own, mask) if not g))
+        want[k] = "\n\n".join(kept)
+    out = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want
+    assert not any(common[0] in t for k, t in want.items() if k < 420)
+
+
+def test_top_k_of_long_vectors_in_blocks_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 20)  # 87 vectors of 1,500 dimensions
+    dice = __import__("numpy").random.default_rng(7)
+    rows = [(k, dice.integers(-200, 200, 1500).tolist()) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<long>")
+    out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors.where("vec_id % 50 = 0"), vectors).collect())
+    want = []
+    for q, e in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f)), c) for c, f in rows if c != q)[:5]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert out == sorted(want)
