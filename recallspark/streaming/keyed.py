@@ -164,6 +164,17 @@ def first_by(events: DataFrame, key: str, ttl_ms: int | None = None) -> DataFram
     return events.groupBy(key).transformWithState(_First(ttl_ms), events.schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
+_SYNC = "array<struct<event_id:string,idempotency_hash:string,user_text:string>>"
+#: Turns that one device-sync message may hold in their order.
+MOST_TURNS = 1_000_000
+
+
+def synced(messages: DataFrame, payload: str = "payload", ttl_ms: int | None = None) -> DataFrame:
+    """A stream of the turns that device-sync messages (seq, payload) bring, each once over all batches by event id, and then by idempotency hash; unreadable messages bring none."""
+    rows = messages.select("seq", F.posexplode(F.from_json(payload, _SYNC)).alias("n", "e")).select((F.col("seq").cast("long") * MOST_TURNS + F.col("n")).alias("seq"), "e.*")
+    return first_by(first_by(rows, "event_id", ttl_ms), "idempotency_hash", ttl_ms)
+
+
 class _Deliveries(StatefulProcessor):
     """Delivers a key's messages in their order; what fails waits for a timer, and is dead after so many attempts or when its deadline is over."""
 

@@ -1,6 +1,7 @@
 """Keyed stream state: out-of-order and replayed batches equal the batch fold; retries end without new input."""
 
 import datetime as dt
+import json
 import random
 import time
 
@@ -68,6 +69,17 @@ def test_first_by_key_across_batches(keyed_spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 1), ("b", 3), ("c", 4)]
 
 
+def test_synced_turns_count_once_over_batches(keyed_spark, tmp_path):
+    spark = keyed_spark
+    sync = lambda *pairs: json.dumps([{"event_id": e, "idempotency_hash": h, "user_text": e} for e, h in pairs])
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for part in ([(1, sync(("a", "x"), ("b", "y"))), (3, None)], [(2, sync(("a", "z"), ("c", "x"), ("d", "w")))], [(4, sync(("e", "w"), ("f", "v"))), (5, "{broken")]):
+        spark.createDataFrame(part, "seq int, payload string").coalesce(1).write.mode("append").parquet(source)
+        stream = keyed.synced(folds.read_events(spark, source, spark.createDataFrame([], "seq int, payload string").schema))
+        folds.append_events(stream, out, mark).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "d", "f"]
+
+
 def test_a_failing_message_is_dead_without_new_input(keyed_spark, tmp_path):
     spark = keyed_spark
     kind = "subject string, seq long, message_id string, payload string"
