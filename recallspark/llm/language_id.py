@@ -155,13 +155,10 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Only their feature counts go to the driver, no texts. Ties between languages go to the first by name.
     """
     own = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counted = own.select("text").mapInArrow(in_task(_frequencies), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
-    df, total = np.zeros(FEATURES), 0
-    for r in counted:
-        if r["feature"] < 0:
-            total = r["df"]
-        else:
-            df[r["feature"]] = r["df"]
+    counted = own.select("text").mapInArrow(in_task(_frequencies), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()  # FEATURES rows at most
+    feature, times = (counted.column(c).to_numpy().astype(np.int64) for c in ("feature", "df"))
+    df, total = np.zeros(FEATURES), int(times[feature < 0].sum())
+    df[feature[feature >= 0]] = times[feature >= 0]
     idf = np.log((1 + total) / (1 + df)) + 1
     hashed = own.withColumn("h", F.xxhash64("id", "text"))
     chosen = hashed.select("h").distinct().orderBy("h").limit(sample)
