@@ -14,6 +14,8 @@ WINGS = ["Wing_Profile", "Wing_Interaction", "Wing_Relationship", "Wing_Emotion"
 MEMORY_TYPES = ["profile", "interaction", "relationship", "emotion", "goal", "event", "work", "preference", "health", "privacy", "theme"]
 PREDICATES = {"view": "likes", "click": "uses", "purchase": "owns", "signup": "works_at", "error": "has_symptom"}
 SENSITIVE = ["has_symptom"]
+#: Lines of orders that a task holds.
+LINES = 500_000
 
 
 def iso(t: Column) -> Column:
@@ -142,8 +144,14 @@ def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commitment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An intent per line of an order: its status, participant and due date, in order of revision."""
+    """An intent per line of an order: its status, participant and due date, in order of revision.
+
+    Orders and lines are dealt by order into as many tasks as lines ask for, so what a task holds does not grow with the tables. What is
+    grouped by commitment later stays where it is.
+    """
     o, i = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-i.count() // LINES))
+    o, i = o.repartition(tasks, "o_orderkey"), i.repartition(tasks, "l_orderkey")
     status = F.when(F.col("l_linestatus") == "F", choose(F.col("l_linenumber") % 3, ["confirmed", "fulfilled", "cancelled"])).otherwise(choose(F.col("l_linenumber") % 2, ["proposed", "confirmed"]))
     return i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("commitment_id"),
