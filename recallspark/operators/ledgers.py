@@ -85,12 +85,11 @@ def applied_commitments(events: DataFrame, identity: list[str]) -> DataFrame:
     """commitment_id, status, revision, rejected, strangers, participants, condition and due_at after ordered intents (commitment_id, place, status, participant, condition, due_at, and the columns of its identity).
 
     The first intent fixes who promises what: later ones with another identity are refused (strangers) and change nothing. The others fold as in
-    `fold_commitments`; a condition or due date replaces only when it is given. A new revision has no projections, so what `projected_commitments` says of older ones no longer counts.
+    `fold_commitments`; a condition or due date replaces only when it is given. All of it needs the intents of a commitment in one place once. A new revision has no projections, so what `projected_commitments` says of older ones no longer counts.
     """
     own = Window.partitionBy("commitment_id")
-    first = events.groupBy("commitment_id").agg(F.min_by(F.struct(*identity), "place").alias("_is"))
-    rows = events.join(first, "commitment_id").withColumn("_own", F.struct(*identity).eqNullSafe(F.col("_is")))
-    odd = rows.groupBy("commitment_id").agg(F.count_if(~F.col("_own")).cast("int").alias("strangers"))
+    rows = events.withColumn("_is", F.first(F.struct(*identity)).over(own.orderBy("place"))).withColumn("_own", F.struct(*identity).eqNullSafe(F.col("_is")))
+    rows = rows.withColumn("_odd", F.count_if(~F.col("_own")).over(own)).drop("_is")
     status, k = F.col("status"), F.col("_k")
     lowest = lambda test: F.min(F.when(test, k)).over(own)
     rows = rows.where("_own").withColumn("_k", F.row_number().over(own.orderBy("place"))).withColumn("_sure", lowest(status == "confirmed"))
@@ -100,12 +99,11 @@ def applied_commitments(events: DataFrame, identity: list[str]) -> DataFrame:
     taken = (k == 1) | ((F.col("_end").isNull() | (k < F.col("_end"))) & goes_on) | F.coalesce((k >= F.col("_end")) & (status == F.col("_as")), F.lit(False))
     rows = rows.withColumn("_taken", taken)
     last = lambda c: F.max(F.when(F.col("_taken") & F.col(c).isNotNull(), F.struct("_k", c)))[c].alias(c)
-    out = rows.groupBy("commitment_id").agg(
+    return rows.groupBy("commitment_id").agg(
         F.coalesce(F.max("_as"), F.when(F.max("_sure").isNotNull(), F.lit("confirmed")).otherwise(F.lit("proposed"))).alias("status"),
-        F.count_if("_taken").cast("int").alias("revision"), F.count_if(~F.col("_taken")).cast("int").alias("rejected"),
+        F.count_if("_taken").cast("int").alias("revision"), F.count_if(~F.col("_taken")).cast("int").alias("rejected"), F.max("_odd").cast("int").alias("strangers"),
         F.array_sort(F.collect_set(F.when(F.col("_taken"), F.col("participant")))).alias("participants"), last("condition"), last("due_at"),
     )
-    return out.join(odd, "commitment_id")
 
 
 def fold_facts(events: DataFrame) -> DataFrame:

@@ -685,8 +685,8 @@ def commitment_apply(s, d):
 
 
 def _applied_events(s, d) -> DataFrame:
-    more = load(s, d, "lineitem").select(F.col("l_orderkey").alias("commitment_id"), F.struct(F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).alias("place"), F.when(F.col("l_tax") > 0.06, F.lit("other")).otherwise(F.lit("deliver")).alias("action"), F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("condition"))
-    return views.commitment_events(s, d).join(more, ["commitment_id", "place"])
+    action = F.when(F.col("l_tax") > 0.06, F.lit("other")).otherwise(F.lit("deliver"))
+    return views.commitment_events(s, d, action=action, condition=F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")))
 
 
 _APPLY_STEP = _STEP.replace("e.status", "l.status")

@@ -143,8 +143,8 @@ def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), text_of("ev_", F.col("event_id") % 4000).alias("event_id"), F.sha2(text_of(F.col("user_id"), ":", F.col("props")), 256).alias("idempotency_hash"), "ts")
 
 
-def commitment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An intent per line of an order: its status, participant and due date, in order of revision.
+def commitment_events(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """An intent per line of an order: its status, participant and due date, in order of revision; more: further columns of the lines.
 
     Orders and lines are dealt by order into as many tasks as lines ask for, so what a task holds does not grow with the tables. What is
     grouped by commitment later stays where it is.
@@ -160,6 +160,7 @@ def commitment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         text_of("supplier:", F.col("l_suppkey")).alias("participant"),
         F.when(F.col("l_orderkey") % 7 != 0, F.col("l_shipdate")).alias("due_at"),
+        *(c.alias(name) for name, c in more.items()),
     )
 
 

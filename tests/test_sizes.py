@@ -41,3 +41,8 @@ def test_commitments_of_sources_are_dealt_by_their_lines(spark, monkeypatch):
     out = ledgers.commitments_of_sources(events.select("commitment_id", F.col("participant").alias("source")), events.groupBy("commitment_id").agg(F.count("*").alias("revision")), F.broadcast(sources))
     assert not [x for x in plan(out).splitlines() if "Exchange hashpartitioning(commitment_id" in x]
     assert told(out.select("commitment_id")) == told(events.where("participant = 'supplier:7'").select("commitment_id").distinct())
+
+
+def test_applied_commitments_are_shuffled_once(unbroadcast):
+    shuffles = [x for x in plan(catalog.QUERIES["commitment_apply"](unbroadcast, SF)).splitlines() if "Exchange" in x]
+    assert len(shuffles) == 2  # lines and orders
