@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.operators.scratch import written
+
 #: Longest name that phrases are searched for, and the triples that a merge keeps (entities times triples of each).
 MAX_NAME, MERGE_LIMIT = 64, 24
+#: Phrases that a task searches, rows of names that are broadcast, and parts of a name beyond that.
+PHRASES, NAMES, SALTS = 10_000, 1_200_000, 16
 
 
 def relevance() -> list[Column]:
@@ -112,12 +116,19 @@ def substrings(text: Column, sizes: Column) -> Column:
 def match_names(phrases: DataFrame, names: DataFrame, longest: int = MAX_NAME) -> DataFrame:
     """phrases with the columns of each name of their space (column match) that occurs in the phrase.
 
-    Substrings of a phrase, of lengths that names have, meet the names in a hash join, so no phrase is held against every name.
+    Substrings of a phrase, of lengths that names have, meet the names in a hash join, so no phrase is held against every name. A phrase has some
+    hundred substrings, so phrases are dealt by their id before, and up to NAMES rows of names are broadcast: only phrases are shuffled. More names than
+    that are dealt by salts with the substrings, so that one that many phrases have is in many tasks.
     """
-    some = names.where((F.char_length("match") > 0) & (F.char_length("match") <= longest))
-    sizes = some.agg(F.collect_set(F.char_length("match")).alias("_sizes"))  # one row, `longest` numbers at most
-    parts = phrases.crossJoin(F.broadcast(sizes)).withColumn("match", F.explode(substrings(F.col("phrase"), F.col("_sizes")))).drop("_sizes")
-    return parts.join(some, ["space_id", "match"])
+    some = written(names.where((F.char_length("match") > 0) & (F.char_length("match") <= longest)), "names")
+    told = some.agg(F.collect_set(F.char_length("match")).alias("sizes"), F.count("*").alias("rows")).first()  # `longest` sizes at most
+    tasks = max(phrases.sparkSession.sparkContext.defaultParallelism, -(-phrases.count() // PHRASES))
+    sizes = F.array(*map(F.lit, sorted(told["sizes"]))).cast("array<int>")
+    parts = phrases.repartition(tasks, "phrase_id").withColumn("match", F.explode(substrings(F.col("phrase"), sizes)))
+    if told["rows"] <= NAMES:
+        return parts.join(F.broadcast(some), ["space_id", "match"])
+    dealt = some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return parts.withColumn("_salt", F.pmod(F.xxhash64("phrase_id"), F.lit(SALTS)).cast("int")).join(dealt, ["space_id", "match", "_salt"]).drop("_salt")
 
 
 def matched_entities(phrases: DataFrame, entities: DataFrame, mentions: DataFrame, audiences: list[str], cap: int = 3, least: float = 0.0, aliases_only: bool = False) -> DataFrame:
@@ -127,18 +138,17 @@ def matched_entities(phrases: DataFrame, entities: DataFrame, mentions: DataFram
     first within each, names by themselves break ties. An entity counts at its first stage only. Names are matched as they are written,
     aliases in lower case.
     """
-    named = entities.select("space_id", "name", F.col("name").alias("match"), F.char_length("name").alias("length"))
-    tails = entities.select("space_id", "name", tail(F.col("name")).alias("match"), F.char_length("name").alias("length")).where("match is not null")
+    entities = written(entities.select("space_id", "entity_id", "name"), "entities")
+    forms = F.array(*(F.struct(F.lit(n).alias("stage"), form.alias("match")) for n, form in enumerate([F.col("name"), tail(F.col("name"))])))
+    named = entities.select("space_id", "name", F.char_length("name").alias("length"), F.inline(forms))
     known = mentions.where(readable(audiences) & (F.col("confidence") >= least))
-    alias = known.join(entities, ["space_id", "entity_id"]).select("space_id", "name", F.col("alias").alias("match"), F.char_length("alias").alias("length"))
+    alias = known.join(entities, ["space_id", "entity_id"]).select("space_id", "name", F.char_length("alias").alias("length"), F.lit(2).alias("stage"), F.col("alias").alias("match"))
     lowered = phrases.withColumn("phrase", F.lower("phrase"))
-    stages = [] if aliases_only else [match_names(phrases, named), match_names(phrases, tails)]
-    stages.append(match_names(lowered, alias))
-    hits = None
-    for n, found in enumerate(stages, 3 - len(stages)):
-        found = found.select("phrase_id", "name", F.struct(F.lit(n).alias("stage"), (-F.col("length")).alias("short")).alias("place"))
-        hits = found if hits is None else hits.unionByName(found)
-    best = hits.groupBy("phrase_id", "name").agg(F.min("place").alias("place"))
+    place = F.struct("stage", (-F.col("length")).alias("short")).alias("place")
+    hits = match_names(lowered, alias).select("phrase_id", "name", place)
+    if not aliases_only:
+        hits = match_names(phrases, named).select("phrase_id", "name", place).unionByName(hits)
+    best = hits.repartition("phrase_id").groupBy("phrase_id", "name").agg(F.min("place").alias("place"))
     order = Window.partitionBy("phrase_id").orderBy("place", "name")
     return best.select("phrase_id", "name", F.col("place.stage").alias("stage"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= cap)
 

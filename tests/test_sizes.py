@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.operators import ledgers
+from recallspark.operators import graph, ledgers
 from recallspark.plans import catalog
 from recallspark.sources import views
 
@@ -46,3 +46,18 @@ def test_commitments_of_sources_are_dealt_by_their_lines(spark, monkeypatch):
 def test_applied_commitments_are_shuffled_once(unbroadcast):
     shuffles = [x for x in plan(catalog.QUERIES["commitment_apply"](unbroadcast, SF)).splitlines() if "Exchange" in x]
     assert len(shuffles) == 2  # lines and orders
+
+
+def test_names_are_broadcast_and_phrases_dealt(unbroadcast, monkeypatch):
+    phrases = unbroadcast.createDataFrame([(k, f"s{k % 2}", f"near user:{k % 7} of 日本") for k in range(60)], "phrase_id long, space_id string, phrase string")
+    names = unbroadcast.createDataFrame([("s0", "user:1"), ("s1", "user:1"), ("s0", "日本"), ("s1", "本"), ("s1", "本"), ("s0", ""), ("s1", None), ("s0", "none of these")], "space_id string, match string")
+    monkeypatch.setattr(graph, "PHRASES", 2)
+    few = graph.match_names(phrases, names)
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" not in plan(few) and "hashpartitioning(phrase_id" in plan(few) and ", 30)" in plan(few)
+    rows = told(few.select("phrase_id", "match"))
+    asked = [(k, f"s{k % 2}", f"near user:{k % 7} of 日本") for k in range(60)]
+    assert rows == sorted((k, m) for k, s, p in asked for t, m in [("s0", "user:1"), ("s1", "user:1"), ("s0", "日本"), ("s1", "本"), ("s1", "本")] if t == s and m in p)
+    monkeypatch.setattr(graph, "NAMES", 0)
+    many = graph.match_names(phrases, names)
+    assert "SortMergeJoin" in plan(many) and told(many.select("phrase_id", "match")) == rows
+    assert graph.match_names(phrases, names.limit(0)).count() == 0
