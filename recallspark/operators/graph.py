@@ -257,6 +257,7 @@ def probes(asked: DataFrame, statements: DataFrame) -> DataFrame:
 
 def seeded(hints: list[str], matched: DataFrame, most: int = 3) -> DataFrame:
     """phrase_id, name and place of the entities that a recall starts from: hints first, then those that the phrase matches, each once."""
+    matched = written(matched, "matched")
     asked = matched.select("phrase_id").distinct().select("phrase_id", F.posexplode(F.array(*map(F.lit, hints)).cast("array<string>")).alias("_at", "name"))
     both = asked.withColumn("_side", F.lit(0)).unionByName(matched.select("phrase_id", F.col("rank").alias("_at"), "name").withColumn("_side", F.lit(1)))
     best = both.groupBy("phrase_id", "name").agg(F.min(F.struct("_side", "_at")).alias("_best"))

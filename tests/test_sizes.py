@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.operators import graph, ledgers
-from recallspark.plans import catalog
+from recallspark.plans import catalog, more
 from recallspark.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,7 @@ def test_names_are_broadcast_and_phrases_dealt(unbroadcast, monkeypatch):
     many = graph.match_names(phrases, names)
     assert "SortMergeJoin" in plan(many) and told(many.select("phrase_id", "match")) == rows
     assert graph.match_names(phrases, names.limit(0)).count() == 0
+
+
+def test_seeds_match_phrases_once(unbroadcast):
+    assert "matched-" in plan(more.graph.seeded(["item:9"], graph.matched_entities(views.phrases(unbroadcast, SF), views.entities(unbroadcast, SF), views.mentions(unbroadcast, SF), ["owner"])))
