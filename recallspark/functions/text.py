@@ -237,11 +237,15 @@ def subject_token(space: Column) -> Column:
 
 
 def safe_name(value: Column, most: int = 180) -> Column:
-    """A name of letters, digits, underscores and hyphens; runs of others become one underscore, none is left at the ends, nothing is `default`, and what is too long ends in a hash of the whole."""
+    """A name of letters, digits, underscores and hyphens; runs of others become one underscore, none is left at the ends, nothing is `default`, and what is too long ends in a hash of the whole.
+
+    The head of a long text mostly is too long a name already; only where it is not is the whole cleaned.
+    """
     raw = F.trim(F.coalesce(value, F.lit("")))
-    safe = F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
-    safe = F.when(safe == "", F.lit("default")).otherwise(safe)
-    return F.when(F.char_length(safe) <= most, safe).otherwise(F.concat(F.substring(safe, 1, max(1, most - 17)), F.lit("_"), F.substring(F.sha2(raw, 256), 1, 16)))
+    clean = lambda t: F.regexp_replace(F.regexp_replace(t, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    cut = lambda t: F.concat(F.substring(t, 1, max(1, most - 17)), F.lit("_"), F.substring(F.sha2(raw, 256), 1, 16))
+    head, safe = clean(F.substring(raw, 1, 4 * most)), clean(raw)
+    return F.when(F.char_length(head) > most, cut(head)).when(F.char_length(safe) > most, cut(safe)).when(safe == "", F.lit("default")).otherwise(safe)
 
 
 def pooled(hidden: Column, mask: Column, kind: str = "mean") -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from recallspark.functions import text
 from recallspark.operators import graph, ledgers
 from recallspark.plans import catalog, more
 from recallspark.sources import views
@@ -63,5 +64,16 @@ def test_names_are_broadcast_and_phrases_dealt(unbroadcast, monkeypatch):
     assert graph.match_names(phrases, names.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("value", "name"), [("é" * 500 + "a b", "a_b"), ("a" + "é" * 500 + "b" * 30, "a_bbbbbbbbbbbb" + "bbbbbbbbbbbbbbbbbb"), ("_" * 500, "default"), ("x" * 40 + " " * 3, "x" * 40), ("x" * 40 + "é" * 300, "x" * 40)])
+def test_names_of_texts_whose_head_says_too_little(spark, value, name):
+    assert spark.createDataFrame([(value,)], "v string").select(text.safe_name(F.col("v"), 40)).first()[0] == name
+
+
+def test_long_texts_are_named_by_their_head(spark):
+    rows = spark.createDataFrame([("ab. " * 100,)], "v string").select(text.safe_name(F.col("v"), 40).alias("name"))
+    assert "CASE WHEN (char_length(regexp_replace(regexp_replace(substring(" in rows._jdf.queryExecution().analyzed().toString()
+    assert rows.first()[0].startswith("ab_ab_ab_ab_ab_ab_ab_ab" [:23] + "_")
+
+
 def test_seeds_match_phrases_once(unbroadcast):
     assert "matched-" in plan(more.graph.seeded(["item:9"], graph.matched_entities(views.phrases(unbroadcast, SF), views.entities(unbroadcast, SF), views.mentions(unbroadcast, SF), ["owner"])))
