@@ -61,7 +61,8 @@ def facts(frontier: DataFrame, statements: DataFrame, entities: DataFrame, each:
     asked = known.select("space_id", "entity_id").distinct()
     best = _ends(statements).join(asked, ["space_id", "entity_id"], "left_semi")
     best = best.withColumn("_rank", F.row_number().over(Window.partitionBy("space_id", "entity_id").orderBy(*graph.relevance()))).where(F.col("_rank") <= each)
-    found = known.select(*key, "space_id", "entity_id", "_seed").join(best, ["space_id", "entity_id"])
+    # dealt by query once: all that follows is within a query
+    found = known.select(*key, "space_id", "entity_id", "_seed").join(best, ["space_id", "entity_id"]).repartition("query_id")
     first = Window.partitionBy(*key, "statement_id").orderBy("_seed", "_rank")
     found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     place = F.row_number().over(Window.partitionBy(*key).orderBy("_seed", "_rank"))
@@ -72,8 +73,8 @@ def merged(both: DataFrame, recalled: DataFrame, limit: int = graph.MERGE_LIMIT)
     """Each query's statements once: those asked about (_side 0), then those expanded to (_side 1); what a recalled record of the query already says comes last. ordinal counts anew."""
     first = Window.partitionBy("query_id", "statement_id").orderBy("_side", "ordinal")
     both = both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    shown = recalled.where("source_turn_id <> ''").select("query_id", "source_turn_id").distinct().withColumn("restates", F.lit(True))
-    both = both.join(shown, ["query_id", "source_turn_id"], "left").withColumn("restates", F.coalesce("restates", F.lit(False)))
+    shown = recalled.where("source_turn_id <> ''").groupBy("query_id").agg(F.collect_set("source_turn_id").alias("_shown"))  # a few records a query
+    both = both.join(shown, "query_id", "left").withColumn("restates", F.coalesce(F.array_contains("_shown", F.col("source_turn_id")), F.lit(False))).drop("_shown")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("restates", "_side", "ordinal"))
     return both.withColumn("ordinal", place).where(F.col("ordinal") <= limit).drop("_side")
 

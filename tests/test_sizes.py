@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import graph, ledgers
+from recallspark.operators import graph, graph_recall, ledgers
 from recallspark.plans import catalog, more
 from recallspark.sources import views
 
@@ -64,6 +64,15 @@ def test_names_are_broadcast_and_phrases_dealt(unbroadcast, monkeypatch):
     assert graph.match_names(phrases, names.limit(0)).count() == 0
 
 
+def test_facts_are_dealt_by_query_once(unbroadcast):
+    statements, entities = views.statements(unbroadcast, SF), views.entities(unbroadcast, SF)
+    frontier = unbroadcast.createDataFrame([(1, "space_0", "user:8", 1, 0)], "query_id long, space_id string, name string, ordinal int, _side int")
+    none = unbroadcast.createDataFrame([], "query_id long, source_turn_id string")
+    out = graph_recall.merged(graph_recall.facts(frontier, statements, entities, key=("query_id", "_side")), none)
+    shuffles = [x for x in plan(out).splitlines() if "Exchange hashpartitioning(query_id" in x]
+    assert len(shuffles) == 2  # statements found, and turns shown
+
+
 @pytest.mark.parametrize(("value", "name"), [("é" * 500 + "a b", "a_b"), ("a" + "é" * 500 + "b" * 30, "a_bbbbbbbbbbbb" + "bbbbbbbbbbbbbbbbbb"), ("_" * 500, "default"), ("x" * 40 + " " * 3, "x" * 40), ("x" * 40 + "é" * 300, "x" * 40)])
 def test_names_of_texts_whose_head_says_too_little(spark, value, name):
     assert spark.createDataFrame([(value,)], "v string").select(text.safe_name(F.col("v"), 40)).first()[0] == name
