@@ -17,6 +17,8 @@ from recallspark.operators.scratch import written
 
 #: Records of a range, ranges that a query reads first, rows of query terms that are broadcast, and parts of a term beyond that.
 RANGE, FIRST, BROADCAST_ROWS, SALTS = 64, 4, 200_000, 64
+#: Words whose postings a task makes.
+WORDS = 1_000_000
 #: What rounding to six digits may add to a score.
 SLACK = 2e-6
 
@@ -32,7 +34,10 @@ class Postings:
 
 
 def build(drawers: DataFrame, size: int = RANGE) -> Postings:
-    """Postings of all words of all records (drawer_id, text). Null texts have no words but count as records; an empty table has no postings."""
+    """Postings of all words of all records (drawer_id, text). Null texts have no words but count as records; an empty table has no postings.
+
+    Records are dealt by range into as many tasks as words ask for before their words are counted, so no task counts more than WORDS or so.
+    """
     words = drawers.select("drawer_id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     # lengths in steps of a fifth, so that weights of a range are alike
     words = words.withColumn("_step", F.floor(4 * F.log2(F.col("size") + 1)).cast("int"))
@@ -43,10 +48,12 @@ def build(drawers: DataFrame, size: int = RANGE) -> Postings:
     parts = F.ceil(F.col("_n") / size).cast("long")
     placed = words.join(F.broadcast(steps.select("_step", parts.alias("_parts"))), "_step")
     placed = placed.withColumn("range", F.col("_step") * F.lit(1 << 40) + F.pmod(F.xxhash64("drawer_id"), F.col("_parts")))
+    tasks = max(drawers.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS))
+    placed = placed.select("range", "drawer_id", "size", "words").repartition(tasks, "range")
     posts = placed.select("range", "drawer_id", "size", F.explode("words").alias("term")).groupBy("range", "drawer_id", "size", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (mean or 1.0)))
     posts = written(posts.select("range", "term", "drawer_id", weight.alias("weight")).sortWithinPartitions("term"), "posts")
-    blocks = written(posts.groupBy("range", "term").agg(F.max("weight").alias("most"), F.count("*").alias("n")), "blocks")
+    blocks = written(posts.select("range", "term", "weight").repartition(tasks, "range").groupBy("range", "term").agg(F.max("weight").alias("most"), F.count("*").alias("n")), "blocks")
     return Postings(posts, blocks, written(blocks.groupBy("term").agg(F.sum("n").alias("df")), "terms"), n)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.functions import text
-from recallspark.operators import graph, graph_recall, ledgers
+from recallspark.operators import graph, graph_recall, ledgers, postings
 from recallspark.plans import catalog, more
 from recallspark.sources import views
 
@@ -84,5 +84,11 @@ def test_long_texts_are_named_by_their_head(spark):
     assert rows.first()[0].startswith("ab_ab_ab_ab_ab_ab_ab_ab" [:23] + "_")
 
 
+def test_postings_are_dealt_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(postings, "WORDS", 100)
+    index = postings.build(spark.range(600).select(F.col("id").alias("drawer_id"), F.concat_ws(" ", F.lit("the"), F.col("id").cast("string"), F.lit("end")).alias("text")), 16)
+    assert len(index.posts.inputFiles()) > 12 and index.posts.count() == 1800 and index.n == 600
+
+
 def test_seeds_match_phrases_once(unbroadcast):
     assert "matched-" in plan(more.graph.seeded(["item:9"], graph.matched_entities(views.phrases(unbroadcast, SF), views.entities(unbroadcast, SF), views.mentions(unbroadcast, SF), ["owner"])))
