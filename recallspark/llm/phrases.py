@@ -1,11 +1,13 @@
 """Phrase collocations by contiguous pattern growth.
 
-Words are counted, then pairs of frequent words; a pair that is frequent is a prefix. Each place where a prefix occurs and may go on
-(its next pair is frequent, too) points to what follows, three words at most, and the places of a prefix go to one task, which grows
-the prefix to the right, depth first: the places that go on with the same word are the projection of the longer prefix. Equal
-continuations are counted before they are shuffled. The places of very frequent prefixes are dealt by whole continuations and
-counted as such. Words are held as 64-bit hashes, which are proven distinct over all words of the corpus (else another seed is taken);
-which words and pairs are frequent goes to the tasks as bit sets of bounded size, whose errors cost work but no count.
+Words are counted, then pairs of frequent words; a pair that is frequent is a prefix. Longer phrases of frequent pairs are counted by hash:
+those that share a counter are added up, so a phrase whose counter is low cannot be frequent. Each place where a prefix occurs and may go on
+(that counter is high) points to what follows, three words at most, and the places of a prefix go to one task, which grows the prefix to
+the right, depth first: the places that go on with the same word are the projection of the longer prefix. Equal continuations are counted
+before they are shuffled, so what is sent on are occurrences of frequent phrases, at most one row for each, and few others. The places
+of very frequent prefixes are dealt by whole continuations and counted as such. Words are held as 64-bit hashes, which are proven distinct
+over all words of the corpus (else another seed is taken); which words and pairs are frequent, and which longer phrases may be, goes to the
+tasks as bit sets of bounded size, whose errors cost work but no count.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from recallspark.llm.common import LONG_WORD, in_task, materialize, mix, table,
 #: Words of a phrase at most, occurrences of a candidate at least, phrases returned for each language, and the share (in percent) of its occurrences within a longer one that drops a phrase.
 LONGEST, LEAST, BEST, COVERED = 5, 100, 2000, 100
 #: Places above which a prefix is dealt by whole continuations; bytes of text looked at at once; rows of a group of prefixes; bits of a set, and bits for each member up to that.
-HOT, CHUNK, GROUP, MOST_BITS, BITS_EACH = 1 << 17, 12 << 20, 1 << 13, 1 << 29, 64
+HOT, CHUNK, GROUP, MOST_BITS, BITS_EACH = 1 << 17, 12 << 20, 1 << 10, 1 << 29, 64
+#: Occurrences of frequent pairs for each counter of longer phrases, up to MOST_BITS counters, and ranges (a power of two) that the counters are dealt in.
+SHARED, RANGES = 4, 1024
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _BREAK = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -183,20 +187,77 @@ def pair_counts(docs: DataFrame, seed: int, words, chunk: int = CHUNK) -> DataFr
     return docs.mapInArrow(in_task(run), "lang string, x0 long, x1 long, f long").groupBy("lang", "x0", "x1").agg(F.sum("f").alias("f"))
 
 
-def projected(docs: DataFrame, seed: int, words, pairs, hot, chunk: int = CHUNK) -> DataFrame:
+def _longer(texts: list[bytes], seed: int, words, pairs) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The known words in turn, with room for a phrase behind them; for each length from three words on, the places of phrases of frequent pairs, and their hashes."""
+    a = np.append(_known(texts, seed, words), np.zeros(LONGEST, np.int64))
+    some = (a[:-1] != 0) & (a[1:] != 0)
+    at = np.flatnonzero(some)
+    hashes = pair_hash(a[at], a[at + 1])
+    some[at] = goes = pairs.value.has(hashes)
+    at, hashes, found = at[goes], hashes[goes], []
+    for k in range(2, LONGEST):
+        goes = some[at + k - 1]
+        at = at[goes]
+        hashes = mix(hashes[goes] * _PRIME + a[at + k].astype(np.uint64))
+        found.append((at, hashes))
+    return a, found
+
+
+def may_reach(docs: DataFrame, seed: int, words, pairs, n: int, least: int, chunk: int = CHUNK):
+    """The bit set of all phrases of three words or more, made of frequent pairs (which occur n times in all), whose counter reaches `least`, as a broadcast.
+    Tasks send the counters that their texts touch, by ranges; a range is added up row by row, and the driver gets its bits alone."""
+    out = BitSet(-(-n // (BITS_EACH * SHARED)))
+    mask, span = out.mask, max(64, 8 * len(out.bits) // RANGES)
+
+    def run(batches):
+        for _, texts in _texts(batches, chunk):
+            _, found = _longer(texts, seed, words, pairs)
+            spots, times = np.unique(np.concatenate([h for _, h in found]) & mask, return_counts=True)
+            ranges, first = np.unique(spots // np.uint64(span), return_index=True)
+            edges = pa.array(np.append(first, len(spots)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, pa.array(c.astype(np.int32))) for c in (spots % np.uint64(span), times)]
+            sent = pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), *lists], ["range", "spots", "n"])
+            for k in range(0, len(ranges), 64):
+                yield sent.slice(k, 64)
+
+    def added(batches):
+        now, total = None, np.zeros(span, np.int64)
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+
+        for b in batches:
+            for k, at in enumerate(b.column(0).to_pylist()):
+                if at != now:
+                    if now is not None:
+                        yield told()
+                    now = at
+                    total[:] = 0
+                # no counter is twice in a row
+                total[b.column(1)[k].values.to_numpy()] += b.column(2)[k].values.to_numpy()
+        if now is not None:
+            yield told()
+
+    sent = docs.mapInArrow(in_task(run), "range int, spots array<int>, n array<int>").repartition("range").sortWithinPartitions("range")
+    for b in sent.mapInArrow(in_task(added), "range int, bits binary").toArrow().to_batches():
+        for at, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out.bits[at * span // 8 : (at + 1) * span // 8] = np.frombuffer(bits, np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(out)
+
+
+def projected(docs: DataFrame, seed: int, words, pairs, hot, reach, chunk: int = CHUNK) -> DataFrame:
     """The places where a frequent pair may go on, equal ones counted (n): lang, x0, x1 (the pair), x2 to x4 (what follows; 0 where it cannot go on), and whether the pair is very frequent (hot)."""
 
     def run(batches):
         for lang, texts in _texts(batches, chunk):
-            a = np.append(_known(texts, seed, words), np.zeros(LONGEST, np.int64))
-            some = (a[:-1] != 0) & (a[1:] != 0)
-            at = np.flatnonzero(some)
-            some[at] = pairs.value.has(pair_hash(a[at], a[at + 1]))
-            at = np.flatnonzero(some[:-1] & some[1:])
-            columns, goes = [a[at], a[at + 1], a[at + 2]], np.ones(len(at), bool)
-            for k in range(3, LONGEST):
-                goes = goes & some[at + k - 1]
-                columns.append(np.where(goes, a[at + k], 0))
+            a, found = _longer(texts, seed, words, pairs)
+            # how many words from each place on may be a frequent phrase
+            size = np.full(len(a), 2, np.int8)
+            for k, (at, hashes) in enumerate(found, 3):
+                at = at[reach.value.has(hashes)]
+                size[at[size[at] == k - 1]] = k
+            at = np.flatnonzero(size > 2)
+            columns = [np.where(size[at] > k, a[at + k], 0) for k in range(LONGEST)]
             columns, n = counted(columns)
             high = hot.value.has(pair_hash(columns[0], columns[1]))
             yield from _sliced(lang, [*map(pa.array, columns), pa.array(high), pa.array(n)], [*_X, "hot", "n"])
@@ -260,6 +321,7 @@ def frequent(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk: int = C
     sets = []
     for some in (pairs, pairs.where(F.col("f") > hot)):
         sets.append(gathered(some.select("x0", "x1").mapInArrow(hashed, "p long"), some.count()))
+    sets.append(may_reach(docs, seed, told, sets[0], pairs.agg(F.sum("f")).first()[0] or 0, least, chunk))
     places = materialize(projected(docs, seed, told, *sets, chunk=chunk))
     cool = places.where("not hot")
     groups = max(1, -(-cool.count() // GROUP))
