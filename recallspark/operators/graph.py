@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from recallspark.operators.scratch import written
 
-#: Longest name that phrases are searched for, and the triples that a merge keeps (entities times triples of each).
-MAX_NAME, MERGE_LIMIT = 64, 24
-#: Phrases that a task searches, rows of names that are broadcast, and parts of a name beyond that.
+#: Characters by which longer names are looked up before the whole of them is, and the triples that a merge keeps (entities times triples of each).
+HEAD, MERGE_LIMIT = 64, 24
+#: Phrases that a task searches, rows of names that are broadcast (a long name counts for each HEAD of its characters), and parts of a name beyond that.
 PHRASES, NAMES, SALTS = 10_000, 1_200_000, 16
 
 
@@ -113,21 +113,39 @@ def substrings(text: Column, sizes: Column) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
-def match_names(phrases: DataFrame, names: DataFrame, longest: int = MAX_NAME) -> DataFrame:
+def match_names(phrases: DataFrame, names: DataFrame) -> DataFrame:
     """phrases with the columns of each name of their space (column match) that occurs in the phrase.
 
     Substrings of a phrase, of lengths that names have, meet the names in a hash join, so no phrase is held against every name. A phrase has some
     hundred substrings, so phrases are dealt by their id before, and up to NAMES rows of names are broadcast: only phrases are shuffled. More names than
     that are dealt by salts with the substrings, so that one that many phrases have is in many tasks.
+
+    Names of more than HEAD characters are looked up by their first HEAD ones and the lengths of names that begin so; only where these stand in a
+    phrase are substrings of such lengths made, and these meet the whole names in the same way. No name is too long, and names that begin alike are not tried one by one.
     """
-    some = written(names.where((F.char_length("match") > 0) & (F.char_length("match") <= longest)), "names")
-    told = some.agg(F.collect_set(F.char_length("match")).alias("sizes"), F.count("*").alias("rows")).first()  # `longest` sizes at most
+    some = written(names.where(F.char_length("match") > 0), "names")
+    length = F.char_length("match")
+    told = some.agg(F.collect_set(F.when(length <= HEAD, length)).alias("sizes"), F.count_if(length <= HEAD).alias("rows"), F.count_if(length > HEAD).alias("long"), F.sum(F.when(length > HEAD, F.ceil(length / HEAD))).alias("heads")).first()  # HEAD sizes at most
     tasks = max(phrases.sparkSession.sparkContext.defaultParallelism, -(-phrases.count() // PHRASES))
-    sizes = F.array(*map(F.lit, sorted(told["sizes"]))).cast("array<int>")
-    parts = phrases.repartition(tasks, "phrase_id").withColumn("match", F.explode(substrings(F.col("phrase"), sizes)))
-    if told["rows"] <= NAMES:
-        return parts.join(F.broadcast(some), ["space_id", "match"])
-    dealt = some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = phrases.repartition(tasks, "phrase_id")
+    parts = lambda sizes: F.explode(substrings(F.col("phrase"), F.array(*map(F.lit, sizes)).cast("array<int>")))
+    if not told["long"]:
+        return _met(dealt.withColumn("match", parts(sorted(told["sizes"]))), some, told["rows"])
+    short = _met(dealt.withColumn("match", parts(sorted(told["sizes"]))), some.where(length <= HEAD), told["rows"])
+    some = some.where(length > HEAD)
+    heads = some.select("space_id", F.substring("match", 1, HEAD).alias("match"), length.alias("_size")).distinct()
+    begun = _met(dealt.withColumn("match", parts([HEAD])), heads, told["long"])
+    at = F.filter(F.sequence(F.lit(1), F.char_length("phrase") - F.col("_size") + 1), lambda a: F.substring(F.col("phrase"), a, F.lit(HEAD)) == F.col("match"))
+    whole = F.array_distinct(F.transform(at, lambda a: F.substring(F.col("phrase"), a, F.col("_size"))))
+    begun = begun.where(F.char_length("phrase") >= F.col("_size")).withColumn("match", F.explode(whole)).drop("_size")
+    return short.unionByName(_met(begun, some, told["heads"]))
+
+
+def _met(parts: DataFrame, names: DataFrame, rows: int) -> DataFrame:
+    """parts with the columns of the names of their space that they equal: so many rows of names are broadcast, or dealt by salts if they are over NAMES."""
+    if rows <= NAMES:
+        return parts.join(F.broadcast(names), ["space_id", "match"])
+    dealt = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return parts.withColumn("_salt", F.pmod(F.xxhash64("phrase_id"), F.lit(SALTS)).cast("int")).join(dealt, ["space_id", "match", "_salt"]).drop("_salt")
 
 

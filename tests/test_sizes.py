@@ -64,6 +64,32 @@ def test_names_are_broadcast_and_phrases_dealt(unbroadcast, monkeypatch):
     assert graph.match_names(phrases, names.limit(0)).count() == 0
 
 
+def test_names_of_any_length_are_found(unbroadcast, monkeypatch):
+    word = "日本 of the north and the east "
+    said = {1: f"moved to {word * 4}near user:7", 2: f"{word * 9}end", 3: word * 2 + word.upper() + word * 2, 4: "x" * 200, 5: "user:7", 6: None, 7: word * 3 + "," + word * 3}
+    asked = [(k, f"s{t}", p) for k, p in said.items() for t in (0, 1)]
+    long = [word * 3, word * 3, word * 8 + word[:5], word * 2 + word[:3], (word * 2 + word[:3])[1:], "x" * 64, "x" * 65, "x" * 199, "x" * 200, "x" * 201, word * 3 + "end", "7", word * 2 + "!" * 9]
+    known = [("s0", n, k) for k, n in enumerate(long)] + [("s1", n, -k) for k, n in enumerate(long[3:], 1)]
+    phrases = unbroadcast.createDataFrame(asked, "phrase_id long, space_id string, phrase string")
+    names = unbroadcast.createDataFrame(known, "space_id string, match string, n int")
+    want = sorted((k, t, m, n) for k, t, p in asked for u, m, n in known if t == u and m in (p or ""))
+    assert max(len(m) for _, _, m, _ in want) == 237
+    few = graph.match_names(phrases, names)
+    assert told(few.select("phrase_id", "space_id", "match", "n")) == want and "SortMergeJoin" not in plan(few) and few.columns == ["space_id", "match", "phrase_id", "phrase", "n"]
+    monkeypatch.setattr(graph, "NAMES", 0)
+    many = graph.match_names(phrases, names)
+    assert told(many.select("phrase_id", "space_id", "match", "n")) == want and "BroadcastHashJoin" not in plan(many)
+
+
+def test_long_names_that_begin_alike_are_not_tried_one_by_one(unbroadcast):
+    begin = "https://a.long.address/" + "that/all/of/them/have/" * 3
+    phrases = unbroadcast.range(50).select(F.col("id").alias("phrase_id"), F.lit("s").alias("space_id"), F.concat(F.lit("see " + begin), F.col("id").cast("string"), F.lit(" now")).alias("phrase"))
+    names = unbroadcast.range(3000).select(F.lit("s").alias("space_id"), F.concat(F.lit(begin), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" now")).alias("match"))
+    out = graph.match_names(phrases.withColumn("phrase", F.regexp_replace("phrase", "/([0-9]+) now", "/00$1 now")), names)
+    assert sorted(r.match for r in out.select("match").collect()) == sorted(f"{begin}{k:04d} now" for k in range(10, 50))
+    assert "Aggregate" in plan(out)  # heads and lengths, each once
+
+
 def test_facts_are_dealt_by_query_once(unbroadcast):
     statements, entities = views.statements(unbroadcast, SF), views.entities(unbroadcast, SF)
     frontier = unbroadcast.createDataFrame([(1, "space_0", "user:8", 1, 0)], "query_id long, space_id string, name string, ordinal int, _side int")
