@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ BITS, RADIUS, SEED = 64, 4, 42
 BUCKET_ROWS, MOST_BUCKET_BITS, CHUNK = 16_384, 24, 1_000_000
 #: Fingerprints of similar_documents and their bits; bits of the parity signature of a text's shingle set.
 TABLES, TABLE_BITS, PARITY_BITS = 10, 36, 512
+#: Texts up to which those hold, and bits of all tables of more texts; fingerprints that a bucket of theirs holds.
+TEXTS, SKETCH_BITS, TABLE_ROWS = 1 << 18, 384, 8 << 20
+#: Shingles of a text for each further leading shingle that it must share with another.
+MORE = 100
 #: Pairs that connect a bucket are taken so many times over: only a saving, as the exact join that follows finds what they miss.
 FORESTS = 2
 #: Texts that share a leading shingle and meet in one task; more are met in pairs of blocks.
@@ -79,47 +84,52 @@ def _masks(bits: range, most: int) -> list[int]:
 
 
 def bucket_pairs(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int, bits: int = BITS) -> np.ndarray:
-    """Indexes (a, b) of sorted distinct fingerprints that stand side by side at a variant of this bucket and lie within radius."""
+    """Indexes (a, b), a < b, of sorted distinct fingerprints that stand side by side at a variant of this bucket and lie within radius."""
     half, low = radius // 2, bits - bucket_bits
-    flips = np.array([bin(int(x)).count("1") for x in (fps >> np.uint64(low)) ^ np.uint64(bucket)])
-    keys, owner = [], []
-    left, right = [], []
-
-    def meet() -> None:
-        if not keys:
-            return
-        key, own = np.concatenate(keys), np.concatenate(owner)
-        keys.clear(), owner.clear()
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        pair = np.unique(own[same].astype(np.int64) * len(fps) + own[same + 1])
-        a, b = pair // len(fps), pair % len(fps)
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        left.append(a[near])
-        right.append(b[near])
-
+    flips = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(bucket))
     # variants are met by their next bits, so that a part stays within CHUNK
     masks = [np.array(_masks(range(low), half - k), np.uint64) for k in range(half + 1)]
     made = sum(int((flips == k).sum()) * len(m) for k, m in enumerate(masks))
     splits = max(0, (made // CHUNK).bit_length())
-    tail = np.uint64((1 << low) - 1)
+    span, n = np.uint64(low - splits), len(fps)
+    tail, room = np.uint64((1 << int(span)) - 1), np.uint64(max(1, n - 1).bit_length())
+    packed = span + room <= 64
+    # fingerprints lie in the order of those bits and masks are told apart by theirs, so a part looks at what is in it only
+    classes = []
+    for k, m in enumerate(masks):
+        rows = np.flatnonzero(flips == k)
+        lead = (fps[rows] >> span) & np.uint64((1 << splits) - 1)
+        order = np.argsort(lead, kind="stable")
+        rows, head = rows[order], m >> span
+        begin = np.searchsorted(lead[order], np.arange((1 << splits) + 1, dtype=np.uint64)).tolist()
+        classes.append((rows.astype(np.uint64), fps[rows] & tail, begin, [(x, m[head == x] & tail) for x in np.unique(head).tolist()]))
+    found = []
     for part in range(1 << splits):
-        for k, m in enumerate(masks):
-            rows = np.flatnonzero(flips == k)
-            if not len(rows):
-                continue
-            need = ((fps[rows] >> np.uint64(low - splits)) ^ np.uint64(part)) & np.uint64((1 << splits) - 1) if splits else np.zeros(len(rows), np.uint64)
-            head = m >> np.uint64(low - splits) if splits else np.zeros(len(m), np.uint64)
-            for x in np.unique(need):
-                own, fit = rows[need == x], m[head == x]
-                if len(fit):
-                    keys.append(((fps[own] & tail)[:, None] ^ fit[None, :]).ravel())
-                    owner.append(np.repeat(own.astype(np.int32), len(fit)))
-        meet()
-    if not left:
-        return np.zeros((0, 2), np.int64)
-    return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        keys, owner = [], []
+        for rows, rest, begin, heads in classes:
+            for x, fit in heads:
+                lo, hi = begin[part ^ x], begin[(part ^ x) + 1]
+                if lo == hi:
+                    continue
+                key, own = rest[lo:hi, None] ^ fit, rows[lo:hi, None]
+                keys.append(((key << room | own) if packed else key).ravel())
+                if not packed:
+                    owner.append(np.repeat(own, len(fit)))
+        if not keys:
+            continue
+        key = np.concatenate(keys)
+        if packed:
+            key.sort()
+            own, key = key & np.uint64((1 << int(room)) - 1), key >> room
+        else:
+            order = np.argsort(key, kind="stable")
+            own, key = np.concatenate(owner)[order], key[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        x, y = np.minimum(own[same], own[same + 1]).astype(np.int64), np.maximum(own[same], own[same + 1]).astype(np.int64)
+        near = np.bitwise_count(fps[x] ^ fps[y]) <= radius
+        found.append(np.unique(x[near] * n + y[near]))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.stack([pairs // max(1, n), pairs % max(1, n)], 1)
 
 
 def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) -> np.ndarray:
@@ -131,14 +141,23 @@ def bucket_links(fps: np.ndarray, bucket: int, radius: int, bucket_bits: int) ->
     return np.stack([fps[moved], fps[label[moved]]], 1)
 
 
-def bits_for(rows: int, radius: int) -> int:
-    """So many leading bits that a bucket holds about BUCKET_ROWS of that many fingerprints, each of which goes to all buckets within half the radius."""
+def bits_for(rows: int, radius: int, held: int = BUCKET_ROWS) -> int:
+    """So many leading bits that a bucket holds about `held` of that many fingerprints, each of which goes to all buckets within half the radius."""
     for bits in range(4, MOST_BUCKET_BITS):
-        if rows * len(_masks(range(bits), radius // 2)) <= BUCKET_ROWS << bits:
+        if rows * len(_masks(range(bits), radius // 2)) <= held << bits:
             return bits
     return MOST_BUCKET_BITS
 
 
+def shape_for(texts: int, radius: int = RADIUS) -> tuple[int, int]:
+    """Tables and bits of each for so many texts: a fingerprint has no more others within the radius by chance than among TEXTS, so their pairs do not grow with the square of the texts."""
+    ball = lambda bits: sum(comb(bits, k) for k in range(radius + 1)) / (1 << bits)
+    bits = TABLE_BITS
+    while bits < BITS - 4 and texts * ball(bits) > TEXTS * ball(TABLE_BITS):
+        bits += 1
+    return min(TABLES, SKETCH_BITS // bits), bits
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_bits: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect exactly those within radius bits of one another."""
     fps = fps.select("fp").distinct()
@@ -193,12 +212,14 @@ def sketches_of(texts: list[str], words: int, tables: int, bits: int) -> tuple[n
             continue
         cell = np.bincount(np.repeat(np.arange(hi - lo), count) * PARITY_BITS + (h % np.uint64(PARITY_BITS)).astype(np.int64), minlength=(hi - lo) * PARITY_BITS)
         parity[lo:hi] = np.packbits((cell & 1).astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1).view(np.uint64)
-        cut = np.cumsum(count[some]) - count[some]
-        major = []
-        for k in range(-(-tables * bits // 64)):
-            ones = np.add.reduceat(np.unpackbits(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1), cut, axis=0, dtype=np.int32)
-            major.append(2 * ones > count[some][:, None])
-        major = np.concatenate(major, 1)[:, : tables * bits].reshape(len(some), tables, bits)
+        mixed = np.stack([mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(-(-tables * bits // 64))], 1).view(np.uint8)
+        ones, begin = np.zeros((len(some), 8 * mixed.shape[1]), np.int32), 0
+        for k, n in enumerate(count[some].tolist()):
+            # of 255 shingles at a time, the bits are counted in bytes, eight of which are added as one number
+            for at in range(begin, begin + n, 255):
+                ones[k] += np.unpackbits(mixed[at : min(at + 255, begin + n)], axis=1).view(np.uint64).sum(0).view(np.uint8)
+            begin += n
+        major = (2 * ones > count[some][:, None])[:, : tables * bits].reshape(len(some), tables, bits)
         out[lo + some] = (major * place).sum(2, dtype=np.uint64)
     return out, parity, size
 
@@ -217,24 +238,27 @@ def _shingles(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 def jaccard(left: list[str], right: list[str], words: int) -> np.ndarray:
     """The similarity of the shingle sets of each pair of texts; 1 for two texts without words."""
     out = np.ones(len(left))
-    for k, pair in enumerate(zip(left, right)):
-        h, count = _shingles([t.encode().translate(_LOWER) for t in pair], words)
-        a, b = np.unique(h[: count[0]]), np.unique(h[count[0] :])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        if len(a) + len(b):
-            out[k] = both / (len(a) + len(b) - both)
+    raw = [t.encode().translate(_LOWER) for pair in zip(left, right) for t in pair]
+    for lo, hi in by_bytes([len(a) + len(b) for a, b in zip(raw[::2], raw[1::2])], 1 << 20):
+        h, n = _shingle_sets(raw[2 * lo : 2 * hi], words)
+        cut = np.concatenate([[0], np.cumsum(n)])[::2].tolist()
+        for k in range(hi - lo):
+            own = np.sort(h[cut[k] : cut[k + 1]])
+            if len(own):
+                both = np.count_nonzero(own[1:] == own[:-1])
+                out[lo + k] = both / (len(own) - both)
     return out
 
 
 def _shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in turn, and how many each text has."""
+    """Distinct shingle hashes of each text in turn, sorted, and how many each text has."""
     h, count = _shingles(raw, words)
-    owner = np.repeat(np.arange(len(raw)), count)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], np.bincount(owner[new], minlength=len(raw))
+    begin, new = np.cumsum(count) - count, np.ones(len(h), bool)
+    for a, n in zip(begin.tolist(), count.tolist()):
+        h[a : a + n].sort()
+    new[1:] = h[1:] != h[:-1]
+    new[begin[count > 0]] = True
+    return h[new], np.bincount(np.repeat(np.arange(len(raw)), count)[new], minlength=len(raw))
 
 
 def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
@@ -266,8 +290,13 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
+def least_shared(size):
+    """How many leading shingles similar texts share, of the size of the smaller one."""
+    return 1 + size // MORE
+
+
 def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
-    """The rarest shingles of each text, so many that two texts of that similarity share one, a row for each bucket of shingles."""
+    """The rarest shingles of each text, so many that two texts of that similarity share `least_shared` of them, a row for each bucket of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,10 +308,15 @@ def _prefixes(words: int, similarity: float, common: np.ndarray, buckets: int):
                 none = np.flatnonzero(n == 0)
                 owner = np.concatenate([np.repeat(np.arange(hi - lo), n), none])
                 h, n = np.concatenate([h, np.zeros(len(none), np.uint64)]), np.maximum(n, 1)
-                order = np.lexsort((h, common[(h % np.uint64(COUNT_CELLS)).astype(np.int64)], owner))
-                h, owner = h[order], owner[order]
-                pos = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
-                keep = pos <= (n - np.ceil(similarity * n - 1e-9))[owner]
+                if len(none):
+                    order = np.argsort(owner, kind="stable")
+                    h, owner = h[order], owner[order]
+                rare, begin = common[(h % np.uint64(COUNT_CELLS)).astype(np.int64)], np.cumsum(n) - n
+                # a text's shingles come sorted, so that with a stable sort by rarity all texts have them in one order
+                for a, m in zip(begin.tolist(), n.tolist()):
+                    h[a : a + m] = h[a : a + m][np.argsort(rare[a : a + m], kind="stable")]
+                pos = np.arange(len(h)) - begin[owner]
+                keep = pos < (n - np.ceil(similarity * n - 1e-9) + least_shared(n))[owner]
                 h, owner, pos = h[keep], owner[keep], pos[keep]
                 bucket = (h >> np.uint64(32)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -318,7 +352,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meeting(similarity: float):
-    """Pairs a, b of texts of different components that meet at a shingle and may reach the similarity by their sizes, its place in both and their parities."""
+    """Pairs a, b of texts of different components that meet at a shingle and may reach the similarity by their sizes, its place in both and their parities; how often, and how often they have to in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in range(8)]
@@ -336,10 +370,10 @@ def _meeting(similarity: float):
         held, total = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            pairs = np.unique(np.concatenate(held), axis=0)
+            pairs, times = np.unique(np.concatenate(held), axis=0, return_counts=True)
             for lo in range(0, len(pairs), 1 << 16):
                 some = pairs[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(some[:, 2]), pa.array(times[lo : lo + (1 << 16)])], ["a", "b", "least", "times"])
 
         # each text meets the next one of its shingle, then the one after that, as long as their sizes allow
         at, step = np.arange(len(h)), 0
@@ -349,13 +383,15 @@ def _meeting(similarity: float):
             other = at + step
             fit = (h[other] == h[at]) & (pair[other] == pair[at]) & (similarity * size[other] <= size[at] + 1e-9)
             at, other = at[fit], other[fit]
-            most = np.minimum(size[at] - pos[at], size[other] - pos[other])
+            # of the leading shingles that a pair has to share, fewer than these come before this one
+            least = least_shared(size[at])
+            most = np.minimum(size[at] - pos[at], size[other] - pos[other]) + least - 1
             good = (comp[at] != comp[other]) & (most * (1 + similarity) >= similarity * (size[at].astype(np.int64) + size[other]) - 1e-9) & (~cross[at] | (block[at] != block[other]))
             x, y = at[good], other[good]
             near = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= most_unlike(size[x].astype(np.int64) + size[y], similarity)
-            x, y = node[x[near]], node[y[near]]
+            x, y, least = node[x[near]], node[y[near]], least[good][near].astype(np.int64)
             if len(x):
-                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y), least], 1))
                 total += len(x)
             if total >= CHUNK:
                 yield from out()
@@ -370,9 +406,10 @@ def _meeting(similarity: float):
 def sharing_pairs(texts: DataFrame, marks: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs a, b of texts (node, text) in different components of found (node, component): all that can have that similarity, none left out.
 
-    With shingles in one order, two sets of similarity s share one among the first n - ceil(s * n) + 1 of each (n shingles); the
-    order is rare first, so few other pairs do. Texts that share one meet in a task, in pairs of blocks if they are many, and only
-    pairs that their sizes and parities (marks: node, size, parity) allow leave it.
+    With shingles in one order, two sets of similarity s share k among the first n - ceil(s * n) + k of each (n shingles); the
+    order is rare first, so few other pairs do, and k is more than one for all but short texts (least_shared), so fewer still by chance. Texts that
+    share one meet in a task, in pairs of blocks if they are many, only pairs that their sizes and parities (marks: node, size, parity) allow leave
+    it, and of these only pairs that meet k times are compared.
     """
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -385,7 +422,8 @@ def sharing_pairs(texts: DataFrame, marks: DataFrame, found: DataFrame, words: i
     met = shared.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.withColumn("pair", F.shiftleft(F.least("block", "with"), 32).bitwiseOR(F.greatest("block", "with"))).join(marks, "node")
     met = met.select("h", "pair", "block", "node", "comp", "pos", "size", "parity").repartition("h", "pair")
-    return met.mapInArrow(in_task(_meeting(similarity)), "a long, b long").distinct()
+    found = met.mapInArrow(in_task(_meeting(similarity)), "a long, b long, least long, times long")
+    return found.groupBy("a", "b", "least").agg(F.sum("times").alias("times")).where("times >= least").select("a", "b")
 
 
 def same_text(text_col: str) -> Column:
@@ -394,12 +432,15 @@ def same_text(text_col: str) -> Column:
     return F.struct(F.xxhash64(F.lit(1), text).alias("x"), F.xxhash64(F.lit(2), text).alias("y"))
 
 
-def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> tuple[DataFrame, DataFrame]:
+def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, tables: int | None = None, bits: int | None = None, radius: int = RADIUS, bucket_bits: int | None = None, forests: int = FORESTS) -> tuple[DataFrame, DataFrame]:
     """Every row of docs as id and same (two hashes that stand for the text); and for each distinct text its smallest id (least: none, id), nulls last, and root, the component."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), same_text(text_col).alias("same"))
     # one row of each distinct text; its number is given once, as the table is written
     texts = rows.groupBy("same").agg(F.any_value("text").alias("text"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
+    many = texts.count()
+    tables, bits = (given or own for given, own in zip((tables, bits), shape_for(many, radius)))
+    bucket_bits = bucket_bits or bits_for(many, radius, TABLE_ROWS)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -436,7 +477,7 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
                 some = pairs[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k >> bucket_bits, np.int32)), pa.array(some[:, 0]), pa.array(some[:, 1])], ["table", "p", "q"])
 
-    near = sent.repartition(tables << bucket_bits, "at").mapInArrow(in_task(meet), "table int, p long, q long").distinct()
+    near = sent.repartition(min(tables << bucket_bits, 1 << 16), "at").mapInArrow(in_task(meet), "table int, p long, q long").distinct()
     at = lambda fp, node: places.select(F.col("table").cast("int").alias("table"), F.col("fp").alias(fp), F.col("node").alias(node))
     across = near.join(at("p", "a"), ["table", "p"]).join(at("q", "b"), ["table", "q"]).select("a", "b")
     within = sketches.select("node", F.posexplode("sketch").alias("table", "fp")).join(places.withColumnRenamed("node", "b"), ["table", "fp"]).select(F.col("node").alias("a"), "b")
@@ -445,7 +486,9 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     unlike = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, n: z + n)
     total = F.col("a_size") + F.col("b_size")
     allowed = total - 2 * F.ceil(F.lit(similarity) * total / (1 + similarity) - 1e-9)
-    pairs = pairs.join(own, "a").join(theirs, "b").where(unlike <= allowed).select("a", "b")
+    # sets of that similarity are about as large, so most pairs by chance go here, whole texts are compared of the others
+    alike = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9
+    pairs = pairs.join(own, "a").join(theirs, "b").where(alike & (unlike <= allowed)).select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -465,11 +508,11 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     return rows.select("id", "same"), named.select("same", "least", F.coalesce("component", "node").alias("root"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS, radius: int = RADIUS, bucket_bits: int = 4, forests: int = FORESTS) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int | None = None, bits: int | None = None, radius: int = RADIUS, bucket_bits: int | None = None, forests: int = FORESTS) -> DataFrame:
     """Every row of docs as id_col and component_id, the smallest id reachable over pairs of shingle similarity of at least `similarity`.
 
-    One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken; pairs that come within
-    `radius` in any of them and agree in most bits of all are verified by their shingle sets. That links most of a group at little
+    One 64-bit fingerprint within 4 bits misses most pairs near 0.8, so several shorter ones are taken (longer ones of more texts); pairs that come within
+    `radius` in any of them and can be alike by their sizes and parities are verified by their shingle sets. That links most of a group at little
     cost; an exact join on shingles then verifies all pairs across what is not linked yet. Equal texts are one from the
     start, so copies form no pairs. Texts without words are alike. Null ids count as the largest, null texts as empty; repeated
     rows share their component; an empty table gives no rows; other columns are not read.

@@ -2,11 +2,13 @@
 
 import random
 import re
+from math import comb
 
+import numpy as np
 import pytest
 
 from recallspark.llm import line_dedup, simhash, substring_dedup
-from recallspark.llm.components import components
+from recallspark.llm.components import components, local_components
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +201,68 @@ def test_blocks_of_a_common_shingle_lose_no_pair(spark, monkeypatch):
     links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, dict(rows)), forests=0).collect()}
     assert got == brute.components(links, sorted(sets))
+
+
+def test_buckets_of_many_fingerprints_take_time_in_proportion(monkeypatch):
+    import time
+
+    dice = np.random.default_rng(3)
+    took = []
+    monkeypatch.setattr(simhash, "CHUNK", 50_000)  # as many parts as a bucket of 20 times the size has
+    for n in (20_000, 160_000):
+        lead = dice.choice([5 ^ m for m in simhash._masks(range(4), 2)], n).astype(np.uint64)
+        fps = np.unique(lead << np.uint64(32) | dice.integers(0, 1 << 32, n, dtype=np.uint64))
+        start = time.process_time()
+        pairs = simhash.bucket_pairs(fps, 5, 4, 4, 36)
+        took.append(time.process_time() - start)
+        assert len(pairs) and (np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 4).all()
+    assert took[1] < 30 * took[0]
+
+
+@pytest.mark.parametrize(("bits", "bucket_bits"), [(20, 4), (36, 4), (41, 5), (64, 4)])
+def test_a_bucket_connects_what_shares_a_variant(monkeypatch, bits, bucket_bits):
+    dice = np.random.default_rng(bits)
+    base = dice.integers(0, 1 << (bits - bucket_bits), 60, dtype=np.uint64) | np.uint64(5 << (bits - bucket_bits))
+    near = [base]
+    for _ in range(4):
+        near.append(near[-1] ^ np.uint64(1) << dice.integers(0, bits, 60).astype(np.uint64))
+    fps = np.unique(np.concatenate(near))
+    masks = simhash._masks(range(bits), 2)
+    held = {}
+    for k, fp in enumerate(fps.tolist()):
+        for m in masks:
+            if (fp ^ m) >> (bits - bucket_bits) == 5:
+                held.setdefault(fp ^ m, []).append(k)
+    links = np.array([(g[0], k) for g in held.values() for k in g[1:]])
+    want = local_components(links[:, 0], links[:, 1], len(fps))
+    for chunk in (1000, 1_000_000):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        pairs = simhash.bucket_pairs(fps, 5, 4, bucket_bits, bits)
+        assert (local_components(pairs[:, 0], pairs[:, 1], len(fps)) == want).all()
+
+
+def test_chance_neighbours_of_a_sketch_do_not_grow_with_the_texts():
+    ball = lambda bits: sum(comb(bits, k) for k in range(5)) / 2**bits
+    for texts in (0, 1 << 18, 3_000_000, 10**9):
+        tables, bits = simhash.shape_for(texts)
+        assert texts * ball(bits) <= (1 << 18) * ball(36) and tables * bits <= 384
+    assert simhash.shape_for(1 << 18) == (10, 36)
+
+
+def test_long_texts_of_one_common_rare_passage_are_not_compared(spark):
+    dice = random.Random(8)
+    say = lambda n: " ".join(f"w{dice.randrange(10**9)}" for _ in range(n))
+    both = say(17)
+    texts = {4 * k + 1: f"{say(700)} {both} {say(700)}" for k in range(30)}  # of no text whose shingles are counted, so the passage counts as rare
+    words = texts[1].split()
+    texts[121] = " ".join(words[:1260] + say(154).split())  # similarity a little over 0.8
+    texts[125] = " ".join(words[:1255] + say(159).split())  # and under it
+    df = spark.createDataFrame([*texts.items()], "node long, text string")
+    sets = {k: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for k, t in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    _, parity, size = simhash.sketches_of([*texts.values()], 5, 10, 36)
+    marks = spark.createDataFrame([(k, int(n), p.view(np.int64).tolist()) for k, n, p in zip(texts, size, parity)], "node long, size int, parity array<long>")
+    found = spark.createDataFrame([], "node long, component long")
+    got = {(r.a, r.b) for r in simhash.sharing_pairs(df, marks, found, 5, 0.8).collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and near(a, b)}
+    assert want == {(1, 121)} and want <= got and len(got) <= 3
